@@ -9,7 +9,9 @@ from ..operators import clean as C
 from . import views as V
 from .registry import oracle, query
 
-N = F.count(F.lit(1)).cast("long").alias("n")
+
+def N():
+    return F.count(F.lit(1)).cast("long").alias("n")
 
 
 def raw_balances(spark, sf):
@@ -36,7 +38,7 @@ SEG = {"AUTOMOBILE": "machines", "MACHINERY": "machines", "BUILDING": "build", "
 @query("p02_recode", """select case when c_mktsegment in ('AUTOMOBILE','MACHINERY') then 'machines' when c_mktsegment='BUILDING' then 'build'
  when c_mktsegment in ('FURNITURE','HOUSEHOLD') then 'home' end as grp, count(*) as n from customer group by 1""")
 def p02(spark, sf):
-    return C.recode(V.table(spark, sf, "customer"), "c_mktsegment", SEG, "grp").groupBy("grp").agg(N)
+    return C.recode(V.table(spark, sf, "customer"), "c_mktsegment", SEG, "grp").groupBy("grp").agg(N())
 
 
 @query("p02_recode_guard", "select count(c_mktsegment) as n_raw, count(*) filter (c_mktsegment in ('AUTOMOBILE','MACHINERY','BUILDING','FURNITURE','HOUSEHOLD')) as n_mapped, count(*) filter (c_mktsegment not in ('AUTOMOBILE','MACHINERY','BUILDING','FURNITURE','HOUSEHOLD')) as n_lost from customer")
@@ -50,7 +52,7 @@ HALF = "case when start_hour is null then 'unknown' when start_hour<12 then 'AM'
 
 @query("p03_add_phase", oracle(["timebound"], f"select label, {PHASE} as phase, count(*) as n from timebound group by 1,2"))
 def p03(spark, sf):
-    return C.add_phase(V.timebound(spark, sf), "day", "label").groupBy("label", "phase").agg(N)
+    return C.add_phase(V.timebound(spark, sf), "day", "label").groupBy("label", "phase").agg(N())
 
 
 EDGES, BINS = [0, 2500, 5000, 7500, 10000], ["b1", "b2", "b3", "b4"]
@@ -59,13 +61,13 @@ EDGES, BINS = [0, 2500, 5000, 7500, 10000], ["b1", "b2", "b3", "b4"]
 @query("p04_cut", oracle(["timebound"], """select coalesce(case when age>0 and age<=2500 then 'b1' when age>2500 and age<=5000 then 'b2' when age>5000 and age<=7500 then 'b3'
  when age>7500 and age<=10000 then 'b4' end,'nan') as bin, count(*) as n from timebound group by 1"""))
 def p04(spark, sf):
-    return V.timebound(spark, sf).groupBy(F.coalesce(C.cut("age", EDGES, BINS), F.lit("nan")).alias("bin")).agg(N)
+    return V.timebound(spark, sf).groupBy(F.coalesce(C.cut("age", EDGES, BINS), F.lit("nan")).alias("bin")).agg(N())
 
 
 @query("p05_context_cell", oracle(["timebound"], f"select {PHASE}||'-'||{HALF} as cell, label, count(*) as n from timebound group by 1,2"))
 def p05(spark, sf):
     t = C.add_context_cell(C.add_phase(V.timebound(spark, sf), "day", "label"), "phase", "start_hour")
-    return t.groupBy("cell", "label").agg(N)
+    return t.groupBy("cell", "label").agg(N())
 
 
 @query("p06_overlap_flag", oracle(["timebound"], """select label, coalesce(day between (select min(day) from timebound where label=0) and (select max(day) from timebound where label=0),false) as overlap,
@@ -73,13 +75,13 @@ def p05(spark, sf):
 def p06(spark, sf):
     """The flag is serialised as text and parsed back, as the tables exchange it."""
     t = C.add_overlap_flag(V.timebound(spark, sf), "day", "label", "_o")
-    return t.withColumn("overlap", C.parse_bool_text(F.initcap(F.col("_o").cast("string")))).groupBy("label", "overlap").agg(N)
+    return t.withColumn("overlap", C.parse_bool_text(F.initcap(F.col("_o").cast("string")))).groupBy("label", "overlap").agg(N())
 
 
 @query("p07_split_right", "select regexp_extract(c_name,'^(.*)#([^#]*)$',1) as stem, cast(min(cast(regexp_extract(c_name,'^(.*)#([^#]*)$',2) as bigint)) as bigint) as lo, cast(sum(cast(regexp_extract(c_name,'^(.*)#([^#]*)$',2) as bigint)) as bigint) as total, count(*) as n from customer group by 1")
 def p07(spark, sf):
     t = C.split_right(V.table(spark, sf, "customer"), "c_name", "stem", "num", "#").withColumn("num", F.col("num").cast("long"))
-    return t.groupBy("stem").agg(F.min("num").alias("lo"), F.sum("num").alias("total"), N)
+    return t.groupBy("stem").agg(F.min("num").alias("lo"), F.sum("num").alias("total"), N())
 
 
 @query("p08_parse_names", """select slot, id_conflict, count(*) as n, cast(sum(cast(entity as bigint)) as bigint) as id_sum from
@@ -90,7 +92,7 @@ def p08(spark, sf):
     owner = F.when(F.col("l_returnflag") == "A", F.col("l_partkey")).otherwise(F.col("l_orderkey"))
     path = F.concat(F.lit("rec/"), pad(owner), F.lit("/"), pad(F.col("l_orderkey")), F.lit("_"), F.col("l_linenumber").cast("string"), F.lit(".wav"))
     t = C.parse_names(li.select(path.alias("path")), "path")
-    return t.groupBy("slot", "id_conflict").agg(N, F.sum(F.col("entity").cast("long")).alias("id_sum"))
+    return t.groupBy("slot", "id_conflict").agg(N(), F.sum(F.col("entity").cast("long")).alias("id_sum"))
 
 
 @query("p09_localize", """select cast(ts + interval 3 hour as date) as local_date, count(*) as n, round(avg(hour(ts + interval 3 hour)+minute(ts + interval 3 hour)/60.0::double),6) as mean_hour, 0 as n_error
@@ -98,19 +100,19 @@ def p08(spark, sf):
 def p09(spark, sf):
     e = V.table(spark, sf, "events").select(F.when(F.col("event_type") == "error", "not a time").otherwise(F.col("ts").cast("string")).alias("utc"))
     t = C.localize(e, "utc", "Europe/Istanbul")
-    return t.groupBy("local_date").agg(N, r6(F.avg("local_hour"), "mean_hour"), F.count("ts_error").cast("long").alias("n_error"))
+    return t.groupBy("local_date").agg(N(), r6(F.avg("local_hour"), "mean_hour"), F.count("ts_error").cast("long").alias("n_error"))
 
 
 @query("p10_classify_prefix", "select case when o_orderpriority like '1%' or o_orderpriority like '2%' then 'high' when o_orderpriority like '5%' then 'low' else 'mid' end as cls, count(*) as n from orders group by 1")
 def p10(spark, sf):
     cls = C.classify_prefix("o_orderpriority", [("1", "high"), ("2", "high"), ("5", "low")], "mid")
-    return V.table(spark, sf, "orders").groupBy(cls.alias("cls")).agg(N)
+    return V.table(spark, sf, "orders").groupBy(cls.alias("cls")).agg(N())
 
 
 @query("p11_coalesce_with_source", oracle(["timebound"], """select case when start_hour is not null then 'file' when age is not null then 'csv' else 'none' end as v_source, count(*) as n, round(sum(coalesce(start_hour, age)),2) as total from timebound group by 1"""))
 def p11(spark, sf):
     t = C.coalesce_with_source(V.timebound(spark, sf), "start_hour", "age", "v")
-    return t.groupBy("v_source").agg(N, F.round(F.sum("v"), 2).alias("total"))
+    return t.groupBy("v_source").agg(N(), F.round(F.sum("v"), 2).alias("total"))
 
 
 @query("p12_day_index", oracle(["timebound"], "select label, min(d) as lo, max(d) as hi, cast(sum(d) as bigint) as total from (select label, date_diff('day', (select min(day) from timebound), day) as d from timebound) group by 1"))
@@ -139,7 +141,7 @@ SLOT_RULES = [("auto", 1), ("build", 2), ("furn", 3), ("house", 4), ("mach", 5)]
  from (select strip_accents(lower(translate(c_mktsegment,'AEIOU','ÀÉÎÔÜ'))) as k from customer) group by 1""")
 def p14(spark, sf):
     t = V.table(spark, sf, "customer").select(F.concat(F.translate("c_mktsegment", "AEIOU", "ÀÉÎÔÜ"), F.lit(" 01")).alias("name"))
-    return C.recognise_slot(t, "name", SLOT_RULES).groupBy("slot").agg(N)
+    return C.recognise_slot(t, "name", SLOT_RULES).groupBy("slot").agg(N())
 
 
 @query("p15_fill_profile", oracle(["timebound"], """select "column", fill_1, fill_0, case when fill_1>=0.8 and fill_0>=0.8 then 'both' when fill_0=0 and fill_1>0 then 'cases_only' when fill_1=0 and fill_0>0 then 'controls_only' else 'partial' end as kind from
@@ -167,4 +169,4 @@ def p16(spark, sf):
 def p16b(spark, sf):
     long = C.melt_slots(wide_slots(spark, sf), ["entity"], [f"slot_{k}_takes" for k in range(1, 8)], "takes")
     r = C.retry_counts(long.withColumn("retries", F.greatest(F.col("takes") - 1, F.lit(0))), "entity", "retries")
-    return r.groupBy("n_slots_retried", "n_retries").agg(N)
+    return r.groupBy("n_slots_retried", "n_retries").agg(N())

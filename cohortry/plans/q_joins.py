@@ -11,7 +11,9 @@ from . import views as V
 from .q_metrics import COST, FOLD_AUC, SELECT_SQL, fold_auc
 from .registry import oracle, query
 
-N = F.count(F.lit(1)).cast("long").alias("n")
+
+def N():
+    return F.count(F.lit(1)).cast("long").alias("n")
 SLOTS = list(range(1, V.SLOTS + 1))
 
 
@@ -25,21 +27,21 @@ def grid(spark, sf):
 
 @query("j01_complete_grid", oracle(["grid"], "select slot, status, count(*) as n, cast(sum(n) as bigint) as facts from grid group by 1,2"))
 def j01(spark, sf):
-    return grid(spark, sf).groupBy("slot", "status").agg(N, F.sum("n").cast("long").alias("facts"))
+    return grid(spark, sf).groupBy("slot", "status").agg(N(), F.sum("n").cast("long").alias("facts"))
 
 
 @query("j02_join_unique", oracle(["grid"], """select g.slot, count(*) as n, count(u.dur) as n_attached, round(sum(u.dur),2) as dur from grid g left join
  (select entity, slot, max(dur) as dur from slot_rows group by 1,2 having count(*)=1) u on g.entity=u.entity and g.slot=u.slot group by 1"""))
 def j02(spark, sf):
     t = J.join_unique(grid(spark, sf).select("entity", "slot"), V.slot_rows(spark, sf), ["entity", "slot"], ["dur"])
-    return t.groupBy("slot").agg(N, F.count("dur").cast("long").alias("n_attached"), F.round(F.sum("dur"), 2).alias("dur"))
+    return t.groupBy("slot").agg(N(), F.count("dur").cast("long").alias("n_attached"), F.round(F.sum("dur"), 2).alias("dur"))
 
 
 @query("j03_restrict_unmatched", oracle(["timebound", "slot_rows"], """select 'restricted' as part, count(*) as n from slot_rows where entity in (select unit from timebound)
  union all select 'unmatched', count(*) from slot_rows where entity not in (select unit from timebound)"""))
 def j03(spark, sf):
     s, t = V.slot_rows(spark, sf), V.timebound(spark, sf).select(F.col("unit").alias("entity"))
-    return J.restrict(s, t, ["entity"]).agg(F.lit("restricted").alias("part"), N).unionByName(J.unmatched(s, t, ["entity"]).agg(F.lit("unmatched").alias("part"), N))
+    return J.restrict(s, t, ["entity"]).agg(F.lit("restricted").alias("part"), N()).unionByName(J.unmatched(s, t, ["entity"]).agg(F.lit("unmatched").alias("part"), N()))
 
 
 @query("j04_key_diff", oracle(["slot_rows"], """select 'left_only' as side, count(*) as n from orders where o_orderkey not in (select entity from slot_rows)
@@ -57,13 +59,13 @@ def j05(spark, sf):
     b = V.table(spark, sf, "customer").select(F.col("c_custkey").alias("cust"), "c_acctbal")
     out, v1 = J.join_checked(a, b, ["cust"], "many_to_one")
     _, v2 = J.join_checked(a, b, ["cust"], "one_to_one")
-    return out.agg(F.lit("joined").alias("what"), N).unionByName(v1.agg(F.lit("violations_many_to_one").alias("what"), N)).unionByName(v2.agg(F.lit("violations_one_to_one").alias("what"), N))
+    return out.agg(F.lit("joined").alias("what"), N()).unionByName(v1.agg(F.lit("violations_many_to_one").alias("what"), N())).unionByName(v2.agg(F.lit("violations_one_to_one").alias("what"), N()))
 
 
 @query("j06_attach", "select n_name, count(*) as n, round(sum(c_acctbal),2) as bal from customer left join nation on c_nationkey=n_nationkey group by 1")
 def j06(spark, sf):
     dim = V.table(spark, sf, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
-    return J.attach(V.table(spark, sf, "customer"), dim, "c_nationkey").groupBy("n_name").agg(N, F.round(F.sum("c_acctbal"), 2).alias("bal"))
+    return J.attach(V.table(spark, sf, "customer"), dim, "c_nationkey").groupBy("n_name").agg(N(), F.round(F.sum("c_acctbal"), 2).alias("bal"))
 
 
 def versions(spark, sf):
@@ -116,26 +118,26 @@ def j09(spark, sf):
     return J.ownership_trace(a, b, "c_custkey", "lab", ["c_acctbal", "c_nationkey"])
 
 
-@query("j10_apply_selection", oracle(["predictions", "inner_preds"], """select p.repeat, p.fold, p.arm, count(*) as n, round(sum(prob),4) as total from predictions p join picked s on p.repeat=s.repeat and p.fold=s.fold and p.arm=s.selected group by 1,2,3""", SELECT_SQL))
+@query("j10_apply_selection", oracle(["predictions", "inner_preds"], """select p.repeat, p.fold, p.arm, count(*) as n, round(sum(prob),6) as total from predictions p join picked s on p.repeat=s.repeat and p.fold=s.fold and p.arm=s.selected group by 1,2,3""", SELECT_SQL))
 def j10(spark, sf):
     sel = M.select_per_fold(V.inner_preds(spark, sf), "label", "prob", "arm", COST)
-    return J.apply_selection(V.predictions(spark, sf), sel).groupBy("repeat", "fold", "arm").agg(N, F.round(F.sum("prob"), 4).alias("total"))
+    return J.apply_selection(V.predictions(spark, sf), sel).groupBy("repeat", "fold", "arm").agg(N(), F.round(F.sum("prob"), 6).alias("total"))
 
 
-@query("j11_delta_vs_baseline", oracle(["predictions"], """select f.arm, f.slot, f.repeat, f.fold, f.auc, b.auc as baseline, round(f.auc-b.auc,6) as delta from fold_auc f left join (select * from fold_auc where arm='noise') b
+@query("j11_delta_vs_baseline", oracle(["predictions"], """select f.arm, f.slot, f.repeat, f.fold, round(f.auc,6) as auc, round(b.auc,6) as baseline, round(f.auc-b.auc,6) as delta from fold_auc f left join (select * from fold_auc where arm='noise') b
  on f.slot=b.slot and f.repeat=b.repeat and f.fold=b.fold""", FOLD_AUC))
 def j11(spark, sf):
-    f = fold_auc(spark, sf).withColumn("auc", r6("auc")).select("arm", "slot", "repeat", "fold", "auc")
-    return J.delta_vs_baseline(f, ["slot", "repeat", "fold"], "arm", "noise", "auc").withColumn("delta", r6("delta"))
+    f = fold_auc(spark, sf).select("arm", "slot", "repeat", "fold", "auc")
+    return J.delta_vs_baseline(f, ["slot", "repeat", "fold"], "arm", "noise", "auc").withColumns({c: r6(c) for c in ("auc", "baseline", "delta")})
 
 
 def vectors(spark, sf):
     return V.table(spark, sf, "embeddings").select("vec_id", "embedding", "label", (F.col("vec_id") % 100).alias("entity"), (F.col("vec_id") % 7).alias("slot"))
 
 
-PAIR_SQL = """e as (select id, entity, n, list_transform(c, x -> x / sqrt(list_sum(list_transform(c, y -> y*y)))) as u from
- (select id, entity, n, list_transform(v, x -> x - list_avg(v)) as c from
-  (select min(vec_id) as id, vec_id%100 as entity, count(*) as n, list_transform(embedding, x -> x::double) as v from embeddings group by embedding, vec_id%100))),
+PAIR_SQL = """e as (select id, entity, n, list_transform(c, lambda x: x / sqrt(list_sum(list_transform(c, lambda y: y*y)))) as u from
+ (select id, entity, n, list_transform(v, lambda x: x - list_avg(v)) as c from
+  (select min(vec_id) as id, vec_id%100 as entity, count(*) as n, list_transform(embedding, lambda x: x::double) as v from embeddings group by embedding, vec_id%100))),
  pr as (select a.id as a, b.id as b, a.n*b.n as n_pairs, round(list_dot_product(a.u,b.u),6) as corr from e a join e b on a.id<b.id and a.entity<>b.entity)"""
 
 
@@ -180,7 +182,7 @@ def j14(spark, sf):
 
 @query("j14_identity_members", oracle(["timebound"], "select label, count(*) as n from timebound t join (select day, segment from timebound group by 1,2 having count(*)>1) g on t.day=g.day and t.segment=g.segment group by 1"))
 def j14b(spark, sf):
-    return J.identity_members(V.timebound(spark, sf), "day", "segment", "unit", "label").groupBy("label").agg(N)
+    return J.identity_members(V.timebound(spark, sf), "day", "segment", "unit", "label").groupBy("label").agg(N())
 
 
 @query("j15_exclusion_closure", oracle(["timebound"], """select count(*) as n_left, count(*) filter (label=1) as n1, count(*) filter (label=0) as n0, (select count(*) from timebound) as n_all,

@@ -40,14 +40,14 @@ def fold_auc(spark, sf):
     return M.auc(p, "label", "prob", ["arm", "slot", "repeat", "fold"])
 
 
-FOLD_AUC = "fold_auc AS (" + auc_sql("predictions", "arm, slot, repeat, fold", s="prob") + ")"
-FUSED_AUC = "fused_auc AS (" + auc_sql("fused", "arm, repeat, fold", s="prob") + ")"
+FOLD_AUC = "fold_auc AS (" + auc_sql("predictions", "arm, slot, repeat, fold", s="prob", digits=None) + ")"
+FUSED_AUC = "fused_auc AS (" + auc_sql("fused", "arm, repeat, fold", s="prob", digits=None) + ")"
 DRAWS = f"""
 units as (select arm, unit, label, prob, row_number() over (partition by arm order by {h32_sql('unit')}, unit)-1 as idx, count(*) over (partition by arm) as n from pooled),
 picks as (select arm, b, {h32_sql('b', 'idx', "'boot'")} % n as idx from units, (select unnest(range(0,{B})) as b)),
 w as (select arm, b, idx, count(*) as w from picks group by 1,2,3),
 expanded as (select w.arm, b, u.label, u.prob from w join units u on u.arm=w.arm and u.idx=w.idx, unnest(range(0, w)) as k(i)),
-boot as (""" + auc_sql("expanded", "arm, b", s="prob", digits=15) + ")"
+boot as (""" + auc_sql("expanded", "arm, b", s="prob", digits=None) + ")"
 
 
 @query("m01_auc", oracle(["predictions"], auc_sql("predictions", "arm, slot, repeat, fold", s="prob")))
@@ -59,7 +59,7 @@ def m01(spark, sf):
 select arm, slot, count(auc) as n_folds, round(avg(auc),6) as mean, round(stddev_samp(auc),6) as sd, round(quantile_cont(auc,0.025),6) as p2_5,
  round(quantile_cont(auc,0.975),6) as p97_5, round(min(auc),6) as min, round(max(auc),6) as max from fold_auc group by 1,2""", FOLD_AUC))
 def m02(spark, sf):
-    s = M.fold_summary(fold_auc(spark, sf).withColumn("auc", r6("auc")), ["arm", "slot"])
+    s = M.fold_summary(fold_auc(spark, sf), ["arm", "slot"])
     return s.select("arm", "slot", "n_folds", *[r6(c, c) for c in ("mean", "sd", "p2_5", "p97_5", "min", "max")])
 
 
@@ -151,7 +151,7 @@ def m09(spark, sf):
 select arm_a, arm_b, max(pd) as delta, count(d) as n_ok, round(quantile_cont(d,0.025),6) as ci_low, round(quantile_cont(d,0.975),6) as ci_high from
  (select p.a as arm_a, p.b as arm_b, x.auc-y.auc as d, (select round(u.auc-v.auc,6) from point u, point v where u.arm=p.a and v.arm=p.b) as pd
   from (values ('signal','noise'),('signal','context'),('context','noise')) p(a,b) join boot x on x.arm=p.a join boot y on y.arm=p.b and x.b=y.b
-  where x.auc is not null and y.auc is not null) group by 1,2""", DRAWS + ", point as (" + auc_sql("pooled", "arm", s="prob", digits=15) + ")"))
+  where x.auc is not null and y.auc is not null) group by 1,2""", DRAWS + ", point as (" + auc_sql("pooled", "arm", s="prob", digits=None) + ")"))
 def m10(spark, sf):
     p = shared(pooled(spark, sf))
     draws = bootstrap_weights(p.select("unit").distinct(), "unit", B, "boot")
@@ -177,7 +177,7 @@ select arm, slot, repeat, fold, round(sqrt((a*(1-a)+(n1-1)*(a/(2-a)-a*a)+(n0-1)*
  round(1.96::double*sqrt((a*(1-a)+(n1-1)*(a/(2-a)-a*a)+(n0-1)*(2*a*a/(1+a)-a*a))/(n1::double*n0)),6) as half_width
 from (select *, auc as a from fold_auc)""", FOLD_AUC))
 def m12(spark, sf):
-    f = fold_auc(spark, sf).withColumn("auc", r6("auc"))
+    f = fold_auc(spark, sf)
     se = M.hanley_mcneil("auc", "n1", "n0")
     return f.select("arm", "slot", "repeat", "fold", r6(se, "se"), r6(1.96 * se, "half_width"))
 
@@ -190,7 +190,7 @@ select arm_a, arm_b, count(*) as n, round(avg(d),6) as mean, round(case when var
 
 
 def fold_deltas(spark, sf):
-    f = M.auc(fused(spark, sf), "label", "prob", ["arm", "repeat", "fold"]).withColumn("auc", r6("auc"))
+    f = M.auc(fused(spark, sf), "label", "prob", ["arm", "repeat", "fold"])
     return M.pair_difference(f, ["repeat", "fold"], "arm", "auc", PAIRS)
 
 
@@ -206,7 +206,7 @@ select arm, slot, p, round(max(least(1.0::double, (m-i+1)*p)) over (partition by
   (select arm, slot, round(count(*) filter (auc<=0.5)/count(*)::double,6) as p from fold_auc group by 1,2))""", FOLD_AUC))
 def m14(spark, sf):
     """Sign-test style p per (arm, slot) from the fold table, adjusted inside each arm."""
-    f = fold_auc(spark, sf).withColumn("auc", r6("auc"))
+    f = fold_auc(spark, sf)
     p = f.groupBy("arm", "slot").agg(F.round(F.count_if(F.col("auc") <= 0.5) / F.count(F.lit(1)), 6).alias("p"))
     return M.holm(p, "p", ["arm"], tie=["slot"]).select("arm", "slot", "p", r6("p_holm", "p_holm"))
 
@@ -214,7 +214,7 @@ def m14(spark, sf):
 @query("m14_intersection_union", oracle(["predictions"], """
 select arm, round(max(p),6) as p_max from (select arm, slot, round(count(*) filter (auc<=0.5)/count(*)::double,6) as p from fold_auc group by 1,2) group by 1""", FOLD_AUC))
 def m14b(spark, sf):
-    f = fold_auc(spark, sf).withColumn("auc", r6("auc"))
+    f = fold_auc(spark, sf)
     p = f.groupBy("arm", "slot").agg(F.round(F.count_if(F.col("auc") <= 0.5) / F.count(F.lit(1)), 6).alias("p"))
     return M.intersection_union(p, "p", ["arm"])
 
@@ -264,14 +264,14 @@ def m19(spark, sf):
 
 
 SELECT_SQL = """
-inner_auc as (""" + auc_sql("(select arm, repeat, fold, unit, any_value(label) as label, round(avg(prob),9) as prob from inner_preds group by 1,2,3,4) q", "arm, repeat, fold", s="prob") + """),
+inner_auc as (""" + auc_sql("(select arm, repeat, fold, unit, any_value(label) as label, round(avg(prob),9) as prob from inner_preds group by 1,2,3,4) q", "arm, repeat, fold", s="prob", digits=None) + """),
 picked as (select repeat, fold, arm as selected, auc as inner_auc, n_tied from
  (select *, count(*) over (partition by repeat, fold) as n_tied,
    row_number() over (partition by repeat, fold order by case arm when 'signal' then 3 when 'context' then 2 else 1 end, arm) as rn
   from (select *, max(auc) over (partition by repeat, fold) as top from inner_auc) where top-auc < 0.01) where rn=1)"""
 
 
-@query("m20_select_per_fold", oracle(["inner_preds"], "select * from picked", SELECT_SQL))
+@query("m20_select_per_fold", oracle(["inner_preds"], "select repeat, fold, selected, round(inner_auc,6) as inner_auc, n_tied from picked", SELECT_SQL))
 def m20(spark, sf):
     return M.select_per_fold(V.inner_preds(spark, sf), "label", "prob", "arm", COST).withColumn("inner_auc", r6("inner_auc"))
 
@@ -291,7 +291,7 @@ select round((select avg(auc) from got),6) as procedure_mean, round((select stdd
  SELECT_SQL + "," + FUSED_AUC + ", got as (select auc from picked p join fused_auc f on p.selected=f.arm and p.repeat=f.repeat and p.fold=f.fold)"))
 def m21(spark, sf):
     sel = M.select_per_fold(V.inner_preds(spark, sf), "label", "prob", "arm", COST)
-    folds = M.auc(fused(spark, sf), "label", "prob", ["arm", "repeat", "fold"]).withColumn("auc", r6("auc"))
+    folds = M.auc(fused(spark, sf), "label", "prob", ["arm", "repeat", "fold"])
     e = M.procedure_estimate(sel, folds)
     return e.select(*[r6(c, c) for c in ("procedure_mean", "procedure_sd")], "n_folds", r6("best_fixed_mean", "best_fixed_mean"), "best_fixed_arm",
                     r6("oracle_mean", "oracle_mean"), r6("winners_curse", "winners_curse"))
@@ -306,7 +306,7 @@ def m21b(spark, sf):
 select arm, count(*) as n, round(avg(d),6) as mean, round(avg(d)/sqrt((1.0::double/count(*)+0.25::double)*var_samp(d)),6) as t from
  (select arm, repeat, fold, avg(case when slot=1 then auc end)-avg(case when slot<>1 then auc end) as d from fold_auc group by 1,2,3) group by 1""", FOLD_AUC))
 def m22(spark, sf):
-    g = M.slot_contrast(fold_auc(spark, sf).withColumn("auc", r6("auc")), "slot", "auc", 1, RATIO, ["arm"])
+    g = M.slot_contrast(fold_auc(spark, sf), "slot", "auc", 1, RATIO, ["arm"])
     return g.select("arm", "n", r6("mean", "mean"), r6("t", "t"))
 
 

@@ -43,14 +43,16 @@ def oracle(views: Sequence[str], body: str, ctes: str = "") -> str:
     return head + body.strip()
 
 
-def auc_sql(src: str, by: str, y: str = "label", s: str = "score", n: bool = True, extra: str = "", digits: int = 6) -> str:
+def auc_sql(src: str, by: str, y: str = "label", s: str = "score", n: bool = True, extra: str = "", digits: int | None = 6) -> str:
     """Rank-sum AUC over `src` (independent of the compressed-count form the engine uses)."""
     over = f"partition by {by} " if by else ""
     keys = f"{by}, " if by else ""
     group = f"group by {by}" if by else ""
+    ratio = "(r1 - n1*(n1+1)/2.0::double)/(n1::double*n0::double)"
+    value = ratio if digits is None else f"round({ratio}, {digits})"
     counts = "cast(n1 as bigint) as n1, cast(n0 as bigint) as n0, " if n else ""
     return f"""
-select {keys}{counts}case when n1 > 0 and n0 > 0 then round((r1 - n1*(n1+1)/2.0::double)/(n1::double*n0::double), {digits}) end as auc{extra}
+select {keys}{counts}case when n1 > 0 and n0 > 0 then {value} end as auc{extra}
 from (select {keys}sum(case when {y}=1 then 1 else 0 end) as n1, sum(case when {y}=0 then 1 else 0 end) as n0,
              sum(case when {y}=1 then rk else 0.0::double end) as r1
       from (select *, rank() over ({over}order by {s})::double + (count(*) over (partition by {keys}{s}) - 1)/2.0::double as rk

@@ -86,7 +86,7 @@ def _with_prob(t: DataFrame, u) -> DataFrame:
     )
     return t.select(
         "unit", "label", "stratum", "cluster", "arm", F.col("slot").cast("long").alias("slot"),
-        F.col("repeat").cast("long").alias("repeat"), F.col("fold").cast("long").alias("fold"), F.round(p, 6).alias("prob"),
+        F.col("repeat").cast("long").alias("repeat"), F.col("fold").cast("long").alias("fold"), p.alias("prob"),
     )
 
 
@@ -157,16 +157,16 @@ from (select unit, label, stratum, cluster, r, {h32_sql('unit', 'r', "'fold'")}
       from cohort, (select unnest(range(0,{REPEATS})) as r)), (select unnest(range(0,{FOLDS})) as k)""",
     "predictions": f"""
 select unit, label, stratum, cluster, arm, slot, r as repeat, {h32_sql('unit', 'r', "'fold'")} % {FOLDS} as fold,
-  round(case arm when 'signal' then 0.7::double*{u01_sql('unit', 'arm', 'slot', 'r')}+0.3::double*label
+  (case arm when 'signal' then 0.7::double*{u01_sql('unit', 'arm', 'slot', 'r')}+0.3::double*label
     when 'context' then 0.7::double*{u01_sql('unit', 'arm', 'slot', 'r')}+case when stratum='en' then 0.3::double else 0 end
-    else {u01_sql('unit', 'arm', 'slot', 'r')} end, 6) as prob
+    else {u01_sql('unit', 'arm', 'slot', 'r')} end) as prob
 from cohort, (select unnest(range(1,{SLOTS + 1})) as slot), (select unnest(range(0,{REPEATS})) as r), (select unnest(['signal','context','noise']) as arm)
 where {h32_sql('unit', 'slot', "'miss'")} % 50 <> 0""",
     "inner_preds": f"""
 select unit, label, stratum, cluster, arm, slot, repeat, fold,
-  round(case arm when 'signal' then 0.7::double*{u01_sql('unit', 'arm', 'slot', 'repeat', 'fold')}+0.3::double*label
+  (case arm when 'signal' then 0.7::double*{u01_sql('unit', 'arm', 'slot', 'repeat', 'fold')}+0.3::double*label
     when 'context' then 0.7::double*{u01_sql('unit', 'arm', 'slot', 'repeat', 'fold')}+case when stratum='en' then 0.3::double else 0 end
-    else {u01_sql('unit', 'arm', 'slot', 'repeat', 'fold')} end, 6) as prob
+    else {u01_sql('unit', 'arm', 'slot', 'repeat', 'fold')} end) as prob
 from (select * from fold_roles where role='train'), (select unnest(range(1,{SLOTS + 1})) as slot), (select unnest(['signal','context','noise']) as arm)
 where {h32_sql('unit', 'slot', "'miss'")} % 50 <> 0""",
     "frames": """
