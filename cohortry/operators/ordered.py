@@ -147,7 +147,10 @@ def halo(df: DataFrame, t: str, before: int, after: int, size: int, chunk: str =
 
 
 def frame_window(df: DataFrame, by: Sequence[str], t: str, before: int, after: int, exprs: dict, size: int = 100_000) -> DataFrame:
-    """Evaluate `exprs[name](window)` over t-before..t+after (inclusive) for every row, chunk by chunk."""
+    """Evaluate `exprs[name](window)` over t-before..t+after (inclusive) for every row, chunk by chunk.
+
+    An expression may narrow the frame with its own rangeBetween.
+    """
     h = halo(df, t, before, after, size)
     w = W.partitionBy(*by, "_chunk").orderBy(t).rangeBetween(-before, after)
     return h.select("*", *[fn(w).alias(n) for n, fn in exprs.items()]).filter("_own").drop("_chunk", "_own")

@@ -109,7 +109,7 @@ def a09(spark, sf):
 
 
 @query("a10_fuse", oracle(["predictions"], """select unit, arm, repeat, fold, 'fusion' as task, round(avg(prob),6) as prob from predictions where arm<>'context' group by 1,2,3,4
- union all select unit, arm, repeat, fold, 'fusion', prob from predictions where arm='context' and slot=1"""))
+ union all select unit, arm, repeat, fold, 'fusion', round(prob,6) from predictions where arm='context' and slot=1"""))
 def a10(spark, sf):
     p = V.predictions(spark, sf).filter((F.col("arm") != "context") | (F.col("slot") == 1))
     return A.fuse(p, ["unit", "arm", "repeat", "fold"], F.col("arm") == "context").withColumn("prob", r6("prob"))
