@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.numeric import logit, norm_sf_np, sigmoid
-from ..session import shared
+from ..session import cut, shared
 from . import metrics as M
 from .glm import Spec, balanced, design, fit_many, fits_frame, linear, moments, ridge
 from .inference import cross_fit
@@ -158,9 +158,9 @@ def variant_study(df: DataFrame, cols: Sequence[str], y: str, unit: str, cell: S
 
     Synthetic and repeated rows exist in training parts only. All variants and folds are one batch of fits.
     """
-    base = shared(df.join(folds.select(unit, F.col("fold").alias("own")), unit).withColumn("vec", F.array(*[F.col(c).cast("double") for c in cols])))
+    base = cut(df.join(folds.select(unit, F.col("fold").alias("own")), unit).withColumn("vec", F.array(*[F.col(c).cast("double") for c in cols])))
     train = base.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(k - 1)))).filter("own <> fold")
-    train = shared(train.select(unit, y, "fold", "vec", *[c for c in cell if c not in (unit, y)]))
+    train = cut(train.select(unit, y, "fold", "vec", *[c for c in cell if c not in (unit, y)]))
     parts = {}
     for v in variants:
         if v in ("plain", "balanced"):
@@ -179,7 +179,7 @@ def variant_study(df: DataFrame, cols: Sequence[str], y: str, unit: str, cell: S
         w = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda f: F.when(f == F.col("fold"), F.col("wt")).otherwise(0.0))
         r = d.select(F.lit(v).alias("key"), F.concat(F.array(F.lit(1.0)), F.col("vec")).alias("x"), F.col(y).cast("double").alias("y"), w.alias("w"))
         rows = r if rows is None else rows.unionByName(r)
-    rows = shared(rows)
+    rows = cut(rows)
     specs = {}
     for (v, f), (n, _, sd, n1) in moments(rows, range(k)).items():
         specs.setdefault(v, []).append(Spec(str(f), rep=f, penalty=ridge(sd, C), class_weight=balanced(n, n1) if v == "balanced" else (1.0, 1.0)))

@@ -13,7 +13,7 @@ from ..operators.clean import add_phase
 from ..operators.resample import bootstrap_weights, cluster_bootstrap
 from ..operators.splits import grouped_folds, stratified_folds
 from ..operators.profile import mean_vectors
-from ..session import shared
+from ..session import cut, shared
 from . import views as V
 from .q_joins import vectors
 from .q_metrics import PAIRS, RATIO, fused, pooled, timebound
@@ -41,8 +41,8 @@ def context(spark, sf):
     """Cohort with an orthogonal spline context and three candidate scores (none of them the context itself)."""
     p = pooled(spark, sf).groupBy("unit").pivot("arm", list(V.ARMS)).agg(F.first("prob"))
     t, names = I.context_columns(V.cohort(spark, sf).join(p, "unit"), {"covariate": 4, "uniq": 4}, ["n_digits"])
-    t, names = I.orthogonal_columns(shared(t), names)
-    return shared(t), names
+    t, names = I.orthogonal_columns(cut(t), names)
+    return cut(t), names  # a leaf for the many fits that follow
 
 
 @query("m08_calibration")
@@ -250,14 +250,14 @@ DIMS = [f"d{i}" for i in range(8)]
 
 @query("g23_context_probe")
 def g23(spark, sf):
-    v = shared(vector_units(spark, sf))
+    v = cut(vector_units(spark, sf))
     p = shared(G.context_probe(v, DIMS, "label", "pm", "unit", folds5(v, label="label"), K))
     return M.auc(p, "flag", "proxy", ["case"]).withColumn("auc", r6("auc"))
 
 
 @query("g24_probe_arm")
 def g24(spark, sf):
-    v = shared(vector_units(spark, sf))
+    v = cut(vector_units(spark, sf))
     o = G.probe_arm(G.probe_target(v, "label", "label"), DIMS, "grp", "unit", K)
     return M.auc(o, "y", "prob", ["fold"]).withColumn("auc", r6("auc"))
 
@@ -266,7 +266,7 @@ def g24(spark, sf):
 def g25(spark, sf):
     from ..operators.joins import exclusion_closure
 
-    v = shared(vector_units(spark, sf))
+    v = cut(vector_units(spark, sf))
     ex = exclusion_closure(v, v.filter("d0 > 0.3"), "unit", "grp")
     ext = v.select("unit", *[(F.col(c) * 0.9).alias(c) for c in DIMS])
     return G.score_external(v, ext, ex, DIMS, "label", "unit", "grp", K, grid=(0.01, 1.0, 100.0)).select("unit", r6("prob", "prob"), "C")
