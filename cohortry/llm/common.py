@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import re
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -41,17 +42,60 @@ def slices(frame: pd.DataFrame, column: str = "text", chars: int = SLICE_CHARS)
 
 
 def spaced(text: str, chars: int = SLICE_CHARS) -> Iterator[str]:
-    """A text in pieces cut at spaces: a very long one is worked on in bounded memory."""
+    """A text in pieces cut at single spaces (not beside a space or space mark): a very long one is worked on in bounded memory."""
     at = 0
-    while len(text) - at > chars:
-        end = text.find(" ", at + chars)
-        if end < 0:
-            break
-        yield text[at:end]
-        at = end + 1
+    while len(text) - at > chars and (m := _LONE_SPACE.search(text, at + chars)):
+        yield text[at:m.start()]
+        at = m.end()
     yield text[at:]
 
 
+_LONE_SPACE = re.compile("(?<![ \u2581]) (?![ \u2581])")
+
+
+class WordTable(dict):
+    """word -> value, learnt once and for many words in one call. Values in excess of `room` are forgotten by `settle` (after each slice of texts), the first ones
+    stay; after `turns` times `room` forgotten ones the table starts anew, for texts that have changed. Look words up only after `hold`."""
+
+    def __init__(self, learn: Callable[[list[str]], Iterable], room: int, turns: int = 10):
+        super().__init__()
+        self.learn, self.room, self.turns, self.extra, self.passed = learn, room, turns, [], 0
+
+    def hold(self, words: set) -> None:
+        if new := [w for w in words if w not in self]:
+            self.update(zip(new, self.learn(new), strict=True))
+            self.extra += new[max(0, len(new) - max(0, len(self) - self.room)):] if len(self) > self.room else []
+
+    def settle(self) -> None:
+        for w in self.extra:
+            self.pop(w, None)
+        self.passed += len(self.extra)
+        self.extra = []
+        if self.passed > self.turns * self.room:
+            self.clear()
+            self.passed = 0
+
+
+def split_all(texts: Iterable[str], split: Callable[[str], list[str]], table: WordTable) -> Iterator[list[list[str]]]:
+    """Words of each text, as lists for the pieces of a very long one, with all of them held in the table: in one call for a slice of texts."""
+    held: list[list[list[str]]] = []
+    for text in texts:
+        if len(text) <= SLICE_CHARS:
+            held.append([split(text)])
+            continue
+        table.hold({w for parts in held for words in parts for w in words})
+        yield from held
+        held = []
+        parts = []
+        for some in spaced(text):
+            words = split(some)
+            table.hold(set(words))
+            parts.append(words)
+        yield parts
+    table.hold(set().union(*(words for parts in held for words in parts)))
+    yield from held
+
+
 def by_key(frames: Iterable[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
     """Runs of rows with equal keys from a partition that is sorted by them; a run may span batches."""
     held: list[pd.DataFrame] = []

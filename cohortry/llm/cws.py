@@ -8,8 +8,10 @@ probability equal to their generalised Jaccard similarity sum(min(w, w')) / sum(
 from __future__ import annotations
 
 import collections
+import functools
 import hashlib
-from collections.abc import Iterator
+import itertools
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -19,10 +21,10 @@ from pyspark.sql import functions as F
 
 from ..operators.ordered import BUCKET, value_buckets
 from ..session import bucket_count
-from .common import id_text
+from .common import WordTable, id_text, slices
 
-SLOTS = 128
-CACHED_TERMS = 100_000
+SLOTS = 64
+CACHED_TERMS = 200_000
 _GOLD, _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -35,63 +37,82 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 def samples(terms: np.ndarray, weights: np.ndarray, slots: int = SLOTS) -> tuple[np.ndarray, np.ndarray]:
-    """(ln a, 16-bit code of (term, t)) per term hash (uint64) and slot."""
+    """(ln a, 16-bit code of (term, t)) per term hash (uint64) and slot. Two hashes give the four uniforms of the Gamma draws, a third b."""
+    low, scale = np.uint64(0xFFFFFF), np.float32(2.0**-24)
+
+    def uniform(h: np.ndarray, shift: int) -> np.ndarray:
+        return ((h >> np.uint64(shift)) & low).astype(np.float32) * scale + scale / 2
+
     with np.errstate(over="ignore"):
         seed = _mix(terms[:, None] + _GOLD * np.arange(1, slots + 1, dtype=np.uint64)[None, :])
-        uniform = [((_mix(seed + _GOLD * np.uint64(k)) >> np.uint64(12)).astype(np.float64) + 0.5) / 2.0**52 for k in range(1, 6)]
-    r = -np.log(uniform[0] * uniform[1])
-    c = -np.log(uniform[2] * uniform[3])
-    b = uniform[4]
-    t = np.floor(np.log(weights)[:, None] / r + b)
+        first, second = _mix(seed + _GOLD), _mix(seed ^ _M2)
+    r = -np.log(uniform(first, 0) * uniform(first, 32))
+    ln_c = np.log(-np.log(uniform(second, 0) * uniform(second, 32)))
+    b = uniform(seed, 8)
+    t = np.floor(np.log(weights.astype(np.float32))[:, None] / r + b)
     with np.errstate(over="ignore"):
-        code = _mix(seed + t.astype(np.int64).astype(np.uint64) * _M1) >> np.uint64(48)
-    return (np.log(c) - r * (t - b) - r).astype(np.float32), code.astype(np.uint16)
+        code = (seed + t.astype(np.int64).astype(np.uint64) * _M1) * _GOLD >> np.uint64(48)
+    return ln_c - r * (t - b) - r, code.astype(np.uint16)
+
+
+@functools.lru_cache(maxsize=1)
+def sampler_of(slots: int) -> Sampler:
+    """One sampler per worker process: what it has learnt serves the next task."""
+    return Sampler(slots)
 
 
 class Sampler:
-    """Signatures with the samples of (word, count) pairs remembered in a bounded table."""
+    """Signatures with the samples of (word, count) pairs remembered: `room` pairs for good, later ones for the slice of texts at hand."""
 
     def __init__(self, slots: int = SLOTS, room: int = CACHED_TERMS):
-        self.slots, self.room = slots, room
-        self.rows: dict[tuple[str, int], int] = {}
-        self.a = np.empty((room, slots), dtype=np.float32)
-        self.code = np.empty((room, slots), dtype=np.uint16)
-
-    def _learn(self, pairs: list[tuple[str, int]]) -> None:
-        if len(self.rows) + len(pairs) > self.room:
-            self.rows.clear()
-        at = len(self.rows)
-        hashed = np.fromiter((xxhash.xxh3_64_intdigest(w) for w, _ in pairs), dtype=np.uint64, count=len(pairs))
-        for k in range(0, len(pairs), 2000):
-            n = len(hashed[k:k + 2000])
-            self.a[at + k:at + k + n], self.code[at + k:at + k + n] = samples(hashed[k:k + n], np.array([c for _, c in pairs[k:k + n]], dtype=float), self.slots)
-        self.rows.update(zip(pairs, range(at, at + len(pairs)), strict=True))
+        self.slots = slots
+        self.a = np.empty((0, slots), dtype=np.float32)
+        self.code = np.empty((0, slots), dtype=np.uint16)
+        self.used = 0
+        self.known = WordTable(self._learn, room)
+
+    def _learn(self, pairs: list[tuple[str, int]]) -> range:
+        first, self.used = self.used, self.used + len(pairs)
+        if self.used > len(self.a):
+            more = max(self.used - len(self.a), len(self.a) // 2, 4096)
+            self.a = np.concatenate([self.a, np.empty((more, self.slots), dtype=np.float32)])
+            self.code = np.concatenate([self.code, np.empty((more, self.slots), dtype=np.uint16)])
+        for k in range(0, len(pairs), 1000):
+            some = pairs[k:k + 1000]
+            hashed = np.fromiter((xxhash.xxh3_64_intdigest(w) for w, _ in some), dtype=np.uint64, count=len(some))
+            at = slice(first + k, first + k + len(some))
+            self.a[at], self.code[at] = samples(hashed, np.array([c for _, c in some], dtype=float), self.slots)
+        return range(first, self.used)
+
+    def signatures(self, texts: Iterable[str]) -> list[np.ndarray]:
+        """16-bit codes, one per slot, for each text. Terms are the words between white space in lower case, weights their counts; a text without words is one
+        term by itself."""
+        pairs = [list((collections.Counter(t.lower().split()) or {t + "\0": 1}).items()) for t in texts]
+        row = self.known.get
+        rows = [np.array([row(p, -1) for p in some]) for some in pairs]
+        new = [np.flatnonzero(r < 0).tolist() for r in rows]
+        self.known.hold({some[i] for some, at in zip(pairs, new, strict=True) for i in at})
+        for r, some, at in zip(rows, pairs, new, strict=True):
+            if at:
+                r[at] = [self.known[some[i]] for i in at]
+        every, out = np.arange(self.slots), []
+        for r in rows:
+            low = np.inf
+            for k in range(0, len(r), 4096):
+                some = r[k:k + 4096]
+                a = self.a[some]
+                first = a.argmin(axis=0)
+                value, own = a[first, every], self.code[some[first], every]
+                code = own if k == 0 else np.where(value < low, own, code)
+                low = np.minimum(low, value)
+            out.append(code)
+        kept = self.known[self.known.extra[0]] if self.known.extra else self.used
+        self.known.settle()
+        self.used = kept if self.known else 0
+        return out
 
     def signature(self, text: str) -> np.ndarray:
-        """16-bit codes, one per slot. Terms are the words between white space in lower case, weights their counts; a text without words is one term by itself."""
-        counts = collections.Counter(text.lower().split()) or {text + "\0": 1}
-        pairs = list(counts.items())
-        if len(pairs) > 2000:
-            pairs.sort()
-        best_a = np.full(self.slots, np.inf, dtype=np.float32)
-        best = np.zeros(self.slots, dtype=np.uint16)
-        every = np.arange(self.slots)
-        for k in range(0, len(pairs), 20_000):
-            some = pairs[k:k + 20_000]
-            rows = [self.rows.get(p, -1) for p in some]
-            if min(rows) < 0:
-                self._learn([p for p, i in zip(some, rows, strict=True) if i < 0])
-                if any(p not in self.rows for p in some):  # the table was emptied: learn this text's other terms again
-                    self._learn([p for p in some if p not in self.rows])
-                rows = [self.rows[p] for p in some]
-            index = np.array(rows)
-            a = self.a[index]
-            low = a.argmin(axis=0)
-            value = a[low, every]
-            better = value < best_a
-            best_a = np.where(better, value, best_a)
-            best = np.where(better, self.code[index[low], every], best)
-        return best
+        return self.signatures([text])[0]
 
 
 def likeness(x: np.ndarray, y: np.ndarray) -> float:
@@ -106,9 +127,10 @@ def hexed(signature: np.ndarray) -> str:
 def fingerprints(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
     """doc_id, fingerprint of every whole text (null: empty). Row-wise, no shuffle; equal texts have equal fingerprints."""
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sampler = Sampler(slots)
+        sampler = sampler_of(slots)
         for frame in frames:
-            yield pd.DataFrame({"doc_id": frame["doc_id"].astype("Int64").to_numpy(), "fingerprint": [hexed(sampler.signature(t)) for t in frame["text"]]})
+            for some in slices(frame):
+                yield pd.DataFrame({"doc_id": some["doc_id"].astype("Int64").to_numpy(), "fingerprint": list(map(hexed, sampler.signatures(some["text"])))})
 
     return id_text(docs).mapInPandas(run, "doc_id long, fingerprint string")
 
@@ -143,20 +165,19 @@ def compare(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
     columns = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sampler = Sampler(slots)
-        held = None  # slot, doc_id, text, signature of the row before
+        sampler = sampler_of(slots)
+        held = None  # (slot, guest, doc_id, text, signature) of the row before
         for frame in frames:
-            rows = []
-            for slot, guest, doc_id, text in zip(frame["slot"], frame["guest"], frame["doc_id"], frame["text"], strict=True):
-                mine = sampler.signature(text)
-                if held is not None and held[0] == slot:
-                    _, i, t, s = held
-                    n = len(t)
-                    edited = t[:n - n // 4] + text[:n // 4]
-                    e = sampler.signature(edited)
-                    rows.append((i, n, hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), hexed(s), hexed(e), likeness(s, e), likeness(s, mine)))
-                held = None if guest else (slot, doc_id, text, mine)
-            yield pd.DataFrame(rows, columns=columns).astype({"doc_id": "Int64"})
+            for some in slices(frame):
+                rows = list(zip(some["slot"], some["guest"], some["doc_id"], some["text"], sampler.signatures(some["text"]), strict=True))
+                pairs = [(x, y) for x, y in zip([held, *rows] if held else rows, rows if held else rows[1:], strict=False) if x[0] == y[0] and not x[1]]
+                edited = [x[3][:len(x[3]) - len(x[3]) // 4] + y[3][:len(x[3]) // 4] for x, y in pairs]
+                out = []
+                for (x, y), text, e in zip(pairs, edited, sampler.signatures(edited), strict=True):
+                    digest = hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest()
+                    out.append((x[2], len(x[3]), digest, hexed(x[4]), hexed(e), likeness(x[4], e), likeness(x[4], y[4])))
+                held = rows[-1]
+                yield pd.DataFrame(out, columns=columns).astype({"doc_id": "Int64"})
 
     walk = with_next(id_text(docs))
     return walk.repartition(bucket_count(docs.sparkSession), "slot").sortWithinPartitions("slot", "guest", "doc_id", "text").mapInPandas(

@@ -13,6 +13,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -49,7 +50,7 @@ class Shingles:
     def of(self, text: str) -> np.ndarray:
         words = text.encode("utf-8", "surrogatepass").lower().split()
         known = self.known
-        if new := set(words) - known.keys():
+        if new := set(words).difference(known):
             if len(known) + len(new) > CACHED_WORDS:
                 known.clear()
                 new = set(words)
@@ -67,6 +68,12 @@ class Shingles:
         return np.unique(x)
 
 
+@functools.lru_cache(maxsize=2)
+def shingles_of(words: int) -> Shingles:
+    """One table per worker process."""
+    return Shingles(words)
+
+
 def tokens(x: np.ndarray) -> np.ndarray:
     """128 minwise tokens (int32) of a set of hashes."""
     best = np.full(TOKENS, np.iinfo(np.uint32).max, dtype=np.uint32)
@@ -79,7 +86,7 @@ def tokens(x: np.ndarray) -> np.ndarray:
 def signed_sets(docs: DataFrame, words: int) -> DataFrame:
     """doc_id, n, digest (16 bytes, null for an empty set), tokens, bits_a, bits_b per document."""
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shingles = Shingles(words)
+        shingles = shingles_of(words)
         place = np.uint64(1) << np.arange(64, dtype=np.uint64)
         for frame in frames:
             for some in slices(frame):
@@ -232,7 +239,7 @@ def confirmed_links(docs: DataFrame, members: DataFrame, words: int, percent: in
     text = id_text(docs).join(dealt, F.col("doc_id") == F.col("node")).select("component", "part", "node", "text")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shingles = Shingles(words)
+        shingles = shingles_of(words)
         for group in by_key(frames, ["component", "part"]):
             group = group.drop_duplicates("node")
             if len(group) < 2:

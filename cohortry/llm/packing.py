@@ -6,6 +6,7 @@ and Spark deals the pieces out by their rank within their length.
 
 from __future__ import annotations
 
+import functools
 import unicodedata
 import zlib
 from collections.abc import Iterable, Iterator
@@ -17,10 +18,10 @@ from pyspark.sql import functions as F
 
 from ..operators.ordered import BUCKET, bucketed_prefix
 from ..session import cut
-from .common import id_text, slices, spaced
+from .common import WordTable, id_text, slices, split_all
 
 CAP = 2048
-CACHED_WORDS = 300_000
+CACHED_WORDS = 400_000
 
 
 class WordTokens:
@@ -37,72 +38,78 @@ class WordTokens:
         self.end = np.zeros(self.tokenizer.get_vocab_size() + 1, dtype=bool)
         for token, i in self.tokenizer.get_vocab().items():
             self.end[i] = token.endswith("</w>")
-        self.part = regex.compile(r"\p{L}+")
-        self.words: dict[str, bytes] = {"": b""}
-        self.letters: dict[str, bytes] = {}
+        self.part = regex.compile(r"\p{L}+|[^\p{L}]+")
+        self.words = WordTable(self._learn, CACHED_WORDS)
+        self.letters = WordTable(self._letter_runs, CACHED_WORDS)
+        self.others = WordTable(self._plain, CACHED_WORDS // 10)
 
     def _plain(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
 
-    def _letter_runs(self, runs: list[str]) -> None:
+    def _letter_runs(self, runs: list[str]) -> list[bytes]:
         """Each run of lower-case letters ends in exactly one end-of-word token, which cuts the ids of a joined call apart."""
+        out: list[bytes] = []
         for at in range(0, len(runs), 1000):
             some = runs[at:at + 1000]
             ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, dtype="<u4")
             ends = np.flatnonzero(self.end[ids]) + 1
-            if len(ends) == len(some) and (not len(ends) or ends[-1] == len(ids)):
-                raw, starts = ids.tobytes(), [0, *ends.tolist()]
-                self.letters.update((w, raw[4 * a:4 * b]) for w, a, b in zip(some, starts, starts[1:], strict=False))
+            if len(ends) == len(some) and ends[-1] == len(ids):
+                raw, starts = ids.tobytes(), [0, *(4 * ends).tolist()]
+                out += [raw[a:b] for a, b in zip(starts, starts[1:], strict=False)]
             else:
-                self.letters.update(zip(some, self._plain(some), strict=True))
+                out += self._plain(some)
+        return out
 
-    def learn(self, new: set[str]) -> None:
-        if len(self.words) + len(new) > CACHED_WORDS:
-            self.words, self.letters = {"": b""}, {}
-        whole, runs = [], set()
-        simple: list[tuple[str, list[str] | str]] = []
+    def _learn(self, new: list[str]) -> list[bytes]:
+        """Ids of new words. Letters are put together from runs of lower-case letters and what is between them; words in which that might not be exact
+        (an apostrophe, a special token, characters that change with their neighbours) go through the tokenizer whole."""
+        plans: list[list[str] | None] = []
+        runs, others = set(), set()
         for w in new:
             low = w.lower()
-            if not w.isascii() and (not low.isprintable() or len(low) != len(w) or "Σ" in w or "ς" in low or unicodedata.normalize("NFC", w) != w):
-                whole.append(w)
-            elif low.isalpha():
-                simple.append((w, low))
+            if low.isalpha() and (w.isascii() or self._steady(w, low)):
+                plans.append([low])
                 runs.add(low)
-            elif "'" in w or "<|" in w or len(w) > 200:
-                whole.append(w)
+            elif "'" in w or "<|" in w or len(w) > 200 or not (w.isascii() or self._steady(w, low)):
+                plans.append(None)
             else:
-                parts = self.part.split(low), self.part.findall(low)
-                if sum(map(bool, parts[0])) > 2:
-                    whole.append(w)
-                    continue
-                simple.append((w, [x for pair in zip(parts[0], [*parts[1], ""], strict=False) for x in pair if x]))
-                runs.update(parts[1])
-        other = {x for _, v in simple if isinstance(v, list) for x in v if not x.isalpha()} - self.letters.keys()
-        self._letter_runs([r for r in runs if r not in self.letters])
-        self.letters.update(zip(other, self._plain(list(other)), strict=True))
-        self.words.update((w, self.letters[v] if isinstance(v, str) else b"".join(map(self.letters.__getitem__, v))) for w, v in simple)
-        self.words.update(zip(whole, self._plain(whole), strict=True))
+                parts = self.part.findall(low)
+                plans.append(parts)
+                for x in parts:
+                    (runs if x.isalpha() else others).add(x)
+        self.letters.hold(runs)
+        self.others.hold(others)
+        letters, rest = self.letters, self.others
+        out = [None if p is None else letters[p[0]] if len(p) == 1 and p[0] in letters else b"".join([letters[x] if x in letters else rest[x] for x in p]) for p in plans]
+        whole = iter(self._plain([w for w, p in zip(new, plans, strict=True) if p is None]))
+        out = [next(whole) if x is None else x for x in out]
+        letters.settle()
+        rest.settle()
+        return out
+
+    @staticmethod
+    def _steady(w: str, low: str) -> bool:
+        """Lower-casing and normalisation go character by character here."""
+        return low.isprintable() and len(low) == len(w) and "\u03a3" not in w and "\u03c2" not in low and unicodedata.is_normalized("NFC", w) and unicodedata.is_normalized("NFC", low)
 
     def encode(self, texts: Iterable[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        out = []
-        for text in texts:
-            raw = []
-            for some in spaced(text):
-                words = some.replace("\n", " ").replace("\t", " ").split(" ")
-                if new := set(words) - self.words.keys():
-                    self.learn(new)
-                    if missing := set(words) - self.words.keys():  # the table was emptied meanwhile
-                        self.learn(missing)
-                raw += map(self.words.__getitem__, words)
-            out.append(b"".join(raw))
+        look = self.words.__getitem__
+        out = [b"".join([b"".join(map(look, words)) for words in parts]) for parts in split_all(texts, lambda t: t.replace("\n", " ").replace("\t", " ").split(" "), self.words)]
+        self.words.settle()
         return out
 
 
+@functools.lru_cache(maxsize=1)
+def word_tokens(path: str) -> WordTokens:
+    """One table per worker process: what it has learnt serves the next task."""
+    return WordTokens(path)
+
+
 def token_pieces(docs: DataFrame, path: str, cap: int = CAP) -> DataFrame:
     """Per piece of a document: doc_id, piece, start, length, ids_crc32. The ids end with one 0; only longer documents are cut."""
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tokens = WordTokens(path)
+        tokens = word_tokens(path)
         for frame in frames:
             for some in slices(frame):
                 rows = []

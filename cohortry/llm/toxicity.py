@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, slices
+from .common import WordTable, id_text, slices
 
 #: Labelled rows at most that the fit reads; terms that the machine keeps; dimension of the interaction vectors.
 SAMPLE, TERMS, RANK = 20_000, 4096, 4
@@ -36,18 +36,21 @@ class Terms:
 
     def __init__(self, kept: dict[int, int] | None):
         self.kept = kept
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.known = WordTable(self._learn, CACHED_WORDS)
+
+    def _learn(self, new: list[str]) -> list[tuple[int, ...]]:
+        kept = self.kept
+        return list(map(word_terms, new)) if kept is None else [tuple([kept[t] for t in word_terms(w) if t in kept]) for w in new]
 
     def of(self, text: str) -> set[int]:
-        words = set(_WORD.findall(text.lower()))
-        known, kept = self.known, self.kept
-        new = words - known.keys()
-        if len(known) + len(new) > CACHED_WORDS:
-            known.clear()
-            new = words
-        for w in new:
-            known[w] = word_terms(w) if kept is None else tuple(kept[t] for t in word_terms(w) if t in kept)
-        return set().union(*map(known.__getitem__, words))
+        return self.of_all([text])[0]
+
+    def of_all(self, texts: Iterable[str]) -> list[set[int]]:
+        words = [set(_WORD.findall(t.lower())) for t in texts]
+        self.known.hold(set().union(*words))
+        out = [set().union(*filter(None, map(self.known.__getitem__, some))) for some in words]
+        self.known.settle()
+        return out
 
 
 @dataclass
@@ -124,9 +127,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, terms: int = T
         finder = Terms(None)
         for frame in frames:
             seen: dict[int, list[int]] = {}
-            for y, t in zip(frame["toxic"], frame["text"], strict=True):
-                for h in finder.of(t):
-                    seen.setdefault(h, [0, 0])[y] += 1
+            for some in slices(frame):
+                for y, places in zip(some["toxic"], finder.of_all(some["text"]), strict=True):
+                    for h in places:
+                        seen.setdefault(h, [0, 0])[y] += 1
             yield pd.DataFrame({"place": list(seen), "n0": [a for a, _ in seen.values()], "n1": [b for _, b in seen.values()]}, dtype="int64")
 
     try:
@@ -144,7 +148,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, terms: int = T
             finder = Terms(kept)
             for frame in frames:
                 for some in slices(frame):
-                    yield pd.DataFrame({"toxic": some["toxic"], "held": [np.array(sorted(finder.of(t)), dtype=np.int32) for t in some["text"]]})
+                    yield pd.DataFrame({"toxic": some["toxic"], "held": [np.array(sorted(x), dtype=np.int32) for x in finder.of_all(some["text"])]})
 
         data = known.mapInPandas(rows, "toxic int, held array<int>").orderBy(F.xxhash64("held"), "held", "toxic").collect()
     finally:
@@ -161,7 +165,7 @@ def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, terms: int =
         finder = Terms(machine.places)
         for frame in frames:
             for some in slices(frame):
-                p = machine.score([finder.of(t) for t in some["text"]])
+                p = machine.score(finder.of_all(some["text"]))
                 yield pd.DataFrame({"doc_id": some["doc_id"].astype("Int64").to_numpy(), "score": p, "predicted": (p >= 0.5).astype("int32")})
 
     out = id_text(docs).mapInPandas(run, "doc_id long, score double, predicted int")
@@ -176,6 +180,7 @@ def reject(docs: DataFrame, labels: DataFrame) -> DataFrame:
     def clean(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         finder = Terms(machine.places)
         for texts in batches:
-            yield pd.Series(machine.score([finder.of(t or "") for t in texts]) < 0.5)
+            parts = [machine.score(finder.of_all(some["text"])) < 0.5 for some in slices(texts.fillna("").to_frame("text"))]
+            yield pd.Series(np.concatenate(parts) if parts else [], dtype=bool)
 
     return docs.filter(clean("text"))

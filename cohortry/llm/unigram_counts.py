@@ -5,13 +5,14 @@ Aho-Corasick enumerates every vocabulary match; dynamic programming carries (bes
 
 from __future__ import annotations
 
+import functools
 import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from .common import id_text, slices
+from .common import WordTable, id_text, slices, split_all
 
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
@@ -48,7 +49,7 @@ class Counter:
             raise ValueError(f"piece {odd!r} holds a character that is no piece")
         self.unknown = min((s for _, s in vocab), default=0.0) - UNKNOWN_PENALTY
         self.chunks = re.compile(f"{SPACE}+[^{SPACE}]*")
-        self.known: dict[str, int] = {}
+        self.known = WordTable(lambda new: list(map(self.word, new)), CACHED_WORDS)
 
     def word(self, w: str) -> int:
         n = len(w)
@@ -74,31 +75,34 @@ class Counter:
                 score[i + 1] = score[i] + self.unknown
                 pieces[i + 1] = pieces[i] + len(w[i].encode("utf-8", "surrogatepass"))
 
+    def counts(self, texts: Iterable[str]) -> list[tuple[int, int]]:
+        """(words, tokens) per text; an empty text has none."""
+        look = self.known.__getitem__
+        out = [(sum(map(len, parts)), sum(sum(map(look, words)) for words in parts)) for parts in split_all(texts, self._words, self.known)]
+        self.known.settle()
+        return out
+
+    def _words(self, text: str) -> list[str]:
+        return self.chunks.findall(SPACE + text.replace(" ", SPACE)) if text else []
+
     def count(self, text: str) -> tuple[int, int]:
-        """(words, tokens); an empty text has none."""
-        if not text:
-            return 0, 0
-        words = self.chunks.findall(SPACE + text.replace(" ", SPACE))
-        known = self.known
-        for w in set(words) - known.keys():
-            if len(known) >= CACHED_WORDS:
-                known.clear()
-            known[w] = self.word(w)
-        try:
-            return len(words), sum(map(known.__getitem__, words))
-        except KeyError:  # the table was emptied while this text was read
-            own = {w: self.word(w) for w in set(words)}
-            return len(words), sum(map(own.__getitem__, words))
+        return self.counts([text])[0]
+
+
+@functools.lru_cache(maxsize=1)
+def counter_of(path: str) -> Counter:
+    """One counter per worker process: what it has learnt serves the next task."""
+    return Counter(vocabulary(path))
 
 
 def token_counts(docs: DataFrame, path: str) -> DataFrame:
     """One row per document: doc_id, n_chars, n_words, n_tokens. A null text counts as empty, an empty one has no token; repeated rows give repeated
     rows and a null doc_id stays null. Row-wise: no shuffle, memory bounded by a slice of texts and the word table."""
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counter = Counter(vocabulary(path))
+        counter = counter_of(path)
         for frame in frames:
             for some in slices(frame):
-                both = [counter.count(t) for t in some["text"]]
+                both = counter.counts(some["text"])
                 yield pd.DataFrame({"doc_id": some["doc_id"].astype("Int64").to_numpy(), "n_chars": some["text"].str.len().to_numpy(), "n_words": [a for a, _ in both], "n_tokens": [b for _, b in both]})
 
     return id_text(docs).mapInPandas(run, "doc_id long, n_chars long, n_words long, n_tokens long")
