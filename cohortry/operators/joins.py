@@ -189,10 +189,10 @@ def _tiles(df: DataFrame, key: str, rows_per_block: int) -> DataFrame:
 
     Blocks are hashed by id, so no block depends on the content: a cluster of similar vectors spreads evenly.
     """
-    from ..functions.hashing import h32
+    from ..functions.hashing import h60
 
     g = max(1, -(-df.count() // rows_per_block))
-    b = df.withColumn("_b", (h32(key) % g).cast("int")).withColumn("_j", F.explode(F.sequence(F.lit(0), F.lit(g - 1))))
+    b = df.withColumn("_b", (h60(key) % g).cast("int")).withColumn("_j", F.explode(F.sequence(F.lit(0), F.lit(g - 1))))
     return b.withColumns({"ti": F.least("_b", "_j"), "tj": F.greatest("_b", "_j")}).drop("_j")
 
 

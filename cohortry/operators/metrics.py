@@ -34,7 +34,7 @@ def auc(df: DataFrame, y: str, s: str, by: Sequence[str] = (), weight: str | Non
     """M1. ROC-AUC with ties counted one half; NULL where a group has one class only."""
     return _pairs(df, y, s, by, weight).select(
         *by, F.col("n1").cast("long").alias("n1"), F.col("n0").cast("long").alias("n0"),
-        safe_div("wins", F.col("n1") * F.col("n0")).alias("auc"),
+        safe_div("wins", F.col("n1").cast("double") * F.col("n0")).alias("auc"),
     )
 
 
@@ -43,8 +43,8 @@ def stratified_auc(df: DataFrame, y: str, s: str, strata: Sequence[str], by: Seq
     p = _pairs(df, y, s, [*by, *strata])
     return p.groupBy(*by).agg(
         F.sum("n1").cast("long").alias("n1"), F.sum("n0").cast("long").alias("n0"),
-        F.sum(F.col("n1") * F.col("n0")).cast("long").alias("pairs"),
-        safe_div(F.sum("wins"), F.sum(F.col("n1") * F.col("n0"))).alias("auc"),
+        F.sum(F.col("n1").cast("double") * F.col("n0")).alias("pairs"),
+        safe_div(F.sum("wins"), F.sum(F.col("n1").cast("double") * F.col("n0"))).alias("auc"),
     )
 
 
@@ -53,7 +53,7 @@ def stratum_sizes(df: DataFrame, y: str, strata: Sequence[str], by: Sequence[str
     for k in strata:
         df = df.filter(F.col(k).isNotNull())
     g = df.groupBy(*by, *strata).agg(n_if(F.col(y) == 1).alias("n1"), n_if(F.col(y) == 0).alias("n0"))
-    return g.filter((F.col("n1") > 0) & (F.col("n0") > 0)).withColumn("pairs", F.col("n1") * F.col("n0"))
+    return g.filter((F.col("n1") > 0) & (F.col("n0") > 0)).withColumn("pairs", F.col("n1").cast("double") * F.col("n0"))
 
 
 def fold_summary(folds: DataFrame, by: Sequence[str], value: str = "auc") -> DataFrame:

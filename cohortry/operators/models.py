@@ -217,7 +217,9 @@ def grid_choice(df: DataFrame, cols: Sequence[str], y: str, unit: str, folds: Da
     part = F.split("fit", r"\|")
     s = rows.join(fits.select(part[0].cast("long").alias("own"), part[1].cast("double").alias("C"), "coef"), "own").withColumn("p", sigmoid(linear("x", "coef")))
     loss = {r["C"]: r["loss"] for r in s.groupBy("C").agg(F.avg(log_loss(F.col("y"), F.col("p"))).alias("loss")).collect()}  # one row per grid point
-    best = min(loss, key=lambda c: (round(loss[c], 12), c)) if loss else 1.0
+    if not loss:
+        raise ValueError("no fold has both labels in its training part, so no C can be chosen")
+    best = min(loss, key=lambda c: (round(loss[c], 12), c))
     return best, res[("all", f"-1|{best!r}")].coef
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.hashing import TWO32
+from ..functions.hashing import TWO60
 from ..session import bucket_count
 
 BUCKET = "_bucket"
@@ -26,6 +26,21 @@ def _uses_all(cols: Sequence[str]) -> Column:
     return (F.greatest(*named) if len(named) > 1 else named[0]).isNotNull()
 
 
+def _as_number(df: DataFrame, x: str) -> Column:
+    """A double that is monotone in x, also for dates, timestamps and strings (first six bytes). Keys it does not tell apart share a
+    bucket, inside which the window orders by the key itself."""
+    kind = dict(df.dtypes)[x]
+    c = F.col(x)
+    if kind == "date":
+        c = F.unix_date(c)
+    elif kind.startswith("timestamp"):
+        c = F.unix_micros(c.cast("timestamp"))
+    elif kind in ("string", "binary"):
+        raw = c if kind == "binary" else F.encode(c, "UTF-8")
+        c = F.conv(F.hex(F.substring(F.rpad(raw, 6, F.unhex(F.lit("00"))), 1, 6)), 16, 10)
+    return c.cast("double")
+
+
 def value_buckets(df: DataFrame, x: str, buckets: int | None = None, measures: Sequence[str] = ()) -> DataFrame:
     """Add a bucket number that is monotone in x and roughly balanced.
 
@@ -35,20 +50,21 @@ def value_buckets(df: DataFrame, x: str, buckets: int | None = None, measures: S
     n = buckets or bucket_count(df.sparkSession)
     probs = [i / n for i in range(1, n)]
     src = df.filter(_uses_all(measures)) if measures else df
-    edges = src.agg(F.percentile_approx(F.col(x).cast("double"), probs, max(10_000, 8 * n)).alias("e")).scalar()
+    number = _as_number(df, x)
+    edges = src.agg(F.percentile_approx(number, probs, max(10_000, 8 * n)).alias("e")).scalar()
     out = df.withColumn("_edges", edges).withColumn(BUCKET, F.lit(0))
     step = n // 2
     while step >= 1:
         edge = F.col("_edges")[F.col(BUCKET) + F.lit(step - 1)]
-        out = out.withColumn(BUCKET, F.when(F.col(x) > edge, F.col(BUCKET) + F.lit(step)).otherwise(F.col(BUCKET)))
+        out = out.withColumn(BUCKET, F.when(number > edge, F.col(BUCKET) + F.lit(step)).otherwise(F.col(BUCKET)))
         step //= 2
     return out.drop("_edges")
 
 
 def hash_buckets(df: DataFrame, h: str, buckets: int | None = None) -> DataFrame:
-    """Bucket for a 32-bit hash: uniform by construction, so no edges are needed."""
+    """Bucket for a 60-bit hash: uniform by construction, so no edges are needed."""
     n = buckets or bucket_count(df.sparkSession)
-    return df.withColumn(BUCKET, F.floor(F.col(h) * F.lit(n / TWO32)).cast("int"))
+    return df.withColumn(BUCKET, F.floor(F.col(h) * F.lit(n / TWO60)).cast("int"))
 
 
 def bucketed_prefix(df: DataFrame, by: Sequence[str], order: Sequence[Column | str], sums: dict[str, Column],

@@ -62,7 +62,7 @@ def day_structure(df: DataFrame, period: Column, label: str) -> DataFrame:
     return g.agg(
         F.count(F.lit(1)).cast("long").alias("periods"), n_if(F.col("n0") == 0).alias("case_only"), n_if(F.col("n1") == 0).alias("control_only"),
         n_if(both).alias("both"), F.sum(F.when(~both, F.col("n1") + F.col("n0")).otherwise(0)).cast("long").alias("units_one_sided"),
-        F.sum(F.col("n1") * F.col("n0")).cast("long").alias("pairs"),
+        F.sum(F.col("n1").cast("double") * F.col("n0")).alias("pairs"),
     )
 
 

@@ -8,14 +8,14 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.hashing import h32, u01
+from ..functions.hashing import h60, u01
 from ..session import shared
 from .ordered import attach_totals, bucketed_prefix, hash_buckets, hash_rank, value_rank
 
 
 def index_units(df: DataFrame, unit: str, by: Sequence[str] = ()) -> DataFrame:
     """Dense 0-based index of the units in hash order, plus the group size n. One row per unit is expected."""
-    u = df.select(*by, unit).withColumn("_h", h32(unit))
+    u = df.select(*by, unit).withColumn("_h", h60(unit))
     u = bucketed_prefix(hash_buckets(u, "_h"), by, ["_h", unit], {"idx": F.lit(1).cast("long")}, {"idx": "n"})
     return u.select(*by, unit, "idx", "n")
 
@@ -27,19 +27,22 @@ def bootstrap_weights(df: DataFrame, unit: str, B: int, seed: str, by: Sequence[
     with map-side combine, so nothing larger than the weight table is stored.
     """
     u = shared(index_units(df, unit, by))
-    d = u.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(B - 1)))).withColumn("pick", h32("b", "idx", F.lit(seed), *by) % F.col("n"))
+    d = u.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(B - 1)))).withColumn("pick", h60("b", "idx", F.lit(seed), *by) % F.col("n"))
     w = d.groupBy(*by, "b", F.col("pick").alias("idx")).agg(F.count(F.lit(1)).cast("long").alias("w"))
     return shared(w.join(u.select(*by, "idx", unit), [*by, "idx"]).select(*by, unit, "b", "w"))
 
 
 def poisson_weights(df: DataFrame, unit: str, B: int, seed: str, by: Sequence[str] = ()) -> DataFrame:
-    """R14, very large n: Poisson(1) weights by inverse transform of one uniform. Map-only, no shuffle."""
+    """R14, very large n: Poisson(1) weights by inverse transform of one uniform. Map-only, no shuffle. Counts go on
+    to the last one that the uniform's resolution (2^-60) can tell apart."""
     u = df.select(*by, unit).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(B - 1)))).withColumn("_u", u01("b", unit, F.lit(seed)))
     w, cdf, p = F.lit(0), 0.0, math.exp(-1.0)
-    for k in range(12):
+    k = 0
+    while p > 2.0**-60:
         cdf += p
         w = w + F.when(F.col("_u") >= F.lit(cdf), 1).otherwise(0)
-        p /= k + 1
+        k += 1
+        p /= k
     return u.withColumn("w", w.cast("long")).filter("w > 0").select(*by, unit, "b", "w")
 
 
@@ -57,7 +60,7 @@ def permute_within(df: DataFrame, unit: str, value: str, by: Sequence[str], B: i
     base = value_rank(df.select(*by, unit, value), by, unit, [], "pos")
     slots = base.select(*by, unit, "pos").withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(B - 1))))
     src = df.select(*by, unit, value).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(B - 1))))
-    src = src.withColumn("_h", h32("b", unit, F.lit(seed)))
+    src = src.withColumn("_h", h60("b", unit, F.lit(seed)))
     src = hash_rank(src, [*by, "b"], "_h", unit, "pos").select(*by, "b", "pos", value)
     return slots.join(src, [*by, "b", "pos"]).select(*by, unit, "b", value)
 

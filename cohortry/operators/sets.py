@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.hashing import h32
+from ..functions.hashing import h60
 from .ordered import hash_rank
 
 
@@ -25,7 +25,7 @@ def top_k_global(df: DataFrame, order: Sequence[Column | str], k: int) -> DataFr
 
 def sample_units(df: DataFrame, unit: str, n: int, seed: str, by: Sequence[str] = ()) -> DataFrame:
     """K2. Seeded sample without replacement: the n smallest hashes (per group)."""
-    h = df.withColumn("_h", h32(unit, F.lit(seed), *by))
+    h = df.withColumn("_h", h60(unit, F.lit(seed), *by))
     if by:
         return top_k(h, by, ["_h", unit], n).drop("_h", "rank")
     return h.orderBy("_h", unit).limit(n).drop("_h")
@@ -41,9 +41,9 @@ def union_relabel(parts: dict[str, DataFrame], out: str = "source") -> DataFrame
 
 
 def unit_set_digest(df: DataFrame, keys: Sequence[str], unit: str) -> DataFrame:
-    """K3. Order-free fingerprint of the distinct units per key: count and sum of 32-bit hashes."""
+    """K3. Order-free fingerprint of the distinct units per key: count and sum of 60-bit hashes, as text (the sum is a decimal)."""
     d = df.select(*keys, unit).distinct()
-    return d.groupBy(*keys).agg(F.count(F.lit(1)).cast("long").alias("n_units"), F.sum(h32(unit)).cast("long").alias("digest"))
+    return d.groupBy(*keys).agg(F.count(F.lit(1)).cast("long").alias("n_units"), F.sum(h60(unit).cast("decimal(20,0)")).cast("string").alias("digest"))
 
 
 def same_units(df: DataFrame, arm: str, keys: Sequence[str], unit: str) -> DataFrame:
@@ -79,10 +79,16 @@ def eligible_units(df: DataFrame, entity: str, slot: str, length: str, n_slots:
 
 
 def blind_codes(df: DataFrame, unit: str, variants: Sequence[str], seed: str) -> DataFrame:
-    """K7. Secret key table (unit, variant, letter): letters permuted by hash within each unit."""
+    """K7. Secret key table (unit, variant, letter): codes permuted by hash within each unit. A code has as many letters
+    (base 26) as the number of variants needs."""
     t = df.select(unit).withColumn("variant", F.explode(F.array(*[F.lit(v) for v in variants])))
-    rn = F.row_number().over(W.partitionBy(unit).orderBy(h32(unit, "variant", F.lit(seed)), "variant"))  # len(variants) rows
-    return t.withColumn("letter", F.substring(F.lit("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), rn, F.lit(1)))
+    rn = F.row_number().over(W.partitionBy(unit).orderBy(h60(unit, "variant", F.lit(seed)), "variant"))  # len(variants) rows
+    width = 1
+    while 26**width < len(variants):
+        width += 1
+    t = t.withColumn("_rn", rn - 1)
+    letters = [F.char(F.pmod(F.floor(F.col("_rn") / 26**d), F.lit(26)) + ord("A")) for d in reversed(range(width))]
+    return t.withColumn("letter", F.concat(*letters)).drop("_rn")
 
 
 def code_table(key: DataFrame, unit: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.hashing import h32, u01
+from ..functions.hashing import h60, u01
 from ..functions.numeric import n_if
 from ..session import shared
 from .joins import _tiles, key_diff
@@ -54,10 +54,14 @@ def merge_plan(df: DataFrame, key: str, min_size: int = 5) -> DataFrame:
     return j.withColumn("_rn", F.row_number().over(order)).filter("_rn = 1").select(key, "n", "merged_into")
 
 
+def _stop(message: str, c: str):
+    return F.raise_error(F.concat(F.lit(message), F.coalesce(F.col(c).cast("string"), F.lit("a null key")))).cast("string")
+
+
 def assign_strata(df: DataFrame, key: str, min_size: int = 5, out: str = "strata") -> DataFrame:
-    """R2. Remap small strata; a small stratum without any compatible big one keeps NULL (reported by the split checks)."""
+    """R2. Remap small strata. A small stratum without any compatible big one stops the job: its units would drop out of every fold."""
     plan = merge_plan(df, key, min_size).select(key, F.col("merged_into").alias("_to"), F.lit(True).alias("_small"))
-    return df.join(plan, key, "left").withColumn(out, F.when(F.col("_small"), F.col("_to")).otherwise(F.col(key))).drop("_to", "_small")
+    return df.join(plan, key, "left").withColumn(out, F.when(F.col("_small"), F.coalesce("_to", _stop("no stratum to join for ", key))).otherwise(F.col(key))).drop("_to", "_small")
 
 
 def stratified_folds(df: DataFrame, unit: str, strata: str, k: int, repeats: int, shuffle: bool = True, out: str = "outer_fold") -> DataFrame:
@@ -65,15 +69,15 @@ def stratified_folds(df: DataFrame, unit: str, strata: str, k: int, repeats: int
 
     Unshuffled: units in key order. The start fold rotates by stratum so small strata do not all load fold 0.
     """
-    t = df.select(unit, strata).withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
-    t = t.withColumn("_h", h32(unit, F.col("repeat")) if shuffle else F.lit(0).cast("long"))
+    t = df.select(unit, F.coalesce(F.col(strata).cast("string"), _stop("no stratum for unit ", unit)).cast(dict(df.dtypes)[strata]).alias(strata)).withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
+    t = t.withColumn("_h", h60(unit, F.col("repeat")) if shuffle else F.lit(0).cast("long"))
     if shuffle:
         t = hash_rank(t, ["repeat", strata], "_h", unit, "_rn")
     else:
         from .ordered import value_rank
 
         t = value_rank(t, ["repeat", strata], unit, [], "_rn")
-    start = h32(strata, F.col("repeat"), F.lit("start")) % k
+    start = h60(strata, F.col("repeat"), F.lit("start")) % k
     return t.select(unit, strata, F.col("repeat").cast("long").alias("repeat"), ((F.col("_rn") - 1 + start) % k).cast("long").alias(out))
 
 
@@ -84,9 +88,9 @@ def nested_splits(df: DataFrame, unit: str, strata: str, k: int, repeats: int) -
     keys = ["unit_", "repeat", "outer_fold"]
     t = t.withColumnRenamed(unit, "unit_")
     seed = 1000 + 10 * F.col("repeat") + F.col("outer_fold")
-    train = t.filter("own <> outer_fold").withColumn("_h", h32("unit_", seed))
+    train = t.filter("own <> outer_fold").withColumn("_h", h60("unit_", seed))
     train = hash_rank(train, ["repeat", "outer_fold", strata], "_h", "unit_", "_rn")
-    start = h32(strata, seed, F.lit("start")) % k
+    start = h60(strata, seed, F.lit("start")) % k
     train = train.select(*keys, strata, F.lit("train").alias("role"), ((F.col("_rn") - 1 + start) % k).cast("long").alias("inner_fold"))
     test = t.filter("own = outer_fold").select(*keys, strata, F.lit("test").alias("role"), F.lit(-1).cast("long").alias("inner_fold"))
     out = train.unionByName(test).withColumnRenamed("unit_", unit)
@@ -123,7 +127,7 @@ def grouped_folds(df: DataFrame, group: str, label: str, k: int, seeds: Sequence
 
     g = df.groupBy(group).agg(n_if(F.col(label) == 0).alias("n0"), n_if(F.col(label) == 1).alias("n1"))
     g = shared(attach_one(g, g.agg(F.sum("n0").alias("t0"), F.sum("n1").alias("t1"))))
-    s = g.withColumn("seed", F.explode(F.lit([int(x) for x in seeds]).cast("array<long>"))).withColumn("h", h32(group, "seed")).withColumn("size", F.col("n0") + F.col("n1"))
+    s = g.withColumn("seed", F.explode(F.lit([int(x) for x in seeds]).cast("array<long>"))).withColumn("h", h60(group, "seed")).withColumn("size", F.col("n0") + F.col("n1"))
 
     def assign(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["size", "h", group], ascending=[False, True, True]).reset_index(drop=True)
@@ -252,7 +256,7 @@ def _deficit_draws(df: DataFrame, unit: str, label: str, by: Sequence[str], seed
 def oversample(df: DataFrame, unit: str, label: str, by: Sequence[str], seed: str) -> DataFrame:
     """R12. Minority rows drawn with replacement until both classes are equal: (by, unit, j) of the extra rows."""
     slots, minority = _deficit_draws(df, unit, label, by, seed)
-    pick = slots.withColumn("idx", h32("j", F.lit(seed), *by) % F.col("n_min"))
+    pick = slots.withColumn("idx", h60("j", F.lit(seed), *by) % F.col("n_min"))
     return pick.join(minority, [*by, "idx"]).select(*by, unit, "j")
 
 
@@ -266,8 +270,8 @@ def nearest(query: DataFrame, ref: DataFrame, key: str, vec: str, k: int, by: Se
     import pandas as pd
 
     gq, gr = (max(1, -(-d.count() // rows_per_block)) for d in (query, ref))
-    q = query.select(*by, key, vec).withColumns({"qb": (h32(key) % gq).cast("int"), "side": F.lit(0)}).withColumn("rb", F.explode(F.sequence(F.lit(0), F.lit(gr - 1))))
-    r = ref.select(*by, key, vec).withColumns({"rb": (h32(key) % gr).cast("int"), "side": F.lit(1)}).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(gq - 1))))
+    q = query.select(*by, key, vec).withColumns({"qb": (h60(key) % gq).cast("int"), "side": F.lit(0)}).withColumn("rb", F.explode(F.sequence(F.lit(0), F.lit(gr - 1))))
+    r = ref.select(*by, key, vec).withColumns({"rb": (h60(key) % gr).cast("int"), "side": F.lit(1)}).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(gq - 1))))
     types = dict(query.dtypes)
     schema = ", ".join([f"`{c}` {types[c]}" for c in [*by, key]] + [f"nb {types[key]}", "d2 double"])
     names = [*by, key, "nb", "d2"]
@@ -300,7 +304,7 @@ def smote(df: DataFrame, unit: str, vec: str, label: str, by: Sequence[str], see
     slots = slots.filter("n_min >= 2")
     vecs = shared(minority.join(df.select(*by, unit, vec), [*by, unit]))
     nn = nearest(vecs, vecs, unit, vec, k, by)
-    s = slots.withColumns({"idx": h32("j", F.lit(seed), *by) % F.col("n_min"), "rank": (h32("j", F.lit(seed), F.lit("nb"), *by) % F.least(F.lit(k), F.col("n_min") - 1) + 1).cast("int"),
+    s = slots.withColumns({"idx": h60("j", F.lit(seed), *by) % F.col("n_min"), "rank": (h60("j", F.lit(seed), F.lit("nb"), *by) % F.least(F.lit(k), F.col("n_min") - 1) + 1).cast("int"),
                            "lam": u01("j", F.lit(seed), F.lit("lam"), *by)})
     base = s.join(vecs.select(*by, "idx", unit, F.col(vec).alias("_a")), [*by, "idx"])
     t = base.join(nn.select(*by, unit, "rank", "nb"), [*by, unit, "rank"])

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.hashing import h32, h32_sql
+from ..functions.hashing import h60, h60_sql
 from ..functions.numeric import r6
 from ..operators import metrics as M
 from ..operators.resample import bootstrap_weights
@@ -43,8 +43,8 @@ def fold_auc(spark, sf):
 FOLD_AUC = "fold_auc AS (" + auc_sql("predictions", "arm, slot, repeat, fold", s="prob", digits=None) + ")"
 FUSED_AUC = "fused_auc AS (" + auc_sql("fused", "arm, repeat, fold", s="prob", digits=None) + ")"
 DRAWS = f"""
-units as (select arm, unit, label, prob, row_number() over (partition by arm order by {h32_sql('unit')}, unit)-1 as idx, count(*) over (partition by arm) as n from pooled),
-picks as (select arm, b, {h32_sql('b', 'idx', "'boot'")} % n as idx from units, (select unnest(range(0,{B})) as b)),
+units as (select arm, unit, label, prob, row_number() over (partition by arm order by {h60_sql('unit')}, unit)-1 as idx, count(*) over (partition by arm) as n from pooled),
+picks as (select arm, b, {h60_sql('b', 'idx', "'boot'")} % n as idx from units, (select unnest(range(0,{B})) as b)),
 w as (select arm, b, idx, count(*) as w from picks group by 1,2,3),
 expanded as (select w.arm, b, u.label, u.prob from w join units u on u.arm=w.arm and u.idx=w.idx, unnest(range(0, w)) as k(i)),
 boot as (""" + auc_sql("expanded", "arm, b", s="prob", digits=None) + ")"
@@ -64,7 +64,7 @@ def m02(spark, sf):
 
 
 STRAT = """
-select cast(sum(n1) as bigint) as n1, cast(sum(n0) as bigint) as n0, cast(sum(n1*n0) as bigint) as pairs,
+select cast(sum(n1) as bigint) as n1, cast(sum(n0) as bigint) as n0, sum(n1::double*n0::double) as pairs,
  round(sum(wins)/sum(n1*n0)::double,6) as auc from
  (select stratum, cluster, sum(label) as n1, sum(1-label) as n0, sum(case when label=1 then rk else 0.0::double end) - sum(label)*(sum(label)+1)/2.0::double as wins
   from (select *, rank() over (partition by stratum, cluster order by score)::double + (count(*) over (partition by stratum, cluster, score)-1)/2.0::double as rk from cohort)
@@ -93,7 +93,7 @@ per as (select design,k,measure,sum(label) as n1, sum(1-label) as n0, sum(case w
 
 
 @query("m04_design_balance", oracle(["timebound"], """
-select measure, design, cast(sum(n1) as bigint) as n1, cast(sum(n0) as bigint) as n0, cast(sum(n1*n0) as bigint) as pairs,
+select measure, design, cast(sum(n1) as bigint) as n1, cast(sum(n0) as bigint) as n0, sum(n1::double*n0::double) as pairs,
  case when sum(n1*n0)>0 then round(sum(wins)/sum(n1*n0)::double,6) end as auc from per group by 1,2""", TB_OVERLAP + "," + DESIGN_SQL))
 def m04(spark, sf):
     d = M.design_balance(timebound(spark, sf), "label", ["start_hour", "days", "age", "score"], "day", "start_hour", "overlap")
@@ -313,8 +313,8 @@ def m22(spark, sf):
 @query("m23_cell_means", oracle(["cohort"], """
 select p.label, p.stratum, n, round(mean,6) as mean, round(quantile_cont(m,0.025),6) as ci_low, round(quantile_cont(m,0.975),6) as ci_high, count(m) as n_ok
 from (select label, stratum, count(*) as n, avg(score) as mean from cohort group by 1,2) p join dm on dm.label=p.label and dm.stratum=p.stratum group by 1,2,3,mean""",
- f"""u as (select label, stratum, unit, score, row_number() over (partition by label, stratum order by {h32_sql('unit')}, unit)-1 as idx, count(*) over (partition by label, stratum) as n from cohort),
- pk as (select label, stratum, b, {h32_sql('b', 'idx', "'cell'", 'label', 'stratum')} % n as idx from u, (select unnest(range(0,{B})) as b)),
+ f"""u as (select label, stratum, unit, score, row_number() over (partition by label, stratum order by {h60_sql('unit')}, unit)-1 as idx, count(*) over (partition by label, stratum) as n from cohort),
+ pk as (select label, stratum, b, {h60_sql('b', 'idx', "'cell'", 'label', 'stratum')} % n as idx from u, (select unnest(range(0,{B})) as b)),
  dm as (select pk.label, pk.stratum, b, avg(score) as m from pk join u on u.label=pk.label and u.stratum=pk.stratum and u.idx=pk.idx group by 1,2,3)"""))
 def m23(spark, sf):
     c = V.cohort(spark, sf)
@@ -332,8 +332,8 @@ def m24(spark, sf):
 
 
 @query("m25_stratum_sizes", oracle(["timebound"], """
-select count(*) as n_strata, cast(sum(n1) as bigint) as n1, cast(sum(n0) as bigint) as n0, cast(sum(n1*n0) as bigint) as pairs from
+select count(*) as n_strata, cast(sum(n1) as bigint) as n1, cast(sum(n0) as bigint) as n0, sum(n1::double*n0::double) as pairs from
  (select day, sum(label) as n1, sum(1-label) as n0 from timebound where day is not null group by 1 having sum(label)>0 and sum(1-label)>0)"""))
 def m25(spark, sf):
     s = M.stratum_sizes(V.timebound(spark, sf), "label", ["day"])
-    return s.agg(F.count(F.lit(1)).cast("long").alias("n_strata"), *[F.sum(c).cast("long").alias(c) for c in ("n1", "n0", "pairs")])
+    return s.agg(F.count(F.lit(1)).cast("long").alias("n_strata"), *[F.sum(c).cast("long").alias(c) for c in ("n1", "n0")], F.sum("pairs").alias("pairs"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.hashing import h32, h32_sql, u01, u01_sql
+from ..functions.hashing import h60, h60_sql, u01, u01_sql
 from ..functions.numeric import chi2_sf, norm_sf, r6, t_sf
 from ..operators import association as T
 from ..operators import joins as J
@@ -42,7 +42,7 @@ def a02(spark, sf):
 
 def _day_sql(p):
     return f"""select '{p}' as period, count(*) as periods, count(*) filter (n0=0) as case_only, count(*) filter (n1=0) as control_only, count(*) filter (n1>0 and n0>0) as both,
- cast(sum(case when n1>0 and n0>0 then 0 else n1+n0 end) as bigint) as units_one_sided, cast(sum(n1*n0) as bigint) as pairs from (select date_trunc('{p}', day) as p, sum(label) as n1, sum(1-label) as n0 from timebound group by 1)"""
+ cast(sum(case when n1>0 and n0>0 then 0 else n1+n0 end) as bigint) as units_one_sided, sum(n1::double*n0::double) as pairs from (select date_trunc('{p}', day) as p, sum(label) as n1, sum(1-label) as n0 from timebound group by 1)"""
 
 
 @query("a03_day_structure", oracle(["timebound"], _day_sql("day") + " union all " + _day_sql("week")))
@@ -171,11 +171,11 @@ def a17(spark, sf):
 
 
 @query("a18_rating_gate", oracle(["cohort"], f"""select variant, count(rating) as n, round(avg(rating),6) as mean, round(avg(cast(rating>=1 as int)),6) as share_ge1, case variant when 'A1' then 0.4::double else 0.75::double end as "limit",
- avg(cast(rating>=1 as int))<=case variant when 'A1' then 0.4::double else 0.75::double end as passed from (select unit, v as variant, {h32_sql('unit', 'v', "'rate'")}%case v when 'A1' then 2 else 4 end as rating from cohort, (select unnest(['A1','A2']) as v)) group by 1"""))
+ avg(cast(rating>=1 as int))<=case variant when 'A1' then 0.4::double else 0.75::double end as passed from (select unit, v as variant, {h60_sql('unit', 'v', "'rate'")}%case v when 'A1' then 2 else 4 end as rating from cohort, (select unnest(['A1','A2']) as v)) group by 1"""))
 def a18(spark, sf):
     key = K.blind_codes(V.cohort(spark, sf), "unit", ["A1", "A2"], "blind")
     key = key.withColumn("code", F.concat_ws("-", F.col("unit").cast("string"), "letter"))
-    rate = h32("unit", "variant", F.lit("rate")) % F.when(F.col("variant") == "A1", 2).otherwise(4)
+    rate = h60("unit", "variant", F.lit("rate")) % F.when(F.col("variant") == "A1", 2).otherwise(4)
     sheet = key.select("code", rate.alias("rating"))
     g = A.rating_gate(sheet, key.select("code", "variant"), "code", "variant", "rating", {"A1": 0.4, "A2": 0.75})
     return g.select("variant", "n", r6("mean", "mean"), r6("share_ge1", "share_ge1"), "limit", "passed")
@@ -245,12 +245,12 @@ def k01b(spark, sf):
     return K.top_k_global(li, [F.desc("l_extendedprice"), "l_orderkey", "l_linenumber", "l_partkey"], 15)
 
 
-@query("k02_sample_units", oracle(["cohort"], f"select stratum, unit from (select stratum, unit, row_number() over (partition by stratum order by {h32_sql('unit', chr(39) + 'samp' + chr(39), 'stratum')}, unit) as rn from cohort) where rn<=10"))
+@query("k02_sample_units", oracle(["cohort"], f"select stratum, unit from (select stratum, unit, row_number() over (partition by stratum order by {h60_sql('unit', chr(39) + 'samp' + chr(39), 'stratum')}, unit) as rn from cohort) where rn<=10"))
 def k02(spark, sf):
     return K.sample_units(V.cohort(spark, sf).select("stratum", "unit"), "unit", 10, "samp", ["stratum"])
 
 
-@query("k03_same_units", oracle(["predictions"], f"""select repeat, fold, slot, count(*) as n_arms, count(distinct n_units||'-'||digest) as n_sets from (select repeat, fold, slot, arm, count(*) as n_units, sum({h32_sql('unit')}) as digest from (select distinct repeat, fold, slot, arm, unit from predictions) group by 1,2,3,4) group by 1,2,3"""))
+@query("k03_same_units", oracle(["predictions"], f"""select repeat, fold, slot, count(*) as n_arms, count(distinct n_units||'-'||digest) as n_sets from (select repeat, fold, slot, arm, count(*) as n_units, sum({h60_sql('unit')}) as digest from (select distinct repeat, fold, slot, arm, unit from predictions) group by 1,2,3,4) group by 1,2,3"""))
 def k03(spark, sf):
     return K.same_units(V.predictions(spark, sf), "arm", ["repeat", "fold", "slot"], "unit")
 
@@ -281,7 +281,7 @@ def k06(spark, sf):
     return K.eligible_units(V.slot_rows(spark, sf).select("entity", "slot", "dur"), "entity", "slot", "dur", V.SLOTS, 3.0, 20, [1, 3])
 
 
-@query("k07_blind_codes", oracle(["cohort"], f"select unit, v as variant, substr('ABCDEFGH', cast(row_number() over (partition by unit order by {h32_sql('unit', 'v', chr(39) + 'blind' + chr(39))}, v) as int), 1) as letter from cohort, (select unnest(['A1','A2','full']) as v)"))
+@query("k07_blind_codes", oracle(["cohort"], f"select unit, v as variant, substr('ABCDEFGH', cast(row_number() over (partition by unit order by {h60_sql('unit', 'v', chr(39) + 'blind' + chr(39))}, v) as int), 1) as letter from cohort, (select unnest(['A1','A2','full']) as v)"))
 def k07(spark, sf):
     return K.blind_codes(V.cohort(spark, sf), "unit", ["A1", "A2", "full"], "blind")
 
@@ -333,7 +333,7 @@ PB = 40
 @query("t05_auc_envelope", oracle(["cohort"], """select (select cast(sum(label) as bigint) from cohort) as n1, (select cast(sum(1-label) as bigint) from cohort) as n0, round((select auc from full_auc),6) as auc, count(auc) as n_ok, round(quantile_cont(auc,0.003),6) as ci_low, round(quantile_cont(auc,0.997),6) as ci_high,
  not ((select auc from full_auc) between quantile_cont(auc,0.003) and quantile_cont(auc,0.997)) as beyond_chance from perm_auc""",
  f"""pos as (select unit, covariate, row_number() over (order by unit) as p from cohort),
- src as (select b, label, row_number() over (partition by b order by {h32_sql('b', 'unit', "'env'")}, unit) as p from cohort, (select unnest(range(0,{PB})) as b)),
+ src as (select b, label, row_number() over (partition by b order by {h60_sql('b', 'unit', "'env'")}, unit) as p from cohort, (select unnest(range(0,{PB})) as b)),
  perm as (select b, s.label, covariate as score from pos join src s using (p)),
  perm_auc as (""" + auc_sql("perm", "b", digits=None) + "), full_auc as (" + auc_sql("(select label, covariate as score from cohort) q", "", digits=None) + ")"))
 def t05(spark, sf):

@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..functions.hashing import h32, h32_sql, u01, u01_sql
+from ..functions.hashing import h60, h60_sql, u01, u01_sql
 from ..functions.numeric import r6
 from ..operators import gates as G
 from ..operators import metrics as M
@@ -104,10 +104,14 @@ def s08(spark, sf):
     return S.consistent_signatures(p, "arm", "repeat", V.REPEATS)
 
 
-@query("s09_table_digest", f"""select 'orders' as tbl, count(*) as n_rows, cast(sum({h32_sql('r')}) as bigint) as digest_a, cast(sum({h32_sql('r', q + 'b' + q)}) as bigint) as digest_b from (select concat_ws('|',cast(o_orderkey as varchar),cast(o_custkey as varchar),o_orderstatus,o_orderpriority) as r from orders)""")
+ROW_TEXT = "concat_ws('|',cast(o_orderkey as varchar),cast(o_custkey as varchar),o_orderstatus,cast(cast(round(o_totalprice*100) as bigint) as varchar),cast(epoch_us(o_orderdate) as varchar),o_orderpriority)"
+
+
+@query("s09_table_digest", f"""select 'orders' as tbl, count(*) as n_rows, cast(sum({h60_sql('r')}) as varchar) as digest_a, cast(sum({h60_sql('r', q + 'b' + q)}) as varchar) as digest_b from (select {ROW_TEXT} as r from orders)""")
 def s09(spark, sf):
-    d = S.table_digest(V.table(spark, sf, "orders"), ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"])
-    return d.withColumn("tbl", F.lit("orders"))
+    o = V.table(spark, sf, "orders").withColumns({
+        "o_totalprice": F.round(F.col("o_totalprice") * 100).cast("long"), "o_orderdate": F.unix_micros(F.col("o_orderdate").cast("timestamp"))})
+    return S.table_digest(o).withColumn("tbl", F.lit("orders"))
 
 
 @query("s10_build_offsets", "select doc_id, n_chars, coalesce(cast(sum(n_chars) over (order by doc_id rows between unbounded preceding and 1 preceding) as bigint),0) as \"offset\" from documents")

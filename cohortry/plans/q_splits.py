@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.hashing import h32_sql, u01_sql
+from ..functions.hashing import h60_sql, u01_sql
 from ..functions.numeric import r6
 from ..operators import resample as RS
 from ..operators import splits as S
@@ -67,7 +67,7 @@ def strata(spark, sf):
 
 
 OUTER = f"""reps as (select st.*, r as repeat from st, (select unnest(range(0,{REP})) as r)),
-outerf as (select unit, strata, repeat, (row_number() over (partition by repeat, strata order by {h32_sql('unit', 'repeat')}, unit) - 1 + {h32_sql('strata', 'repeat', q + 'start' + q)} % {K}) % {K} as outer_fold from reps)"""
+outerf as (select unit, strata, repeat, (row_number() over (partition by repeat, strata order by {h60_sql('unit', 'repeat')}, unit) - 1 + {h60_sql('strata', 'repeat', q + 'start' + q)} % {K}) % {K} as outer_fold from reps)"""
 
 
 @query("r03_stratified_folds", oracle(["timebound"], "select unit, strata, repeat, outer_fold from outerf", CTX + "," + STRATA + "," + OUTER))
@@ -75,14 +75,14 @@ def r03(spark, sf):
     return S.stratified_folds(strata(spark, sf), "unit", "strata", K, REP)
 
 
-@query("r03_unshuffled_folds", oracle(["cohort"], f"select unit, stratum, repeat, (row_number() over (partition by stratum order by unit) - 1 + {h32_sql('stratum', 'repeat', q + 'start' + q)} % {K}) % {K} as outer_fold from (select unit, stratum, 0 as repeat from cohort)"))
+@query("r03_unshuffled_folds", oracle(["cohort"], f"select unit, stratum, repeat, (row_number() over (partition by stratum order by unit) - 1 + {h60_sql('stratum', 'repeat', q + 'start' + q)} % {K}) % {K} as outer_fold from (select unit, stratum, 0 as repeat from cohort)"))
 def r03u(spark, sf):
     return S.stratified_folds(V.cohort(spark, sf), "unit", "stratum", K, 1, shuffle=False)
 
 
 NESTED = OUTER + f""", rows_ as (select unit, strata, repeat, outer_fold as own, k as outer_fold from outerf, (select unnest(range(0,{K})) as k)),
-nested as (select unit, repeat, outer_fold, strata, 'train' as role, (row_number() over (partition by repeat, outer_fold, strata order by {h32_sql('unit', '1000+10*repeat+outer_fold')}, unit) - 1
-   + {h32_sql('strata', '1000+10*repeat+outer_fold', q + 'start' + q)} % {K}) % {K} as inner_fold from rows_ where own<>outer_fold
+nested as (select unit, repeat, outer_fold, strata, 'train' as role, (row_number() over (partition by repeat, outer_fold, strata order by {h60_sql('unit', '1000+10*repeat+outer_fold')}, unit) - 1
+   + {h60_sql('strata', '1000+10*repeat+outer_fold', q + 'start' + q)} % {K}) % {K} as inner_fold from rows_ where own<>outer_fold
  union all select unit, repeat, outer_fold, strata, 'test', -1 from rows_ where own=outer_fold)"""
 
 
@@ -146,11 +146,11 @@ def r11(spark, sf):
     return S.ipw(V.cohort(spark, sf).select("unit", "label", "stratum", "toxic"), ["stratum", "toxic"], "label").select("unit", r6("w", "w"))
 
 
-IDX = f"""idx as (select *, row_number() over (partition by stratum, label order by {h32_sql('unit')}, unit)-1 as i from cohort),
+IDX = f"""idx as (select *, row_number() over (partition by stratum, label order by {h60_sql('unit')}, unit)-1 as i from cohort),
 tot as (select stratum, min(c) as n_min, max(c) as n_max, arg_min(label, c*10+label) as minority from (select stratum, label, count(*) as c from cohort group by 1,2) group by 1 having count(*)=2)"""
 
 
-@query("r12_oversample", oracle(["cohort"], f"""select d.stratum, d.j, m.unit from (select stratum, j, n_min, minority, {h32_sql('j', q + 'over' + q, 'stratum')} % n_min as pick from (select *, unnest(range(0, n_max-n_min)) as j from tot)) d
+@query("r12_oversample", oracle(["cohort"], f"""select d.stratum, d.j, m.unit from (select stratum, j, n_min, minority, {h60_sql('j', q + 'over' + q, 'stratum')} % n_min as pick from (select *, unnest(range(0, n_max-n_min)) as j from tot)) d
  join idx m on m.stratum=d.stratum and m.label=d.minority and m.i=d.pick""", IDX))
 def r12(spark, sf):
     return S.oversample(V.cohort(spark, sf), "unit", "label", ["stratum"], "over")
@@ -167,8 +167,8 @@ def r13(spark, sf):
     return s.select("slot", "j", "unit", "nb", r6("lam", "lam"), r6(F.col("vec")[0], "x0"))
 
 
-@query("r14_bootstrap_weights", oracle(["cohort"], f"""select u.unit, d.b, count(*) as w from (select b, {h32_sql('b', 'i', q + 'bw' + q)} % n as i from u, (select unnest(range(0,{B})) as b)) d join u on u.i=d.i group by 1,2""",
- f"u as (select unit, row_number() over (order by {h32_sql('unit')}, unit)-1 as i, count(*) over () as n from cohort)"))
+@query("r14_bootstrap_weights", oracle(["cohort"], f"""select u.unit, d.b, count(*) as w from (select b, {h60_sql('b', 'i', q + 'bw' + q)} % n as i from u, (select unnest(range(0,{B})) as b)) d join u on u.i=d.i group by 1,2""",
+ f"u as (select unit, row_number() over (order by {h60_sql('unit')}, unit)-1 as i, count(*) over () as n from cohort)"))
 def r14(spark, sf):
     w = RS.bootstrap_weights(V.cohort(spark, sf), "unit", B, "bw")
     return w.select("unit", F.col("b").cast("long").alias("b"), "w")
@@ -182,15 +182,15 @@ def r14p(spark, sf):
 
 
 @query("r15_cluster_bootstrap", oracle(["cohort"], f"""select b, count(*) as n_rows, cast(sum(w) as bigint) as n_weighted, round(sum(w*score)/sum(w),6) as mean from cohort join (select g.cluster, d.b, count(*) as w from
- (select b, {h32_sql('b', 'i', q + 'cb' + q)} % n as i from g, (select unnest(range(0,{B})) as b)) d join g on g.i=d.i group by 1,2) using (cluster) group by 1""",
- f"g as (select cluster, row_number() over (order by {h32_sql('cluster')}, cluster)-1 as i, count(*) over () as n from (select distinct cluster from cohort))"))
+ (select b, {h60_sql('b', 'i', q + 'cb' + q)} % n as i from g, (select unnest(range(0,{B})) as b)) d join g on g.i=d.i group by 1,2) using (cluster) group by 1""",
+ f"g as (select cluster, row_number() over (order by {h60_sql('cluster')}, cluster)-1 as i, count(*) over () as n from (select distinct cluster from cohort))"))
 def r15(spark, sf):
     c = RS.cluster_bootstrap(V.cohort(spark, sf), "cluster", B, "cb")
     return c.groupBy(F.col("b").cast("long").alias("b")).agg(F.count(F.lit(1)).cast("long").alias("n_rows"), F.sum("w").cast("long").alias("n_weighted"), r6(F.sum(F.col("w") * F.col("score")) / F.sum("w"), "mean"))
 
 
 @query("r16_permute_within", oracle(["cohort"], f"""select p.stratum, p.unit, s.b, s.label from (select stratum, unit, row_number() over (partition by stratum order by unit) as pos from cohort) p join
- (select stratum, b, label, row_number() over (partition by stratum, b order by {h32_sql('b', 'unit', q + 'pm' + q)}, unit) as pos from cohort, (select unnest(range(0,20)) as b)) s on p.stratum=s.stratum and p.pos=s.pos"""))
+ (select stratum, b, label, row_number() over (partition by stratum, b order by {h60_sql('b', 'unit', q + 'pm' + q)}, unit) as pos from cohort, (select unnest(range(0,20)) as b)) s on p.stratum=s.stratum and p.pos=s.pos"""))
 def r16(spark, sf):
     p = RS.permute_within(V.cohort(spark, sf), "unit", "label", ["stratum"], 20, "pm")
     return p.select("stratum", "unit", F.col("b").cast("long").alias("b"), "label")

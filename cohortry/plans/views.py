@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.hashing import h32, h32_sql, u01, u01_sql
+from ..functions.hashing import h60, h60_sql, u01, u01_sql
 from ..session import shared
 from ..operators.ordered import bucketed_prefix, BUCKET
 
@@ -71,9 +71,9 @@ def units(spark: SparkSession, sf: str) -> DataFrame:
 def predictions(spark: SparkSession, sf: str) -> DataFrame:
     """unit x slot x arm x repeat test predictions; a slot is missing for all arms of a unit together."""
     c = units(spark, sf)
-    t = c.withColumn("slot", F.explode(F.sequence(F.lit(1), F.lit(SLOTS)))).filter(h32("unit", "slot", F.lit("miss")) % 50 != 0)
+    t = c.withColumn("slot", F.explode(F.sequence(F.lit(1), F.lit(SLOTS)))).filter(h60("unit", "slot", F.lit("miss")) % 50 != 0)
     t = t.withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(REPEATS - 1))))
-    t = t.withColumn("fold", h32("unit", "repeat", F.lit("fold")) % FOLDS)
+    t = t.withColumn("fold", h60("unit", "repeat", F.lit("fold")) % FOLDS)
     t = t.withColumn("arm", F.explode(F.array(*[F.lit(a) for a in ARMS])))
     return _with_prob(t, u01("unit", "arm", "slot", "repeat"))
 
@@ -94,20 +94,20 @@ def fold_roles(spark: SparkSession, sf: str) -> DataFrame:
     """Role table that belongs to `predictions`: (unit, repeat, fold) -> role, inner_fold."""
     c = units(spark, sf)
     t = c.withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(REPEATS - 1))))
-    t = t.withColumn("own", h32("unit", "repeat", F.lit("fold")) % FOLDS)
+    t = t.withColumn("own", h60("unit", "repeat", F.lit("fold")) % FOLDS)
     t = t.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(FOLDS - 1))))
     test = F.col("own") == F.col("fold")
     return t.select(
         "unit", "label", "stratum", "cluster", F.col("repeat").cast("long").alias("repeat"), F.col("fold").cast("long").alias("fold"),
         F.when(test, "test").otherwise("train").alias("role"),
-        F.when(test, F.lit(-1)).otherwise(h32("unit", "repeat", "fold", F.lit("inner")) % 5).cast("long").alias("inner_fold"),
+        F.when(test, F.lit(-1)).otherwise(h60("unit", "repeat", "fold", F.lit("inner")) % 5).cast("long").alias("inner_fold"),
     )
 
 
 def inner_preds(spark: SparkSession, sf: str) -> DataFrame:
     """Inner out-of-fold predictions: one row per train unit of every outer fold."""
     t = fold_roles(spark, sf).filter(F.col("role") == "train").drop("role", "inner_fold")
-    t = t.withColumn("slot", F.explode(F.sequence(F.lit(1), F.lit(SLOTS)))).filter(h32("unit", "slot", F.lit("miss")) % 50 != 0)
+    t = t.withColumn("slot", F.explode(F.sequence(F.lit(1), F.lit(SLOTS)))).filter(h60("unit", "slot", F.lit("miss")) % 50 != 0)
     t = t.withColumn("arm", F.explode(F.array(*[F.lit(a) for a in ARMS])))
     return _with_prob(t, u01("unit", "arm", "slot", "repeat", "fold"))
 
@@ -152,23 +152,23 @@ from (select o_orderkey as unit, o_custkey as cust, cast(case when o_orderstatus
       where o_orderstatus='O' or (o_orderstatus='F' and o_orderdate < timestamp '1999-06-01'))""",
     "fold_roles": f"""
 select unit, label, stratum, cluster, r as repeat, k as fold, case when own=k then 'test' else 'train' end as role,
-  cast(case when own=k then -1 else {h32_sql('unit', 'r', 'k', "'inner'")} % 5 end as bigint) as inner_fold
-from (select unit, label, stratum, cluster, r, {h32_sql('unit', 'r', "'fold'")} % {FOLDS} as own
+  cast(case when own=k then -1 else {h60_sql('unit', 'r', 'k', "'inner'")} % 5 end as bigint) as inner_fold
+from (select unit, label, stratum, cluster, r, {h60_sql('unit', 'r', "'fold'")} % {FOLDS} as own
       from cohort, (select unnest(range(0,{REPEATS})) as r)), (select unnest(range(0,{FOLDS})) as k)""",
     "predictions": f"""
-select unit, label, stratum, cluster, arm, slot, r as repeat, {h32_sql('unit', 'r', "'fold'")} % {FOLDS} as fold,
+select unit, label, stratum, cluster, arm, slot, r as repeat, {h60_sql('unit', 'r', "'fold'")} % {FOLDS} as fold,
   (case arm when 'signal' then 0.7::double*{u01_sql('unit', 'arm', 'slot', 'r')}+0.3::double*label
     when 'context' then 0.7::double*{u01_sql('unit', 'arm', 'slot', 'r')}+case when stratum='en' then 0.3::double else 0 end
     else {u01_sql('unit', 'arm', 'slot', 'r')} end) as prob
 from cohort, (select unnest(range(1,{SLOTS + 1})) as slot), (select unnest(range(0,{REPEATS})) as r), (select unnest(['signal','context','noise']) as arm)
-where {h32_sql('unit', 'slot', "'miss'")} % 50 <> 0""",
+where {h60_sql('unit', 'slot', "'miss'")} % 50 <> 0""",
     "inner_preds": f"""
 select unit, label, stratum, cluster, arm, slot, repeat, fold,
   (case arm when 'signal' then 0.7::double*{u01_sql('unit', 'arm', 'slot', 'repeat', 'fold')}+0.3::double*label
     when 'context' then 0.7::double*{u01_sql('unit', 'arm', 'slot', 'repeat', 'fold')}+case when stratum='en' then 0.3::double else 0 end
     else {u01_sql('unit', 'arm', 'slot', 'repeat', 'fold')} end) as prob
 from (select * from fold_roles where role='train'), (select unnest(range(1,{SLOTS + 1})) as slot), (select unnest(['signal','context','noise']) as arm)
-where {h32_sql('unit', 'slot', "'miss'")} % 50 <> 0""",
+where {h60_sql('unit', 'slot', "'miss'")} % 50 <> 0""",
     "frames": """
 select user_id as rec, row_number() over (partition by user_id order by ts, event_id) - 1 as t, ln(value) as level, value,
   event_type in ('view','click') as voiced from events""",

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.hashing import h32
+from ..functions.hashing import h60
 from ..functions.numeric import n_if
 from ..operators.ordered import attach_one, bucketed_prefix, value_buckets, BUCKET
 
@@ -106,9 +106,9 @@ def row_text(df: DataFrame, cols: Sequence[str] | None = None) -> Column:
 
 
 def table_digest(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
-    """S9. Order-free content fingerprint: row count and the sums of two independent 32-bit hashes of every row."""
+    """S9. Order-free content fingerprint: row count and the sums (decimals, as text) of two independent 60-bit hashes of every row."""
     t = df.select(row_text(df, cols).alias("_r"))
-    return t.agg(F.count(F.lit(1)).cast("long").alias("n_rows"), F.sum(h32("_r")).cast("long").alias("digest_a"), F.sum(h32("_r", F.lit("b"))).cast("long").alias("digest_b"))
+    return t.agg(F.count(F.lit(1)).cast("long").alias("n_rows"), F.sum(h60("_r").cast("decimal(20,0)")).cast("string").alias("digest_a"), F.sum(h60("_r", F.lit("b")).cast("decimal(20,0)")).cast("string").alias("digest_b"))
 
 
 def build_offsets(df: DataFrame, order: str, length: str) -> DataFrame:
