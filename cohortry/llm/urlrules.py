@@ -61,7 +61,7 @@ def judge(pages: DataFrame, rules: Sequence[Rule] = SITE_RULES + WORD_RULES, def
     """One row per page: key, host, path, rule, verdict, word.
 
     The longest fitting site rule decides (`rule` names it); without one, a fitting word rule blocks or allows (`word` names it; block
-    wins over allow), else `default`. Null urls and urls without :// have an empty address and get the default. Repeated rows give repeated rows.
+    wins over allow, then the first word), else `default`. Null urls and urls without :// have an empty address and get the default. Repeated rows give repeated rows.
     Equal urls are judged once. Rules live in the driver's program, so the rule index is as small as that list and not a function of the pages.
     """
     spark = pages.sparkSession
@@ -80,7 +80,7 @@ def judge(pages: DataFrame, rules: Sequence[Rule] = SITE_RULES + WORD_RULES, def
     fits = tokens.join(index, "_token").filter(F.expr("_address rlike _regex"))
     best = fits.groupBy("_url").agg(
         F.max(F.when(F.col("_site"), F.struct("_length", "_rule", "_action"))).alias("_best"),
-        F.max(F.when(~F.col("_site"), F.struct(F.col("_action"), "_rule"))).alias("_word"),
+        F.min(F.when(~F.col("_site"), F.struct((F.col("_action") != "block").alias("_allow"), "_rule", "_action"))).alias("_word"),
     )
     return page.join(best, "_url", "left").select(
         key, host.alias("host"), path.alias("path"), F.col("_best._rule").alias("rule"),
@@ -92,7 +92,7 @@ def judge(pages: DataFrame, rules: Sequence[Rule] = SITE_RULES + WORD_RULES, def
 def oracle(rules: Sequence[Rule] = SITE_RULES + WORD_RULES) -> str:
     """Every rule against every page: the plain form of `judge`, for DuckDB."""
     sites = ", ".join(f"('{r.name.partition('/')[0]}', '/{r.name.partition('/')[2]}', '{r.name}', '{r.action}')" for r in rules if r.site)
-    words = "|".join(r.name for r in rules if not r.site)
+    words = ", ".join(f"('{r.name}')" for r in rules if not r.site)
     return f"""
 with a as (select page_id, case when strpos(url, '://') > 0 then substr(url, strpos(url, '://') + 3) else '' end as rest from pages),
 h as (select page_id, rest, regexp_extract(rest, '^[^/?#]*') as raw from a),
@@ -101,6 +101,6 @@ p as (select page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijkl
 r as (select * from (values {sites}) as t(rule_host, rule_path, rule, action)),
 s as (select p.*, (select arg_max(struct_pack(rule := r.rule, action := r.action), length(r.rule)) from r
                    where (p.host = r.rule_host or ends_with(p.host, '.' || r.rule_host)) and starts_with(p.path, r.rule_path)) as best,
-      nullif(lower(regexp_extract(p.host || p.path, '(?:^|[^A-Za-z0-9])({words})(?:[^A-Za-z0-9]|$)', 1, 'i')), '') as hit from p)
+      (select min(w) from (values {words}) as t(w) where regexp_matches(p.host || p.path, '(^|[^A-Za-z0-9])' || w || '([^A-Za-z0-9]|$)', 'i')) as hit from p)
 select page_id, host, path, best.rule as rule, case when best is not null then best.action when hit is not null then 'block' else 'allow' end as verdict,
        case when best is null then hit end as word from s"""
