@@ -20,30 +20,36 @@ def rotate(turns: DataFrame, block: int = BLOCK) -> DataFrame:
 
     A null role is the speaker 'unknown', a null text is empty, a null conv_id or turn is a value of its own (nulls first); repeated rows are
     repeated segments, ties of a turn are ordered by speaker and text. Long dialogues are cut into blocks of turns: one task orders a block, and
-    block totals give the offsets, so a dialogue with a third of all turns is spread over tasks.
+    block totals (from lengths alone) give the offsets, so a dialogue with a third of all turns is spread over tasks and texts are shuffled once.
     """
     rows = turns.select(
         F.col("conv_id").alias("conv_id"), F.col("turn").alias("turn"), F.coalesce(F.col("role"), F.lit("unknown")).alias("speaker"),
         F.coalesce(F.col("text"), F.lit("")).alias("_text"), F.floor(F.coalesce(F.col("turn"), F.lit(0)) / block).cast("long").alias("_block"),
+        F.coalesce(F.col("conv_id").cast("string"), F.lit("null")).alias("_key"),
     )
-    people = rows.filter("speaker != 'system'").select(F.col("conv_id").alias("_conv"), F.col("speaker").alias("perspective")).distinct()
-    own = F.col("speaker") == F.col("perspective")
-    header = F.when(own, F.lit("assistant")).when(F.col("speaker") == "system", F.lit("system")).otherwise(F.concat(F.lit("user name="), F.col("speaker")))
-    seen = rows.join(people, F.col("conv_id").eqNullSafe(F.col("_conv"))).drop("_conv")
-    seen = seen.withColumn("_head", F.concat(F.lit(START), header, F.lit("\n"))).withColumn("segment", F.concat("_head", "_text", F.lit(END + "\n")))
-    seen = seen.withColumn("_n", F.length("segment").cast("long"))
-    keys = ["conv_id", "perspective"]
-    totals = seen.groupBy(*keys, "_block").agg(F.sum("_n").alias("_total"))
-    before = W.partitionBy(*keys).orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
-    offsets = totals.select(F.col("conv_id").alias("_c"), F.col("perspective").alias("_p"), F.col("_block").alias("_b"), F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_base"))
-    inside = W.partitionBy(*keys, "_block").orderBy("turn", "speaker", "_text").rowsBetween(W.unboundedPreceding, -1)
-    placed = seen.withColumn("_at", F.coalesce(F.sum("_n").over(inside), F.lit(0))).join(
-        offsets, F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("perspective") == F.col("_p")) & (F.col("_block") == F.col("_b")))
-    start = (F.col("_at") + F.col("_base")).cast("long")
-    end = start + F.col("_n")
+
+    def header():
+        own = F.col("speaker") == F.col("perspective")
+        role = F.when(own, F.lit("assistant")).when(F.col("speaker") == "system", F.lit("system")).otherwise(F.concat(F.lit("user name="), F.col("speaker")))
+        return F.concat(F.lit(START), role, F.lit("\n"))
+
+    closing = END + "\n"
+    sizes = rows.groupBy("_key", "_block", "speaker").agg(F.sum(F.length("_text").cast("long")).alias("_chars"), F.count("*").alias("_turns"))
+    people = sizes.filter("speaker != 'system'").select("_key", F.col("speaker").alias("perspective")).distinct()
+    seen = sizes.join(people, "_key")
+    totals = seen.groupBy("_key", "_block", "perspective").agg(F.sum(F.col("_chars") + F.col("_turns") * (F.length(header()) + len(closing))).alias("_total"))
+    before = W.partitionBy("_key", "perspective").orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
+    offsets = totals.select("_key", "_block", "perspective", F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_base"))
+    # the one shuffle of the texts, by (dialogue, block); the window below keeps it
+    placed = rows.join(offsets, ["_key", "_block"]).withColumn("_head", header()).withColumn("segment", F.concat("_head", "_text", F.lit(closing)))
+    inside = W.partitionBy("_key", "_block", "perspective").orderBy("turn", "speaker", "_text").rowsBetween(W.unboundedPreceding, -1)
+    own, size = F.col("speaker") == F.col("perspective"), F.length("segment").cast("long")
+    start = (F.coalesce(F.sum(size).over(inside), F.lit(0)) + F.col("_base")).cast("long")
+    placed = placed.withColumn("start", start)
+    end = F.col("start") + size
     return placed.select(
-        "conv_id", "perspective", "turn", "speaker", "segment", start.alias("start"), end.alias("end"),
-        F.when(own, start + F.length("_head")).otherwise(end).alias("mask_start"), F.when(own, end - 1).otherwise(end).alias("mask_end"),
+        "conv_id", "perspective", "turn", "speaker", "segment", "start", end.alias("end"),
+        F.when(own, F.col("start") + F.length("_head")).otherwise(end).alias("mask_start"), F.when(own, end - 1).otherwise(end).alias("mask_end"),
     )
 
 
