@@ -102,44 +102,63 @@ def day_groups(day: str, unit: str):
     return F.coalesce(F.col(day).cast("string"), F.concat(F.lit("nodate_"), F.col(unit).cast("string")))
 
 
-def _greedy(pdf, k: int):
-    """Largest group first, each to the fold where sum((fill / target)^2) grows least."""
-    import numpy as np
+def fold_quotas(profiles: Sequence[tuple[int, int, int]], k: int) -> list[list[int]]:
+    """Groups of each profile (n0, n1, number of groups) per fold: largest first, each group to the fold where the sum of squared shares of the class
+    totals grows least, ties to the lower fold.
 
-    c = pdf[["n0", "n1"]].to_numpy(float)
-    target = np.maximum(pdf[["t0", "t1"]].iloc[0].to_numpy(float) / k, 1e-12)
-    fill = np.zeros((k, 2))
-    out = np.empty(len(c), int)
-    for i, row in enumerate(c / target):
-        out[i] = f = int(np.argmin((2 * fill * row).sum(1) + (row * row).sum()))
-        fill[f] += row
+    Equal groups need no loop: every further one raises the fold's growth by the same amount, so the c smallest terms of k arithmetic progressions are
+    taken at once. Growth is compared in whole numbers (over the squared totals).
+    """
+    t0, t1 = (max(1, sum(p[i] * p[2] for p in profiles)) for i in (0, 1))
+    held = [[0, 0] for _ in range(k)]
+    out = []
+    for n0, n1, c in profiles:
+        at = [h[0] * n0 * t1 * t1 + h[1] * n1 * t0 * t0 for h in held]
+        d = n0 * n0 * t1 * t1 + n1 * n1 * t0 * t0
+        if d == 0:
+            got = [c // k + (f < c % k) for f in range(k)]
+        else:
+            def below(level: int, at=at, d=d) -> list[int]:
+                """Terms per fold that are at most `level`."""
+                return [max(0, (level - g) // d + 1) for g in at]
+
+            lo, hi = min(at) - 1, min(at) + d * c
+            while hi - lo > 1:
+                mid = (lo + hi) // 2
+                lo, hi = (lo, mid) if sum(below(mid)) >= c else (mid, hi)
+            got, full = below(lo), below(hi)
+            rest = c - sum(got)
+            for f in range(k):
+                if rest and full[f] > got[f]:
+                    got[f] += 1
+                    rest -= 1
+        for f in range(k):
+            held[f][0] += n0 * got[f]
+            held[f][1] += n1 * got[f]
+        out.append(got)
     return out
 
 
-def grouped_folds(df: DataFrame, group: str, label: str, k: int, seeds: Sequence[int], limit: int = 200_000) -> DataFrame:
+def grouped_folds(df: DataFrame, group: str, label: str, k: int, seeds: Sequence[int]) -> DataFrame:
     """R5. Whole groups to folds, balanced by class: (group, seed, fold).
 
-    Class counts per group are aggregated in parallel. The greedy is sequential by definition, so only the `limit`
-    largest groups go through it (one task per seed, 3 numbers per group); smaller groups beyond that are dealt round
-    robin inside each class-count profile, which is balanced to one group per profile. No group is dropped.
+    Groups with the same class counts are interchangeable, so the greedy rule runs on the table of distinct profiles (n0, n1, groups), which is all the driver sees;
+    inside a profile the groups are dealt by hash rank. One rule for every size.
     """
-    import pandas as pd
-
-    g = df.groupBy(group).agg(n_if(F.col(label) == 0).alias("n0"), n_if(F.col(label) == 1).alias("n1"))
-    g = shared(attach_one(g, g.agg(F.sum("n0").alias("t0"), F.sum("n1").alias("t1"))))
-    s = g.withColumn("seed", F.explode(F.lit([int(x) for x in seeds]).cast("array<long>"))).withColumn("h", h60(group, "seed")).withColumn("size", F.col("n0") + F.col("n1"))
-
-    def assign(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["size", "h", group], ascending=[False, True, True]).reset_index(drop=True)
-        return pd.DataFrame({group: pdf[group], "seed": pdf["seed"], "fold": _greedy(pdf, k)})
-
-    schema = f"`{group}` {dict(df.dtypes)[group]}, seed long, fold long"
-    if g.count() <= limit:
-        return s.groupBy("seed").applyInPandas(assign, schema)
-    head_groups = g.withColumn("size", F.col("n0") + F.col("n1")).orderBy(F.desc("size"), group).limit(limit).select(group)
-    head = s.join(head_groups, group, "left_semi").groupBy("seed").applyInPandas(assign, schema)
-    tail = hash_rank(s.join(head_groups, group, "left_anti"), ["seed", "n0", "n1"], "h", group, "_rn")
-    return head.unionByName(tail.select(group, "seed", ((F.col("_rn") - 1) % k).cast("long").alias("fold")))
+    g = shared(df.groupBy(group).agg(n_if(F.col(label) == 0).alias("n0"), n_if(F.col(label) == 1).alias("n1")))
+    found = g.groupBy("n0", "n1").agg(F.count(F.lit(1)).alias("c")).orderBy(F.desc(F.col("n0") + F.col("n1")), F.desc("n0")).collect()  # one row per profile
+    profiles = [(r["n0"], r["n1"], r["c"]) for r in found]
+    bounds = []
+    for (n0, n1, _), quota in zip(profiles, fold_quotas(profiles, k), strict=True):
+        total, upto = 0, []
+        for q in quota:
+            total += q
+            upto.append(total)
+        bounds.append((n0, n1, upto))
+    table = df.sparkSession.createDataFrame(bounds, "n0 long, n1 long, upto array<long>")
+    s = g.withColumn("seed", F.explode(F.lit([int(x) for x in seeds]).cast("array<long>"))).withColumn("_h", h60(group, "seed"))
+    ranked = hash_rank(s, ["seed", "n0", "n1"], "_h", group, "_rn").join(table, ["n0", "n1"])
+    return ranked.select(group, "seed", F.size(F.filter("upto", lambda u: u < F.col("_rn"))).cast("long").alias("fold"))
 
 
 def grouped_nested_splits(df: DataFrame, unit: str, group: str, label: str, k: int, repeat: int) -> DataFrame:

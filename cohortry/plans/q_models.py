@@ -21,6 +21,7 @@ from .q_splits import CTX, NESTED, STRATA, nested, strata
 from .registry import auc_sql, oracle, query
 
 K = 5
+GRID = (1e-3, 1e-2, 0.1, 1.0, 10.0, 100.0)
 FEATS = ["covariate", "n_lines", "n_digits", "uniq"]
 
 
@@ -47,7 +48,7 @@ def context(spark, sf):
 
 @query("m08_calibration")
 def m08(spark, sf):
-    return frame(spark, G.calibration(fused(spark, sf).filter("repeat = 0"), "label", "prob", "arm"))
+    return frame(spark, G.calibration(fused(spark, sf).withColumn("arm_repeat", F.concat_ws("|", "arm", F.col("repeat").cast("string"))), "label", "prob", "arm_repeat"))
 
 
 @query("m16_compare_arms")
@@ -66,11 +67,14 @@ def g01(spark, sf):
     return d.select("key", "fit", F.posexplode("coef").alias("pos", "coef"), "converged").withColumn("coef", r6("coef"))
 
 
-@query("g02_scale_in_fold", oracle(["timebound"], """select unit, repeat, outer_fold, round((score-m)/case when s>0 then s else 1 end,6) as score_z from nested join timebound using (unit)
- join (select repeat, outer_fold, avg(score) as m, stddev_pop(score) as s from nested join timebound using (unit) where role='train' group by 1,2) using (repeat, outer_fold)""", CTX + "," + STRATA + "," + NESTED))
+@query("g02_scale_in_fold", oracle(["timebound"], """select repeat, outer_fold, role, count(*) as n, cast(sum(unit) as bigint) as id_sum, round(sum((score-m)/case when s>0 then s else 1 end),4) as z_sum, round(sum(pow((score-m)/case when s>0 then s else 1 end,2)),4) as z_squares, round(sum((unit%97)*(score-m)/case when s>0 then s else 1 end),3) as z_by_id from nested join timebound using (unit)
+ join (select repeat, outer_fold, avg(score) as m, stddev_pop(score) as s from nested join timebound using (unit) where role='train' group by 1,2) using (repeat, outer_fold) group by 1,2,3""", CTX + "," + STRATA + "," + NESTED))
 def g02(spark, sf):
     t = nested(spark, sf).select("unit", "repeat", "outer_fold", "role").join(V.timebound(spark, sf).select("unit", "score"), "unit")
-    return G.scale_in_fold(t, ["score"], ["repeat", "outer_fold"]).select("unit", "repeat", "outer_fold", r6("score_z", "score_z"))
+    z = G.scale_in_fold(t, ["score"], ["repeat", "outer_fold"])
+    return z.groupBy("repeat", "outer_fold", "role").agg(
+        F.count(F.lit(1)).cast("long").alias("n"), F.sum("unit").alias("id_sum"), F.round(F.sum("score_z"), 4).alias("z_sum"),
+        F.round(F.sum(F.col("score_z") * F.col("score_z")), 4).alias("z_squares"), F.round(F.sum(F.col("unit") % 97 * F.col("score_z")), 3).alias("z_by_id"))
 
 
 @query("g03_nested_cv")
@@ -79,7 +83,7 @@ def g03(spark, sf):
 
     c = V.cohort(spark, sf)
     s = nested_splits(c.withColumn("_s", F.col("label").cast("string")), "unit", "_s", K, 1).drop("_s")
-    test, _ = G.nested_cv(c, s, {"text": FEATS, "length": ["covariate"]}, "label", "unit", K, grid=(1e-2, 1.0, 100.0))
+    test, _ = G.nested_cv(c, s, {"text": FEATS, "length": ["covariate"]}, "label", "unit", K, grid=GRID)
     return test.select("arm", "unit", "repeat", "fold", r6("prob", "prob"), "C")
 
 
@@ -104,7 +108,7 @@ def g05(spark, sf):
 @query("g06_model_zoo")
 def g06(spark, sf):
     c = V.cohort(spark, sf)
-    z = G.model_zoo(c, FEATS, "label", "unit", folds5(c), [0])
+    z = G.model_zoo(c, FEATS, "label", "unit", folds5(c), range(K))
     return M.auc(shared(z), "y", "prob", ["arm", "fold"]).withColumn("auc", r6("auc"))
 
 
@@ -178,13 +182,13 @@ def g12(spark, sf):
 @query("g13_cluster_cr1")
 def g13(spark, sf):
     t, names = context(spark, sf)
-    return frame(spark, I.score_increment_test(t, names, ["context", "noise"], "label", "cluster"))
+    return frame(spark, I.score_increment_test(t, names, list(V.ARMS), "label", "cluster"))
 
 
 @query("g14_cluster_cv3")
 def g14(spark, sf):
     t, names = context(spark, sf)
-    return frame(spark, I.score_increment_test(t, names, ["noise"], "label", "cluster", jackknife=True))
+    return frame(spark, I.score_increment_test(t, names, list(V.ARMS), "label", "cluster", jackknife=True))
 
 
 @query("g15_bootstrap_or")
@@ -238,14 +242,13 @@ def g22(spark, sf):
 
 
 def vector_units(spark, sf):
-    """Embeddings as units: case = label >= 5, context flag and group from the id, first 8 dimensions kept as columns d0..d7
-    from the layer-free pooled vector."""
+    """Embeddings as units: case = label >= 5, context flag and group from the id, all dimensions as columns d0..d63 of the layer-free pooled vector."""
     v = vectors(spark, sf)
-    cols = [F.col("embedding")[i].cast("double").alias(f"d{i}") for i in range(8)]
+    cols = [F.col("embedding")[i].cast("double").alias(f"d{i}") for i in range(64)]
     return v.select(F.col("vec_id").alias("unit"), (F.col("label") >= 5).cast("long").alias("label"), (F.col("vec_id") % 2).cast("double").alias("pm"), (F.col("vec_id") % 30).cast("string").alias("grp"), "entity", *cols)
 
 
-DIMS = [f"d{i}" for i in range(8)]
+DIMS = [f"d{i}" for i in range(64)]
 
 
 @query("g23_context_probe")
@@ -269,4 +272,4 @@ def g25(spark, sf):
     v = cut(vector_units(spark, sf))
     ex = exclusion_closure(v, v.filter("d0 > 0.3"), "unit", "grp")
     ext = v.select("unit", *[(F.col(c) * 0.9).alias(c) for c in DIMS])
-    return G.score_external(v, ext, ex, DIMS, "label", "unit", "grp", K, grid=(0.01, 1.0, 100.0)).select("unit", r6("prob", "prob"), "C")
+    return G.score_external(v, ext, ex, DIMS, "label", "unit", "grp", K, grid=GRID).select("unit", r6("prob", "prob"), "C")

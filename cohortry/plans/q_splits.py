@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.hashing import h60_sql, u01_sql
+from ..functions.hashing import h60, h60_sql, u01_sql
 from ..functions.numeric import r6
 from ..operators import resample as RS
 from ..operators import splits as S
@@ -30,12 +30,12 @@ CTX = """ctx as (select *, case when day is null then 'unknown' when day <= (sel
 keyed as (select *, cast(label as varchar)||'|'||phase||'|'||age_group as key from ctx)"""
 
 
-@query("r01_build_cohort", oracle(["timebound", "grid"], """select label, count(*) as n, count(*) filter (has_1) as has_1, count(*) filter (has_7) as has_7 from (select unit, label, bool_or(slot=1 and status='OK') as has_1, bool_or(slot=7 and status='OK') as has_7, bool_or(status='OK') as any_ok
+@query("r01_build_cohort", oracle(["timebound", "grid"], """select label, count(*) as n, """ + ", ".join(f"count(*) filter (has_{i}) as has_{i}" for i in SLOTS) + " from (select unit, label, " + ", ".join(f"bool_or(slot={i} and status='OK') as has_{i}" for i in SLOTS) + """, bool_or(status='OK') as any_ok
  from timebound join grid on unit=entity group by 1,2) where any_ok group by 1"""))
 def r01(spark, sf):
     t = V.timebound(spark, sf).withColumnRenamed("unit", "entity")
     c = S.build_cohort(t, grid(spark, sf), "entity", "slot", SLOTS)
-    return c.groupBy("label").agg(N(), *[F.count_if(F.col(f"has_{s}")).cast("long").alias(f"has_{s}") for s in (1, 7)])
+    return c.groupBy("label").agg(N(), *[F.count_if(F.col(f"has_{s}")).cast("long").alias(f"has_{s}") for s in SLOTS])
 
 
 @query("r01_cohort_guard", oracle(["timebound", "grid"], """select 'duplicate_id' as "check", count(*) as n from (select unit from timebound group by 1 having count(*)>1) union all select 'label_domain', count(*) filter (label not in (0,1)) from timebound
@@ -90,12 +90,31 @@ def nested(spark, sf):
     return S.nested_splits(strata(spark, sf), "unit", "strata", K, REP)
 
 
-@query("r04_nested_splits", oracle(["timebound"], "select unit, repeat, outer_fold, strata, role, inner_fold, role='train' and inner_fold=0 as is_inner_val from nested", CTX + "," + STRATA + "," + NESTED))
+@query("r04_nested_splits", oracle(["timebound"], f"select repeat, outer_fold, strata, role, inner_fold, role='train' and inner_fold=0 as is_inner_val, count(*) as n, cast(sum(unit) as bigint) as id_sum, cast(sum({h60_sql('unit', 'outer_fold', 'role', 'inner_fold')}) as varchar) as digest from nested group by all", CTX + "," + STRATA + "," + NESTED))
 def r04(spark, sf):
-    return nested(spark, sf)
+    """Every row of the nested splits, as count, id sum and digest per cell."""
+    return nested(spark, sf).groupBy("repeat", "outer_fold", "strata", "role", "inner_fold", "is_inner_val").agg(
+        N(), F.sum("unit").alias("id_sum"), F.sum(h60("unit", "outer_fold", "role", "inner_fold").cast("decimal(20,0)")).cast("string").alias("digest"))
 
 
-@query("r05_grouped_folds")
+def greedy_sql(groups: str) -> str:
+    """CTE `dealt` (n0, n1, fold): the greedy rule one group at a time over a table of (n0, n1), for the oracles."""
+    cost = [f"(a{f}*n0*t1*t1 + b{f}*n1*t0*t0)" for f in range(K)]
+    low = f"least({','.join(cost)})"
+    pick = "case " + " ".join(f"when {c}={low} then {f}" for f, c in enumerate(cost)) + " end"
+    return f"""tot as (select greatest(1,sum(n0))::hugeint as t0, greatest(1,sum(n1))::hugeint as t1 from {groups}),
+line as (select n0::hugeint as n0, n1::hugeint as n1, row_number() over (order by n0+n1 desc, n0 desc) as i from {groups}),
+dealt as (with recursive st(i, n0, n1, fold, {','.join(f'a{f}, b{f}' for f in range(K))}) as (
+ select 0::bigint, 0::hugeint, 0::hugeint, -1, {','.join(['0::hugeint'] * 2 * K)} union all
+ select i, n0, n1, f, {','.join(f'a{f}+case when f={f} then n0 else 0 end, b{f}+case when f={f} then n1 else 0 end' for f in range(K))} from
+  (select line.i, line.n0, line.n1, {','.join(f'a{f}, b{f}' for f in range(K))}, {pick.replace('n0', 'line.n0').replace('n1', 'line.n1')} as f from st join line on line.i=st.i+1, tot))
+ select n0, n1, fold from st where i>0)"""
+
+
+DAYS = "grp as (select coalesce(cast(day as varchar), 'nodate_'||unit) as g, cast(sum(1-label) as bigint) as n0, cast(sum(label) as bigint) as n1 from timebound group by 1)"
+
+
+@query("r05_grouped_folds", oracle(["timebound"], "select seed, cast(fold as bigint) as fold, cast(sum(n0+n1) as bigint) as n, cast(sum(n0) as bigint) as n0, count(*) as n_groups from dealt, (select unnest([0::bigint,1::bigint]) as seed) group by 1,2", DAYS + "," + greedy_sql("grp")))
 def r05(spark, sf):
     t = V.timebound(spark, sf).withColumn("grp", S.day_groups("day", "unit"))
     folds = S.grouped_folds(t, "grp", "label", K, [0, 1])
@@ -114,7 +133,8 @@ def r07(spark, sf):
     return S.check_splits(nested(spark, sf), strata(spark, sf), "unit", "label", K)
 
 
-@query("r07_check_grouped_splits")
+@query("r07_check_grouped_splits", """select c."check", 0::bigint as repeat, cast(null as bigint) as fold, 0::bigint as n from (select unnest(['tested_once','one_role_per_fold','covers_cohort']) as "check") c
+ union all select c."check", 0::bigint, cast(f as bigint), 0::bigint from (select unnest(range(0,5)) as f), (select unnest(['inner_folds_valid','controls_balanced','group_on_both_sides','group_in_two_inner_folds']) as "check") c""")
 def r07g(spark, sf):
     t = V.timebound(spark, sf).withColumn("grp", S.day_groups("day", "unit")).select("unit", "label", "grp")
     s = S.grouped_nested_splits(t, "unit", "grp", "label", K, 0)
@@ -202,7 +222,8 @@ def r17(spark, sf):
     return r.withColumn("total", r6("total"))
 
 
-@query("r18_stratified_group_folds")
+@query("r18_stratified_group_folds", oracle(["slot_rows"], "select cast(fold as bigint) as fold, cast(sum(n0+n1) as bigint) as n, cast(sum(n1) as bigint) as n1, count(*) as n_entities from dealt group by 1",
+ "grp as (select entity, count(*) filter (chain<>'x') as n0, count(*) filter (chain='x') as n1 from slot_rows group by 1)," + greedy_sql("grp")))
 def r18(spark, sf):
     s = V.slot_rows(spark, sf).select("entity", (F.col("chain") == "x").cast("int").alias("y"))
     f = S.stratified_group_folds(s, "entity", "y", K, 7)
