@@ -194,7 +194,8 @@ def g14(spark, sf):
 @query("g15_bootstrap_or")
 def g15(spark, sf):
     t, names = context(spark, sf)
-    return frame(spark, I.bootstrap_or(t, names, ["context", "noise"], "label", "unit", 30, "or"))
+    o = I.bootstrap_or(t, names, list(V.ARMS), "label", "unit", 100, "or")
+    return o.select("score", "draws", "usable", r6("low", "low"), r6("high", "high"))
 
 
 @query("g16_lr_difference")

@@ -120,3 +120,43 @@ def test_similar_vectors_brute_force(spark):
     assert J.similarity_summary(prof).first()["pairs"] == int(keep.sum())
     top = J.near_duplicates(prof).first()
     assert (top["a"], top["b"]) == (3, 40)
+
+
+def test_small_stratum_without_partner_stops(spark):
+    df = spark.createDataFrame([(i, "0|a|x") for i in range(8)] + [(100, "1|a|x")], "unit long, key string")
+    with pytest.raises(Exception, match="no stratum to join for 1"):
+        S.assign_strata(df, "key", 5).collect()
+    with pytest.raises(Exception, match="no stratum for unit 7"):
+        S.stratified_folds(spark.createDataFrame([(6, "a"), (7, None)], "unit long, s string"), "unit", "s", 2, 1).collect()
+
+
+def test_digest_sums_pass_two_to_the_63(spark):
+    from cohortry.functions.hashing import h60
+    from cohortry.sources.tables import table_digest
+
+    df = spark.range(200)
+    want = sum(r[0] for r in df.select(h60(F.col("id").cast("string"))).collect())
+    assert want > 2**63 and table_digest(df).first()["digest_a"] == str(want)
+
+
+def test_fold_quotas_equal_the_loop_over_groups():
+    import random
+
+    from cohortry.operators.splits import fold_quotas
+
+    rng = random.Random(4)
+    for _ in range(30):
+        k = rng.randint(2, 6)
+        profiles = sorted({(rng.randint(0, 6), rng.randint(0, 6)): 0 for _ in range(rng.randint(1, 9))}, key=lambda p: (-sum(p), -p[0]))
+        profiles = [(*p, rng.randint(1, 40)) for p in profiles]
+        t0, t1 = (max(1, sum(p[i] * p[2] for p in profiles)) for i in (0, 1))
+        held, want = [[0, 0] for _ in range(k)], []
+        for n0, n1, c in profiles:
+            got = [0] * k
+            for i in range(c):
+                f = min(range(k), key=lambda f: (held[f][0] * n0 * t1 * t1 + held[f][1] * n1 * t0 * t0, f)) if n0 + n1 else i % k
+                got[f] += 1
+                held[f][0] += n0
+                held[f][1] += n1
+            want.append(got)
+        assert fold_quotas(profiles, k) == want
