@@ -5,8 +5,9 @@ functions floor((a.x + b) / w) with Gaussian a; a bucket is their tuple. A query
 order of the estimated success: the sum of squared distances to the borders crossed, smallest first. The candidates of all tables are merged and
 reranked by the exact inner product.
 
-The functions, their number, w and the number of probes are fitted on a bounded sample; the probes are raised until the sampled queries reach the wanted share of
-their true neighbours (found by brute force for that bounded set of queries). Every row is indexed.
+The number of functions and of probes is fitted on a bounded sample: for each number of functions the probes are raised until the sampled queries reach the wanted
+share of their true neighbours (found by brute force for that bounded set of queries), and the number with the least estimated work wins. Where vectors have
+little structure that share needs most of the rows, and few large buckets are cheaper than many small ones. Every row is indexed.
 """
 
 from __future__ import annotations
@@ -26,15 +27,17 @@ from pyspark.sql import functions as F
 from ..session import cut
 
 #: Rows of the fit's sample; sampled queries at most; wanted share of true neighbours among them; rows that a bucket should hold.
-SAMPLE, QUERIES, RECALL, BUCKET_ROWS = 4000, 200, 0.97, 256
-TABLES = 3
+SAMPLE, QUERIES, RECALL, BUCKET_ROWS = 4000, 200, 0.94, 256
+TABLES = 2
+#: Probes tried per query and table in the fit. Rough seconds of work per probe (its row and its results) and per compared row, for the choice of functions.
+MOST_PROBES, PROBE_S, ROW_S = 2000, 45e-6, 50e-9
 #: Rows of a bucket, and queries at a bucket, that one task compares; beyond it they are cut into parts.
 ROWS_A_PART, QUERIES_A_PART = 16_384, 4_096
 
 
 def usable(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(vec_id, v) of the vectors that take part: not null, not zero, of the most frequent length, all components finite. Repeated rows count once."""
-    v = F.col(vector).cast("array<double>")
+    v = F.col(vector) if dict(vectors.dtypes)[vector] == "array<float>" else F.col(vector).cast("array<double>")
     rows = vectors.filter(F.col(key).isNotNull() & F.col(vector).isNotNull()).select(F.col(key).cast("long").alias("vec_id"), v.alias("v"))
     bad = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     rows = rows.filter((F.size("v") > 0) & ~F.coalesce(bad, F.lit(True)) & F.exists("v", lambda x: x != 0))
@@ -110,42 +113,64 @@ def fit(rows: DataFrame, k: int, tables: int = TABLES, bucket_rows: int = BUCKET
     if not total["n"]:
         return None
     sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("vec_id", "v").collect()
-    x = np.array([r["v"] for r in sample])
-    rng = np.random.default_rng(5)
-    hashes = max(1, round(math.log(max(2.0, total["n"] / bucket_rows), 3)))
-    index = Index(rng.normal(size=(tables, hashes, x.shape[1] + 1)), rng.uniform(0, 1, (tables, hashes)), 1.0, float(total["m"]) * (1 + 1e-12), 1)
-    spread = float(index.places(x, True).std(axis=0).mean()) or 1.0
-    index.w = 1.2 * spread  # about three cells of weight per function
-    index.b = index.b * index.w
+    x = np.array([r["v"] for r in sample], dtype=float)
     asked = spark.sparkContext.broadcast(x[:QUERIES])
 
     def near(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             if len(frame):
-                v = np.array(frame["v"].tolist())
-                at = {i: n for n, i in enumerate(frame["vec_id"].tolist())}
-                for q, ids, score in _top(asked.value, frame["vec_id"].to_numpy(), v, k + 1):
-                    yield pd.DataFrame({"q": q, "vec_id": ids, "score": score, "v": [v[at[i]] for i in ids]})
+                v = np.array(frame["v"].tolist(), dtype=float)
+                ids = frame["vec_id"].to_numpy()
+                at = {i: n for n, i in enumerate(ids.tolist())}
+                for q, best, score in _top(asked.value, ids, v, k):
+                    yield pd.DataFrame({"q": q, "vec_id": best, "score": score, "v": [v[at[i]] for i in best]})
 
     best = rows.select("vec_id", "v").mapInPandas(near, "q int, vec_id long, score double, v array<double>")
-    best = best.withColumn("r", F.row_number().over(W.partitionBy("q").orderBy(F.desc("score"), "vec_id"))).filter(F.col("r") <= k + 1).select("q", "v").collect()
+    best = best.withColumn("r", F.row_number().over(W.partitionBy("q").orderBy(F.desc("score"), "vec_id"))).filter(F.col("r") <= k).select("q", "vec_id", "v").collect()
     asked.destroy()
-    places = index.places(x[:QUERIES], False)
+    own = {n: r["vec_id"] for n, r in enumerate(sample[:QUERIES])}
     goal: dict[int, list] = {}
-    for r in best:
-        goal.setdefault(r["q"], []).append(r["v"])
-    most = 3**hashes
-    first: list[int] = []  # probes that each true neighbour needs, in the table that finds it first
-    for q, vs in goal.items():
+    for r in best:  # the query's own row is found by any table and would flatter the share
+        if r["vec_id"] != own[r["q"]]:
+            goal.setdefault(r["q"], []).append(r["v"])
+    longest = float(total["m"]) * (1 + 1e-12)
+    chosen, least = None, math.inf
+    for hashes in range(1, max(1, math.ceil(math.log(max(3.0, total["n"] / bucket_rows), 3))) + 2):
+        rng = np.random.default_rng(5)
+        index = Index(rng.normal(size=(tables, hashes, x.shape[1] + 1)), rng.uniform(0, 1, (tables, hashes)), 1.0, longest, 1)
+        spread = 1.2 * (float(index.places(x, True).std(axis=0).mean()) or 1.0)  # about three cells of weight per function
+        shift = index.b
+        for _ in range(60):  # a step of one cell must reach the neighbours: wider cells until it does
+            index.w, index.b = spread, shift * spread
+            probes, scanned = _needed(index, x, goal, recall)
+            if probes:
+                break
+            spread *= 2
+        work = tables * probes * PROBE_S + scanned * total["n"] * ROW_S
+        if chosen is None or work < least:
+            index.probes, chosen, least = probes, index, work
+    return chosen
+
+
+def _needed(index: Index, x: np.ndarray, goal: dict[int, list], recall: float) -> tuple[int, float]:
+    """(probes per table for the wanted share of the true neighbours, share of the rows then compared); (0, 1) where MOST_PROBES do not reach it."""
+    tables, hashes = index.b.shape
+    most = min(MOST_PROBES, 3**hashes)
+    places, far = index.places(x[:QUERIES], False), most + 1
+    cells = Index.key(np.floor(index.places(x, True)).astype(np.int64))
+    need: list[int] = []
+    shares = []
+    for n, (q, vs) in enumerate(goal.items()):
+        ranks = [{int(Index.key(c)): i + 1 for i, c in enumerate(index.visit(places[q, t], most))} for t in range(tables)]
         keys = Index.key(np.floor(index.places(np.array(vs), True)).astype(np.int64))
-        need = np.full(len(vs), most * 4)
-        for t in range(tables):
-            rank = {int(Index.key(c)): n + 1 for n, c in enumerate(index.visit(places[q, t], most))}
-            need = np.minimum(need, [rank.get(int(h), most * 4) for h in keys[:, t]])
-        first += need.tolist()
-    first.sort()
-    index.probes = int(min(most, first[min(len(first) - 1, math.ceil(recall * len(first)))]))
-    return index
+        need += np.min([[ranks[t].get(int(h), far) for h in keys[:, t]] for t in range(tables)], axis=0).tolist()
+        if n < 20:
+            shares.append(np.min([[ranks[t].get(int(h), far) for h in cells[:, t]] for t in range(tables)], axis=0))
+    if not need:
+        return 1, 1.0
+    need.sort()
+    probes = need[min(len(need), math.ceil(recall * len(need))) - 1]
+    return (probes, float(np.mean([s <= probes for s in shares]))) if probes < far else (0, 1.0)
 
 
 def _match(probes: DataFrame, cells: DataFrame, k: int) -> DataFrame:
@@ -161,7 +186,7 @@ def _match(probes: DataFrame, cells: DataFrame, k: int) -> DataFrame:
     def score(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
             return pd.DataFrame({"copy": pd.Series(dtype=str), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype=float)})
-        q, x = np.array(left["qv"].tolist()), np.array(right["v"].tolist())
+        q, x = np.array(left["qv"].tolist(), dtype=float), np.array(right["v"].tolist(), dtype=float)
         names = left["copy"].to_numpy()
         found = list(_top(q, right["vec_id"].to_numpy(), x, k))
         return pd.DataFrame({"copy": np.repeat(names[[i for i, _, _ in found]], [len(a) for _, a, _ in found]), "vec_id": np.concatenate([a for _, a, _ in found]), "score": np.concatenate([s for _, _, s in found])})
@@ -170,7 +195,7 @@ def _match(probes: DataFrame, cells: DataFrame, k: int) -> DataFrame:
     return wanted.groupBy(*keys).cogroup(data.groupBy(*keys)).applyInPandas(score, "copy string, vec_id long, score double")
 
 
-def search(vectors: DataFrame, is_query: F.Column, k: int = 20, key: str = "vec_id", vector: str = "embedding", tables: int = TABLES) -> DataFrame:
+def search(vectors: DataFrame, is_query: F.Column, k: int = 20, key: str = "vec_id", vector: str = "embedding", tables: int = TABLES, recall: float = RECALL) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each query row, nearest first, ties to the smaller id; the query's own id is no candidate.
 
     Exact copies are searched once: of the rows with equal vectors only the k + 1 smallest ids can be in any result, so the others are queries at most. A query
@@ -183,8 +208,9 @@ def search(vectors: DataFrame, is_query: F.Column, k: int = 20, key: str = "vec_
     few = rows.select("copy", "vec_id").distinct().withColumn("_n", F.row_number().over(salted)).filter(F.col("_n") <= k + 1)
     few = few.withColumn("_n", F.row_number().over(W.partitionBy("copy").orderBy("vec_id"))).filter(F.col("_n") <= k + 1).select("vec_id", "copy")
     base = cut(rows.dropDuplicates(["vec_id"]).join(few, ["vec_id", "copy"]))
+    kind = dict(base.dtypes)["v"]
     empty = "query_id long, rank int, vec_id long, score double"
-    index = fit(base, k, tables)
+    index = fit(base, k, tables, recall=recall)
     if index is None:
         return vectors.sparkSession.createDataFrame([], empty)
     asked = rows.withColumnRenamed("vec_id", key).filter(is_query).select(F.col(key).alias("query_id"), "copy", "v").distinct()
@@ -194,7 +220,7 @@ def search(vectors: DataFrame, is_query: F.Column, k: int = 20, key: str = "vec_
         for frame in frames:
             if not len(frame):
                 continue
-            v = np.array(frame["v"].tolist())
+            v = np.array(frame["v"].tolist(), dtype=float)
             keys = Index.key(np.concatenate([np.broadcast_to(np.arange(tables)[None, :, None], (len(v), tables, 1)), np.floor(index.places(v, True)).astype(np.int64)], axis=2))
             for t in range(tables):
                 yield pd.DataFrame({"bucket": keys[:, t], "vec_id": frame["vec_id"], "v": frame["v"]})
@@ -203,7 +229,7 @@ def search(vectors: DataFrame, is_query: F.Column, k: int = 20, key: str = "vec_
         for frame in frames:
             for at in range(0, len(frame), 200):
                 some = frame.iloc[at:at + 200]
-                places = index.places(np.array(some["qv"].tolist()), False)
+                places = index.places(np.array(some["qv"].tolist(), dtype=float), False)
                 out_c, out_b, out_v = [], [], []
                 for i, (copy, v) in enumerate(zip(some["copy"], some["qv"], strict=True)):
                     for t in range(tables):
@@ -213,8 +239,8 @@ def search(vectors: DataFrame, is_query: F.Column, k: int = 20, key: str = "vec_
                         out_v += [v] * len(seen)
                 yield pd.DataFrame({"copy": out_c, "bucket": np.concatenate(out_b), "qv": out_v})
 
-    cells = cut(base.mapInPandas(cells_of, "bucket long, vec_id long, v array<double>"))
-    probes = queries.mapInPandas(probes_of, "copy string, bucket long, qv array<double>")
+    cells = cut(base.mapInPandas(cells_of, f"bucket long, vec_id long, v {kind}"))
+    probes = queries.mapInPandas(probes_of, f"copy string, bucket long, qv {kind}")
     found = cut(_match(probes, cells, k + 1))
     order = W.partitionBy("copy").orderBy(F.desc("score"), "vec_id")
 

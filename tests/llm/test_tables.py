@@ -53,7 +53,7 @@ def test_neighbours_odd(spark):
     rows = [(0, [1.0, 0.0]), (20, [0.0, 1.0]), (1, None), (2, [0.0, 0.0]), (3, [nan, 1.0]), (4, [inf, 1.0]), (5, [None, 1.0]), (6, []), (7, [1.0, 1.0, 1.0]), (None, [1.0, 1.0]), (40, [0.0, 0.0]), (9, [3.0, -1.0]), (9, [3.0, -1.0]), *same]
     df = spark.createDataFrame([(i, v, 1, "q", 0) for i, v in rows], "vec_id long, embedding array<double>, rank int, bucket string, copy int")
     got = collections.defaultdict(list)
-    for r in sorted(ann.search(df, F.col("vec_id") % 20 == 0, 20).collect(), key=lambda r: (r["query_id"], r["rank"])):
+    for r in sorted(ann.search(df, F.col("vec_id") % 20 == 0, 20, recall=1.0).collect(), key=lambda r: (r["query_id"], r["rank"])):
         got[r["query_id"]].append((r["vec_id"], r["score"]))
     use = [r for r in dict((i, (i, v)) for i, v in rows if i is not None).values() if r[1] and len(r[1]) == 2 and None not in r[1] and np.isfinite(r[1]).all() and any(r[1])]
     want = brute_neighbours(use, [r for r in use if r[0] % 20 == 0], 20)
