@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark import StorageLevel
@@ -26,13 +27,15 @@ def local_session(app: str = "cohortry", cpus: int | str = "*", shuffle: int = 8
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder the cluster names; a private one only where none is set (tests)."""
+    """The shared checkpoint folder the cluster names. Only a local session without one gets a folder of its own; elsewhere executors would not see it."""
     sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    current = sc.getCheckpointDir()
-    if current:
+    if current := sc.getCheckpointDir():
         return current
-    folder = named or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    if not folder:
+        if not re.fullmatch(r"local(\[[^]]*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     sc.setCheckpointDir(folder)
     return folder
 

@@ -43,10 +43,12 @@ def test_grouped_splits_keep_groups_whole(spark, cohort):
     assert "group_on_both_sides" in bad(S.check_splits(plain, cohort, "unit", "label", 5, "grp"))
 
 
-def test_grouped_folds_beyond_the_greedy_limit(spark, cohort):
-    f = cohort.join(S.grouped_folds(cohort, "grp", "label", 5, [1], limit=10), "grp")
-    n = f.groupBy("fold").agg(F.count("*").alias("n"), F.countDistinct("grp").alias("g")).toPandas()
-    assert n.n.sum() == 300 and n.g.sum() == 40 and len(n) == 5
+def test_grouped_folds_deal_every_group_once(spark, cohort):
+    f = S.grouped_folds(cohort, "grp", "label", 5, [1, 2])
+    assert f.groupBy("seed").agg(F.count("*").alias("n"), F.countDistinct("grp").alias("g")).select("n", "g").distinct().collect() == [(40, 40)]
+    n = cohort.join(f.filter("seed = 1"), "grp").groupBy("fold").agg(F.count("*").alias("n")).toPandas()
+    assert n.n.sum() == 300 and len(n) == 5 and n.n.max() - n.n.min() <= 12
+    assert S.grouped_folds(cohort.repartition(7), "grp", "label", 5, [1, 2]).exceptAll(f).isEmpty()
 
 
 def test_stratum_merge_sizes(spark):
