@@ -55,16 +55,56 @@ def chi2_test(df: DataFrame, a: str, b: str) -> DataFrame:
     return chi2_from_counts(c, [], a, b)
 
 
+def _tail(x: int, way: int, lo: int, hi: int, ratio) -> float:
+    """Sum of p(x), p(x + way), ... to the end of the support, over p(x); stops where the terms vanish. Blocks bound the memory."""
+    total, last, block = 0.0, 1.0, 65_536
+    while lo <= x <= hi:
+        at = np.arange(x, min(hi + 1, x + block) if way > 0 else max(lo - 1, x - block), way, dtype=float)
+        terms = last * np.concatenate([[1.0], np.cumprod(ratio(at[:-1]))])
+        total += float(terms.sum())
+        if terms[-1] < 1e-18 * total:
+            break
+        last = terms[-1] * float(ratio(at[-1:])[0])
+        x = int(at[-1]) + way
+    return total
+
+
 def _fisher(a: float, b: float, c: float, d: float) -> float:
-    """Two-sided hypergeometric p: sum of all tables no likelier than the observed one."""
-    n1, n2, k = a + b, c + d, a + c
+    """Two-sided hypergeometric p: sum of all tables no likelier than the observed one. Sums run outward from the mode and from the two ends of the likelier tables, so
+    work follows the width of the distribution and not the table."""
+    a, n1, n2, k = int(a), int(a + b), int(c + d), int(a + c)
     lo, hi = max(0, k - n2), min(k, n1)
-    x = np.arange(lo, hi + 1)
-    lg = np.vectorize(math.lgamma, otypes=[float])
-    logp = -(lg(x + 1) + lg(n1 - x + 1) + lg(k - x + 1) + lg(n2 - k + x + 1))
-    logp -= logp.max()
-    p = np.exp(logp)
-    return float(p[p <= p[int(a - lo)] * (1 + 1e-7)].sum() / p.sum())
+
+    def logp(x: int) -> float:
+        return -(math.lgamma(x + 1) + math.lgamma(n1 - x + 1) + math.lgamma(k - x + 1) + math.lgamma(n2 - k + x + 1))
+
+    def up(x):
+        return (n1 - x) * (k - x) / ((x + 1) * (n2 - k + x + 1))
+
+    def down(x):
+        return x * (n2 - k + x) / ((n1 - x + 1) * (k - x + 1))
+
+    mode = min(hi, max(lo, (n1 + 1) * (k + 1) // (n1 + n2 + 2)))
+    whole = _tail(mode, 1, lo, hi, up) + _tail(mode - 1, -1, lo, hi, down) * (float(down(mode)) if mode > lo else 0.0)
+    bound = logp(a) + 1e-7
+    # p is monotone on both sides of the mode: the last x below it, and the first above it, that is no likelier than a
+    left, right = lo - 1, mode + 1
+    i, j = lo - 1, mode
+    while j - i > 1:
+        m = (i + j) // 2
+        i, j = (m, j) if logp(m) <= bound else (i, m)
+    left = i
+    i, j = mode - 1 if logp(mode) <= bound else mode, hi + 1
+    while j - i > 1:
+        m = (i + j) // 2
+        i, j = (m, j) if logp(m) > bound else (i, m)
+    right = j
+    out = 0.0
+    if left >= lo:
+        out += math.exp(logp(left) - logp(mode)) * _tail(left, -1, lo, hi, down)
+    if right <= hi:
+        out += math.exp(logp(right) - logp(mode)) * _tail(right, 1, lo, hi, up)
+    return min(1.0, out / whole)
 
 
 @F.pandas_udf(DoubleType())

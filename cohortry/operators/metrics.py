@@ -365,3 +365,12 @@ def paired_chain_diff(df: DataFrame, entity: str, chain: str, x: str, a, b) -> D
         F.avg(F.when(F.col(chain) == a, F.col(x))).alias("_a"), F.avg(F.when(F.col(chain) == b, F.col(x))).alias("_b")
     )
     return g.filter(F.col("_a").isNotNull() & F.col("_b").isNotNull()).select(entity, (F.col("_a") - F.col("_b")).alias("diff"))
+
+
+def paired_mean_interval(diffs: DataFrame, weights: DataFrame, unit: str, x: str = "diff", least: int = 5) -> DataFrame:
+    """M24. Mean of the paired differences with a bootstrap interval over entities; NULL below `least` entities."""
+    point = diffs.agg(F.count(x).cast("long").alias("n_entities"), F.avg(x).alias("mean_diff"))
+    draws = diffs.join(weights, unit).groupBy("b").agg((F.sum(F.col(x) * F.col("w")) / F.sum("w")).alias("m"))
+    out = attach_one(point, interval(draws, "m", []))
+    enough = F.col("n_entities") >= least
+    return out.withColumns({c: F.when(enough, F.col(c)) for c in ("mean_diff", "ci_low", "ci_high")})

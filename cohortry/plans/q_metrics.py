@@ -324,11 +324,15 @@ def m23(spark, sf):
 
 
 @query("m24_paired_chain_diff", oracle(["slot_rows"], """
-select count(*) as n_entities, round(avg(d),6) as mean_diff from (select entity, avg(case when chain='x' then dur end)-avg(case when chain='y' then dur end) as d
- from slot_rows group by 1 having count(distinct chain)=2)"""))
+select (select count(*) from u) as n_entities, (select round(avg(d),6) from u) as mean_diff, round(quantile_cont(m,0.025),6) as ci_low, round(quantile_cont(m,0.975),6) as ci_high from
+ (select b, avg(d) as m from pk join u using (idx) group by 1)""",
+ f"""u as (select entity, d, row_number() over (order by {h60_sql('entity')}, entity)-1 as idx, count(*) over () as n from (select entity, avg(case when chain='x' then dur end)-avg(case when chain='y' then dur end) as d
+  from slot_rows group by 1 having count(distinct chain)=2) where d is not null),
+ pk as (select b, {h60_sql('b', 'idx', "'chain'")} % n as idx from u, (select unnest(range(0,{B})) as b))"""))
 def m24(spark, sf):
-    d = M.paired_chain_diff(V.slot_rows(spark, sf), "entity", "chain", "dur", "x", "y")
-    return d.agg(F.count(F.lit(1)).cast("long").alias("n_entities"), r6(F.avg("diff"), "mean_diff"))
+    d = shared(M.paired_chain_diff(V.slot_rows(spark, sf), "entity", "chain", "dur", "x", "y"))
+    g = M.paired_mean_interval(d, bootstrap_weights(d, "entity", B, "chain"), "entity")
+    return g.select("n_entities", *[r6(c, c) for c in ("mean_diff", "ci_low", "ci_high")])
 
 
 @query("m25_stratum_sizes", oracle(["timebound"], """

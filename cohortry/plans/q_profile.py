@@ -298,7 +298,10 @@ def t01(spark, sf):
     return a.unionByName(T.chi2_test(h, "half", "label").withColumn("pair", F.lit("half"))).withColumn("chi2", r6("chi2"))
 
 
-@query("t02_fisher_exact")
+@query("t02_fisher_exact", oracle(["cohort"], """select stratum, a, b, c, d, round(sum(case when lp<=lo+1e-7 then exp(lp-top) else 0 end)/sum(exp(lp-top)),6) as p from
+ (select *, max(lp) over (partition by stratum) as top, max(case when x=a then lp end) over (partition by stratum) as lo from
+  (select *, -(lgamma(x+1)+lgamma(a+b-x+1)+lgamma(a+c-x+1)+lgamma(d-a+x+1)) as lp from (select *, unnest(range(greatest(0,a-d), least(a+c,a+b)+1)) as x from t))) group by all""",
+ "t as (select stratum, count(*) filter (toxic=1 and label=1) as a, count(*) filter (toxic=1 and label=0) as b, count(*) filter (toxic=0 and label=1) as c, count(*) filter (toxic=0 and label=0) as d from cohort where toxic is not null and label is not null group by 1)"))
 def t02(spark, sf):
     c = V.cohort(spark, sf)
     return T.fisher_exact(c, "toxic", "label", ["stratum"]).withColumn("p", r6("p"))
