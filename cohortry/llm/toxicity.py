@@ -1,11 +1,14 @@
 """Toxicity score: a factorization machine over hashed terms.
 
 score(x) = sigmoid(b + sum_j w_j x_j + sum_{i<j} <v_i, v_j> x_i x_j), x_j = 1 if the text holds term j. Terms are lower-case words and their first four,
-five and six letters, hashed to 2^40 places; the machine keeps the places whose presence differs most between the labels.
+five and six letters, hashed to 2^40 places, and each place once more for a second and for a third distinct word there; the machine keeps the places whose
+presence differs most between the labels (likelihood ratio).
 """
 
 from __future__ import annotations
 
+import collections
+import itertools
 import math
 import re
 from collections.abc import Iterable, Iterator
@@ -21,9 +24,12 @@ from .common import WordTable, id_text, slices
 
 #: Labelled rows at most that the fit reads; terms that the machine keeps; dimension of the interaction vectors.
 SAMPLE, TERMS, RANK = 20_000, 4096, 4
+#: Likelihood ratio (chi-square, one degree of freedom) from which a term is kept: weaker terms would fit the sample by chance.
+LEAST_RATIO = 6.0
 CACHED_WORDS = 400_000
 _WORD = re.compile(r"[^\W\d_]+")
 _PLACES = (1 << 40) - 1
+_TWICE, _THRICE = 1 << 40, 1 << 41
 
 
 def word_terms(word: str) -> tuple[int, ...]:
@@ -40,7 +46,9 @@ class Terms:
 
     def _learn(self, new: list[str]) -> list[tuple[int, ...]]:
         kept = self.kept
-        return list(map(word_terms, new)) if kept is None else [tuple([kept[t] for t in word_terms(w) if t in kept]) for w in new]
+        if kept is None:
+            return list(map(word_terms, new))
+        return [tuple([t for t in word_terms(w) if t in kept or t ^ _TWICE in kept or t ^ _THRICE in kept]) for w in new]
 
     def of(self, text: str) -> set[int]:
         return self.of_all([text])[0]
@@ -48,7 +56,13 @@ class Terms:
     def of_all(self, texts: Iterable[str]) -> list[set[int]]:
         words = [set(_WORD.findall(t.lower())) for t in texts]
         self.known.hold(set().union(*words))
-        out = [set().union(*filter(None, map(self.known.__getitem__, some))) for some in words]
+        look, out = self.known.__getitem__, []
+        for some in words:
+            times = collections.Counter(itertools.chain.from_iterable(filter(None, map(look, some))))
+            if self.kept is None:
+                out.append(set(times).union([t ^ _TWICE for t, n in times.items() if n > 1], [t ^ _THRICE for t, n in times.items() if n > 2]))
+            else:
+                out.append({i for t, n in times.items() for i in (self.kept.get(t), self.kept.get(t ^ _TWICE) if n > 1 else None, self.kept.get(t ^ _THRICE) if n > 2 else None) if i is not None})
         self.known.settle()
         return out
 
@@ -80,7 +94,7 @@ def raw(bias: float, w: np.ndarray, v: np.ndarray, at: np.ndarray, index: np.nda
     return z, sums
 
 
-def fit_rows(y: np.ndarray, rows: list[np.ndarray], places: dict[int, int], rank: int = RANK, steps: int = 250, rate: float = 0.05, l2: float = 1e-5) -> Machine:
+def fit_rows(y: np.ndarray, rows: list[np.ndarray], places: dict[int, int], rank: int = RANK, steps: int = 400, rate: float = 0.03, l2: float = 5e-5) -> Machine:
     """Full-batch Adam on the mean logistic loss, labels weighted to equal halves up to a factor of four."""
     n, m = len(y), max(1, len(places))
     at = np.repeat(np.arange(n), [len(r) for r in rows])
@@ -102,8 +116,8 @@ def fit_rows(y: np.ndarray, rows: list[np.ndarray], places: dict[int, int], rank
         values = [bias, w, v]
         for k in range(3):
             first[k] = 0.9 * first[k] + 0.1 * grads[k]
-            second[k] = 0.999 * second[k] + 0.001 * grads[k] ** 2
-            values[k] = values[k] - rate * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-9)
+            second[k] = 0.97 * second[k] + 0.03 * grads[k] ** 2
+            values[k] = values[k] - rate * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.97**step)) + 1e-9)
         bias, w, v = values
     return Machine(float(bias), places, w, v)
 
@@ -139,9 +153,14 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, terms: int = T
         if not (n0 and n1):
             share = n1 / (n0 + n1) if n0 + n1 else 0.0
             return Machine(math.log((share + 1e-6) / (1 - share + 1e-6)), {}, np.zeros(1), np.zeros((1, RANK)))
-        odds = F.log((F.col("n1") + 0.5) * (n0 + 1.0) / ((F.col("n0") + 0.5) * (n1 + 1.0)))
-        places = known.mapInPandas(count, "place long, n0 long, n1 long").groupBy("place").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).filter("n0 + n1 >= 2").select(
-            "place", F.abs(odds / F.sqrt(1 / (F.col("n1") + 0.5) + 1 / (F.col("n0") + 0.5))).alias("z")).filter("z > 2").orderBy(F.desc("z"), "place").limit(terms)
+        share, a, b = n1 / (n0 + n1), F.col("n0"), F.col("n1")
+
+        def part(x: F.Column, expected: F.Column) -> F.Column:
+            return F.when(x > 0, x * F.log(x / expected)).otherwise(0.0)
+
+        ratio = 2 * (part(b, (a + b) * share) + part(a, (a + b) * (1 - share)) + part(n1 - b, (n0 + n1 - a - b) * share) + part(n0 - a, (n0 + n1 - a - b) * (1 - share)))
+        counted = known.mapInPandas(count, "place long, n0 long, n1 long").groupBy("place").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+        places = counted.filter("n0 + n1 >= 2").select("place", ratio.alias("ratio")).filter(F.col("ratio") > LEAST_RATIO).orderBy(F.desc("ratio"), "place").limit(terms)
         kept = {r["place"]: i for i, r in enumerate(places.collect())}
 
         def rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
