@@ -73,12 +73,21 @@ def _kinds(value: str) -> int:
     return sum(map(bool, (re.search("[a-z]", value), re.search("[A-Z]", value), re.search("[0-9]", value), re.search("[^A-Za-z0-9]", value[1:-1]))))
 
 
-def find(text: str) -> list[tuple[str, int, int]]:
+def _values(text: str) -> Iterator[tuple[int, int]]:
+    """Start and end of the values in a credential context, by start. Closing punctuation is no part of them."""
+    for m in CONTEXT.finditer(text):
+        value = re.split(r"""["'`<>,;]""", m[1])[0].rstrip(".!?:)]}")
+        if len(value) >= 6:
+            yield m.start(1), m.start(1) + len(value)
+
+
+def find(text: str, tails: bool = False) -> list[tuple[str, int, int]]:
     """All spans (kind, start, end), by start, then in the order of KINDS.
 
-    assign: the whole match, if its value has 6 characters or more; access: 20 or more; hex: 24 or more. guess: a value in a credential context that no
-    other span covers, of 6 to 200 visible ASCII characters, with two kinds of characters or more (lower, upper, digit, other), whose guess cost is at
-    least 10 (ten thousand million guesses). Closing punctuation is no part of it.
+    assign: the whole match, if its value has 6 characters or more; access: 20 or more; hex: 24 or more. guess: a value in a credential context that lies
+    in none of the other spans (it may overlap them), of 6 to 200 visible ASCII characters, with two kinds of characters or more (lower, upper, digit,
+    other), whose guess cost is at least 10 (ten thousand million guesses). Closing punctuation is no part of it. With `tails`, a value of any cost that
+    starts in one of the other spans and ends after it is a guess span too: it is the rest of what that span holds for a secret.
     """
     spans: list[tuple[int, int, int]] = []
     low = text.lower()
@@ -89,10 +98,13 @@ def find(text: str) -> list[tuple[str, int, int]]:
         spans += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text)]
     spans += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
     if hinted:
-        for m in CONTEXT.finditer(text):
-            value = re.split(r"""["'`<>,;]""", m[1])[0].rstrip(".!?:)]}")
-            a, b = m.start(1), m.start(1) + len(value)
-            if len(value) >= 6 and not any(s < b and a < e for s, k, e in spans if k < 3) and _kinds(value) >= 2 and guess_cost(value) >= LEAST_COST:
+        base, i, reach = sorted(spans), 0, 0
+        for a, b in _values(text):
+            while i < len(base) and base[i][0] <= a:
+                reach = max(reach, base[i][2])
+                i += 1
+            value = text[a:b]
+            if b > reach and (tails and a < reach or _kinds(value) >= 2 and guess_cost(value) >= LEAST_COST):
                 spans.append((a, 3, b))
     return [(KINDS[k], s, e) for s, k, e in sorted(spans)]
 
@@ -119,13 +131,13 @@ def scan(docs: DataFrame) -> DataFrame:
 
 
 def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
-    """The documents, all columns kept, with each secret span (overlapping ones as one) replaced by `mark`; n_chars, where it is a column, follows the new text.
+    """The documents, all columns kept, with each secret span (overlapping ones as one, to the end of the value) replaced by `mark`; n_chars, where it is a column, follows the new text.
     Null texts stay null."""
     def hide(text: str | None) -> str | None:
         if not text:
             return text
         out, at = [], 0
-        for _, s, e in find(text):
+        for _, s, e in find(text, tails=True):
             if s >= at:
                 out += [text[at:s], mark]
             at = max(at, e)

@@ -228,3 +228,15 @@ def test_sampler_is_consistent_when_its_table_is_emptied():
     wide, tight = cws.Sampler(64), cws.Sampler(64, room=40)
     for t in words + words:
         assert (wide.signature(t) == tight.signature(t)).all()
+
+
+def hidden(spark, *texts):
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return [r["text"] for r in secretscan.redact(rows).orderBy("doc_id").collect()]
+
+
+def test_secret_value_that_goes_on_after_a_base_span(spark):
+    assert secretscan.find("password: Summer2024!x#9Q") == [("assign", 0, 20), ("guess", 10, 25)]
+    assert secretscan.find("password: x7Kq9vZ2pLmW3") == [("assign", 0, 23)]
+    assert secretscan.find("password: Summer2024!x") == [("assign", 0, 20)]
+    assert hidden(spark, "a password: Summer2024!x#9Q b", "a password: Summer2024!x b", "a password: Summer2024! b") == ["a [SECRET] b", "a [SECRET] b", "a [SECRET]! b"]
