@@ -18,8 +18,10 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex", "guess")
-#: Where a credential value may stand: a credential word, then a separator or "is", then anything up to white space or a quote.
-CONTEXT = re.compile(r"""(?:password|passwd|passphrase|pwd|secret|token|api[_ -]?key|credentials?|bearer)["']?(?:\x20*[:=]\x20*|\x20+is\x20+|\x20+)["'`]?([!-~]{6,200})""", re.ASCII | re.IGNORECASE)
+#: What stands before a credential value: a credential word, then a separator or "is", then perhaps a quote.
+CONTEXT = re.compile(r"""(?:password|passwd|passphrase|pwd|secret|token|api[_ -]?key|credentials?|bearer)["']?(?:\x20*[:=]\x20*|\x20+is\x20+|\x20+)["'`]?""", re.ASCII | re.IGNORECASE)
+#: Where a value ends: at a quote, angle bracket, comma, semicolon, or anything but visible ASCII.
+STOP = re.compile(r"""["'`<>,;]|[^!-~]""")
 HINTS = ("passw", "passp", "pwd", "secret", "token", "api", "credential", "bearer")
 #: Common words of passwords, the likeliest first.
 WORDS = """password qwerty admin welcome login letmein monkey dragon master secret shadow sunshine princess football baseball superman iloveyou
@@ -74,11 +76,18 @@ def _kinds(value: str) -> int:
 
 
 def _values(text: str) -> Iterator[tuple[int, int]]:
-    """Start and end of the values in a credential context, by start. Closing punctuation is no part of them."""
+    """Start and end of the values in a credential context, by start. Each context has its value, also one that stands in the value of another.
+    Closing punctuation is no part of them."""
+    end = 0
     for m in CONTEXT.finditer(text):
-        value = re.split(r"""["'`<>,;]""", m[1])[0].rstrip(".!?:)]}")
-        if len(value) >= 6:
-            yield m.start(1), m.start(1) + len(value)
+        a = m.end()
+        if a >= end:
+            end = m.start() if (m := STOP.search(text, a)) else len(text)
+        b = min(end, a + 200)
+        while b > a and text[b - 1] in ".!?:)]}":
+            b -= 1
+        if b - a >= 6:
+            yield a, b
 
 
 def find(text: str, tails: bool = False) -> list[tuple[str, int, int]]:

@@ -240,3 +240,15 @@ def test_secret_value_that_goes_on_after_a_base_span(spark):
     assert secretscan.find("password: x7Kq9vZ2pLmW3") == [("assign", 0, 23)]
     assert secretscan.find("password: Summer2024!x") == [("assign", 0, 20)]
     assert hidden(spark, "a password: Summer2024!x#9Q b", "a password: Summer2024!x b", "a password: Summer2024! b") == ["a [SECRET] b", "a [SECRET] b", "a [SECRET]! b"]
+
+
+def test_every_credential_of_an_unbroken_run_is_judged(spark):
+    def guessed(text):
+        return [text[s:e] for k, s, e in secretscan.find(text) if k == "guess"]
+
+    value = "x7#Kq9!vZ2pL"
+    for text in ['{"password":"ab","token":"%s"}', "secret token: %s", "secret password is %s", "pwd=ab;token=%s;x=1", "pwd=ab,bearer %s", "a?pwd=ab&token=%s", "token token %s."]:
+        assert value in guessed(text % value), text
+    assert guessed(f'{{"pwd":"{value}","passphrase":"{value[::-1]}"}}') == [value, value[::-1]]
+    assert guessed(f"pwd=a&token={value}") == [f"a&token={value}", value]
+    assert hidden(spark, f'{{"password":"ab","token":"{value}"}}', f"secret token: {value}!") == ['{"password":"ab","token":"[SECRET]"}', "secret token: [SECRET]!"]
