@@ -34,18 +34,18 @@ NEXT = {(a, b) for row in ROWS for a, b in [*zip(row, row[1:], strict=False), *z
 DATE = re.compile(r"(?:(?:19|20)\d\d(?:[-/._]?(?:0?[1-9]|1[0-2])(?:[-/._]?(?:0?[1-9]|[12]\d|3[01]))?)?|(?:0?[1-9]|[12]\d|3[01])[-/._]?(?:0?[1-9]|1[0-2])[-/._]?(?:19|20)?\d\d)$")
 LEET = str.maketrans("@4301$5!7", "aaeoissit")
 LEAST_COST = 10.0
-LONGEST = 200
 
 
 def _alphabet(c: str) -> float:
     return math.log10(10 if c.isdigit() else 26 if c.islower() else 26 if c.isupper() else 33)
 
 
-def guess_cost(value: str) -> float:
+def guess_cost(value: str, enough: float = math.inf) -> float:
     """log10 of the guesses for the cheapest segmentation of a value into words, dates, repeats, keyboard walks and single guessed characters.
 
     Each span costs log10 of its own guesses (a word: its rank, times two for capitals and two for swapped characters; a date: days of 100 years, or years;
     a repeat: its unit, times its count; a walk: 40 starts, times three directions for each turn). Every further span costs another log10(2).
+    Infinite as soon as every segmentation of the value's beginning, and so of any longer value, costs `enough` or more.
     """
     n = len(value)
     low = value.lower()
@@ -68,6 +68,8 @@ def guess_cost(value: str) -> float:
                 cost = min(cost, math.log10(40) + math.log10(size) + 0.2 * turns)
             if cost < math.inf:
                 best[end] = min(best[end], best[start] + cost + (0.3 if start else 0))
+        if best[end] >= enough and min(best[max(0, end - 23):end + 1]) >= enough:
+            return math.inf
     return best[n]
 
 
@@ -75,6 +77,18 @@ def _kinds(value: str) -> int:
     return sum(map(bool, (re.search("[a-z]", value), re.search("[A-Z]", value), re.search("[0-9]", value), re.search("[^A-Za-z0-9]", value[1:-1]))))
 
 
+def _secret(text: str, a: int, b: int) -> bool:
+    """Whether the value text[a:b] has two kinds of characters and a guess cost of LEAST_COST or more. Of a long value, no more is read than decides."""
+    if _kinds(text[a:min(b, a + 200)]) < 2 and _kinds(text[a:b]) < 2:
+        return False
+    size = 200
+    while a + size < b:
+        if guess_cost(text[a:a + size], LEAST_COST) == math.inf:
+            return True
+        size *= 4
+    return guess_cost(text[a:b], LEAST_COST) >= LEAST_COST
+
+
 def _values(text: str) -> Iterator[tuple[int, int]]:
     """Start and end of the values in a credential context, by start. Each context has its value, also one that stands in the value of another.
     Closing punctuation is no part of them."""
@@ -83,7 +97,7 @@ def _values(text: str) -> Iterator[tuple[int, int]]:
         a = m.end()
         if a >= end:
             end = m.start() if (m := STOP.search(text, a)) else len(text)
-        b = min(end, a + 200)
+        b = end
         while b > a and text[b - 1] in ".!?:)]}":
             b -= 1
         if b - a >= 6:
@@ -94,7 +108,7 @@ def find(text: str, tails: bool = False) -> list[tuple[str, int, int]]:
     """All spans (kind, start, end), by start, then in the order of KINDS.
 
     assign: the whole match, if its value has 6 characters or more; access: 20 or more; hex: 24 or more. guess: a value in a credential context that lies
-    in none of the other spans (it may overlap them), of 6 to 200 visible ASCII characters, with two kinds of characters or more (lower, upper, digit,
+    in none of the other spans (it may overlap them), of 6 visible ASCII characters or more, with two kinds of characters or more (lower, upper, digit,
     other), whose guess cost is at least 10 (ten thousand million guesses). Closing punctuation is no part of it. With `tails`, a value of any cost that
     starts in one of the other spans and ends after it is a guess span too: it is the rest of what that span holds for a secret.
     """
@@ -112,8 +126,7 @@ def find(text: str, tails: bool = False) -> list[tuple[str, int, int]]:
             while i < len(base) and base[i][0] <= a:
                 reach = max(reach, base[i][2])
                 i += 1
-            value = text[a:b]
-            if b > reach and (tails and a < reach or _kinds(value) >= 2 and guess_cost(value) >= LEAST_COST):
+            if b > reach and (tails and a < reach or _secret(text, a, b)):
                 spans.append((a, 3, b))
     return [(KINDS[k], s, e) for s, k, e in sorted(spans)]
 

@@ -252,3 +252,13 @@ def test_every_credential_of_an_unbroken_run_is_judged(spark):
     assert guessed(f'{{"pwd":"{value}","passphrase":"{value[::-1]}"}}') == [value, value[::-1]]
     assert guessed(f"pwd=a&token={value}") == [f"a&token={value}", value]
     assert hidden(spark, f'{{"password":"ab","token":"{value}"}}', f"secret token: {value}!") == ['{"password":"ab","token":"[SECRET]"}', "secret token: [SECRET]!"]
+
+
+def test_long_secret_is_one_whole_span(spark):
+    rng = random.Random(5)
+    for n in (200, 201, 600, 50_000):
+        value = "".join(rng.choices("abcxyzABCXYZ0123456789-_.", k=n - 1)) + "Z"
+        assert secretscan.find(f"Authorization: Bearer {value} ok") == [("guess", 22, 22 + n)]
+    assert hidden(spark, f"Authorization: Bearer {value} ok", f"pwd={value}") == ["Authorization: Bearer [SECRET] ok", "pwd=[SECRET]"]
+    for value in ("P@ssw0rd", "summer2024welcome", "x7#Kq9!vZ2pL", "qwertyuiop19840712", "passwordx7#Kq9"):
+        assert (secretscan.guess_cost(value, 10) >= 10) == (secretscan.guess_cost(value) >= 10)
