@@ -21,6 +21,7 @@ from .q_splits import CTX, NESTED, STRATA, nested, strata
 from .registry import auc_sql, oracle, query
 
 K = 5
+DRAWS = 1000
 GRID = (1e-3, 1e-2, 0.1, 1.0, 10.0, 100.0)
 FEATS = ["covariate", "n_lines", "n_digits", "uniq"]
 
@@ -54,7 +55,7 @@ def m08(spark, sf):
 @query("m16_compare_arms")
 def m16(spark, sf):
     p = shared(fused(spark, sf))
-    w = bootstrap_weights(p.select("unit").distinct(), "unit", 50, "boot")
+    w = bootstrap_weights(p.select("unit").distinct(), "unit", DRAWS, "boot")
     c = G.compare_arms(p, w, PAIRS, "label", "unit", RATIO)
     return c.select(*[F.round(n, 6).alias(n) if t == "double" else F.col(n) for n, t in c.dtypes])
 
@@ -194,14 +195,14 @@ def g14(spark, sf):
 @query("g15_bootstrap_or")
 def g15(spark, sf):
     t, names = context(spark, sf)
-    o = I.bootstrap_or(t, names, list(V.ARMS), "label", "unit", 100, "or")
+    o = I.bootstrap_or(t, names, list(V.ARMS), "label", "unit", DRAWS, "or")
     return o.select("score", "draws", "usable", r6("low", "low"), r6("high", "high"))
 
 
 @query("g16_lr_difference")
 def g16(spark, sf):
     t, names = context(spark, sf)
-    return frame(spark, I.lr_difference(t, names, "context", "noise", "label", "unit", 20, "lr"))
+    return frame(spark, I.lr_difference(t, names, "context", "noise", "label", "unit", DRAWS, "lr"))
 
 
 @query("g17_fit_clogit")
@@ -226,13 +227,13 @@ def g19(spark, sf):
 @query("g20_partial_permutation_test")
 def g20(spark, sf):
     t, names = context(spark, sf)
-    return frame(spark, I.partial_permutation_test(t, names, "context", "label", "unit", 100, "pp"))
+    return frame(spark, I.partial_permutation_test(t, names, "context", "label", "unit", DRAWS, "pp"))
 
 
 @query("g21_confound_test")
 def g21(spark, sf):
     t, names = context(spark, sf)
-    parts = [I.confound_test(t, names[0], "signal", "label", "unit", 40, "cf", k) for k in ("partial", "full")]
+    parts = [I.confound_test(t, names[0], "signal", "label", "unit", DRAWS, "cf", k) for k in ("partial", "full")]
     return frame(spark, pd.concat(parts, ignore_index=True))
 
 

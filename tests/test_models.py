@@ -1,11 +1,15 @@
 """Batched Newton, penalised and conditional fits against published constants, and planted-truth probes."""
 
+from unittest import mock
+
 import numpy as np
 import pandas as pd
 import pytest
 
+from cohortry.functions import hashing
 from cohortry.operators import inference as I
 from cohortry.operators.glm import Spec, design, fit_many
+from cohortry.plans import q_models
 
 # Published coefficients, and likelihood-ratio chi-squares, for tables drawn with these seeds. The constants hold only for exactly these draws, so the
 # order of the draws and the true model are fixed values as well.
@@ -174,3 +178,35 @@ def test_increment_lines_against_direct_formulas(spark):
         if name == "gain":
             gaps = [fit(g != k).coef[2] - full.coef[2] for k in range(10)]
             assert np.isclose(out.loc[(name, "cluster_jackknife"), "std_error"] ** 2, 9 / 10 * np.sum(np.square(gaps)), rtol=1e-3)
+
+
+def test_draw_codes_are_poisson_weights_of_the_pass(spark):
+    codes, draws = np.arange(4000, dtype=np.int64) * 7919 + 12345, np.arange(200)
+    w = hashing.poisson_np(codes, draws)
+    assert abs(w.mean() - 1) < 0.01 and abs(w.var() - 1) < 0.01 and np.abs(np.corrcoef(w[:, :8].T) - np.eye(8)).max() < 0.08
+    assert (hashing.poisson_np(codes[7:9], draws[3:5]) == w[7:9, 3:5]).all()
+    rng = np.random.default_rng(1)
+    pdf = pd.DataFrame({"key": "a", "x": [[1.0, v] for v in rng.normal(size=300)], "y": rng.integers(0, 2, 300).astype(float), "draw": codes[:300]})
+    listed = pdf.drop(columns="draw").assign(w=[list(r) for r in w[:300, :3]])
+    specs = [Spec(str(b), rep=b) for b in (-1, 0, 1, 2)]
+    one, two = (fit_many(spark.createDataFrame(p), specs, firth=True) for p in (pdf, listed))
+    assert all(np.allclose(one[f].coef, two[f].coef, atol=1e-6) for f in two) and len({round(float(f.coef[1]), 9) for f in one.values()}) == 4
+
+
+def test_intervals_and_permutation_tests_take_1000_replicates(monkeypatch):
+    class Asked(Exception):
+        pass
+
+    def ask(*args, **_):
+        raise Asked(args)
+
+    monkeypatch.setattr(q_models, "context", lambda spark, sf: (None, ["a"]))
+    monkeypatch.setattr(q_models, "shared", lambda df: mock.MagicMock())
+    monkeypatch.setattr(q_models, "fused", lambda spark, sf: None)
+    monkeypatch.setattr(q_models, "bootstrap_weights", ask)
+    for name in ("bootstrap_or", "lr_difference", "partial_permutation_test", "confound_test"):
+        monkeypatch.setattr(q_models.I, name, ask)
+    for query in (q_models.m16, q_models.g15, q_models.g16, q_models.g20, q_models.g21):
+        with pytest.raises(Asked) as found:
+            query(None, "")
+        assert max(a for a in found.value.args[0] if isinstance(a, int)) >= 1000
