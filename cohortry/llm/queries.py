@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, cws, nearjoin, packing, perspectives, secretscan, toxicity, unigram_counts, urlrules, wfst
+from . import ann, cws, nearjoin, packing, passages, perspectives, secretscan, toxicity, trie, unigram_counts, urlrules, vectorcodes, wfst
 from .common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -82,3 +82,18 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_secrets")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secretscan.scan(read(spark, sf_dir, "documents"))
+
+
+@query("op11_prefix_trie", trie.oracle())
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.trie(read(spark, sf_dir, "conversations"))
+
+
+@query("op12_vector_codes", vectorcodes.oracle())
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectorcodes.encode(read(spark, sf_dir, "embeddings"))
+
+
+@query("op13_passage_quality")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
