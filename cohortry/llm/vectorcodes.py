@@ -23,7 +23,7 @@ from ..session import cut
 
 PARTS, ENTRIES, ROUNDS = 16, 64, 2
 #: Components that a chunk holds at most, and points in a block.
-CHUNK_COMPONENTS, BLOCK = 1 << 20, 128
+CHUNK_COMPONENTS, BLOCK = 1 << 21, 64
 #: Components beyond this would take squared distances out of 64 bits.
 LARGEST = 1 << 24
 
@@ -122,14 +122,22 @@ def blocks_of(rows: DataFrame, length: int, parts: int) -> DataFrame:
     most = max(1, CHUNK_COMPONENTS // max(1, length))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for ids, labels, x in chunks(frames):
+            made = [Blocks(np.ascontiguousarray(x[:, p])) for p in range(parts)]
+            yield pd.DataFrame({"ids": [ids], "labels": [labels], "points": [[b.points.tobytes() for b in made]], "orders": [[b.order.tobytes() for b in made]]})
+
+    def chunks(frames: Iterator[pd.DataFrame]) -> Iterator[tuple[list, list, np.ndarray]]:
+        ids, labels, held = [], [], []
         for frame in frames:
             for k in range(0, len(frame), most):
                 some = frame.iloc[k:k + most]
-                x = grid(some["embedding"], parts)
-                made = [Blocks(np.ascontiguousarray(x[:, p])) for p in range(parts)]
-                yield pd.DataFrame({
-                    "ids": [some["vec_id"].astype("Int64").tolist()], "labels": [some["label"].tolist()],
-                    "points": [[b.points.tobytes() for b in made]], "orders": [[b.order.tobytes() for b in made]]})
+                if held and len(ids) + len(some) > most:
+                    yield ids, labels, np.concatenate(held)
+                    ids, labels, held = [], [], []
+                ids, labels = ids + some["vec_id"].astype("Int64").tolist(), labels + some["label"].tolist()
+                held.append(grid(some["embedding"], parts))
+        if held:
+            yield ids, labels, np.concatenate(held)
 
     return rows.mapInPandas(run, "ids array<long>, labels array<string>, points array<binary>, orders array<binary>")
 
@@ -152,7 +160,7 @@ def gather(blocks: DataFrame, books: np.ndarray) -> tuple[np.ndarray, np.ndarray
                     counts[p] += n
                     sums[p] += s
         used = np.flatnonzero(counts.ravel())
-        yield pd.DataFrame({"at": used, "n": counts.ravel()[used], "sums": list(sums.reshape(-1, width)[used])})
+        yield pd.DataFrame({"at": used, "n": counts.ravel()[used], "sums": pd.Series(list(sums.reshape(-1, width)[used]), dtype=object)})
 
     each = blocks.select("points", "orders").mapInPandas(run, "at long, n long, sums array<long>")
     flat = each.select("at", F.lit(-1).alias("k"), F.col("n").alias("x")).union(each.select("at", F.posexplode("sums").alias("k", "x")))

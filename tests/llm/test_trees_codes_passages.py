@@ -142,7 +142,7 @@ def test_vector_codes_of_nothing(spark):
 
 def test_blocks_shortlist_keeps_the_winner():
     rng = np.random.default_rng(4)
-    points = rng.integers(-300, 300, (1000, 4)).astype(np.int32)
+    points = (rng.integers(-300, 300, (20, 4))[rng.integers(0, 20, 2000)] + rng.integers(-20, 20, (2000, 4))).astype(np.int32)
     blocks = vectorcodes.Blocks(points)
     book = np.concatenate([rng.integers(-300, 300, (63, 4)), points[:1]]).astype(np.int64)
     far = ((points[:, None].astype(np.int64) - book[None]) ** 2).sum(axis=2)
@@ -150,7 +150,7 @@ def test_blocks_shortlist_keeps_the_winner():
     assert (code == far.argmin(axis=1)).all() and (error == far.min(axis=1)).all()
     counts, sums = blocks.gathered(book)
     assert (counts == np.bincount(code, minlength=64)).all() and (sums[code[0]] == points[code == code[0]].sum(axis=0)).all()
-    assert blocks.shortlists(book).mean() < 0.8
+    assert blocks.shortlists(book).mean() < 0.5
 
 
 def test_attention_gradients():
