@@ -50,6 +50,17 @@ def spaced(text: str, chars: int = SLICE_CHARS) -> Iterator[str]:
     yield text[at:]
 
 
+_HELD: dict[tuple, object] = {}
+
+
+def held_table(key: tuple, make: Callable[[], object]):
+    """What a worker process remembers from task to task. Workers serve one stage after another: the table of another operator goes when a new one is made."""
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
 _LONE_SPACE = re.compile("(?<![ \u2581]) (?![ \u2581])")
 
 

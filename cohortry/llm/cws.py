@@ -8,7 +8,6 @@ probability equal to their generalised Jaccard similarity sum(min(w, w')) / sum(
 from __future__ import annotations
 
 import collections
-import functools
 import hashlib
 import itertools
 from collections.abc import Iterable, Iterator
@@ -21,7 +20,7 @@ from pyspark.sql import functions as F
 
 from ..operators.ordered import BUCKET, value_buckets
 from ..session import bucket_count
-from .common import WordTable, id_text, slices
+from .common import WordTable, held_table, id_text, slices
 
 SLOTS = 64
 CACHED_TERMS = 200_000
@@ -55,10 +54,9 @@ def samples(terms: np.ndarray, weights: np.ndarray, slots: int = SLOTS) -> tuple
     return ln_c - r * (t - b) - r, code.astype(np.uint16)
 
 
-@functools.lru_cache(maxsize=1)
 def sampler_of(slots: int) -> Sampler:
     """One sampler per worker process: what it has learnt serves the next task."""
-    return Sampler(slots)
+    return held_table(("sampler", slots), lambda: Sampler(slots))
 
 
 class Sampler:

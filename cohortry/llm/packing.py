@@ -6,7 +6,6 @@ and Spark deals the pieces out by their rank within their length.
 
 from __future__ import annotations
 
-import functools
 import unicodedata
 import zlib
 from collections.abc import Iterable, Iterator
@@ -18,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..operators.ordered import BUCKET, bucketed_prefix
 from ..session import cut
-from .common import WordTable, id_text, slices, split_all
+from .common import WordTable, held_table, id_text, slices, split_all
 
 CAP = 2048
 CACHED_WORDS = 400_000
@@ -100,10 +99,9 @@ class WordTokens:
         return out
 
 
-@functools.lru_cache(maxsize=1)
 def word_tokens(path: str) -> WordTokens:
     """One table per worker process: what it has learnt serves the next task."""
-    return WordTokens(path)
+    return held_table(("word tokens", path), lambda: WordTokens(path))
 
 
 def token_pieces(docs: DataFrame, path: str, cap: int = CAP) -> DataFrame:
@@ -123,6 +121,41 @@ def token_pieces(docs: DataFrame, path: str, cap: int = CAP) -> DataFrame:
     return id_text(docs).mapInPandas(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
+def exact_complement(left: np.ndarray, length: int) -> list[int] | None:
+    """One to three lengths, none above `length`, that fill the gap of a piece of this length to the cap (the last index of `left`) exactly, under the available counts
+    `left`, the piece itself taken out first; [] where the piece fills the cap, None where there is no such sum. Single lengths come before pairs and
+    pairs before triples; of several the one with the largest length."""
+    gap = len(left) - 1 - length
+
+    def pair(total: int, most: int) -> list[int] | None:
+        high = np.arange(min(total - 1, most), (total + 1) // 2 - 1, -1)
+        if not len(high):
+            return None
+        ok = (left[high] > 0) & (left[total - high] > 0) & ((2 * high != total) | (left[high] > 1))
+        k = int(ok.argmax())
+        return [int(high[k]), total - int(high[k])] if ok[k] else None
+
+    if gap == 0:
+        return []
+    left[length] -= 1
+    try:
+        if gap <= length and left[gap] > 0:
+            return [gap]
+        if two := pair(gap, length):
+            return two
+        for a in np.flatnonzero(left[:min(gap - 2, length) + 1] > 0)[::-1].tolist():
+            if a * 3 < gap:
+                break
+            left[a] -= 1
+            two = pair(gap - a, a)
+            left[a] += 1
+            if two:
+                return [a, *two]
+    finally:
+        left[length] += 1
+    return None
+
+
 def fill(counts: dict[int, int], cap: int = CAP) -> list[tuple[tuple[tuple[int, int], ...], int]]:
     """Sequences for a histogram of lengths: [(((length, how many in one sequence), ...), sequences of this kind)].
 
@@ -139,34 +172,10 @@ def fill(counts: dict[int, int], cap: int = CAP) -> list[tuple[tuple[tuple[int,
         lengths, times = np.unique(need, return_counts=True)
         return int((left[lengths] // times).min())
 
-    def pair(total: int, most: int) -> list[int] | None:
-        """Two available lengths with this sum, the larger at most `most`, as large as can be."""
-        a = np.arange(min(total - 1, most), (total + 1) // 2 - 1, -1)
-        ok = a[(left[a] > 0) & (left[total - a] > 0)] if len(a) else a
-        for x in ok[:4]:
-            if x * 2 != total or left[x] > 1:
-                return [int(x), total - int(x)]
-        return None
-
-    def exact(length: int) -> list[int] | None:
-        gap = cap - length
-        if gap == 0:
-            return []
-        if left[gap] > 0 and fits([length, gap]):
-            return [gap]
-        if (two := pair(gap, length)) and fits([length, *two]):
-            return two
-        for a in np.flatnonzero(left[: min(gap - 1, length) + 1])[::-1]:
-            if a * 3 < gap:
-                break
-            if (two := pair(gap - int(a), int(a))) and fits([length, int(a), *two]):
-                return [int(a), *two]
-        return None
-
     rest: list[tuple[int, int]] = []
     for length in range(cap, 0, -1):
         while left[length]:
-            more = exact(length)
+            more = exact_complement(left, length)
             if more is None:
                 break
             need = [length, *more]

@@ -20,7 +20,7 @@ from .common import id_text, slices, spaced
 
 PASSAGE = 48
 #: Labelled documents and passages that the fit reads at most; size of a passage's code and of the attention's hidden layer.
-SAMPLE, SAMPLE_PASSAGES, CODE, HIDDEN = 8_000, 64_000, 32, 16
+SAMPLE, SAMPLE_PASSAGES, CODE, HIDDEN = 6_000, 24_000, 32, 16
 #: From this score on a document counts as good.
 LEAST = 0.3
 WORD_PLACES = 64
@@ -150,12 +150,12 @@ class Attention:
 def fit_bags(bags: list[np.ndarray], y: np.ndarray, epochs: int = 14, batch: int = 128, rate: float = 0.004, l2: float = 1e-4) -> Attention:
     """Mini-batch Adam on the mean logistic loss of the bags."""
     rng = np.random.default_rng(13)
-    x = np.concatenate(bags).astype(np.float64)
+    x = np.concatenate(bags)
     sizes = np.array([len(b) for b in bags])
     starts = np.cumsum(sizes) - sizes
-    shift, spread = x.mean(axis=0), x.std(axis=0)
+    shift = x.mean(axis=0, dtype=np.float64)
+    spread = np.sqrt(np.maximum(np.square(x).mean(axis=0, dtype=np.float64) - shift**2, 0))
     scale = np.where(spread > 1e-6, 1 / np.maximum(spread, 0.02), 0.0)
-    x = (x - shift) * scale
     share = np.clip(y.mean(), 1e-3, 1 - 1e-3)
     p = {"W": rng.normal(0, 1 / np.sqrt(WIDTH), (WIDTH, CODE)), "b": np.zeros(CODE), "V": rng.normal(0, 0.2, (CODE, HIDDEN)), "U": rng.normal(0, 0.2, (CODE, HIDDEN)),
          "w": rng.normal(0, 0.2, HIDDEN), "c": rng.normal(0, 0.1, CODE), "d": np.array(np.log(share / (1 - share)))}
@@ -166,7 +166,7 @@ def fit_bags(bags: list[np.ndarray], y: np.ndarray, epochs: int = 14, batch: int
             some = turn[k:k + batch]
             n = sizes[some]
             at = np.concatenate([np.arange(starts[i], starts[i] + sizes[i]) for i in some])
-            grads = gradients(p, x[at], n, y[some], l2)[1]
+            grads = gradients(p, (x[at] - shift) * scale, n, y[some], l2)[1]
             step += 1
             for name, g in grads.items():
                 first[name] = 0.9 * first[name] + 0.1 * g

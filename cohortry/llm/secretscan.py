@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import itertools
 import math
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,6 +31,7 @@ WORDS = """password qwerty admin welcome login letmein monkey dragon master secr
 trustno hello freedom whatever test guest user root default changeme example sample token access system server database company summer winter spring
 autumn monday friday january love money flower orange banana computer internet samsung google server pass word""".split()
 RANK = {w: i + 1 for i, w in reversed(list(enumerate(WORDS)))}
+LONGEST_WORD = max(map(len, WORDS))
 ROWS = ("1234567890", "qwertyuiop", "asdfghjkl", "zxcvbnm")
 NEXT = {(a, b) for row in ROWS for a, b in [*zip(row, row[1:], strict=False), *zip(row[1:], row, strict=False)]} | {
     p for up, down in zip(ROWS, ROWS[1:], strict=False) for i, c in enumerate(down) for q in (i, i + 1) if q < len(up) for p in ((c, up[q]), (up[q], c))}
@@ -36,57 +40,120 @@ LEET = str.maketrans("@4301$5!7", "aaeoissit")
 LEAST_COST = 10.0
 
 
+#: Longest word, date, and unit of a repeat; repeats and walks of any length count.
+WINDOW = 24
+
+
 def _alphabet(c: str) -> float:
     return math.log10(10 if c.isdigit() else 26 if c.islower() else 26 if c.isupper() else 33)
 
 
-def guess_cost(value: str, enough: float = math.inf) -> float:
-    """log10 of the guesses for the cheapest segmentation of a value into words, dates, repeats, keyboard walks and single guessed characters.
+class Guesses:
+    """The spans of a value and what they cost, each by log10 of its own guesses.
 
-    Each span costs log10 of its own guesses (a word: its rank, times two for capitals and two for swapped characters; a date: days of 100 years, or years;
-    a repeat: its unit, times its count; a walk: 40 starts, times three directions for each turn). Every further span costs another log10(2).
-    Infinite as soon as every segmentation of the value's beginning, and so of any longer value, costs `enough` or more.
+    A word: its rank, times two for capitals and two for swapped characters; a date: days of 100 years, or years; a repeat: the cost of its unit, times its count (the last one may be cut short); a walk: 40
+    starts, times its length, times 1.6 for each turn. Runs of a unit and of neighbouring keys come from tables, so that a repeat or walk is known to its full length.
     """
-    n = len(value)
-    low = value.lower()
-    plain = low.translate(LEET)
-    walk = [i and (low[i - 1], low[i]) in NEXT for i in range(n)]
+
+    def __init__(self, value: str):
+        self.value, self.n, self.low = value, len(value), value.lower()
+        self.plain = self.low.translate(LEET)
+        self.single = [_alphabet(c) for c in value]
+        n, low = self.n, self.low
+        #: walk_to[i]: end of the walk from i; turns[i]: turns before place i.
+        self.walk_to, self.turns = [n] * n, [0] * (n + 1)
+        for i in range(n - 2, -1, -1):
+            self.walk_to[i] = self.walk_to[i + 1] if (low[i], low[i + 1]) in NEXT else i + 1
+        for i in range(1, n):
+            self.turns[i + 1] = self.turns[i] + (i + 1 < n and ord(low[i + 1]) - ord(low[i]) != ord(low[i]) - ord(low[i - 1]))
+        #: same[u][i]: characters from i that equal the one u later.
+        self.same: dict[int, list[int]] = {}
+        code = np.frombuffer(low.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        for u in range(1, min(WINDOW, n // 2) + 1):
+            differ = np.flatnonzero(code[:-u] != code[u:])
+            stop = np.append(differ, n - u)
+            run = stop[np.searchsorted(stop, np.arange(n - u))] - np.arange(n - u)
+            if (run >= u).any():
+                self.same[u] = run.tolist()
+
+    def spans(self, i: int) -> Iterator[tuple[int, float]]:
+        """(end, cost) of the words, dates, repeats and walks from i. Of repeats and walks, those within the window and the full run."""
+        value, low, plain, n = self.value, self.low, self.plain, self.n
+        for e in range(i + 3, min(n, i + LONGEST_WORD) + 1):
+            if (part := plain[i:e]) in RANK:
+                yield e, math.log10(RANK[part] + 1) + (0.3 if value[i:e] != low[i:e] else 0) + (0.3 if part != low[i:e] else 0)
+        if value[i].isdigit():
+            for e in range(i + 3, min(n, i + 10) + 1):
+                if DATE.match(value, i, e):
+                    yield e, 2.0 if e - i <= 4 else math.log10(36_500) + (0.5 if e - i > 8 else 0)
+        for u, same in self.same.items():
+            if i < len(same) and same[i] >= u:
+                unit, end = _unit_cost(value[i:i + u]), i + u + same[i]
+                for e in {*range(i + max(3, 2 * u), min(end, i + WINDOW) + 1), end}:
+                    if e - i > 2:
+                        yield e, unit + math.log10(-(-(e - i) // u))
+        if (end := self.walk_to[i]) - i > 2:
+            for e in {*range(i + 3, min(end, i + WINDOW) + 1), end}:
+                yield e, math.log10(40) + math.log10(e - i) + 0.2 * (self.turns[e - 1] - self.turns[i + 1])
+
+
+@functools.lru_cache(10_000)
+def _unit_cost(unit: str) -> float:
+    """A repeat's unit is itself made of words, dates, walks and shorter repeats."""
+    return guess_cost(unit)
+
+
+def guess_cost(value: str, enough: float = math.inf) -> float:
+    """log10 of the guesses for the cheapest segmentation of a value into words, dates, repeats, keyboard walks (see `Guesses`) and single guessed characters. Every
+    span but one at the start costs another log10(2). Infinite as soon as every way to reach or pass a place, and so any longer value, costs `enough` or more."""
+    g, n = Guesses(value), len(value)
     best = [0.0] + [math.inf] * n
-    for end in range(1, n + 1):
-        best[end] = best[end - 1] + _alphabet(value[end - 1])
-        for start in range(max(0, end - 24), end - 2):
-            cost, part, size = math.inf, plain[start:end], end - start
-            if part in RANK:
-                cost = math.log10(RANK[part] + 1) + (0.3 if value[start:end] != low[start:end] else 0) + (0.3 if part != low[start:end] else 0)
-            if size <= 10 and value[start].isdigit() and DATE.match(value, start, end):
-                cost = min(cost, 2.0 if size <= 4 else math.log10(36_500) + (0.5 if size > 8 else 0))
-            unit = next((u for u in range(1, size // 2 + 1) if size % u == 0 and low[start:start + u] * (size // u) == low[start:end]), 0)
-            if unit:
-                cost = min(cost, sum(map(_alphabet, value[start:start + unit])) + math.log10(size // unit))
-            if all(walk[start + 1:end]):
-                turns = sum((ord(low[i + 1]) - ord(low[i])) != (ord(low[i]) - ord(low[i - 1])) for i in range(start + 1, end - 1))
-                cost = min(cost, math.log10(40) + math.log10(size) + 0.2 * turns)
-            if cost < math.inf:
-                best[end] = min(best[end], best[start] + cost + (0.3 if start else 0))
-        if best[end] >= enough and min(best[max(0, end - 23):end + 1]) >= enough:
+    far: list[tuple[int, float]] = []
+    for i in range(n):
+        here = best[i]
+        if here >= enough and min(best[i:i + WINDOW + 1]) >= enough and all(c >= enough for e, c in far if e > i):
             return math.inf
+        if here < math.inf:
+            best[i + 1] = min(best[i + 1], here + g.single[i])
+            for e, cost in g.spans(i):
+                total = here + cost + (0.3 if i else 0)
+                if total < best[e]:
+                    best[e] = total
+                    if e > i + WINDOW:
+                        far.append((e, total))
     return best[n]
 
 
+def suffix_costs(value: str) -> list[float]:
+    """guess_cost of value[i:] for every i, in one pass from the end."""
+    g, n = Guesses(value), len(value)
+    best, out = [0.0] * (n + 1), [0.0] * (n + 1)
+    for i in range(n - 1, -1, -1):
+        single = g.single[i] + best[i + 1]
+        span = min((cost + best[e] for e, cost in g.spans(i)), default=math.inf)
+        out[i], best[i] = min(single, span), min(single, span + 0.3)
+    return out
+
+
 def _kinds(value: str) -> int:
     return sum(map(bool, (re.search("[a-z]", value), re.search("[A-Z]", value), re.search("[0-9]", value), re.search("[^A-Za-z0-9]", value[1:-1]))))
 
 
-def _secret(text: str, a: int, b: int) -> bool:
-    """Whether the value text[a:b] has two kinds of characters and a guess cost of LEAST_COST or more. Of a long value, no more is read than decides."""
-    if _kinds(text[a:min(b, a + 200)]) < 2 and _kinds(text[a:b]) < 2:
-        return False
-    size = 200
-    while a + size < b:
-        if guess_cost(text[a:a + size], LEAST_COST) == math.inf:
-            return True
-        size *= 4
-    return guess_cost(text[a:b], LEAST_COST) >= LEAST_COST
+def _secrets(text: str, run: list[tuple[int, int]]) -> list[bool]:
+    """Whether each value text[a:b] of an unbroken run (all end at b) has two kinds of characters and a guess cost of LEAST_COST or more. Of a long value, no more is read
+    than decides; a run with many contexts is judged in one pass from its end."""
+    start, end = run[0]
+    costs = suffix_costs(text[start:end]) if len(run) > 4 and end - start > 100 else None
+    out = []
+    for a, b in run:
+        if _kinds(text[a:min(b, a + 200)]) < 2 and _kinds(text[a:b]) < 2:
+            out.append(False)
+        elif costs is None and b - a > 2000 and guess_cost(text[a:a + 1000], LEAST_COST) < math.inf:
+            costs = suffix_costs(text[start:end])
+            out.append(costs[a - start] >= LEAST_COST)
+        else:
+            out.append((costs[a - start] if costs else guess_cost(text[a:min(b, a + 2000)], LEAST_COST)) >= LEAST_COST)
+    return out
 
 
 def _values(text: str) -> Iterator[tuple[int, int]]:
@@ -122,12 +189,16 @@ def find(text: str, tails: bool = False) -> list[tuple[str, int, int]]:
     spans += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
     if hinted:
         base, i, reach = sorted(spans), 0, 0
-        for a, b in _values(text):
-            while i < len(base) and base[i][0] <= a:
-                reach = max(reach, base[i][2])
-                i += 1
-            if b > reach and (tails and a < reach or _secret(text, a, b)):
-                spans.append((a, 3, b))
+        for _, run in itertools.groupby(_values(text), key=lambda v: v[1]):
+            open_ = []
+            for a, b in run:
+                while i < len(base) and base[i][0] <= a:
+                    reach = max(reach, base[i][2])
+                    i += 1
+                if b > reach:
+                    open_.append((a, b, tails and a < reach))
+            judged = _secrets(text, [(a, b) for a, b, _ in open_]) if any(not sure for _, _, sure in open_) else [True] * len(open_)
+            spans += [(a, 3, b) for (a, b, sure), guessed in zip(open_, judged, strict=True) if sure or guessed]
     return [(KINDS[k], s, e) for s, k, e in sorted(spans)]
 
 

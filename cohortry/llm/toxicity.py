@@ -2,7 +2,7 @@
 
 score(x) = sigmoid(b + sum_j w_j x_j + sum_{i<j} <v_i, v_j> x_i x_j), x_j = 1 if the text holds term j. Terms are lower-case words and their first four,
 five and six letters, hashed to 2^40 places, and each place once more for a second and for a third distinct word there; the machine keeps the places whose
-presence differs most between the labels (likelihood ratio).
+presence differs most between the labels (likelihood ratio), and of the commonest places those whose pairs tell more than both places by themselves.
 """
 
 from __future__ import annotations
@@ -26,7 +26,9 @@ from .common import WordTable, id_text, slices
 SAMPLE, TERMS, RANK = 20_000, 4096, 4
 #: Likelihood ratio (chi-square, one degree of freedom) from which a term is kept: weaker terms would fit the sample by chance.
 LEAST_RATIO = 6.0
-CACHED_WORDS = 400_000
+#: Commonest places (by the variance of their presence) whose pairs are counted; gain of a pair over its two places from which both are kept; pairs at most.
+PAIR_TERMS, LEAST_GAIN, PAIRS = 1024, 30.0, 512
+CACHED_WORDS = 300_000
 _WORD = re.compile(r"[^\W\d_]+")
 _PLACES = (1 << 40) - 1
 _TWICE, _THRICE = 1 << 40, 1 << 41
@@ -122,11 +124,41 @@ def fit_rows(y: np.ndarray, rows: list[np.ndarray], places: dict[int, int], rank
     return Machine(float(bias), places, w, v)
 
 
+def pair_terms(y: np.ndarray, rows: list[np.ndarray], common: np.ndarray, least: float = LEAST_GAIN, most: int = PAIRS) -> list[int]:
+    """Of the columns `common`, those in pairs that tell the label beyond the columns alone: the likelihood ratio of the label by the four cells of a pair, less those
+    by each column, is over `least` (the `most` best pairs). Counts of pairs are (columns x columns), whatever the rows."""
+    k, at = len(common), {int(c): i for i, c in enumerate(common)}
+    both = np.zeros((2, k, k))
+    for start in range(0, len(rows), 2000):
+        x = np.zeros((min(2000, len(rows) - start), k), dtype=np.float32)
+        for i, row in enumerate(rows[start:start + 2000]):
+            x[i, [at[c] for c in row.tolist() if c in at]] = 1
+        for label in (0, 1):
+            some = x[y[start:start + 2000] == label]
+            both[label] += some.T @ some
+    total = np.array([(y == 0).sum(), (y == 1).sum()], dtype=float)
+
+    def information(*cells: np.ndarray) -> np.ndarray:
+        """Likelihood ratio of the label by cells (label, ...)."""
+        entropy = lambda n: n * np.log(np.maximum(n, 1))
+        return 2 * (sum(entropy(c).sum(axis=0) - entropy(c.sum(axis=0)) for c in cells) - entropy(total).sum() + entropy(total.sum()))
+
+    own = np.stack([np.diagonal(b) for b in both])
+    alone = information(own, total[:, None] - own)
+    found = []
+    for a in range(k):
+        joint = both[:, a]
+        gain = information(joint, own[:, a, None] - joint, own - joint, total[:, None] - own - own[:, a, None] + joint) - alone[a] - alone
+        found += [(-gain[b], a, int(b)) for b in np.flatnonzero(gain > least) if b > a]
+    return sorted({int(common[i]) for _, *pair in sorted(found)[:most] for i in pair})
+
+
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, terms: int = TERMS) -> Machine:
     """Learn from the labelled documents whose crc32(doc_id as text) mod 5 is not 0.
 
     At most `sample` labelled ids (those of the smallest hash) are read, with their whole texts; repeated labels of an id count once (toxic if any says so), null labels
-    not at all. Terms are counted by Spark over the sample; the driver gets the kept terms (at most `terms`) and, per sampled document, their row numbers.
+    not at all. Terms are counted by Spark over the sample; the driver gets the kept terms (at most `terms`), the `PAIR_TERMS` commonest and, per sampled document, their
+    row numbers; it keeps those of the commonest that are in a telling pair (`pair_terms`).
     Without both labels in the sample the machine has no term and gives the share of toxic labels (0 without labels).
     """
     spark = docs.sparkSession
@@ -159,20 +191,31 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, terms: int = T
             return F.when(x > 0, x * F.log(x / expected)).otherwise(0.0)
 
         ratio = 2 * (part(b, (a + b) * share) + part(a, (a + b) * (1 - share)) + part(n1 - b, (n0 + n1 - a - b) * share) + part(n0 - a, (n0 + n1 - a - b) * (1 - share)))
-        counted = known.mapInPandas(count, "place long, n0 long, n1 long").groupBy("place").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-        places = counted.filter("n0 + n1 >= 2").select("place", ratio.alias("ratio")).filter(F.col("ratio") > LEAST_RATIO).orderBy(F.desc("ratio"), "place").limit(terms)
-        kept = {r["place"]: i for i, r in enumerate(places.collect())}
+        counted = known.mapInPandas(count, "place long, n0 long, n1 long").groupBy("place").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).filter("n0 + n1 >= 2").persist()
+        places = counted.select("place", ratio.alias("ratio")).filter(F.col("ratio") > LEAST_RATIO).orderBy(F.desc("ratio"), "place").limit(terms).collect()
+        common = counted.orderBy(F.desc((a + b) * (n0 + n1 - a - b)), "place").limit(PAIR_TERMS).collect()
+        counted.unpersist()
+        kept = {r["place"]: i for i, r in enumerate(places)}
+        single = len(kept)
+        for r in common:
+            kept.setdefault(r["place"], len(kept))
 
         def rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             finder = Terms(kept)
             for frame in frames:
                 for some in slices(frame):
-                    yield pd.DataFrame({"toxic": some["toxic"], "held": [np.array(sorted(x), dtype=np.int32) for x in finder.of_all(some["text"])]})
+                    yield pd.DataFrame({"toxic": some["toxic"], "held": [np.array(sorted(x), dtype="<i4").tobytes() for x in finder.of_all(some["text"])]})
 
-        data = known.mapInPandas(rows, "toxic int, held array<int>").orderBy(F.xxhash64("held"), "held", "toxic").collect()
+        data = known.mapInPandas(rows, "toxic int, held binary").orderBy(F.xxhash64("held"), "held", "toxic").collect()
     finally:
         known.unpersist()
-    return fit_rows(np.array([r["toxic"] for r in data], dtype=float), [np.array(r["held"], dtype=np.int64) for r in data], kept)
+    y, held = np.array([r["toxic"] for r in data], dtype=float), [np.frombuffer(r["held"], dtype="<i4") for r in data]
+    more = [i for i in pair_terms(y, held, np.array([kept[r["place"]] for r in common])) if i >= single]
+    use = np.full(len(kept), -1)
+    use[:single] = np.arange(single)
+    use[more] = single + np.arange(len(more))
+    held = [u[u >= 0] for u in (use[h] for h in held)]
+    return fit_rows(y, held, {p: int(use[i]) for p, i in kept.items() if use[i] >= 0})
 
 
 def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, terms: int = TERMS) -> DataFrame:

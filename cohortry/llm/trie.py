@@ -98,11 +98,11 @@ def prefixes(turns: DataFrame, block: int = BLOCK) -> DataFrame:
     return every.join(length, (F.col("conv") == F.col("_conv")) & (F.col("depth") == F.col("_depth")), "left").select(*every.columns, F.coalesce("_end", F.lit(False)).alias("ends"))
 
 
-def _order(conv: str, depth: str, turn: int) -> tuple[Column, Column]:
-    """Place of a node in a round's order: (leading key, tie); lower goes first."""
+def _order(conv: str, depth: str) -> tuple[Column, Column]:
+    """Place of a node in the order of the round in column `turn`: (leading key, tie); lower goes first."""
     c, d = F.col(conv), F.col(depth)
     lowest_bit = F.when(d == 0, F.lit(2**62)).otherwise(d.bitwiseAND(-d))
-    return (lowest_bit if turn % 2 else F.lit(0)), F.xxhash64(F.lit(turn), c, d)
+    return F.when(F.col("turn") % 2 == 1, lowest_bit).otherwise(F.lit(0)), F.xxhash64("turn", c, d)
 
 
 def _before(a: tuple[Column, Column], b: tuple[Column, Column]) -> Column:
@@ -113,11 +113,12 @@ def subtree_sums(nodes: DataFrame, values: list[str], rounds: int = 400) -> Data
     """For a tree (conv, depth) with parent (up_conv, depth - 1; root: null) and n_children: (conv, depth) and the sum of each value over the subtree, top included.
 
     `live` holds what is left of the tree: a_v is a node's value with all that was raked into it, e_v what was compressed out of the edge above it. Every round is
-    one sum per parent and two joins on the node; live nodes shrink by a constant share, so all rounds together move a few times the first one.
+    one sum per parent and two joins on the node; live nodes shrink by a constant share, so all rounds together move a few times the first one. The number of the
+    round is a column, so every round runs the same generated code.
     """
     live = nodes.select(
         "conv", "depth", F.col("up_conv"), F.when(F.col("up_conv").isNotNull(), F.col("depth") - 1).alias("up_depth"), F.col("n_children").alias("kids"),
-        *[F.col(v).cast("long").alias(f"a_{v}") for v in values], *[F.lit(0).cast("long").alias(f"e_{v}") for v in values])
+        *[F.col(v).cast("long").alias(f"a_{v}") for v in values], *[F.lit(0).cast("long").alias(f"e_{v}") for v in values], F.lit(1).cast("long").alias("turn"))
     live = cut(live)
     leaf, inner = F.col("kids") == 0, F.col("kids") > 0
     raked, dropped, turn = [], [], 0
@@ -135,18 +136,18 @@ def subtree_sums(nodes: DataFrame, values: list[str], rounds: int = 400) -> Data
         raked.append(below.filter(leaf).select("conv", "depth", *[F.col(f"a_{v}").alias(v) for v in values]))
         stay = live.filter(inner | F.col("up_conv").isNull()).join(sums, (F.col("conv") == F.col("_c")) & (F.col("depth") == F.col("_d")), "left")
         kids = F.col("kids") - F.coalesce("_raked", F.lit(0))
-        me = _order("conv", "depth", turn)
-        goes = (kids == 1) & F.col("up_conv").isNotNull() & _before(me, _order("up_conv", "up_depth", turn)) & _before(me, _order("child_conv", "child_depth", turn))
+        me = _order("conv", "depth")
+        goes = (kids == 1) & F.col("up_conv").isNotNull() & _before(me, _order("up_conv", "up_depth")) & _before(me, _order("child_conv", "child_depth"))
         stay = cut(stay.select(
             "conv", "depth", "up_conv", "up_depth", kids.alias("kids"), *[(F.col(f"a_{v}") + F.coalesce(f"_s_{v}", F.lit(0))).alias(f"a_{v}") for v in values],
-            *[f"e_{v}" for v in values], F.coalesce(goes, F.lit(False)).alias("goes"), "child_conv", "child_depth", *[f"_e_{v}" for v in values]))
+            *[f"e_{v}" for v in values], F.coalesce(goes, F.lit(False)).alias("goes"), "child_conv", "child_depth", *[f"_e_{v}" for v in values], "turn"))
         gone = stay.filter("goes")
         dropped.append(gone.select("conv", "depth", "child_conv", "child_depth", *[(F.col(f"a_{v}") + F.col(f"_e_{v}")).alias(v) for v in values]))
         word = gone.select(F.col("child_conv").alias("_c"), F.col("child_depth").alias("_d"), F.col("up_conv").alias("_up_conv"), F.col("up_depth").alias("_up_depth"),
                            *[(F.col(f"e_{v}") + F.col(f"a_{v}")).alias(f"_m_{v}") for v in values])
         rest = stay.filter("not goes").join(word, (F.col("conv") == F.col("_c")) & (F.col("depth") == F.col("_d")), "left")
         live = cut(rest.select("conv", "depth", F.coalesce("_up_conv", "up_conv").alias("up_conv"), F.coalesce("_up_depth", "up_depth").alias("up_depth"), "kids",
-                               *[f"a_{v}" for v in values], *[(F.col(f"e_{v}") + F.coalesce(f"_m_{v}", F.lit(0))).alias(f"e_{v}") for v in values]))
+                               *[f"a_{v}" for v in values], *[(F.col(f"e_{v}") + F.coalesce(f"_m_{v}", F.lit(0))).alias(f"e_{v}") for v in values], (F.col("turn") + 1).alias("turn")))
     known = live.select("conv", "depth", *[F.col(f"a_{v}").alias(v) for v in values])
     for some in raked:
         known = known.union(some)

@@ -5,14 +5,13 @@ Aho-Corasick enumerates every vocabulary match; dynamic programming carries (bes
 
 from __future__ import annotations
 
-import functools
 import re
 from collections.abc import Iterable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from .common import WordTable, id_text, slices, split_all
+from .common import WordTable, held_table, id_text, slices, split_all
 
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
@@ -89,10 +88,9 @@ class Counter:
         return self.counts([text])[0]
 
 
-@functools.lru_cache(maxsize=1)
 def counter_of(path: str) -> Counter:
     """One counter per worker process: what it has learnt serves the next task."""
-    return Counter(vocabulary(path))
+    return held_table(("token counter", path), lambda: Counter(vocabulary(path)))
 
 
 def token_counts(docs: DataFrame, path: str) -> DataFrame:

@@ -10,7 +10,6 @@ remembered; as there is one finite path, the first one found is the shortest.
 
 from __future__ import annotations
 
-import functools
 import re
 import zlib
 from collections.abc import Iterable, Iterator, Sequence
@@ -19,7 +18,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from .common import WordTable, id_text, slices, split_all
+from .common import WordTable, held_table, id_text, slices, split_all
 
 SPACE = "▁"
 CACHED_WORDS = 300_000
@@ -179,10 +178,9 @@ class Transducer:
         return text[1:] if text.startswith(" ") else text
 
 
-@functools.lru_cache(maxsize=1)
 def transducer(path: str) -> Transducer:
     """One transducer per worker process: what it has learnt serves the next task."""
-    return Transducer(path)
+    return held_table(("transducer", path), lambda: Transducer(path))
 
 
 def encode(docs: DataFrame, path: str) -> DataFrame:

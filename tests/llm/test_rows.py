@@ -1,7 +1,10 @@
 """Row-wise operators against brute force: token counts, transducer, packing, secrets, fingerprints."""
 
 import collections
+import functools
 import hashlib
+import itertools
+import math
 import random
 import re
 import zlib
@@ -262,3 +265,108 @@ def test_long_secret_is_one_whole_span(spark):
     assert hidden(spark, f"Authorization: Bearer {value} ok", f"pwd={value}") == ["Authorization: Bearer [SECRET] ok", "pwd=[SECRET]"]
     for value in ("P@ssw0rd", "summer2024welcome", "x7#Kq9!vZ2pL", "qwertyuiop19840712", "passwordx7#Kq9"):
         assert (secretscan.guess_cost(value, 10) >= 10) == (secretscan.guess_cost(value) >= 10)
+
+
+@functools.cache
+def guesses_by_definition(value):
+    """Cheapest segmentation by trying every span of the value: words, dates, repeats of any unit, walks."""
+    s, low, plain = secretscan, value.lower(), value.lower().translate(secretscan.LEET)
+
+    def cost(i, e):
+        out, part = [], plain[i:e]
+        if part in s.RANK:
+            out.append(math.log10(s.RANK[part] + 1) + 0.3 * (value[i:e] != low[i:e]) + 0.3 * (part != low[i:e]))
+        if e - i <= 10 and s.DATE.fullmatch(value[i:e]):
+            out.append(2.0 if e - i <= 4 else math.log10(36_500) + 0.5 * (e - i > 8))
+        for u in range(1, (e - i) // 2 + 1):
+            if low[i:e - u] == low[i + u:e]:
+                out.append(guesses_by_definition(value[i:i + u]) + math.log10(-(-(e - i) // u)))
+        steps = list(zip(low[i:e], low[i + 1:e], strict=False))
+        if all(p in s.NEXT for p in steps):
+            gaps = [ord(b) - ord(a) for a, b in steps]
+            out.append(math.log10(40) + math.log10(e - i) + 0.2 * sum(a != b for a, b in zip(gaps, gaps[1:], strict=False)))
+        return min(out, default=math.inf)
+
+    best = [0.0] + [math.inf] * len(value)
+    for e in range(1, len(value) + 1):
+        best[e] = best[e - 1] + s._alphabet(value[e - 1])
+        for i in range(e - 2):
+            best[e] = min(best[e], best[i] + cost(i, e) + 0.3 * (i > 0))
+    return best[-1]
+
+
+def test_guess_program_equals_definition():
+    rng = random.Random(6)
+    parts = ["password", "P4ssw0rd", "summer", "1984", "19840712", "12.07.1984", "qwert", "asdfgh", "zaq1", "aaaa", "abab", "xyzxyzxyz", "7", "#", "K", "x", "Qq", "111111", "321", "admin"]
+    values = ["".join(rng.choice(parts) for _ in range(rng.randint(1, 4)))[:24] for _ in range(300)] + ["".join(rng.choices("ab1!Qw", k=rng.randint(1, 20))) for _ in range(200)]
+    for v in values:
+        want = guesses_by_definition(v)
+        assert secretscan.guess_cost(v) == pytest.approx(want), v
+        assert secretscan.suffix_costs(v)[0] == pytest.approx(want), v
+        assert (secretscan.guess_cost(v, 10) >= 10) == (want >= 10), v
+        k = len(v) // 3
+        assert secretscan.suffix_costs(v)[k] == pytest.approx(guesses_by_definition(v[k:])), v
+
+
+def test_long_repeats_and_walks_are_cheap():
+    for v in ("ab1!" * 25, "a1" * 50, "changeme-" * 8, "xxxx-" * 8, "qwertyuiop" * 6, "1234567890" * 30):
+        assert secretscan.guess_cost(v) < 10, v
+        assert not [s for s in secretscan.find(f"my token is {v} ok") if s[0] == "guess"]
+    assert secretscan.guess_cost("x7#Kq9!vZ2pL" * 20, 10) >= 10
+
+
+def test_unbroken_run_of_contexts_is_judged_in_one_pass():
+    import time
+
+    text = "token:Aa1!" * 8000
+    began = time.time()
+    spans = secretscan.find(text)
+    assert time.time() - began < 8
+    run = [(m.end(), len(text) - 1) for m in secretscan.CONTEXT.finditer(text)]
+    some = run[-60:]
+    assert secretscan._secrets(text, some) == [secretscan.guess_cost(text[a:b]) >= 10 for a, b in some]
+    assert len(spans) >= 1
+
+
+def test_exact_complement_equals_brute_force():
+    rng = np.random.default_rng(2)
+    found = 0
+    for _ in range(400):
+        cap = int(rng.integers(6, 40))
+        left = np.zeros(cap + 1, dtype=np.int64)
+        for length in rng.integers(1, cap + 1, rng.integers(1, 10)):
+            left[length] += int(rng.integers(1, 3))
+        length = int(np.flatnonzero(left).max())
+        free = [x for x in range(1, length + 1) for _ in range(min(int(left[x]) - (x == length), 3))]
+        want = length == cap or any(sum(c) == cap - length for k in (1, 2, 3) for c in itertools.combinations(free, k))
+        got = packing.exact_complement(left.copy(), length)
+        assert (got is not None) == want
+        if got:
+            found += 1
+            need = collections.Counter([length, *got])
+            assert length + sum(got) == cap and all(left[x] >= n for x, n in need.items()) and max(got) <= length
+    assert found > 60
+    assert packing.exact_complement(np.bincount([2, 6, 6, 7, 8, 11, 12], minlength=31), 12) == [11, 7]
+
+
+def test_fill_takes_every_exact_complement():
+    """At each step of the longest piece left, the plan has a full sequence wherever one can be made."""
+    for seed in range(40):
+        rng = np.random.default_rng(seed)
+        cap = 24
+        counts = dict(collections.Counter(rng.integers(1, cap + 1, 30).tolist()))
+        plan = packing.fill(counts, cap)
+        used = collections.Counter()
+        for kind, times in plan:
+            assert sum(a * b for a, b in kind) <= cap
+            for length, each in kind:
+                used[length] += each * times
+        assert used == collections.Counter(counts)
+        left = np.bincount(np.repeat(list(counts), list(counts.values())), minlength=cap + 1)
+        full = 0
+        for length in range(cap, 0, -1):
+            while left[length] and (more := packing.exact_complement(left, length)) is not None:
+                for x in [length, *more]:
+                    left[x] -= 1
+                full += 1
+        assert sum(times for kind, times in plan if sum(a * b for a, b in kind) == cap) >= full

@@ -264,3 +264,64 @@ def test_pipeline(spark):
 def test_pipeline_stages_take_empty_tables(spark):
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, spark.createDataFrame([], SCHEMA), SF).count() == 0
+
+
+def test_toxicity_learns_a_pair_through_score(spark):
+    """The label is that exactly one of two words is there: neither word tells anything by itself."""
+    rng = random.Random(11)
+    common = [f"w{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(60)]
+    docs, labels = [], []
+    for i in range(4000):
+        a, b = rng.random() < 0.5, rng.random() < 0.5
+        words = rng.sample(common, 8) + ["zor"] * a + ["quib"] * b
+        rng.shuffle(words)
+        docs.append((i, " ".join(words)))
+        labels.append((i, int(a != b)))
+    docs, labels = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    held = toxicity.score(docs, labels).join(labels, "doc_id").filter("held_out").collect()
+    assert np.mean([r["predicted"] == r["toxic"] for r in held]) > 0.9
+
+
+@pytest.mark.parametrize("order", [0, 1])
+def test_near_duplicates_of_an_id_with_two_texts(spark, order):
+    a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    rows = [(1, a), (1, b), (2, b + " more"), (2, b + " more"), (3, None)]
+    df = spark.createDataFrame(rows if order == 0 else rows[::-1], "doc_id long, text string").coalesce(1)
+    got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in nearjoin.near_duplicates(df, 2).collect()), key=str)
+    assert got == [(1, 39, 1), (1, 39, 1), (2, 40, 1), (2, 40, 1), (3, 0, 3)]
+    kept = nearjoin.keep_one(df, 2).collect()
+    assert sorted(((r["doc_id"], r["text"]) for r in kept), key=str) == sorted([(1, a), (1, b), (3, None)], key=str)
+
+
+def test_pairs_at_exactly_the_limit_in_large_nodes(spark, monkeypatch):
+    """No node is small enough to be compared before the full depth: the recall of large nodes."""
+    monkeypatch.setattr(nearjoin, "SMALL", 1)
+    rng = random.Random(8)
+    docs, want = [], 0
+    for i in range(400):
+        words = [f"{i}x{rng.randrange(10**9)}" for _ in range(90)]
+        docs += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(words[10:] + [f"{i}y{k}" for k in range(10)]))]
+        want += 1
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = nearjoin.near_duplicates(df, 1).filter("component_id <> doc_id")
+    assert got.filter("doc_id % 2 = 0").count() == 0 and got.count() >= 0.99 * want
+    signed = nearjoin.signed_sets(df, 1).selectExpr("doc_id as cid", "doc_id as label", "tokens", "bits_a", "bits_b")
+    links = {(r["a"], r["b"]) for r in nearjoin.candidate_links(signed, small=1).collect()}
+    assert len({p for p in links if p[0] // 2 == p[1] // 2}) >= 0.985 * want
+
+
+def test_one_hot_group_costs_no_pairs(spark, monkeypatch):
+    """A large group of near copies and documents around it: right components, and few rows of the group in the trees."""
+    rng = random.Random(9)
+    base = [f"w{k}" for k in range(60)]
+    docs = [(i, " ".join(base[:k] + [f"e{i}"] + base[k + 1:])) for i, k in ((i, rng.randrange(60)) for i in range(1500))]
+    docs += [(2000 + i, " ".join(f"q{rng.randrange(10**6)}" for _ in range(50))) for i in range(300)]
+    docs += [(5000 + i, t + " tail") for i, t in docs[1500:1550]]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    monkeypatch.setattr(nearjoin, "TASK_SHINGLES", 20_000)
+    made = []
+    real = nearjoin.candidate_links
+    monkeypatch.setattr(nearjoin, "candidate_links", lambda c, trees: made.append(c.groupBy("label").count().agg(F.max("count")).first()[0]) or real(c, trees))
+    rows = {r["doc_id"]: r["component_id"] for r in nearjoin.near_duplicates(df, 1).collect()}
+    assert all(rows[i] == 0 for i in range(1500)) and all(rows[7000 + i] == 2000 + i for i in range(50)) and sum(i == c for i, c in rows.items()) == 301
+    assert made[0] >= 1400
