@@ -41,11 +41,16 @@ def u01_sql(*exprs: str) -> str:
 POISSON_CDF = np.cumsum([math.exp(-1.0) / math.factorial(k) for k in range(19)])
 
 
-def poisson_np(codes: np.ndarray, draws: np.ndarray) -> np.ndarray:
-    """codes x draws Poisson(1) counts, made where the rows are: two splitmix64 rounds of (code, draw). The codes are hashes of unit and seed."""
+def draws_np(codes: np.ndarray, draws: np.ndarray) -> np.ndarray:
+    """codes x draws uniform 64-bit numbers, made where the rows are: two splitmix64 rounds of (code, draw). The codes are hashes of unit and seed."""
     x = codes.astype(np.uint64)[:, None] + (draws.astype(np.uint64) + np.uint64(1))[None, :] * np.uint64(0x9E3779B97F4A7C15)
     for _ in range(2):
         x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
         x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
         x ^= x >> np.uint64(31)
-    return np.searchsorted(POISSON_CDF, (x >> np.uint64(11)) * 2.0**-53, side="right").astype(float)
+    return x
+
+
+def poisson_np(codes: np.ndarray, draws: np.ndarray) -> np.ndarray:
+    """codes x draws Poisson(1) counts."""
+    return np.searchsorted(POISSON_CDF, (draws_np(codes, draws) >> np.uint64(11)) * 2.0**-53, side="right").astype(float)

@@ -14,7 +14,7 @@ from pyspark.sql.types import DoubleType
 from ..functions.numeric import n_if
 from .metrics import auc, interval
 from .ordered import cumulative, midrank
-from .resample import permute_within
+from .replicates import permuted_auc
 
 
 def chi2_from_counts(c: DataFrame, by: Sequence[str], a: str, b: str, n: str = "n") -> DataFrame:
@@ -147,9 +147,7 @@ def spearman(df: DataFrame, x: str, y: str, by: Sequence[str] = ()) -> DataFrame
 
 def auc_envelope(df: DataFrame, x: str, label: str, unit: str, B: int, seed: str) -> DataFrame:
     """T5. Permutation envelope of a single-feature AUC (0.3 % and 99.7 % points) and the beyond-chance flag."""
-    perm = permute_within(df.select(unit, label), unit, label, [], B, seed)
-    d = df.select(unit, x).join(perm, unit)
-    env = interval(auc(d, label, x, ["b"]), "auc", [], 0.003, 0.997)
+    env = interval(permuted_auc(df, label, x, unit, B, seed), "auc", [], 0.003, 0.997)
     from .ordered import attach_one
 
     out = attach_one(auc(df, label, x), env)

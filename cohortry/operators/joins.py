@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import n_if
 from ..session import shared
+from .metricspace import Cells, cells
 from .ordered import attach_one
 
 
@@ -212,60 +213,134 @@ def _tile_matrices(pdf):
     return left, right, sim, keep
 
 
-def similarity_profile(df: DataFrame, key: str, vec: str, entity: str, thr: float, k: int = 50, rows_per_block: int = 2048) -> DataFrame:
-    """J12. Cross-entity similarity of row-standardised vectors, exact: every pair is compared inside some tile and none is
-    emitted unless it belongs to the report.
+def _similarity_cells(df: DataFrame, key: str, vec: str, entity: str, rows: int) -> Cells:
+    """Unit vectors in cells of a metric space. Copies of one vector inside one entity collapse to a single weighted row first."""
+    u = standardise_rows(df.select(key, vec, entity), vec)
+    u = u.groupBy(F.md5(F.to_json(F.struct(vec))).alias("_d"), F.col(entity).alias("e")).agg(F.min(key).alias("id"), F.count(F.lit(1)).cast("long").alias("n"), F.first("u").alias("u"))
+    return cells(shared(u.drop("_d")), "id", "u", rows)
+
+
+def _cross_pairs(left, right, keep):
+    """(a, b, weight, rounded correlation) of the tile's pairs of different entities, a < b."""
+    import numpy as np
+
+    if keep is None:
+        none = np.zeros(0, dtype=np.int64)
+        return none, none, none, np.zeros(0)
+    sim = np.stack(left["u"].to_numpy()) @ np.stack(right["u"].to_numpy()).T
+    i, j = np.nonzero(keep & (left["e"].to_numpy()[:, None] != right["e"].to_numpy()[None, :]))
+    a, b = left["id"].to_numpy()[i], right["id"].to_numpy()[j]
+    return np.minimum(a, b), np.maximum(a, b), left["n"].to_numpy()[i] * right["n"].to_numpy()[j], np.round(sim[i, j], 6)
+
 
-    Copies of one vector inside one entity collapse to a single weighted row first. Each tile returns its number of
-    pairs at or above `thr`, its k best pairs, and its counts per 0.001-wide bin; those small rows are merged.
-    Rows: kind = top (a, b, n_pairs, corr) | flagged (n_pairs) | bin (bin, n_pairs).
+def _correlation_bounds(space: Cells):
+    """(least, largest) possible correlation between members of two cells: |u - v|^2 = 2 - 2 corr for unit vectors."""
+    low, high = space.bounds()
+    return 1 - high * high / 2 - 1e-6, 1 - low * low / 2 + 1e-6
+
+
+def _noted(report: dict | None, space: Cells, pairs) -> None:
+    if report is not None:
+        n = int(space.size.sum())
+        report.update(products=space.products(pairs), all=n * (n - 1) // 2)
+
+
+def near_duplicates(df: DataFrame, key: str, vec: str, entity: str, k: int = 50, rows: int = 2048, report: dict | None = None) -> DataFrame:
+    """J12. The k most similar cross-entity pairs (the report's size) of row-standardised vectors: a, b, n_pairs, corr; ties broken by ids. Exact.
+
+    Pairs inside cells come first; the k-th best correlation found there excludes every pair of cells whose bound is below it. A tile returns its k best pairs.
+    `report` gets the number of vector products made and that of all pairs.
     """
     import numpy as np
     import pandas as pd
 
-    u = standardise_rows(df.select(key, vec, entity), vec)
-    u = shared(u.groupBy(F.md5(F.to_json(F.struct(vec))).alias("_d"), entity).agg(F.min(key).alias("id"), F.count(F.lit(1)).cast("long").alias("n"), F.first("u").alias("u")))
-    cols = ["kind", "a", "b", "bin", "n_pairs", "corr"]
+    space = _similarity_cells(df, key, vec, entity, rows)
 
-    def tile(pdf: pd.DataFrame) -> pd.DataFrame:
-        m = _tile_matrices(pdf)
-        if m is None:
-            return pd.DataFrame(columns=cols)
-        left, right, sim, keep = m
-        le, re_ = left[entity].to_numpy(), right[entity].to_numpy()
-        keep &= le[:, None] != re_[None, :]
-        i, j = np.nonzero(keep)
-        s = np.round(sim[i, j], 6)
-        w = left["n"].to_numpy()[i] * right["n"].to_numpy()[j]
-        li, ri = left["id"].to_numpy()[i], right["id"].to_numpy()[j]
-        a, b = np.minimum(li, ri), np.maximum(li, ri)
-        hit = s >= thr
-        out = [pd.DataFrame({"kind": ["flagged"], "n_pairs": [int(w[hit].sum())]})]
+    def tile(left, right, keep) -> pd.DataFrame:
+        a, b, w, s = _cross_pairs(left, right, keep)
         best = np.lexsort((b, a, -s))[:k]
-        out.append(pd.DataFrame({"kind": "top", "a": a[best], "b": b[best], "n_pairs": w[best], "corr": s[best]}))
-        bins, inv = np.unique(np.floor(s * 1000).astype(int), return_inverse=True)
-        out.append(pd.DataFrame({"kind": "bin", "bin": bins, "n_pairs": np.bincount(inv, weights=w).astype("int64")}))
-        r = pd.concat(out, ignore_index=True).reindex(columns=cols)
-        for c in ("a", "b", "bin", "n_pairs"):
-            r[c] = r[c].astype("Int64")
-        return r
-
-    parts = _tiles(u, "id", rows_per_block).groupBy("ti", "tj").applyInPandas(tile, "kind string, a long, b long, bin long, n_pairs long, corr double")
-    return shared(parts)
-
-
-def near_duplicates(profile: DataFrame, k: int = 50) -> DataFrame:
-    """J12. The k most similar cross-entity pairs (the report's size), ties broken by ids."""
-    return profile.filter("kind = 'top'").select("a", "b", "n_pairs", "corr").orderBy(F.desc("corr"), "a", "b").limit(k)
-
-
-def similarity_summary(profile: DataFrame, q: float = 0.99) -> DataFrame:
-    """J12. Flagged pairs, all cross-entity pairs, and the 0.001-wide bin that holds the q-quantile (at most 2,001 bins)."""
-    bins = profile.filter("kind = 'bin'").groupBy("bin").agg(F.sum("n_pairs").cast("long").alias("n"))
-    w = W.orderBy("bin").rowsBetween(W.unboundedPreceding, 0)
-    cum = bins.select("bin", F.sum("n").over(w).alias("cum"), F.sum("n").over(W.partitionBy()).alias("total"))
-    res = cum.agg(F.max("total").cast("long").alias("pairs"), F.min(F.when(F.col("cum") >= F.ceil(F.col("total") * F.lit(q)), F.col("bin") / F.lit(1000.0))).alias("q_bin"))
-    return attach_one(res, profile.filter("kind = 'flagged'").agg(F.coalesce(F.sum("n_pairs"), F.lit(0)).cast("long").alias("flagged")))
+        return pd.DataFrame({"a": a[best], "b": b[best], "n_pairs": w[best], "corr": s[best]})
+
+    def top(pairs) -> DataFrame:
+        return space.tiles(pairs, tile, "a long, b long, n_pairs long, corr double", "id").orderBy(F.desc("corr"), "a", "b").limit(k)
+
+    own = np.eye(len(space.size), dtype=bool)
+    found = shared(top(own))
+    kth = found.agg(F.count("*").alias("n"), F.min("corr").alias("c")).first()
+    more = (_correlation_bounds(space)[1] >= (kth["c"] if kth["n"] == k else -2.0)) & ~own
+    _noted(report, space, own | more)
+    return found.union(top(more)).orderBy(F.desc("corr"), "a", "b").limit(k)
+
+
+def similarity_summary(df: DataFrame, key: str, vec: str, entity: str, thr: float, q: float = 0.99, rows: int = 2048, report: dict | None = None) -> DataFrame:
+    """J12. All cross-entity pairs (`pairs`), those of correlation >= thr (`flagged`), and the exact q-quantile of the correlation (`q_corr`: the smallest value, at six digits,
+    with at least a share q of the pairs at or below it) with the 0.001-wide bin that holds it (`q_bin`).
+
+    The number of pairs needs no comparison. Pairs inside cells give a bound below which the quantile cannot lie; pairs of cells that reach neither it nor `thr` are
+    never compared. Bin counts find the quantile's bin, and a second pass over what reaches that bin counts its values (at most 1,000).
+    """
+    import numpy as np
+    import pandas as pd
+
+    space = _similarity_cells(df, key, vec, entity, rows)
+    spark = df.sparkSession
+    sums = space.points.groupBy("e").agg(F.sum("n").alias("n")).agg(F.sum("n").cast("decimal(38,0)").alias("t"), F.sum(F.col("n").cast("decimal(19,0)") * F.col("n")).alias("s")).first()
+    total = (int(sums["t"] or 0) ** 2 - int(sums["s"] or 0)) // 2
+    low, high = _correlation_bounds(space)
+
+    def counted(left, right, keep) -> pd.DataFrame:
+        *_, w, s = _cross_pairs(left, right, keep)
+        bins, inv = np.unique(np.floor(s * 1000).astype(np.int64), return_inverse=True)
+        hit = pd.DataFrame({"bin": [1_000_000], "n": [int(w[s >= thr].sum())]})
+        return pd.concat([hit, pd.DataFrame({"bin": bins, "n": np.bincount(inv, weights=w, minlength=len(bins)).astype(np.int64)})])
+
+    def gathered(pairs) -> dict[int, int]:
+        parts = space.tiles(pairs, counted, "bin long, n long", "id").groupBy("bin").agg(F.sum("n").alias("n"))
+        return {r["bin"]: r["n"] for r in parts.collect()}
+
+    def bin_of(rank: int, counts: dict[int, int]) -> tuple[int | None, int]:
+        """Bin that holds the rank-th largest pair, and the number of pairs above it."""
+        above = 0
+        for b in sorted(counts, reverse=True):
+            if above + counts[b] >= rank:
+                return b, above
+            above += counts[b]
+        return None, above
+
+    import math
+    from fractions import Fraction
+
+    rank = total - math.ceil(Fraction(str(q)) * total) + 1
+    own = np.eye(len(space.size), dtype=bool)
+    counts = gathered(own)
+    flagged = counts.pop(1_000_000, 0)
+    found, _ = bin_of(rank, counts)
+    bound = min(thr, -2.0 if found is None else found / 1000)
+    more = (high >= bound) & ~own
+    for b, n in gathered(more).items():
+        if b == 1_000_000:
+            flagged += n
+        else:
+            counts[b] = counts.get(b, 0) + n
+    _noted(report, space, own | more)
+    at, above = bin_of(rank, counts) if total else (None, 0)
+    value = None
+    if at is not None:
+        def inside(left, right, keep) -> pd.DataFrame:
+            *_, w, s = _cross_pairs(left, right, keep)
+            here = np.floor(s * 1000) == at
+            values, inv = np.unique(s[here], return_inverse=True)
+            return pd.DataFrame({"corr": values, "n": np.bincount(inv, weights=w[here], minlength=len(values)).astype(np.int64)})
+
+        reach = (own | more) & (low <= (at + 1) / 1000) & (high >= at / 1000)
+        values = space.tiles(reach, inside, "corr double, n long", "id").groupBy("corr").agg(F.sum("n").alias("n"))
+        for r in sorted(values.collect(), key=lambda r: -r["corr"]):
+            above += r["n"]
+            if above >= rank:
+                value = r["corr"]
+                break
+    row = (total or None, None if at is None else at / 1000.0, value, flagged)
+    return spark.createDataFrame([row], "pairs long, q_bin double, q_corr double, flagged long")
 
 
 def entity_similarity(df: DataFrame, key: str, vec: str, entity: str, slot: str, digits: int = 4, rows_per_block: int = 2048) -> DataFrame:

@@ -13,6 +13,7 @@ from ..functions.hashing import col
 from ..functions.numeric import dsum, logit, n_if, norm_sf, safe_div, t_sf
 from ..session import shared
 from .ordered import attach_one, attach_totals, cumulative, quantiles
+from .replicates import auc_draws, mean_draws, unit_code
 
 
 def _pairs(df: DataFrame, y: str, s: str, by: Sequence[str], weight: str | None = None) -> DataFrame:
@@ -180,6 +181,23 @@ def auc_delta_ci(df: DataFrame, weights: DataFrame, y: str, s: str, arm: str, pa
     return point.join(ci, [*by, "arm_a", "arm_b"])
 
 
+def auc_interval(df: DataFrame, y: str, s: str, unit: str, draws: int, seed: str, by: Sequence[str] = ()) -> DataFrame:
+    """M9 on arrays: percentile interval of the AUC over Poisson draws of the units; no row per draw and unit is made."""
+    t = df.withColumn("_unit_code", unit_code(unit, seed))
+    return interval(auc_draws(t, y, s, "_unit_code", draws, by), "auc", by)
+
+
+def auc_delta_interval(df: DataFrame, y: str, s: str, arm: str, pairs: Sequence[tuple[str, str]], unit: str, draws: int, seed: str, by: Sequence[str] = ()) -> DataFrame:
+    """M10 on arrays: AUC(a) - AUC(b) with a paired interval; the arms of a unit share its draws."""
+    t = df.withColumn("_unit_code", unit_code(unit, seed))
+    per = auc_draws(t, y, s, "_unit_code", draws, [*by, arm])
+    full = auc(df, y, s, [*by, arm]).select(*by, arm, F.lit(-1).cast("long").alias("b"), "auc")
+    d = shared(pair_difference(per.unionByName(full), [*by, "b"], arm, "auc", pairs))
+    point = d.groupBy(*by, "arm_a", "arm_b").agg(F.max(F.when(F.col("b") < 0, F.col("delta"))).alias("delta"))
+    ci = interval(d.filter(F.col("b") >= 0), "delta", [*by, "arm_a", "arm_b"])
+    return point.join(ci, [*by, "arm_a", "arm_b"])
+
+
 def pair_difference(df: DataFrame, keys: Sequence[str], arm: str, value: str, pairs: Sequence[tuple[str, str]]) -> DataFrame:
     """value(a) - value(b) on shared keys for a short, fixed list of arm pairs."""
     roles = F.array(*[F.struct(F.lit(a).alias("arm_a"), F.lit(b).alias("arm_b")) for a, b in pairs])
@@ -348,15 +366,23 @@ def slot_contrast(folds: DataFrame, slot: str, value: str, target, ratio: float,
     return nadeau_bengio(d, "d", ratio, by)
 
 
-def cell_means(df: DataFrame, weights: DataFrame, x: str, cell: Sequence[str], unit: str = "unit") -> DataFrame:
-    """M23. Mean per cell with a bootstrap interval; `weights` must be drawn inside the cell."""
+def cell_means(df: DataFrame, x: str, cell: Sequence[str], unit: str, draws: int, seed: str) -> DataFrame:
+    """M23. Mean per cell with a bootstrap interval over the units of the cell (Poisson draws)."""
     point = df.groupBy(*cell).agg(F.count(x).cast("long").alias("n"), F.avg(x).alias("mean"))
-    draws = df.join(weights, [*cell, unit]).groupBy(*cell, "b").agg((F.sum(F.col(x) * F.col("w")) / F.sum("w")).alias("m"))
-    return point.join(interval(draws, "m", cell), list(cell))
+    t = df.withColumn("_unit_code", unit_code(unit, seed))
+    return point.join(interval(mean_draws(t, x, "_unit_code", draws, cell), "m", cell), list(cell))
 
 
-def cell_mean_draws(df: DataFrame, weights: DataFrame, x: str, cell: Sequence[str], unit: str = "unit") -> DataFrame:
-    return df.join(weights, [*cell, unit]).groupBy(*cell, "b").agg((F.sum(F.col(x) * F.col("w")) / F.sum("w")).alias("m"))
+def cell_difference(df: DataFrame, x: str, cell: str, a, b, unit: str, draws: int, seed: str, by: Sequence[str] = ()) -> DataFrame:
+    """M23. mean(cell a) - mean(cell b) with a bootstrap interval; the cells are drawn apart. NULL where a cell has fewer than two units."""
+    t = df.filter(F.col(cell).isin(a, b) & F.col(x).isNotNull())
+    of = lambda c, v: F.when(F.col(cell) == c, F.col(v))
+    point = t.groupBy(*by).agg(F.count(of(a, x)).cast("long").alias("n_a"), F.count(of(b, x)).cast("long").alias("n_b"), (F.avg(of(a, x)) - F.avg(of(b, x))).alias("difference"))
+    m = mean_draws(t.withColumn("_unit_code", unit_code(unit, seed)), x, "_unit_code", draws, [*by, cell])
+    d = m.groupBy(*by, "b").agg((F.max(of(a, "m")) - F.max(of(b, "m"))).alias("d"))
+    out = attach_totals(point, interval(d, "d", by), by)
+    enough = (F.col("n_a") > 1) & (F.col("n_b") > 1)
+    return out.withColumns({c: F.when(enough, F.col(c)) for c in ("ci_low", "ci_high")})
 
 
 def paired_chain_diff(df: DataFrame, entity: str, chain: str, x: str, a, b) -> DataFrame:
@@ -367,10 +393,10 @@ def paired_chain_diff(df: DataFrame, entity: str, chain: str, x: str, a, b) -> D
     return g.filter(F.col("_a").isNotNull() & F.col("_b").isNotNull()).select(entity, (F.col("_a") - F.col("_b")).alias("diff"))
 
 
-def paired_mean_interval(diffs: DataFrame, weights: DataFrame, unit: str, x: str = "diff", least: int = 5) -> DataFrame:
-    """M24. Mean of the paired differences with a bootstrap interval over entities; NULL below `least` entities."""
+def paired_mean_interval(diffs: DataFrame, unit: str, draws: int, seed: str, x: str = "diff", least: int = 5) -> DataFrame:
+    """M24. Mean of the paired differences with a bootstrap interval over entities (Poisson draws); NULL below `least` entities."""
     point = diffs.agg(F.count(x).cast("long").alias("n_entities"), F.avg(x).alias("mean_diff"))
-    draws = diffs.join(weights, unit).groupBy("b").agg((F.sum(F.col(x) * F.col("w")) / F.sum("w")).alias("m"))
-    out = attach_one(point, interval(draws, "m", []))
+    draws_ = mean_draws(diffs.withColumn("_unit_code", unit_code(unit, seed)), x, "_unit_code", draws)
+    out = attach_one(point, interval(draws_, "m", []))
     enough = F.col("n_entities") >= least
     return out.withColumns({c: F.when(enough, F.col(c)) for c in ("mean_diff", "ci_low", "ci_high")})

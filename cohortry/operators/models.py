@@ -16,8 +16,9 @@ from . import metrics as M
 from .glm import Spec, balanced, design, fit_many, fits_frame, linear, moments, ridge
 from .inference import cross_fit
 from .joins import apply_selection
+from .metricspace import k_nearest
 from .ordered import attach_one
-from .splits import grouped_folds, ipw, nearest, oversample, smote
+from .splits import grouped_folds, ipw, oversample, smote
 
 GRID = (1e-3, 1e-2, 1e-1, 1.0, 10.0, 100.0)
 
@@ -118,7 +119,7 @@ def model_zoo(df: DataFrame, cols: Sequence[str], y: str, unit: str, folds: Data
         train, test = s.filter("role = 'train'"), s.filter("role = 'test'")
         for a in arms:
             if a == "knn":
-                nn = nearest(test, train, unit, "v", 5).join(train.select(F.col(unit).alias("nb"), F.col("label").alias("_l")), "nb")
+                nn = k_nearest(test, train, unit, "v", 5).join(train.select(F.col(unit).alias("nb"), F.col("label").alias("_l")), "nb")
                 p = nn.groupBy(unit).agg(F.avg("_l").alias("prob")).join(test.select(unit, "label"), unit)
             else:
                 m = make[a]().fit(train).transform(test)
@@ -281,14 +282,14 @@ def calibration(df: DataFrame, y: str, p: str, by: str) -> pd.DataFrame:
     return pd.DataFrame(out)
 
 
-def compare_arms(preds: DataFrame, weights: DataFrame, pairs: Sequence[tuple[str, str]], y: str, unit: str, ratio: float) -> DataFrame:
+def compare_arms(preds: DataFrame, draws: int, seed: str, pairs: Sequence[tuple[str, str]], y: str, unit: str, ratio: float) -> DataFrame:
     """M16. One record per arm pair: fold difference with the corrected t, pooled difference with its paired interval, and the
     median over repeats of the DeLong p. `preds` is fused (arm, repeat, fold, unit, y, prob)."""
     fold = M.auc(preds, y, "prob", ["arm", "repeat", "fold"])
     d = M.pair_difference(fold, ["repeat", "fold"], "arm", "auc", pairs)
     nb = M.nadeau_bengio_p(M.nadeau_bengio(d, "delta", ratio, ["arm_a", "arm_b"])).withColumnsRenamed({"mean": "fold_delta", "n": "n_folds", "t": "nb_t", "p": "nb_p", "p_one_sided": "nb_p_one_sided"})
     pooled = shared(preds.groupBy("arm", unit, y).agg(F.avg("prob").alias("prob")))
-    ci = M.auc_delta_ci(pooled, weights, y, "prob", "arm", pairs, unit=unit).withColumnsRenamed({"delta": "pooled_delta"})
+    ci = M.auc_delta_interval(pooled, y, "prob", "arm", pairs, unit, draws, seed).withColumnsRenamed({"delta": "pooled_delta"})
     dl = M.two_sided(M.delong(preds.select("repeat", "arm", unit, y, "prob"), y, "prob", "arm", pairs, ["repeat"], unit))
     dl = dl.groupBy("arm_a", "arm_b").agg(F.percentile("p", F.lit(0.5)).alias("delong_p_median"))  # one value per repeat
     return nb.join(ci, ["arm_a", "arm_b"]).join(dl, ["arm_a", "arm_b"])

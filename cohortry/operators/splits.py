@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from ..functions.hashing import h60, u01
 from ..functions.numeric import n_if
 from ..session import shared
-from .joins import _tiles, key_diff
+from .joins import key_diff
+from .metricspace import k_nearest
 from .ordered import attach_one, attach_totals, hash_rank
 from .profile import slot_flags
 from .resample import index_units
@@ -279,41 +280,6 @@ def oversample(df: DataFrame, unit: str, label: str, by: Sequence[str], seed: st
     return pick.join(minority, [*by, "idx"]).select(*by, unit, "j")
 
 
-def nearest(query: DataFrame, ref: DataFrame, key: str, vec: str, k: int, by: Sequence[str] = (), rows_per_block: int = 2048) -> DataFrame:
-    """Exact k nearest reference rows (Euclidean, ties by key) of every query row: (by, key, nb, rank, d2).
-
-    Query blocks meet reference blocks as dense tiles; a tile returns at most k rows per query row, and the best k of
-    those candidates are kept.
-    """
-    import numpy as np
-    import pandas as pd
-
-    gq, gr = (max(1, -(-d.count() // rows_per_block)) for d in (query, ref))
-    q = query.select(*by, key, vec).withColumns({"qb": (h60(key) % gq).cast("int"), "side": F.lit(0)}).withColumn("rb", F.explode(F.sequence(F.lit(0), F.lit(gr - 1))))
-    r = ref.select(*by, key, vec).withColumns({"rb": (h60(key) % gr).cast("int"), "side": F.lit(1)}).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(gq - 1))))
-    types = dict(query.dtypes)
-    schema = ", ".join([f"`{c}` {types[c]}" for c in [*by, key]] + [f"nb {types[key]}", "d2 double"])
-    names = [*by, key, "nb", "d2"]
-
-    def tile(pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1].sort_values(key)
-        if len(a) == 0 or len(b) == 0:
-            return pd.DataFrame(columns=names)
-        x, y = np.stack(a[vec].to_numpy()).astype(float), np.stack(b[vec].to_numpy()).astype(float)
-        d = np.maximum((x * x).sum(1)[:, None] + (y * y).sum(1)[None, :] - 2 * x @ y.T, 0.0).round(9)
-        d[a[key].to_numpy()[:, None] == b[key].to_numpy()[None, :]] = np.inf
-        m = min(k, len(b))
-        best = np.argsort(d, axis=1, kind="stable")[:, :m]
-        i = np.repeat(np.arange(len(a)), m)
-        out = a[[*by, key]].iloc[i].reset_index(drop=True)
-        out["nb"], out["d2"] = b[key].to_numpy()[best.ravel()], d[i, best.ravel()]
-        return out[np.isfinite(out["d2"])][names]
-
-    cand = q.unionByName(r).groupBy(*by, "qb", "rb").applyInPandas(tile, schema)
-    w = W.partitionBy(*by, key).orderBy("d2", "nb")  # at most k rows per reference block
-    return cand.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-
-
 def smote(df: DataFrame, unit: str, vec: str, label: str, by: Sequence[str], seed: str, k: int = 5) -> DataFrame:
     """R13. Synthetic minority rows between a minority row and one of its k = min(5, n-1) nearest minority neighbours.
 
@@ -322,7 +288,7 @@ def smote(df: DataFrame, unit: str, vec: str, label: str, by: Sequence[str], see
     slots, minority = _deficit_draws(df, unit, label, by, seed)
     slots = slots.filter("n_min >= 2")
     vecs = shared(minority.join(df.select(*by, unit, vec), [*by, unit]))
-    nn = nearest(vecs, vecs, unit, vec, k, by)
+    nn = k_nearest(vecs, vecs, unit, vec, k, by)
     s = slots.withColumns({"idx": h60("j", F.lit(seed), *by) % F.col("n_min"), "rank": (h60("j", F.lit(seed), F.lit("nb"), *by) % F.least(F.lit(k), F.col("n_min") - 1) + 1).cast("int"),
                            "lam": u01("j", F.lit(seed), F.lit("lam"), *by)})
     base = s.join(vecs.select(*by, "idx", unit, F.col(vec).alias("_a")), [*by, "idx"])

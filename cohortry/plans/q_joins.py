@@ -143,13 +143,14 @@ PAIR_SQL = """e as (select id, entity, n, list_transform(c, lambda x: x / sqrt(l
 
 @query("j12_near_duplicates", oracle([], "select a, b, n_pairs, corr from pr order by corr desc, a, b limit 50", PAIR_SQL))
 def j12(spark, sf):
-    return J.near_duplicates(J.similarity_profile(vectors(spark, sf), "vec_id", "embedding", "entity", 0.9))
+    return J.near_duplicates(vectors(spark, sf), "vec_id", "embedding", "entity")
 
 
 @query("j12_similarity_summary", oracle([], """select (select cast(sum(n_pairs) as bigint) from pr) as pairs, (select coalesce(cast(sum(n_pairs) as bigint),0) from pr where corr>=0.5) as flagged,
- (select min(bin)/1000.0::double from (select floor(corr*1000) as bin, sum(sum(n_pairs)) over (order by floor(corr*1000)) as cum, sum(sum(n_pairs)) over () as tot from pr group by 1) where cum>=ceil(tot*0.99)) as q_bin""", PAIR_SQL))
+ (select min(bin)/1000.0::double from (select floor(corr*1000) as bin, sum(sum(n_pairs)) over (order by floor(corr*1000)) as cum, sum(sum(n_pairs)) over () as tot from pr group by 1) where cum>=ceil(tot*0.99)) as q_bin,
+ (select min(corr) from (select corr, sum(sum(n_pairs)) over (order by corr) as cum, sum(sum(n_pairs)) over () as tot from pr group by 1) where cum>=ceil(tot*0.99)) as q_corr""", PAIR_SQL))
 def j12b(spark, sf):
-    return J.similarity_summary(J.similarity_profile(vectors(spark, sf), "vec_id", "embedding", "entity", 0.5))
+    return J.similarity_summary(vectors(spark, sf), "vec_id", "embedding", "entity", 0.5)
 
 
 @query("m26_entity_similarity", oracle([], """select count(*) filter (same) as pairs_same, count(*) filter (not same) as pairs_other, round(avg(case when same then sim end),6) as mean_same, round(avg(case when not same then sim end),6) as mean_other,

@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 from ..functions.hashing import h60, h60_sql
 from ..functions.numeric import r6
 from ..operators import metrics as M
-from ..operators.resample import bootstrap_weights
+from ..operators.replicates import poisson_sql
 from ..session import shared
 from . import views as V
 from .registry import auc_sql, oracle, query
 
 B = 50
+#: Replicates of the intervals.
+DRAWS_N, MEAN_DRAWS = 2000, 1000
 PAIRS = [("signal", "noise"), ("signal", "context"), ("context", "noise")]
 COST = {"signal": 3.0, "context": 2.0, "noise": 1.0}
 RATIO = 0.25  # n_test / n_train of five folds
@@ -42,11 +44,9 @@ def fold_auc(spark, sf):
 
 FOLD_AUC = "fold_auc AS (" + auc_sql("predictions", "arm, slot, repeat, fold", s="prob", digits=None) + ")"
 FUSED_AUC = "fused_auc AS (" + auc_sql("fused", "arm, repeat, fold", s="prob", digits=None) + ")"
-DRAWS = f"""
-units as (select arm, unit, label, prob, row_number() over (partition by arm order by {h60_sql('unit')}, unit)-1 as idx, count(*) over (partition by arm) as n from pooled),
-picks as (select arm, b, {h60_sql('b', 'idx', "'boot'")} % n as idx from units, (select unnest(range(0,{B})) as b)),
-w as (select arm, b, idx, count(*) as w from picks group by 1,2,3),
-expanded as (select w.arm, b, u.label, u.prob from w join units u on u.arm=w.arm and u.idx=w.idx, unnest(range(0, w)) as k(i)),
+CODES = f"codes as (select distinct unit, {h60_sql('unit', "'boot'")} as code from pooled), cb as (select unit, code, unnest(range(0,{DRAWS_N})) as b from codes)"
+DRAWS = CODES + ", w as (" + poisson_sql("code", "b", "cb", "unit, b") + """),
+expanded as (select p.arm, w.b, p.label, p.prob from w join pooled p on p.unit=w.unit, unnest(range(0, w.w)) as k(i)),
 boot as (""" + auc_sql("expanded", "arm, b", s="prob", digits=None) + ")"
 
 
@@ -140,10 +140,7 @@ def m07(spark, sf):
 @query("m09_auc_ci", oracle(["pooled"], """
 select arm, count(auc) as n_ok, round(quantile_cont(auc,0.025),6) as ci_low, round(quantile_cont(auc,0.975),6) as ci_high from boot group by 1""", DRAWS))
 def m09(spark, sf):
-    p = shared(pooled(spark, sf))
-    draws = bootstrap_weights(p.select("unit").distinct(), "unit", B, "boot")
-    per = M.weighted_auc_draws(p.join(draws, "unit"), "label", "prob", ["arm"])
-    g = M.interval(per, "auc", ["arm"])
+    g = M.auc_interval(pooled(spark, sf), "label", "prob", "unit", DRAWS_N, "boot", ["arm"])
     return g.select("arm", "n_ok", r6("ci_low", "ci_low"), r6("ci_high", "ci_high"))
 
 
@@ -153,9 +150,7 @@ select arm_a, arm_b, max(pd) as delta, count(d) as n_ok, round(quantile_cont(d,0
   from (values ('signal','noise'),('signal','context'),('context','noise')) p(a,b) join boot x on x.arm=p.a join boot y on y.arm=p.b and x.b=y.b
   where x.auc is not null and y.auc is not null) group by 1,2""", DRAWS + ", point as (" + auc_sql("pooled", "arm", s="prob", digits=None) + ")"))
 def m10(spark, sf):
-    p = shared(pooled(spark, sf))
-    draws = bootstrap_weights(p.select("unit").distinct(), "unit", B, "boot")
-    g = M.auc_delta_ci(p, draws, "label", "prob", "arm", PAIRS)
+    g = M.auc_delta_interval(shared(pooled(spark, sf)), "label", "prob", "arm", PAIRS, "unit", DRAWS_N, "boot")
     return g.select("arm_a", "arm_b", r6("delta", "delta"), "n_ok", r6("ci_low", "ci_low"), r6("ci_high", "ci_high"))
 
 
@@ -313,25 +308,38 @@ def m22(spark, sf):
 @query("m23_cell_means", oracle(["cohort"], """
 select p.label, p.stratum, n, round(mean,6) as mean, round(quantile_cont(m,0.025),6) as ci_low, round(quantile_cont(m,0.975),6) as ci_high, count(m) as n_ok
 from (select label, stratum, count(*) as n, avg(score) as mean from cohort group by 1,2) p join dm on dm.label=p.label and dm.stratum=p.stratum group by 1,2,3,mean""",
- f"""u as (select label, stratum, unit, score, row_number() over (partition by label, stratum order by {h60_sql('unit')}, unit)-1 as idx, count(*) over (partition by label, stratum) as n from cohort),
- pk as (select label, stratum, b, {h60_sql('b', 'idx', "'cell'", 'label', 'stratum')} % n as idx from u, (select unnest(range(0,{B})) as b)),
- dm as (select pk.label, pk.stratum, b, avg(score) as m from pk join u on u.label=pk.label and u.stratum=pk.stratum and u.idx=pk.idx group by 1,2,3)"""))
+ f"""cb as (select label, stratum, score, {h60_sql('unit', "'cell'")} as code, unnest(range(0,{MEAN_DRAWS})) as b from cohort),
+ w as (""" + poisson_sql("code", "b", "cb", "label, stratum, score, b") + """),
+ dm as (select label, stratum, b, sum(score*w)/nullif(sum(w),0) as m from w group by 1,2,3)"""))
 def m23(spark, sf):
-    c = V.cohort(spark, sf)
-    w = bootstrap_weights(c, "unit", B, "cell", ["label", "stratum"])
-    g = M.cell_means(c, w, "score", ["label", "stratum"])
+    g = M.cell_means(V.cohort(spark, sf), "score", ["label", "stratum"], "unit", MEAN_DRAWS, "cell")
     return g.select("label", "stratum", "n", r6("mean", "mean"), r6("ci_low", "ci_low"), r6("ci_high", "ci_high"), "n_ok")
 
 
+@query("m23_cell_difference", oracle(["timebound"], """
+select n_a, n_b, round(difference,6) as difference, n_ok, round(ci_low,6) as ci_low, round(ci_high,6) as ci_high from
+ (select count(*) filter (half='AM') as n_a, count(*) filter (half='PM') as n_b, avg(case when half='AM' then score end)-avg(case when half='PM' then score end) as difference from ctl),
+ (select count(d) as n_ok, quantile_cont(d,0.025) as ci_low, quantile_cont(d,0.975) as ci_high from (select b, max(case when half='AM' then m end)-max(case when half='PM' then m end) as d from dm group by 1))""",
+ f"""ctl as (select unit, score, case when start_hour<12 then 'AM' else 'PM' end as half from timebound where label=0 and start_hour is not null),
+ cb as (select half, score, {h60_sql('unit', "'half'")} as code, unnest(range(0,{MEAN_DRAWS})) as b from ctl),
+ w as (""" + poisson_sql("code", "b", "cb", "half, score, b") + """),
+ dm as (select half, b, sum(score*w)/nullif(sum(w),0) as m from w group by 1,2)"""))
+def m23b(spark, sf):
+    t = V.timebound(spark, sf).filter("label = 0 and start_hour is not null").withColumn("half", F.when(F.col("start_hour") < 12, "AM").otherwise("PM"))
+    g = M.cell_difference(t, "score", "half", "AM", "PM", "unit", MEAN_DRAWS, "half")
+    return g.select("n_a", "n_b", r6("difference", "difference"), "n_ok", r6("ci_low", "ci_low"), r6("ci_high", "ci_high"))
+
+
 @query("m24_paired_chain_diff", oracle(["slot_rows"], """
 select (select count(*) from u) as n_entities, (select round(avg(d),6) from u) as mean_diff, round(quantile_cont(m,0.025),6) as ci_low, round(quantile_cont(m,0.975),6) as ci_high from
- (select b, avg(d) as m from pk join u using (idx) group by 1)""",
- f"""u as (select entity, d, row_number() over (order by {h60_sql('entity')}, entity)-1 as idx, count(*) over () as n from (select entity, avg(case when chain='x' then dur end)-avg(case when chain='y' then dur end) as d
+ (select b, sum(d*w)/nullif(sum(w),0) as m from w group by 1)""",
+ f"""u as (select entity, d from (select entity, avg(case when chain='x' then dur end)-avg(case when chain='y' then dur end) as d
   from slot_rows group by 1 having count(distinct chain)=2) where d is not null),
- pk as (select b, {h60_sql('b', 'idx', "'chain'")} % n as idx from u, (select unnest(range(0,{B})) as b))"""))
+ cb as (select d, {h60_sql('entity', "'chain'")} as code, unnest(range(0,{MEAN_DRAWS})) as b from u),
+ w as (""" + poisson_sql("code", "b", "cb", "d, b") + ")"))
 def m24(spark, sf):
     d = shared(M.paired_chain_diff(V.slot_rows(spark, sf), "entity", "chain", "dur", "x", "y"))
-    g = M.paired_mean_interval(d, bootstrap_weights(d, "entity", B, "chain"), "entity")
+    g = M.paired_mean_interval(d, "entity", MEAN_DRAWS, "chain")
     return g.select("n_entities", *[r6(c, c) for c in ("mean_diff", "ci_low", "ci_high")])
 
 

@@ -10,7 +10,7 @@ from ..operators import inference as I
 from ..operators import metrics as M
 from ..operators import models as G
 from ..operators.clean import add_phase
-from ..operators.resample import bootstrap_weights, cluster_bootstrap
+from ..operators.resample import cluster_bootstrap
 from ..operators.splits import grouped_folds, stratified_folds
 from ..operators.profile import mean_vectors
 from ..session import cut, shared
@@ -55,8 +55,7 @@ def m08(spark, sf):
 @query("m16_compare_arms")
 def m16(spark, sf):
     p = shared(fused(spark, sf))
-    w = bootstrap_weights(p.select("unit").distinct(), "unit", DRAWS, "boot")
-    c = G.compare_arms(p, w, PAIRS, "label", "unit", RATIO)
+    c = G.compare_arms(p, DRAWS, "boot", PAIRS, "label", "unit", RATIO)
     return c.select(*[F.round(n, 6).alias(n) if t == "double" else F.col(n) for n, t in c.dtypes])
 
 
@@ -214,7 +213,7 @@ def g17(spark, sf):
 @query("g18_cv_delta_auc")
 def g18(spark, sf):
     t, names = context(spark, sf)
-    d = I.cv_delta_auc(t, names, "signal", "label", "unit", K, 2)
+    d = I.cv_delta_auc(t, names, "signal", "label", "unit", K, 20)
     return d.select("n", r6("mean", "mean"), r6("sd", "sd"))
 
 

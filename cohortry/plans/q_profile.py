@@ -12,6 +12,7 @@ from ..operators import metrics as M
 from ..operators import profile as A
 from ..operators import sets as K
 from ..operators.clean import add_phase
+from ..operators.replicates import draws_sql
 from . import views as V
 from .q_joins import N, SLOTS, grid, vectors
 from .q_metrics import FOLD_AUC, fold_auc, fused, timebound
@@ -200,12 +201,12 @@ def a19b(spark, sf):
     return g.select("n", r6("max_abs", "max_abs"))
 
 
-@query("a20_seed_luck", oracle(["predictions"], """select arm, count(*) as n, round(avg(auc),6) as mean, round(stddev_samp(auc),6) as sd, round(min(auc),6) as min, round(max(auc),6) as max, round(100*avg(cast(auc<ref as int)),6) as ref_percentile from
- (select f.*, (select max(auc) from fold_auc r where r.arm=f.arm and r.slot=1 and r.repeat=0 and r.fold=0) as ref from fold_auc f where slot=1) group by 1""", FOLD_AUC))
+@query("a20_seed_luck", oracle(["predictions"], """select arm, slot, count(*) as n, round(avg(auc),6) as mean, round(stddev_samp(auc),6) as sd, round(min(auc),6) as min, round(max(auc),6) as max, round(100*avg(cast(auc<ref as int)),6) as ref_percentile from
+ (select f.*, (select max(auc) from fold_auc r where r.arm=f.arm and r.slot=f.slot and r.repeat=0 and r.fold=0) as ref from fold_auc f) group by 1,2""", FOLD_AUC))
 def a20(spark, sf):
-    f = fold_auc(spark, sf).filter("slot = 1").select("arm", (F.col("repeat") * 10 + F.col("fold")).alias("seed"), "auc")
-    g = A.seed_luck(f, ["arm"], "seed", 0, "auc")
-    return g.select("arm", "n", *[r6(c, c) for c in ("mean", "sd", "min", "max", "ref_percentile")])
+    f = fold_auc(spark, sf).select("arm", "slot", (F.col("repeat") * 10 + F.col("fold")).alias("seed"), "auc")
+    g = A.seed_luck(f, ["arm", "slot"], "seed", 0, "auc")
+    return g.select("arm", "slot", "n", *[r6(c, c) for c in ("mean", "sd", "min", "max", "ref_percentile")])
 
 
 @query("a21_run_summary", oracle(["predictions"], "select arm, count(auc) as n, round(avg(auc),6) as mean, round(stddev_samp(auc),6) as sd, round(sum(auc),6) as sum from fold_auc group by 1", FOLD_AUC))
@@ -219,10 +220,10 @@ def a22(spark, sf):
     return A.crosstab_margins(V.timebound(spark, sf), "segment", "priority")
 
 
-@query("a23_pivot_mean", oracle(["predictions"], "select arm, repeat, round(avg(prob) filter (slot=1),6) as \"1\", round(avg(prob) filter (slot=2),6) as \"2\", round(avg(prob) filter (slot=3),6) as \"3\" from predictions group by 1,2"))
+@query("a23_pivot_mean", oracle(["predictions"], "select arm, repeat, " + ", ".join(f'round(avg(prob) filter (slot={i}),6) as "{i}"' for i in SLOTS) + " from predictions group by 1,2"))
 def a23(spark, sf):
-    g = A.pivot_mean(V.predictions(spark, sf), ["arm", "repeat"], "slot", [1, 2, 3], "prob")
-    return g.select("arm", "repeat", *[r6(F.col(f"`{c}`"), c) for c in ("1", "2", "3")])
+    g = A.pivot_mean(V.predictions(spark, sf), ["arm", "repeat"], "slot", list(SLOTS), "prob")
+    return g.select("arm", "repeat", *[r6(F.col(f"`{c}`"), str(c)) for c in SLOTS])
 
 
 @query("a24_roll_up_scores", oracle(["predictions"], """select unit, arm, round(avg(l),6) as logit, count(*) as n_recordings, 0 as n_bad from (select unit, arm, slot, avg(ln(greatest(1e-6::double,least(1-1e-6::double,prob))/(1-greatest(1e-6::double,least(1-1e-6::double,prob))))) as l from predictions group by 1,2,3) group by 1,2"""))
@@ -330,14 +331,14 @@ def w01(spark, sf):
     return midrank(V.cohort(spark, sf).select("unit", "stratum", "n_digits"), "n_digits", ["stratum"]).select("unit", "stratum", "rank")
 
 
-PB = 40
+PB = 1000
 
 
 @query("t05_auc_envelope", oracle(["cohort"], """select (select cast(sum(label) as bigint) from cohort) as n1, (select cast(sum(1-label) as bigint) from cohort) as n0, round((select auc from full_auc),6) as auc, count(auc) as n_ok, round(quantile_cont(auc,0.003),6) as ci_low, round(quantile_cont(auc,0.997),6) as ci_high,
  not ((select auc from full_auc) between quantile_cont(auc,0.003) and quantile_cont(auc,0.997)) as beyond_chance from perm_auc""",
- f"""pos as (select unit, covariate, row_number() over (order by unit) as p from cohort),
- src as (select b, label, row_number() over (partition by b order by {h60_sql('b', 'unit', "'env'")}, unit) as p from cohort, (select unnest(range(0,{PB})) as b)),
- perm as (select b, s.label, covariate as score from pos join src s using (p)),
+ f"""cb as (select unit, covariate, {h60_sql('unit', "'env'")} as code, unnest(range(0,{PB})) as b from cohort),
+ dr as (""" + draws_sql("code", "b", "cb", "unit, covariate, b") + """),
+ perm as (select b, case when row_number() over (partition by b order by x, unit) <= (select sum(label) from cohort) then 1 else 0 end as label, covariate as score from dr),
  perm_auc as (""" + auc_sql("perm", "b", digits=None) + "), full_auc as (" + auc_sql("(select label, covariate as score from cohort) q", "", digits=None) + ")"))
 def t05(spark, sf):
     e = T.auc_envelope(V.cohort(spark, sf), "covariate", "label", "unit", PB, "env")

@@ -186,12 +186,17 @@ def d03(spark, sf):
 
 
 @query("d04_scan_id_leaks", """select key, cast(x as bigint) as id, count(*) as n from (select key, unnest(regexp_extract_all(replace(t,' ','  '), '(?:^|[^0-9.])([0-9]{6})(?:$|[^0-9.])', 1)) as x from
- (select page_id as key, html||' ref '||(500000+page_id)||' and 1.'||(500000+page_id)||' end' as t from pages)) where cast(x as bigint) in (select 500000+page_id from pages where page_id%3=0) group by 1,2""")
+ (select 'page '||page_id as key, html||' ref '||(500000+page_id)||' and 1.'||(500000+page_id)||' end' as t from pages union all
+  select 'conversation '||conv_id||' '||turn, text||' ref '||(500000+conv_id)||' and 1.'||(500000+conv_id)||' end' from conversations)) where cast(x as bigint) in (select 500000+page_id from pages where page_id%3=0) group by 1,2""")
 def d04(spark, sf):
-    """Published pages with a planted id and the same digits inside a decimal (which must not count)."""
-    p = V.table(spark, sf, "pages")
-    k = (F.col("page_id") + 500000).cast("string")
-    text = p.select(F.col("page_id").alias("key"), F.concat(F.col("html"), F.lit(" ref "), k, F.lit(" and 1."), k, F.lit(" end")).alias("t"))
+    """Published pages and dialogues with a planted id and the same digits inside a decimal (which must not count)."""
+    def planted(t, key, text, number):
+        k = (F.col(number) + 500000).cast("string")
+        return t.select(key.alias("key"), F.concat(F.col(text), F.lit(" ref "), k, F.lit(" and 1."), k, F.lit(" end")).alias("t"))
+
+    p, c = V.table(spark, sf, "pages"), V.table(spark, sf, "conversations")
+    text = planted(p, F.concat(F.lit("page "), F.col("page_id")), "html", "page_id").union(
+        planted(c, F.concat(F.lit("conversation "), F.col("conv_id"), F.lit(" "), F.col("turn")), "text", "conv_id"))
     ids = p.filter("page_id % 3 = 0").select((F.col("page_id") + 500000).alias("id"))
     return G.scan_id_leaks(text, ids, "t", "key", "id")
 

@@ -181,7 +181,16 @@ def vec_cohort(spark, sf):
     return v.select(F.col("vec_id").alias("unit"), (F.col("label") >= 7).cast("long").alias("label"), "slot", F.transform("embedding", lambda x: x.cast("double")).alias("vec"))
 
 
-@query("r13_smote")
+@query("r13_smote", oracle([], f"""select dr.slot, dr.j, m.unit, nn.nb, round(lam,6) as lam, round(m.vec[1]+lam*(o.vec[1]-m.vec[1]),6) as x0 from dr join mi m on m.slot=dr.slot and m.i=dr.pick
+ join nn on nn.slot=dr.slot and nn.unit=m.unit and nn.rank=dr.rank join mi o on o.slot=dr.slot and o.unit=nn.nb""",
+ f"""v as (select vec_id as unit, (label>=7)::bigint as label, vec_id%7 as slot, list_transform(embedding, lambda x: x::double) as vec from embeddings),
+ idx as (select *, row_number() over (partition by slot, label order by {h60_sql('unit')}, unit)-1 as i from v),
+ tot as (select slot, min(c) as n_min, max(c) as n_max, arg_min(label, c*10+label) as minority from (select slot, label, count(*) as c from v group by 1,2) group by 1 having count(*)=2),
+ mi as (select idx.* from idx join tot on idx.slot=tot.slot and idx.label=tot.minority),
+ nn as (select slot, unit, nb, row_number() over (partition by slot, unit order by d2, nb) as rank from
+  (select a.slot, a.unit, b.unit as nb, round(list_sum(list_transform(list_zip(a.vec, b.vec), lambda z: (z[1]-z[2])*(z[1]-z[2]))),9) as d2 from mi a join mi b on a.slot=b.slot and a.unit<>b.unit)),
+ dr as (select slot, j, {h60_sql('j', q + 'smote' + q, 'slot')} % n_min as pick, {h60_sql('j', q + 'smote' + q, q + 'nb' + q, 'slot')} % least(5, n_min-1) + 1 as rank,
+  {u01_sql('j', q + 'smote' + q, q + 'lam' + q, 'slot')} as lam from (select *, unnest(range(0, n_max-n_min)) as j from tot where n_min>=2))"""))
 def r13(spark, sf):
     s = S.smote(vec_cohort(spark, sf), "unit", "vec", "label", ["slot"], "smote")
     return s.select("slot", "j", "unit", "nb", r6("lam", "lam"), r6(F.col("vec")[0], "x0"))
