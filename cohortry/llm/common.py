@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import gc
 import re
 from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,11 +58,19 @@ _HELD: dict[tuple, object] = {}
 def held_table(key: tuple, make: Callable[[], object]):
     """What a worker process remembers from task to task. Workers serve one stage after another: the table of another operator goes when a new one is made."""
     if key not in _HELD:
-        _HELD.clear()
+        forget_tables()
         _HELD[key] = make()
     return _HELD[key]
 
 
+def forget_tables() -> None:
+    """Give back what an earlier stage left in this worker process."""
+    if _HELD:
+        _HELD.clear()
+        gc.collect()
+    pa.default_memory_pool().release_unused()
+
+
 _LONE_SPACE = re.compile("(?<![ \u2581]) (?![ \u2581])")
 
 

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, slices, spaced
+from .common import forget_tables, id_text, slices, spaced
 
 PASSAGE = 48
 #: Labelled documents and passages that the fit reads at most; size of a passage's code and of the attention's hidden layer.
@@ -213,6 +213,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, passages: int
     known = text.join(ids, text["doc_id"] == ids["_id"]).groupBy("_id", "_y").agg(F.min("text").alias("text"))
 
     def measured(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        forget_tables()
         measures = Measures()
         for frame in frames:
             for some in slices(frame):
@@ -251,6 +252,7 @@ def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, passages: in
     model = fit(docs, labels, sample, passages)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        forget_tables()
         measures = Measures()
         for frame in frames:
             for some in slices(frame):

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, slices
+from .common import forget_tables, id_text, slices
 
 #: The plain patterns, in the order of the kinds.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
@@ -210,6 +210,7 @@ def scan(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_assign, n_access, n_hex, n_guess, base_sha256, spans. A null text counts as empty (no span); repeated rows give
     repeated rows. Row-wise, whole texts, no shuffle."""
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        forget_tables()
         for frame in frames:
             for some in slices(frame):
                 rows = []
@@ -238,6 +239,7 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
 
     @F.pandas_udf("string")
     def hidden(texts: pd.Series) -> pd.Series:
+        forget_tables()
         return texts.map(hide, na_action="ignore")
 
     out = docs.withColumn("text", hidden("text"))

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordTable, id_text, slices
+from .common import WordTable, forget_tables, id_text, slices
 
 #: Labelled rows at most that the fit reads; terms that the machine keeps; dimension of the interaction vectors.
 SAMPLE, TERMS, RANK = 20_000, 4096, 4
@@ -170,6 +170,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, terms: int = T
     known = text.join(F.broadcast(ids), text["doc_id"] == ids["_id"]).select("toxic", "text").repartition(max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))).persist()
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        forget_tables()
         finder = Terms(None)
         for frame in frames:
             seen: dict[int, list[int]] = {}
@@ -201,6 +202,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, terms: int = T
             kept.setdefault(r["place"], len(kept))
 
         def rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            forget_tables()
             finder = Terms(kept)
             for frame in frames:
                 for some in slices(frame):
@@ -224,6 +226,7 @@ def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, terms: int =
     machine = fit(docs, labels, sample, terms)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        forget_tables()
         finder = Terms(machine.places)
         for frame in frames:
             for some in slices(frame):
@@ -240,6 +243,7 @@ def reject(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     @F.pandas_udf("boolean")
     def clean(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        forget_tables()
         finder = Terms(machine.places)
         for texts in batches:
             parts = [machine.score(finder.of_all(some["text"])) < 0.5 for some in slices(texts.fillna("").to_frame("text"))]
