@@ -74,12 +74,17 @@ def test_conditional_values_equal_the_recursion(spark):
         t = pd.DataFrame({"a": X[:, 0], "b": X[:, 1], "y": y, "g": "k", "id": np.arange(n)})
         model = I._Conditional(spark.createDataFrame(t), ["a", "b"], "y", "g", 100)
         for point in ([0.0, 0.0], [2.0, -1.0], [-6.0, 4.0]):  # steps over many deviations of the case count
-            ll, grad, infos = model.at(np.array(point), False)
+            ll, grad, info, turn = model.at(np.array(point))
             want = y @ X @ point - log_e(X @ point, int(y.sum()))
             assert abs(ll - want) < 1e-7 * (1 + abs(want))
             h = 1e-5
             slope = [(y @ X[:, j] * 2 * h - log_e(X @ (np.array(point) + h * np.eye(2)[j]), int(y.sum())) + log_e(X @ (np.array(point) - h * np.eye(2)[j]), int(y.sum()))) / (2 * h) for j in range(2)]
             assert np.allclose(grad, slope, rtol=1e-4, atol=1e-4 * n)
+            h = 1e-4
+            ends = [[model.at(np.array(point) + side * h * np.eye(2)[j]) for side in (1, -1)] for j in range(2)] if point == [2.0, -1.0] and n == 60 else []
+            for j, (up, down) in enumerate(ends):
+                assert np.allclose(-(up[1] - down[1]) / (2 * h), info[j], rtol=1e-5, atol=1e-6 * n)
+                assert np.allclose((up[2] - down[2]) / (2 * h), turn[:, :, j], rtol=1e-4, atol=1e-6 * n)
 
 
 def test_conditional_on_one_large_stratum_meets_the_unconditional_fit(spark):
