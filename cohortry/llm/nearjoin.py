@@ -35,7 +35,7 @@ SMALL, DEPTH, CHUNK = 48, 6, 2048
 TREES = 12
 AGREE = 100
 #: Trees in which near copies of a node's smallest class are looked for before anything else; levels of them.
-HUB_TREES, HUB_DEPTH = 2, 4
+HUB_TREES, HUB_DEPTH = 3, 2
 #: Shingles of a candidate component that one task compares at once; a larger component is dealt to more tasks (see `dealt`).
 TASK_SHINGLES = 600_000
 CACHED_WORDS = 200_000
@@ -216,13 +216,15 @@ def hub_links(classes: DataFrame, trees: int = HUB_TREES, depth: int = HUB_DEPTH
     here = here.withColumn("node", _branch(F.xxhash64(F.lit("hub"), "_tree"), 0, F.col("tokens"))).drop("tokens")
     out = None
     for level in range(1, depth + 1):
+        here = cut(here)
         hubs = here.groupBy("node").agg(F.min("cid").alias("_hub"), F.count("*").alias("_n"), F.min_by("bits_a", "cid").alias("_a"), F.min_by("bits_b", "cid").alias("_b"))
-        rows = here.join(cut(hubs.filter(F.col("_n") > SMALL)), "node")
-        rows = cut(rows.withColumn("near", F.bit_count(F.col("bits_a").bitwiseXOR(F.col("_a"))) + F.bit_count(F.col("bits_b").bitwiseXOR(F.col("_b"))) <= TOKENS - AGREE))
+        hubs = cut(hubs.filter(F.col("_n") > SMALL))
+        rows = here.join(hubs, "node")
+        rows = rows.withColumn("near", F.bit_count(F.col("bits_a").bitwiseXOR(F.col("_a"))) + F.bit_count(F.col("bits_b").bitwiseXOR(F.col("_b"))) <= TOKENS - AGREE)
         links = rows.filter("near and cid > _hub").select(F.col("cid").alias("a"), F.col("_hub").alias("b"))
         out = links if out is None else out.union(links)
         wide = rows.filter("not near")
-        if level == depth or wide.isEmpty():
+        if level == depth or hubs.isEmpty():
             break
         here = wide.select("cid", "bits_a", "bits_b", "node").join(classes.select("cid", "tokens"), "cid").select("cid", "bits_a", "bits_b", _branch(F.col("node"), level, F.col("tokens")).alias("node"))
     return out.distinct()
@@ -235,8 +237,10 @@ def candidate_links(classes: DataFrame, trees: int = TREES, small: int = SMALL,
     here = roots.select("cid", "label", "bits_a", "bits_b", _branch(F.xxhash64(F.lit("root"), "_tree"), 0, F.col("tokens")).alias("node"))
     out = None
     for level in range(1, depth + 1):
+        here = cut(here)
         sizes = here.groupBy("node").agg(F.count("*").alias("size"), F.min("label").alias("_low"), F.max("label").alias("_high")).filter("_low < _high").drop("_low", "_high")
-        rows = cut(here.join(cut(sizes), "node"))
+        sizes = cut(sizes)
+        rows = here.join(sizes, "node")
         last = level == depth
         ends = rows.filter(F.col("size") <= (CHUNK if last else small)).withColumn("part", F.lit(0).cast("long"))
         if last:
@@ -244,7 +248,7 @@ def candidate_links(classes: DataFrame, trees: int = TREES, small: int = SMALL,
         links = ends.select("node", "part", "label", "bits_a", "bits_b").repartition(width, "node", "part").sortWithinPartitions("node", "part").mapInPandas(_links, "a long, b long")
         out = links if out is None else out.union(links)
         wide = rows.filter(F.col("size") > small)
-        if last or wide.isEmpty():
+        if last or sizes.filter(F.col("size") > small).isEmpty():
             break
         here = wide.select("cid", "label", "bits_a", "bits_b", "node").join(classes.select("cid", "tokens"), "cid").select(
             "cid", "label", "bits_a", "bits_b", _branch(F.col("node"), level, F.col("tokens")).alias("node"))
