@@ -112,15 +112,16 @@ def test_similar_vectors_brute_force(spark):
     X = r.normal(size=(90, 6))
     X[40] = X[3] + 0.01
     p = pd.DataFrame({"id": range(90), "e": np.arange(90) % 10, "v": [list(map(float, x)) for x in X]})
-    prof = J.similarity_profile(spark.createDataFrame(p), "id", "v", "e", 0.8, rows_per_block=16)
+    df = spark.createDataFrame(p)
+    found = J.similarity_summary(df, "id", "v", "e", 0.8, rows=16).first()
     Z = X - X.mean(1, keepdims=True)
     Z /= np.linalg.norm(Z, axis=1, keepdims=True)
     C_ = Z @ Z.T
     i, j = np.triu_indices(90, 1)
     keep = p.e.to_numpy()[i] != p.e.to_numpy()[j]
-    assert J.similarity_summary(prof).first()["flagged"] == int((C_[i, j][keep].round(6) >= 0.8).sum())
-    assert J.similarity_summary(prof).first()["pairs"] == int(keep.sum())
-    top = J.near_duplicates(prof).first()
+    assert found["flagged"] == int((C_[i, j][keep].round(6) >= 0.8).sum())
+    assert found["pairs"] == int(keep.sum())
+    top = J.near_duplicates(df, "id", "v", "e", rows=16).first()
     assert (top["a"], top["b"]) == (3, 40)
 
 
