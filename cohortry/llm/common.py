@@ -138,10 +138,15 @@ def by_key(frames: Iterable[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataF
         yield pd.concat(held, ignore_index=True) if len(held) > 1 else held[0]
 
 
+#: Edges that one task of a round of `components` holds.
+EDGES = 100_000
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Connected components of edges (a, b): one row (node, component) per node that has an edge; component is the smallest
     node reachable. Alternating large-star and small-star passes; each pass is a min per node and one join, so the hub
-    of a very large component is aggregated before the shuffle and split by the skew join. State is checkpointed."""
+    of a very large component is aggregated before the shuffle and split by the skew join. State is checkpointed. The number of tasks of a round follows
+    the number of edges, so that few edges do not leave hundreds of tiny shuffle files a round."""
     def one_way(e: DataFrame) -> DataFrame:
         return e.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
@@ -151,11 +156,13 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     now = cut(one_way(edges))
     seen = digest(now)
     for _ in range(rounds):
+        k = -(-seen[0] // EDGES) or 1
+        now = now.coalesce(k)
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = one_way(both.filter("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")))
+        large = one_way(both.filter("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).coalesce(k)).coalesce(k)
         low = large.groupBy("a").agg(F.min("b").alias("m"))
-        now = cut(one_way(large.join(low, "a").select("b", "m").union(low.select("a", "m")).toDF("a", "b")))
+        now = cut(one_way(large.join(low, "a").select("b", "m").union(low.select("a", "m")).toDF("a", "b").coalesce(k)).coalesce(k))
         new = digest(now)
         if new == seen:
             break
