@@ -113,12 +113,12 @@ def inner_preds(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def frames(spark: SparkSession, sf: str) -> DataFrame:
-    """Per-user event series as 'frames': t = row index in (ts, event_id) order, level = ln(value)."""
+    """Per-user event series as 'frames': t = row index in (ts, event_id) order, level = ln(value), minus infinity at 0 (Spark's ln gives NULL there)."""
     e = table(spark, sf, "events").select("user_id", "ts", "event_id", "event_type", "value")
     e = e.withColumn(BUCKET, F.date_trunc("day", "ts"))
     e = bucketed_prefix(e, ["user_id"], ["ts", "event_id"], {"t": F.lit(1).cast("long")})
     return e.select(
-        F.col("user_id").alias("rec"), F.col("t").cast("long").alias("t"), F.ln("value").alias("level"), "value",
+        F.col("user_id").alias("rec"), F.col("t").cast("long").alias("t"), F.when(F.col("value") == 0, float("-inf")).otherwise(F.ln("value")).alias("level"), "value",
         F.col("event_type").isin("view", "click").alias("voiced"),
     )
 

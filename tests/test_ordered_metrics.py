@@ -106,3 +106,20 @@ def test_fisher(spark):
     rows = [(1, 1)] * 8 + [(1, 0)] * 2 + [(0, 1)] * 1 + [(0, 0)] * 5
     p = T.fisher_exact(spark.createDataFrame(rows, "x int, y int"), "x", "y").first()["p"]
     assert abs(p - 0.03496503496503495) < 1e-9
+
+
+def test_frames_keep_a_value_of_zero(spark, tmp_path):
+    """ln(0) is minus infinity, as in SQL, not NULL: the frame counts in quantiles, quiet frames and differences."""
+    import datetime
+
+    values = [0.0, 1.0, 1.0, 1.0, 1.0, 1.0, 1.0, 1.0, 1.0, 1.0, 2.0]
+    rows = [(1, datetime.datetime(2024, 1, 1, 0, i), i, "view", v) for i, v in enumerate(values)]
+    spark.createDataFrame(rows, "user_id long, ts timestamp_ntz, event_id long, event_type string, value double").write.parquet(str(tmp_path / "events.parquet"))
+    from cohortry.operators import frames as W
+    from cohortry.plans import views as V
+
+    f = V.frames(spark, str(tmp_path))
+    assert f.filter("t = 0").first()["level"] == float("-inf")
+    low = W.quiet_profile(f.withColumn("p", F.array("level")), "rec", "level", "p", 0.0).collect()
+    assert [(r["x"], r["n"]) for r in low] == [(float("-inf"), 1)]
+    assert W.level_stats(f, "rec", "value", 100.0, "level").first()["channel_diff"] == float("inf")
