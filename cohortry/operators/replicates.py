@@ -6,6 +6,7 @@ per row that is stored or shuffled. What leaves a task is a few arrays of length
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -13,8 +14,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.hashing import draws_np, h60, poisson_np
+from ..functions.hashing import draws_np, h60, permuted_np, poisson_np
 from .ordered import BUCKET, value_buckets
+from .resample import index_units
 
 #: Rows whose weights are held at once: rows x draws numbers.
 BLOCK = 512
@@ -204,6 +206,57 @@ def mean_draws(df: DataFrame, x: str, code: str, draws: int, by: Sequence[str] =
         *[F.col(n).alias(k) for n, k in zip(keys, by, strict=True)], F.col("b").cast("long").alias("b"), F.when(F.col("sw") > 0, F.col("sx") / F.col("sw")).alias("m"))
 
 
+#: Places whose values meet a block of rows at once, and rows of such a block.
+PIECE, ROWS = 1 << 20, 1 << 16
+
+
+def permutation_keys(stratum: str, draws: int, seed: str) -> np.ndarray:
+    """One 64-bit key per draw for the permutations of a stratum."""
+    start = int.from_bytes(hashlib.md5(f"{seed}|{stratum}".encode()).digest()[:7], "big")
+    return draws_np(np.array([start]), np.arange(draws))[0]
+
+
+def permuted_products(df: DataFrame, cols: Sequence[str], r: str, unit: str, by: str, draws: int, seed: str) -> np.ndarray:
+    """draws x cols sums of cols x r with r permuted inside every stratum `by`, one permutation of the units per draw.
+
+    Units have places in hash order. A block of rows works out where its places go in each draw and looks the values up in r, which lies in pieces of at most PIECE places; a block
+    meets every piece and sends draws x cols sums. Nothing is stored per unit and draw. Beyond PIECE units of a stratum the places are worked out once per piece.
+    """
+    spark = df.sparkSession
+    t = df.select(unit, F.col(by).cast("string").alias("_by"), F.col(r).cast("double").alias("_r"), F.array(*[F.col(c).cast("double") for c in cols]).alias("_x"))
+    t = t.join(index_units(t, unit, ["_by"]).select(unit, "idx", "n"), unit).select("_by", "idx", "n", "_r", "_x")
+    blocks = F.greatest(F.lit(2 * spark.sparkContext.defaultParallelism), F.ceil(F.col("n") / ROWS)).cast("long")
+    last = F.floor((F.col("n") - 1) / PIECE).cast("long")
+    piece = F.floor(F.col("idx") / PIECE).cast("long")
+    values = t.groupBy("_by", piece.alias("piece"), blocks.alias("blocks")).agg(F.array_sort(F.collect_list(F.struct("idx", "_r")))["_r"].alias("values"))  # at most PIECE
+    values = values.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    rows = t.withColumn("block", F.col("idx") % blocks).withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+    k = len(cols)
+
+    def met(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left):
+            return pd.DataFrame({"sums": []})
+        n, first = int(left["n"].iloc[0]), int(left["piece"].iloc[0]) * PIECE
+        value, x, at = np.asarray(right["values"].iloc[0], float), np.stack(left["_x"].to_numpy()), left["idx"].to_numpy()
+        keys, sums = permutation_keys(left["_by"].iloc[0], draws, seed), np.zeros((draws, k))
+        for i in range(0, len(at), BLOCK):
+            for b in range(0, draws, BLOCK):
+                to = permuted_np(at[i:i + BLOCK], n, keys[b:b + BLOCK]) - first
+                here = np.where((to >= 0) & (to < len(value)), value[np.clip(to, 0, len(value) - 1)], 0.0)
+                sums[b:b + BLOCK] += here.T @ x[i:i + BLOCK]
+        return pd.DataFrame({"sums": [sums.ravel()]})
+
+    keys = ["_by", "piece", "block"]
+    width = 4 * spark.sparkContext.defaultParallelism
+    theirs = [f"_to{k}" for k in keys]
+    values = values.select(*[F.col(k).alias(to) for k, to in zip(keys, theirs, strict=True)], "values")
+    parts = rows.repartition(width, *keys).groupBy(*keys).cogroup(values.repartition(width, *theirs).groupBy(*theirs)).applyInPandas(met, "sums array<double>")
+    each = parts.select(F.posexplode("sums").alias("at", "v")).groupBy("at").agg(F.sum("v").alias("v")).toPandas()  # draws x cols numbers
+    out = np.zeros(draws * k)
+    out[each["at"].to_numpy()] = each["v"].to_numpy()
+    return out.reshape(draws, k)
+
+
 def draws_sql(code: str, b: str, source: str, keep: str) -> str:
     """DuckDB: a query with `keep` of `source` and x, the 64-bit number of (code, b) of `draws_np`."""
     mod = "18446744073709551616::uhugeint"

@@ -141,3 +141,54 @@ def test_confound_test_equals_the_same_swaps_by_hand(spark, kind):
     obs = np.corrcoef(moved, s)[0, 1] ** 2
     hits = sum(np.corrcoef(x[:, b], s)[0, 1] ** 2 >= obs - 1e-12 for b in range(draws))
     assert got["p"] == pytest.approx((1 + hits) / (1 + draws)) and got["r2"] == pytest.approx(obs)
+
+
+def test_confound_test_of_five_sweeps_by_hand_and_with_a_lone_unit(spark):
+    """The values that meet in a row are those that swapping the whole table sweep by sweep gives; 3 units leave one without a partner."""
+    draws = 40
+    for n in (3, 90):
+        rng = np.random.default_rng(n)
+        y, s = np.arange(n) % 2.0, rng.normal(size=n)
+        c = 0.5 * y + rng.normal(size=n)
+        df = spark.createDataFrame(pd.DataFrame({"unit": np.arange(n), "y": y, "c": c, "s": s}))
+        history = I._swap_history(df.select("unit", "s", F.col("c").alias("x"), F.col("y").alias("o")), 5, "t").toPandas()
+        assert len(history) == (n + 1) // 2 and {len(v) for v in history["x"]} == {32} and {len(v) for v in history["coins"]} == {31}
+        got = I.confound_test(df, "c", "s", "y", "unit", draws, "t", sweeps=5, chunk=16).iloc[0]
+        slope = np.polyfit(y, c, 1)[0]
+        var, x = c.var() * (1 - np.corrcoef(c, y)[0, 1] ** 2), np.repeat(c[:, None], draws, axis=1)
+        for sweep in range(5):
+            h = [r["h"] for r in spark.range(n).select(hashing.h60("id", F.lit(f"t{sweep}")).alias("h")).collect()]
+            coin = [r["h"] for r in spark.range(n).select(hashing.h60("id", F.lit(f"t{sweep}acc")).alias("h")).collect()]
+            order = np.lexsort((np.arange(n), h))
+            for k in range(n // 2):
+                i, j = order[2 * k], order[2 * k + 1]
+                u = (hashing.draws_np(np.array([coin[k]]), np.arange(draws))[0] >> np.uint64(11)) * 2.0**-53
+                swap = u < 1 / (1 + np.exp(-slope / var * (x[i] - x[j]) * (y[j] - y[i])))
+                x[i], x[j] = np.where(swap, x[j], x[i]), np.where(swap, x[i], x[j])
+        obs = np.corrcoef(c, s)[0, 1] ** 2
+        assert got["p"] == pytest.approx((1 + sum(np.corrcoef(x[:, b], s)[0, 1] ** 2 >= obs - 1e-12 for b in range(draws))) / (1 + draws))
+
+
+def test_permutations_by_place_are_uniform_and_give_the_same_products(spark, monkeypatch):
+    keys = hashing.draws_np(np.array([3]), np.arange(24000))[0]
+    for n in (1, 2, 3, 4):
+        to = hashing.permuted_np(np.arange(n), n, keys)
+        _, counts = np.unique(to, axis=1, return_counts=True)
+        full = int(np.prod(np.arange(1, n + 1)))
+        assert len(counts) == full and ((counts - 24000 / full) ** 2 / (24000 / full)).sum() < 60
+    to = hashing.permuted_np(np.arange(1000), 1000, keys[:50])
+    assert (np.sort(to, axis=0) == np.arange(1000)[:, None]).all() and abs(np.corrcoef(to[:, 0], to[:, 1])[0, 1]) < 0.15
+    rng = np.random.default_rng(6)
+    n, draws = 301, 40
+    pdf = pd.DataFrame({"unit": np.arange(n), "y": (rng.random(n) < 0.3).astype(int), "r": rng.normal(size=n), "a": rng.normal(size=n), "b": rng.normal(size=n)})
+    df = spark.createDataFrame(pdf).repartition(3)
+    from cohortry.operators.resample import index_units
+
+    place = index_units(df, "unit", ["y"]).toPandas()
+    want = np.zeros((draws, 2))
+    for y, some in place.merge(pdf, on=["unit", "y"]).sort_values("idx").groupby("y"):
+        to = hashing.permuted_np(np.arange(len(some)), len(some), replicates.permutation_keys(str(y), draws, "p"))
+        want += some["r"].to_numpy()[to].T @ some[["a", "b"]].to_numpy()
+    assert np.allclose(replicates.permuted_products(df, ["a", "b"], "r", "unit", "y", draws, "p"), want)
+    monkeypatch.setattr(replicates, "PIECE", 64)
+    assert np.allclose(replicates.permuted_products(df, ["a", "b"], "r", "unit", "y", draws, "p"), want)
