@@ -207,6 +207,10 @@ def nested_choice(inner: DataFrame, test: DataFrame, y: str, unit: str, keys: Se
     return M.auc(apply_selection(t, sel, "arm", keys), y, "prob", [*keys, "arm"])
 
 
+class NoTraining(ValueError):
+    """Nothing is left to choose or fit a model on."""
+
+
 def grid_choice(df: DataFrame, cols: Sequence[str], y: str, unit: str, folds: DataFrame, k: int, grid: Sequence[float]) -> tuple[float, np.ndarray]:
     """C with the smallest out-of-fold log-loss on the given folds, and the coefficients refitted on all rows."""
     w = folds.select(unit, F.col("fold").alias("own"), F.array(*[(F.col("fold") != f).cast("double") for f in range(k)]).alias("w"))
@@ -219,7 +223,7 @@ def grid_choice(df: DataFrame, cols: Sequence[str], y: str, unit: str, folds: Da
     s = rows.join(fits.select(part[0].cast("long").alias("own"), part[1].cast("double").alias("C"), "coef"), "own").withColumn("p", sigmoid(linear("x", "coef")))
     loss = {r["C"]: r["loss"] for r in s.groupBy("C").agg(F.avg(log_loss(F.col("y"), F.col("p"))).alias("loss")).collect()}  # one row per grid point
     if not loss:
-        raise ValueError("no fold has both labels in its training part, so no C can be chosen")
+        raise NoTraining("no fold has both labels in its training part, so no C can be chosen")
     best = min(loss, key=lambda c: (round(loss[c], 12), c))
     return best, res[("all", f"-1|{best!r}")].coef
 
@@ -262,10 +266,14 @@ def probe_arm(df: DataFrame, cols: Sequence[str], group: str, unit: str, k: int
 
 
 def score_external(train: DataFrame, external: DataFrame, exclude: DataFrame, cols: Sequence[str], y: str, unit: str, group: str, k: int = 5, grid: Sequence[float] = GRID, seed: int = 0) -> DataFrame:
-    """G25. Train on the cohort minus the excluded units (C from group-disjoint folds) and score unseen rows."""
+    """G25. Train on the cohort minus the excluded units (C from group-disjoint folds) and score unseen rows. Where the exclusion leaves nothing to choose C on, there is no
+    model: every row comes back with neither probability nor C."""
     t = shared(train.join(exclude.select(unit), unit, "left_anti"))
     folds = t.select(unit, group).join(grouped_folds(t, group, y, k, [seed]).select(group, "fold"), group).select(unit, "fold")
-    C, coef = grid_choice(t, cols, y, unit, folds, k, grid)
+    try:
+        C, coef = grid_choice(t, cols, y, unit, folds, k, grid)
+    except NoTraining:
+        return external.withColumns({"C": F.lit(None).cast("double"), "prob": F.lit(None).cast("double")})
     x = F.array(F.lit(1.0), *[F.col(c).cast("double") for c in cols])
     return external.withColumn("C", F.lit(C)).withColumn("prob", sigmoid(linear(x, F.array(*[F.lit(float(v)) for v in coef]))))
 
