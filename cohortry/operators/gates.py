@@ -93,13 +93,14 @@ def sensitivity_flags(t: DataFrame, arm: str, variant: str, passed: str, main) -
     return g.withColumn("flag", F.col("main_passed") & F.col("some_variant_fails"))
 
 
-def publish(aggregate: DataFrame, units: DataFrame, ids: DataFrame, id_col: str, private_path: str, public_path: str) -> DataFrame:
+def publish(aggregate: DataFrame, units: DataFrame, ids: DataFrame, id_col: str, private_path: str, public_path: str, counts: Sequence[str] = ()) -> DataFrame:
     """D8. Unit rows go to the private sink; the aggregate goes to the public one only if the id scan is clean.
 
+    `counts` names columns that hold numbers of rows: a count of six digits is some unit's id by chance and no leak. All other columns are scanned.
     Returns the leak rows (empty on success); raises if there are any.
     """
     units.write.mode("overwrite").parquet(private_path)
-    text = aggregate.select(F.to_json(F.struct(*aggregate.columns)).alias("text")).withColumn("key", F.md5("text"))
+    text = aggregate.select(F.to_json(F.struct(*[c for c in aggregate.columns if c not in counts])).alias("text")).withColumn("key", F.md5("text"))
     leaks = scan_id_leaks(text, ids, "text", "key", id_col)
     if not leaks.isEmpty():
         raise GuardError("cohort ids in the public output; nothing was published")
