@@ -61,9 +61,9 @@ def settings_gate(current: DataFrame, frozen: DataFrame) -> DataFrame:
 ID_PATTERN = r"(?<![\d.])(\d{6})(?![\d.])"
 
 
-def scan_id_leaks(text: DataFrame, ids: DataFrame, c: str, key: str, id_col: str) -> DataFrame:
+def scan_id_leaks(text: DataFrame, ids: DataFrame, c: str, key: str, id_col: str, pattern: str = ID_PATTERN) -> DataFrame:
     """D4. Standalone six-digit numbers in published text that are cohort ids; a number inside a decimal does not count."""
-    found = text.select(key, F.explode(F.regexp_extract_all(F.col(c), F.lit(ID_PATTERN), F.lit(1))).alias("_n")).select(key, F.col("_n").cast("long").alias(id_col))
+    found = text.select(key, F.explode(F.regexp_extract_all(F.col(c), F.lit(pattern), F.lit(1))).alias("_n")).select(key, F.col("_n").cast("long").alias(id_col))
     return found.join(ids.select(F.col(id_col).cast("long").alias(id_col)).distinct(), id_col, "left_semi").groupBy(key, id_col).agg(F.count(F.lit(1)).cast("long").alias("n"))
 
 
