@@ -3,10 +3,9 @@
 1. Turns are numbered inside their conversation over ranges of the global order, so one conversation with a third of all turns is spread over tasks.
 2. The prefix of d turns is named by the XOR of d 128-bit hashes of (place, role, text): a running XOR inside blocks of places, with block totals scanned the same way.
    Equal names are one node; texts are hashed where they are read and never shuffled.
-3. Subtree totals come from contraction in join rounds. Each round rakes all leaves into their parents (a sum per parent) and compresses unary chains: a node with one
-   child leaves the chain if it comes before both neighbours in the round's order, and its child inherits its parent and what lay above. Odd rounds order by the
-   lowest set bit of the depth (an untouched chain halves), even rounds by a hash.
-4. Contracted nodes are re-expanded: a compressed node's total is its child's total plus what it recorded; the references are doubled until they reach raked nodes.
+3. Every node belongs to its smallest member, and what a conversation owns is a run of its depths down to its end. So the total of a subtree is, summed over the members
+   of its top, what each of them owns from that depth on: a running sum from the end of every conversation (in blocks, as above) and one sum per node. The number of jobs
+   does not follow the depth or the shape of the trie.
 """
 
 from __future__ import annotations
@@ -111,6 +110,11 @@ def _before(a: tuple[Column, Column], b: tuple[Column, Column]) -> Column:
 
 def subtree_sums(nodes: DataFrame, values: list[str], rounds: int = 400) -> DataFrame:
     """For a tree (conv, depth) with parent (up_conv, depth - 1; root: null) and n_children: (conv, depth) and the sum of each value over the subtree, top included.
+    For trees of which no more is known than the parents; the trie itself takes `member_sums`.
+
+    Contraction in join rounds: each rakes all leaves into their parents (a sum per parent) and compresses unary chains: a node with one child leaves the chain if it
+    comes before both neighbours in the round's order, and its child inherits its parent and what lay above. Odd rounds order by the lowest set bit of the depth (an
+    untouched chain halves), even rounds by a hash. Then a compressed node's total is its child's plus what it recorded; the references are doubled until they reach raked nodes.
 
     `live` holds what is left of the tree: a_v is a node's value with all that was raked into it, e_v what was compressed out of the edge above it. Every round is
     one sum per parent and two joins on the node; live nodes shrink by a constant share, so all rounds together move a few times the first one. The number of the
@@ -208,6 +212,27 @@ def end_digests(rows: DataFrame) -> DataFrame:
     return parts.repartition(width, *NODE).sortWithinPartitions(*keys).select(*NODE, "ids").mapInPandas(digests, "depth long, k1 long, k2 long, ends_sha256 string")
 
 
+def from_here_on(rows: DataFrame, values: list[str], block: int = BLOCK) -> DataFrame:
+    """Each value replaced by its sum over the rows of the conversation at this depth or deeper. Depths may repeat, blocks of them follow without a gap."""
+    keep = rows.columns
+    rows = rows.withColumn("_block", F.floor(F.col("depth") / block).cast("long"))
+    inside = W.partitionBy("conv", "_block").orderBy(F.desc("depth")).rangeBetween(W.unboundedPreceding, W.currentRow)
+    out = rows.select(*[c for c in rows.columns if c not in values], *[F.sum(v).over(inside).alias(v) for v in values])
+    if (rows.agg(F.max("_block")).first()[0] or 0) == 0:
+        return out.select(*keep)
+    totals = rows.groupBy("conv", F.col("_block").alias("depth")).agg(*[F.sum(v).alias(v) for v in values])
+    after = from_here_on(cut(totals), values, block).select("conv", (F.col("depth") - 1).alias("_block"), *[F.col(v).alias(f"_after_{v}") for v in values])
+    return out.join(after, ["conv", "_block"], "left").select(*[(F.col(c) + F.coalesce(f"_after_{c}", F.lit(0))).alias(c) if c in values else F.col(c) for c in keep])
+
+
+def member_sums(rows: DataFrame, nodes: DataFrame, values: list[str], block: int = BLOCK) -> DataFrame:
+    """Sum of each value over the subtree of a node, top included: NODE and the values. rows: (conv, NODE) per conversation and depth; nodes: conv, depth and values of the
+    nodes, each at its smallest member."""
+    none, zero = F.lit(None).cast("long"), F.lit(0).cast("long")
+    every = rows.select("conv", *NODE, *[zero.alias(v) for v in values]).union(nodes.select("conv", "depth", none.alias("k1"), none.alias("k2"), *values))
+    return from_here_on(every, values, block).filter("k1 is not null").groupBy(*NODE).agg(*[F.sum(v).alias(v) for v in values])
+
+
 def trie(turns: DataFrame, block: int = BLOCK) -> DataFrame:
     """One row per node of the trie of rebuilt conversations: conv_id (smallest member), depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256.
 
@@ -225,9 +250,9 @@ def trie(turns: DataFrame, block: int = BLOCK) -> DataFrame:
     nodes = nodes.join(above, (F.col("depth") - 1 == F.col("_d")) & (F.col("p1") == F.col("_1")) & (F.col("p2") == F.col("_2")), "left").select(
         *NODE, "conv", "up_conv", "n_convs", "n_children", (F.col("n_children") == 0).cast("long").alias("n_leaves"), ((F.col("n_convs") - 1) * F.col("chars")).alias("saved_tokens"))
     nodes = cut(nodes)
-    totals = subtree_sums(nodes, ["n_leaves", "saved_tokens"])
+    totals = member_sums(rows, nodes, ["n_leaves", "saved_tokens"], block)
     ends = end_digests(rows.filter("ends"))
-    out = nodes.drop("n_leaves", "saved_tokens").join(totals, ["conv", "depth"]).join(ends, NODE, "left")
+    out = nodes.drop("n_leaves", "saved_tokens").join(totals, NODE).join(ends, NODE, "left")
     return out.select(
         F.col("conv").alias("conv_id"), "depth", F.col("up_conv").alias("parent_conv_id"), "n_convs", "n_children", "n_leaves", "saved_tokens",
         F.coalesce("ends_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("ends_sha256"))

@@ -82,6 +82,21 @@ def test_tree_sums_on_nested_prefixes(spark):
     assert got == {(0, 0): 1 + sum(range(50)), **{(k, 1): k for k in range(50)}}
 
 
+def test_the_work_of_a_trie_does_not_follow_its_depth(spark, monkeypatch):
+    """Subtree totals took two checkpoints a round, and rounds followed depth and shape: the driver held a plan for each."""
+    made = []
+    monkeypatch.setattr(trie, "cut", lambda df, cut=trie.cut: made.append(1) or cut(df))
+    counts = []
+    for n in (2, 200):
+        made.clear()
+        rows = [(c, t, "user", f"t{t}" if t % (c + 2) else f"{c} {t}") for c in range(7) for t in range(n + c)]
+        got = sorted(map(tuple, trie.trie(spark.createDataFrame(rows, TURNS)).collect()), key=str)
+        counts.append(len(made))
+        if n == 2:
+            assert got == trie_by_hand(rows)
+    assert counts[0] == counts[1]
+
+
 def test_hilbert_curve_visits_neighbours():
     for dims, side in ((2, 16), (3, 8), (4, 4)):
         cells = np.stack(np.meshgrid(*[np.arange(side)] * dims, indexing="ij"), axis=-1).reshape(-1, dims)
