@@ -4,7 +4,8 @@
 2. Each class has 128 minwise tokens. In each of `trees` independent trees a node holds the classes that took the same path. A node with at most `small`
    classes is compared exhaustively; a larger one branches: one or two of the 128 positions are chosen by the hash of the node (1.25 on average, 1 / 0.8), and
    each class goes to the child of its token there. A pair of similarity 0.8 meets on average once per tree at any depth, so independent trees are
-   repeated (see `TREES` for the chance that a pair is missed).
+   repeated (see `TREES` for the chance that a pair is missed). A larger node ends as well when few of its classes stand outside its largest label, or none is
+   large: then it takes fewer comparisons than its classes would take rows further down.
 3. Comparison in a node uses 128 one-bit samples of the tokens: 100 agreeing bits or more (115 expected at 0.8, deviation 3.4) make a candidate link. A node gives a
    spanning forest of its candidate links, never all pairs.
 4. Candidate components gather the full sets of their members, each set once, and links are confirmed on full sets: every component of the links with
@@ -30,6 +31,9 @@ from .common import by_key, components, held_table, id_text, slices
 TOKENS = 128
 #: Nodes up to this size are compared exhaustively; depth at which a node is compared whatever its size (in chunks of `CHUNK`).
 SMALL, DEPTH, CHUNK = 48, 6, 2048
+#: Comparisons that a node of at most `CHUNK` classes may take besides (classes outside its largest label, each with all): they are done at once in numpy, about
+#: 10 ms; branching would write the node's rows once a level more, in every tree.
+ROOM = 1 << 20
 #: Chance of a pair at 0.8 to meet in one tree is about 0.48 at the full depth and higher in nodes that end earlier. All trees draw from the same tokens:
 #: averaged over how many of them match, 12 trees and the bit filter miss 1.4 in 1000 (0.4 at the mean number).
 TREES = 12
@@ -230,7 +234,7 @@ def hub_links(classes: DataFrame, trees: int = HUB_TREES, depth: int = HUB_DEPTH
     return out.distinct()
 
 
-def candidate_links(classes: DataFrame, trees: int = TREES, small: int = SMALL, depth: int = DEPTH) -> DataFrame:
+def candidate_links(classes: DataFrame, trees: int = TREES, small: int = SMALL, depth: int = DEPTH, room: int = ROOM) -> DataFrame:
     """Candidate links (a, b) between the labels of classes (cid, label, tokens, bits_a, bits_b)."""
     width = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     roots = classes.select("cid", "label", "tokens", "bits_a", "bits_b", F.explode(F.sequence(F.lit(1), F.lit(trees))).alias("_tree"))
@@ -238,17 +242,18 @@ def candidate_links(classes: DataFrame, trees: int = TREES, small: int = SMALL,
     out = None
     for level in range(1, depth + 1):
         here = cut(here)
-        sizes = here.groupBy("node").agg(F.count("*").alias("size"), F.min("label").alias("_low"), F.max("label").alias("_high")).filter("_low < _high").drop("_low", "_high")
-        sizes = cut(sizes)
-        rows = here.join(sizes, "node")
+        sizes = here.groupBy("node", "label").agg(F.count("*").alias("_n")).groupBy("node").agg(F.sum("_n").alias("size"), F.max("_n").alias("_most"), F.count("*").alias("_labels")).filter("_labels > 1")
         last = level == depth
-        ends = rows.filter(F.col("size") <= (CHUNK if last else small)).withColumn("part", F.lit(0).cast("long"))
+        few = (F.col("size") <= small) | (F.col("size") <= CHUNK) & ((F.col("size") - F.col("_most")) * F.col("size") <= room)
+        sizes = cut(sizes.select("node", "size", (F.lit(last) | few).alias("_ends")))
+        rows = here.join(sizes, "node")
+        ends = rows.filter(F.col("size") <= CHUNK if last else F.col("_ends")).withColumn("part", F.lit(0).cast("long"))
         if last:
             ends = ends.unionByName(dealt(rows.filter(F.col("size") > CHUNK), "node", F.lit(1), CHUNK).select(*ends.columns))
         links = ends.select("node", "part", "label", "bits_a", "bits_b").repartition(width, "node", "part").sortWithinPartitions("node", "part").mapInPandas(_links, "a long, b long")
         out = links if out is None else out.union(links)
-        wide = rows.filter(F.col("size") > small)
-        if last or sizes.filter(F.col("size") > small).isEmpty():
+        wide = rows.filter(~F.col("_ends"))
+        if last or sizes.filter(~F.col("_ends")).isEmpty():
             break
         here = wide.select("cid", "label", "bits_a", "bits_b", "node").join(classes.select("cid", "tokens"), "cid").select(
             "cid", "label", "bits_a", "bits_b", _branch(F.col("node"), level, F.col("tokens")).alias("node"))
