@@ -21,6 +21,8 @@ from .ordered import attach_one
 from .splits import grouped_folds, ipw, oversample, smote
 
 GRID = (1e-3, 1e-2, 1e-1, 1.0, 10.0, 100.0)
+#: Training rows of a task of the model zoo.
+ROWS = 20_000
 
 
 def scale_in_fold(df: DataFrame, cols: Sequence[str], fold_keys: Sequence[str], role: str = "role") -> DataFrame:
@@ -101,7 +103,8 @@ def onehot_logit(df: DataFrame, cat: Sequence[str], num: Sequence[str], y: str,
 def model_zoo(df: DataFrame, cols: Sequence[str], y: str, unit: str, folds: DataFrame, fold_list: Sequence[int], arms: Sequence[str] = ("nb", "tree", "rf", "gbt", "mlp", "knn", "svm"), seed: int = 0) -> DataFrame:
     """G6. Out-of-fold scores of the Spark ML classifiers (and exact kNN vote) on the same folds: (arm, unit, y, fold, prob).
 
-    Features are scaled with training statistics of each fold. The loop is over arms x folds; each fit is a distributed job.
+    Features are scaled with training statistics of each fold. The loop is over arms x folds; each fit is a distributed job, whose tasks follow its rows: a fit is some
+    hundred small jobs, and empty or tiny tasks would take most of its time. The neighbours of all folds are one search.
     """
     from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, LinearSVC, MultilayerPerceptronClassifier, NaiveBayes, RandomForestClassifier
     from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -111,22 +114,30 @@ def model_zoo(df: DataFrame, cols: Sequence[str], y: str, unit: str, folds: Data
         "rf": lambda: RandomForestClassifier(numTrees=20, maxDepth=5, seed=seed), "gbt": lambda: GBTClassifier(maxIter=10, maxDepth=3, seed=seed),
         "mlp": lambda: MultilayerPerceptronClassifier(layers=[len(cols), 8, 2], maxIter=50, seed=seed), "svm": lambda: LinearSVC(maxIter=50, regParam=0.01),
     }
-    t = df.join(folds.select(unit, F.col("fold").alias("own")), unit)
+    own = F.col("own")
+    t = df.join(folds.select(unit, F.col("fold").alias("own")), unit).withColumn("fold", F.explode(F.array(*[F.lit(f) for f in fold_list])))
+    s = scale_in_fold(t.withColumn("role", F.when(own == F.col("fold"), "test").otherwise("train")), cols, ["fold"])
+    s = cut(s.select("fold", unit, F.col(y).cast("double").alias("label"), "role", F.array(*[f"{c}_z" for c in cols]).alias("v")))
+    train, test = s.filter("role = 'train'"), s.filter("role = 'test'")
+    most = train.groupBy("fold").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
     out = None
     for f in fold_list:
-        s = scale_in_fold(t.withColumns({"role": F.when(F.col("own") == f, "test").otherwise("train"), "fold": F.lit(f)}), cols, ["fold"])
-        s = shared(s.select(unit, F.col(y).cast("double").alias("label"), "role", F.array(*[f"{c}_z" for c in cols]).alias("v")).withColumn("features", array_to_vector("v")))
-        train, test = s.filter("role = 'train'"), s.filter("role = 'test'")
+        features = lambda d, f=f: d.filter(F.col("fold") == f).select(unit, "label", array_to_vector("v").alias("features"))
+        rows, scored = cut(features(train).repartition(-(-most // ROWS) or 1, unit).sortWithinPartitions(unit)), None
         for a in arms:
             if a == "knn":
-                nn = k_nearest(test, train, unit, "v", 5).join(train.select(F.col(unit).alias("nb"), F.col("label").alias("_l")), "nb")
-                p = nn.groupBy(unit).agg(F.avg("_l").alias("prob")).join(test.select(unit, "label"), unit)
-            else:
-                m = make[a]().fit(train).transform(test)
-                score = sigmoid(vector_to_array("rawPrediction")[1]) if a == "svm" else vector_to_array("probability")[1]
-                p = m.select(unit, "label", score.alias("prob"))
-            p = p.select(F.lit(a).alias("arm"), unit, F.col("label").cast("long").alias("y"), F.lit(f).cast("long").alias("fold"), "prob")
-            out = p if out is None else out.unionByName(p)
+                continue
+            m = make[a]().fit(rows).transform(features(test))
+            score = sigmoid(vector_to_array("rawPrediction")[1]) if a == "svm" else vector_to_array("probability")[1]
+            p = m.select(F.lit(a).alias("arm"), unit, F.col("label").cast("long").alias("y"), F.lit(f).cast("long").alias("fold"), score.alias("prob"))
+            scored = p if scored is None else scored.unionByName(p)
+        if scored is not None:
+            out = cut(scored) if out is None else out.unionByName(cut(scored))
+    if "knn" in arms:
+        nn = k_nearest(test, train, unit, "v", 5, ["fold"]).join(train.select("fold", F.col(unit).alias("nb"), F.col("label").alias("_l")), ["fold", "nb"])
+        p = nn.groupBy("fold", unit).agg(F.avg("_l").alias("prob")).join(test.select("fold", unit, "label"), ["fold", unit])
+        p = p.select(F.lit("knn").alias("arm"), unit, F.col("label").cast("long").alias("y"), F.col("fold").cast("long").alias("fold"), "prob")
+        out = p if out is None else out.unionByName(p)
     return out
 
 

@@ -234,3 +234,27 @@ def test_many_fits_are_dealt_to_all_cores_and_refits_start_at_the_whole_fit(spar
     warm = fit_many(rows, [Spec(str(b), rep=b, start=whole.coef) for b in range(12)], firth=True)
     assert all(np.allclose(warm[f].coef, cold[f].coef, atol=1e-6) and warm[f].converged for f in cold)
     assert sum(f.steps for f in warm.values()) < sum(f.steps for f in cold.values())
+
+
+def test_the_zoo_trains_on_tasks_that_follow_the_rows(spark, monkeypatch):
+    """Each fit is some hundred jobs: with a task for every shuffle partition the five folds of 0.1 GB did not end in time. The neighbours of all folds are one search."""
+    from cohortry.operators import models
+
+    rng = np.random.default_rng(3)
+    rows = [(i, int(i % 3 == 0), float(rng.normal() + (i % 3 == 0)), float(rng.normal())) for i in range(120)]
+    df = spark.createDataFrame(rows, "unit long, label long, a double, b double").repartition(7)
+    folds = df.selectExpr("unit", "unit % 2 as fold")
+    searches, tasks = [], []
+    monkeypatch.setattr(models, "k_nearest", lambda *x, f=models.k_nearest: searches.append(1) or f(*x))
+    monkeypatch.setattr(models, "cut", lambda d, cut=models.cut: ("features" in d.columns and tasks.append(d.rdd.getNumPartitions())) or cut(d))
+    got = models.model_zoo(df, ["a", "b"], "label", "unit", folds, [0, 1], arms=("tree", "knn")).toPandas()
+    assert searches == [1] and tasks == [1, 1]
+    assert len(got) == 240 and not got.duplicated(["arm", "unit"]).any() and (got["fold"] == got["unit"] % 2).all()
+    x = np.array([r[2:] for r in rows])
+    y, f = np.array([r[1] for r in rows]), np.arange(120) % 2
+    for k in (0, 1):
+        z = (x - x[f != k].mean(axis=0)) / x[f != k].std(axis=0)
+        d = ((z[f == k][:, None] - z[f != k][None]) ** 2).sum(axis=2)
+        want = y[f != k][np.argsort(d, axis=1, kind="stable")[:, :5]].mean(axis=1)
+        mine = got[(got["arm"] == "knn") & (got["fold"] == k)].sort_values("unit")
+        assert np.allclose(mine["prob"], want) and (mine["y"] == y[f == k]).all()
