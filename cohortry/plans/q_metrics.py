@@ -37,8 +37,9 @@ def timebound(spark, sf):
     return add_overlap_flag(t, "day", "label", "overlap")
 
 
-def fold_auc(spark, sf):
-    p = V.predictions(spark, sf)
+def fold_auc(spark, sf, groups: str = "true"):
+    """groups: condition on the keys; only these groups are ranked (a filter after the AUC does not pass the ranking's joins and edges)."""
+    p = V.predictions(spark, sf).filter(groups)
     return M.auc(p, "label", "prob", ["arm", "slot", "repeat", "fold"])
 
 
