@@ -185,34 +185,6 @@ def standardise_rows(df: DataFrame, vec: str, out: str = "u", digits: int | None
     return t.filter("_n > 0").withColumn(out, F.transform("_c", lambda v: v / F.col("_n"))).drop("_x", "_m", "_c", "_n")
 
 
-def _tiles(df: DataFrame, key: str, rows_per_block: int) -> DataFrame:
-    """Spread rows over hash blocks and copy each to the block pairs it takes part in.
-
-    Blocks are hashed by id, so no block depends on the content: a cluster of similar vectors spreads evenly.
-    """
-    from ..functions.hashing import h60
-
-    g = max(1, -(-df.count() // rows_per_block))
-    b = df.withColumn("_b", (h60(key) % g).cast("int")).withColumn("_j", F.explode(F.sequence(F.lit(0), F.lit(g - 1))))
-    return b.withColumns({"ti": F.least("_b", "_j"), "tj": F.greatest("_b", "_j")}).drop("_j")
-
-
-def _tile_matrices(pdf):
-    """Similarity matrix of one tile, the two sides, and the mask of pairs that count once (i < j)."""
-    import numpy as np
-
-    ti, tj = int(pdf["ti"].iloc[0]), int(pdf["tj"].iloc[0])
-    left = pdf[pdf["_b"] == ti]
-    right = left if ti == tj else pdf[pdf["_b"] == tj]
-    if len(left) == 0 or len(right) == 0:
-        return None
-    sim = np.stack(left["u"].to_numpy()) @ np.stack(right["u"].to_numpy()).T
-    keep = np.ones(sim.shape, bool)
-    if ti == tj:
-        keep = np.triu(keep, 1)
-    return left, right, sim, keep
-
-
 def _similarity_cells(df: DataFrame, key: str, vec: str, entity: str, rows: int) -> Cells:
     """Unit vectors in cells of a metric space. Copies of one vector inside one entity collapse to a single weighted row first."""
     u = standardise_rows(df.select(key, vec, entity), vec)
@@ -220,17 +192,19 @@ def _similarity_cells(df: DataFrame, key: str, vec: str, entity: str, rows: int)
     return cells(shared(u.drop("_d")), "id", "u", rows)
 
 
-def _cross_pairs(left, right, keep):
-    """(a, b, weight, rounded correlation) of the tile's pairs of different entities, a < b."""
+def _cross_pairs(left, right, keep, least: float = -2.0):
+    """(a, b, weight, rounded correlation) of the product's pairs of different entities, a < b; those whose rounded correlation is below `least` may be left out."""
     import numpy as np
 
-    if keep is None:
-        none = np.zeros(0, dtype=np.int64)
-        return none, none, none, np.zeros(0)
-    sim = np.stack(left["u"].to_numpy()) @ np.stack(right["u"].to_numpy()).T
-    i, j = np.nonzero(keep & (left["e"].to_numpy()[:, None] != right["e"].to_numpy()[None, :]))
-    a, b = left["id"].to_numpy()[i], right["id"].to_numpy()[j]
-    return np.minimum(a, b), np.maximum(a, b), left["n"].to_numpy()[i] * right["n"].to_numpy()[j], np.round(sim[i, j], 6)
+    sim = left["u"] @ right["u"].T
+    hit = sim >= least - 1e-6
+    if keep is not None:
+        hit &= keep
+    i, j = np.divmod(np.flatnonzero(hit), hit.shape[1])
+    other = left["e"][i] != right["e"][j]
+    i, j = i[other], j[other]
+    a, b = left["id"][i], right["id"][j]
+    return np.minimum(a, b), np.maximum(a, b), left["n"][i] * right["n"][j], np.round(sim[i, j], 6)
 
 
 def _correlation_bounds(space: Cells):
@@ -248,37 +222,69 @@ def _noted(report: dict | None, space: Cells, pairs) -> None:
 def near_duplicates(df: DataFrame, key: str, vec: str, entity: str, k: int = 50, rows: int = 2048, report: dict | None = None) -> DataFrame:
     """J12. The k most similar cross-entity pairs (the report's size) of row-standardised vectors: a, b, n_pairs, corr; ties broken by ids. Exact.
 
-    Pairs inside cells come first; the k-th best correlation found there excludes every pair of cells whose bound is below it. A tile returns its k best pairs.
-    `report` gets the number of vector products made and that of all pairs.
+    Pairs inside cells come first; the k-th best correlation found there excludes every pair of cells whose bound is below it, and what a product makes below it. A task
+    keeps its k best pairs from product to product. `report` gets the number of vector products made and that of all pairs.
     """
     import numpy as np
     import pandas as pd
 
     space = _similarity_cells(df, key, vec, entity, rows)
 
-    def tile(left, right, keep) -> pd.DataFrame:
-        a, b, w, s = _cross_pairs(left, right, keep)
-        best = np.lexsort((b, a, -s))[:k]
-        return pd.DataFrame({"a": a[best], "b": b[best], "n_pairs": w[best], "corr": s[best]})
+    def top(pairs, floor: float) -> DataFrame:
+        def tile(parts) -> pd.DataFrame:
+            held, least = [np.zeros(0, dtype=np.int64)] * 3 + [np.zeros(0)], floor
+            for left, right, keep in parts:
+                new = _cross_pairs(left, right, keep, least)
+                if len(new[3]) > k:
+                    high = new[3] >= np.partition(new[3], -k)[-k]
+                    new = [x[high] for x in new]
+                held = [np.concatenate(x) for x in zip(held, new, strict=True)]
+                best = np.lexsort((held[1], held[0], -held[3]))[:k]
+                held = [x[best] for x in held]
+                least = max(least, held[3][-1]) if len(best) == k else least
+            return pd.DataFrame(dict(zip(("a", "b", "n_pairs", "corr"), held, strict=True)))
 
-    def top(pairs) -> DataFrame:
         return space.tiles(pairs, tile, "a long, b long, n_pairs long, corr double", "id").orderBy(F.desc("corr"), "a", "b").limit(k)
 
     own = np.eye(len(space.size), dtype=bool)
-    found = shared(top(own))
+    found = shared(top(own, -2.0))
     kth = found.agg(F.count("*").alias("n"), F.min("corr").alias("c")).first()
-    more = (_correlation_bounds(space)[1] >= (kth["c"] if kth["n"] == k else -2.0)) & ~own
+    bound = kth["c"] if kth["n"] == k else -2.0
+    more = (_correlation_bounds(space)[1] >= bound) & ~own
     _noted(report, space, own | more)
-    return found.union(top(more)).orderBy(F.desc("corr"), "a", "b").limit(k)
+    return found.union(top(more, bound)).orderBy(F.desc("corr"), "a", "b").limit(k)
+
+
+def _sampled_quantile(points: DataFrame, q: float, n: int = 2048, margin: float = 1.5, width: int = 8) -> tuple[int, tuple[int, int]]:
+    """From the pairs of a bounded sample of rows: a bin of 0.001 that is likely below the q-quantile of the correlation, and the range of bins that likely holds it."""
+    import numpy as np
+
+    from ..functions.hashing import h60
+
+    rows = points.select(h60("id", F.lit("guess")).alias("h"), "id", "e", "n", "u").orderBy("h", "id").limit(n).collect()
+    if len(rows) < 2:
+        return -1001, (0, 0)
+    side = {c: np.array([r[c] for r in rows]) for c in ("id", "e", "n", "u")}
+    *_, w, s = _cross_pairs(side, side, np.triu(np.ones((len(rows),) * 2, dtype=bool), 1))
+    if not len(s):
+        return -1001, (0, 0)
+    order = np.argsort(s)
+    share = np.cumsum(w[order]) / w.sum()
+    below, at = (int(np.floor(s[order][min(np.searchsorted(share, p), len(s) - 1)] * 1000)) for p in (max(0.0, 1 - margin * (1 - q)), q))
+    return below - 1, (at - width, at + width + 1)
 
 
 def similarity_summary(df: DataFrame, key: str, vec: str, entity: str, thr: float, q: float = 0.99, rows: int = 2048, report: dict | None = None) -> DataFrame:
     """J12. All cross-entity pairs (`pairs`), those of correlation >= thr (`flagged`), and the exact q-quantile of the correlation (`q_corr`: the smallest value, at six digits,
     with at least a share q of the pairs at or below it) with the 0.001-wide bin that holds it (`q_bin`).
 
-    The number of pairs needs no comparison. Pairs inside cells give a bound below which the quantile cannot lie; pairs of cells that reach neither it nor `thr` are
-    never compared. Bin counts find the quantile's bin, and a second pass over what reaches that bin counts its values (at most 1,000).
+    The number of pairs needs no comparison. A bounded sample of rows says where the quantile lies: what is clearly below it and `thr` is neither compared (cells) nor counted
+    (pairs), and values near it are counted with the bins. The counts prove the guess: where too few pairs lie above it, all pairs are counted, and where the bin lies outside
+    the counted values, a second pass over what reaches that bin counts them (at most 1,000).
     """
+    import math
+    from fractions import Fraction
+
     import numpy as np
     import pandas as pd
 
@@ -287,18 +293,31 @@ def similarity_summary(df: DataFrame, key: str, vec: str, entity: str, thr: floa
     sums = space.points.groupBy("e").agg(F.sum("n").alias("n")).agg(F.sum("n").cast("decimal(38,0)").alias("t"), F.sum(F.col("n").cast("decimal(19,0)") * F.col("n")).alias("s")).first()
     total = (int(sums["t"] or 0) ** 2 - int(sums["s"] or 0)) // 2
     low, high = _correlation_bounds(space)
-
-    def counted(left, right, keep) -> pd.DataFrame:
-        *_, w, s = _cross_pairs(left, right, keep)
-        bins, inv = np.unique(np.floor(s * 1000).astype(np.int64), return_inverse=True)
-        hit = pd.DataFrame({"bin": [1_000_000], "n": [int(w[s >= thr].sum())]})
-        return pd.concat([hit, pd.DataFrame({"bin": bins, "n": np.bincount(inv, weights=w, minlength=len(bins)).astype(np.int64)})])
-
-    def gathered(pairs) -> dict[int, int]:
-        parts = space.tiles(pairs, counted, "bin long, n long", "id").groupBy("bin").agg(F.sum("n").alias("n"))
-        return {r["bin"]: r["n"] for r in parts.collect()}
-
-    def bin_of(rank: int, counts: dict[int, int]) -> tuple[int | None, int]:
+    rank = total - math.ceil(Fraction(str(q)) * total) + 1
+    guess, near = _sampled_quantile(space.points, q)
+
+    def gathered(pairs, least: int, values: tuple[int, int]) -> tuple[int, dict[int, int], dict[float, int]]:
+        """Pairs of at least `thr`, pairs by bin (from `least` up), pairs by value in the bins from values[0] to below values[1]."""
+        first, span = values[0] * 1000 - 1000, max(0, values[1] - values[0]) * 1000 + 2000
+
+        def counted(parts) -> pd.DataFrame:
+            flags, bins, exact = 0, np.zeros(2003), np.zeros(span)
+            for left, right, keep in parts:
+                *_, w, s = _cross_pairs(left, right, keep, min(thr, least / 1000))
+                flags += int(w[s >= thr].sum())
+                at = np.floor(s * 1000).astype(np.int64)
+                bins += np.bincount(at[at >= least] + 1001, weights=w[at >= least], minlength=2003)
+                fine = (at >= values[0]) & (at < values[1])
+                exact += np.bincount(np.rint(s[fine] * 1e6).astype(np.int64) - first, weights=w[fine], minlength=span)
+            rows_of = [(0, np.zeros(1, dtype=np.int64), np.array([flags]))]
+            rows_of += [(kind, np.flatnonzero(c) + start, c[c > 0]) for kind, c, start in ((1, bins, -1001), (2, exact, first))]
+            return pd.concat([pd.DataFrame({"kind": kind, "at": at, "n": n.astype(np.int64)}) for kind, at, n in rows_of])
+
+        parts = space.tiles(pairs, counted, "kind int, at long, n long", "id").groupBy("kind", "at").agg(F.sum("n").alias("n")).collect()  # bins and some thousand values
+        got = [{r["at"]: r["n"] for r in parts if r["kind"] == kind} for kind in range(3)]
+        return got[0].get(0, 0), got[1], {v / 1e6: n for v, n in got[2].items()}
+
+    def bin_of(counts: dict[int, int]) -> tuple[int | None, int]:
         """Bin that holds the rank-th largest pair, and the number of pairs above it."""
         above = 0
         for b in sorted(counts, reverse=True):
@@ -307,47 +326,33 @@ def similarity_summary(df: DataFrame, key: str, vec: str, entity: str, thr: floa
             above += counts[b]
         return None, above
 
-    import math
-    from fractions import Fraction
-
-    rank = total - math.ceil(Fraction(str(q)) * total) + 1
-    own = np.eye(len(space.size), dtype=bool)
-    counts = gathered(own)
-    flagged = counts.pop(1_000_000, 0)
-    found, _ = bin_of(rank, counts)
-    bound = min(thr, -2.0 if found is None else found / 1000)
-    more = (high >= bound) & ~own
-    for b, n in gathered(more).items():
-        if b == 1_000_000:
-            flagged += n
-        else:
-            counts[b] = counts.get(b, 0) + n
-    _noted(report, space, own | more)
-    at, above = bin_of(rank, counts) if total else (None, 0)
+    everything = np.ones((len(space.size),) * 2, dtype=bool)
+    compared = high >= min(thr, guess / 1000)
+    flagged, counts, values = gathered(compared, guess, near)
+    at, above = bin_of(counts) if total else (None, 0)
+    if total and at is None:  # the sample misled: the quantile lies below
+        compared = everything
+        _, counts, values = gathered(compared, -1001, near)
+        at, above = bin_of(counts)
+    _noted(report, space, compared)
     value = None
     if at is not None:
-        def inside(left, right, keep) -> pd.DataFrame:
-            *_, w, s = _cross_pairs(left, right, keep)
-            here = np.floor(s * 1000) == at
-            values, inv = np.unique(s[here], return_inverse=True)
-            return pd.DataFrame({"corr": values, "n": np.bincount(inv, weights=w[here], minlength=len(values)).astype(np.int64)})
-
-        reach = (own | more) & (low <= (at + 1) / 1000) & (high >= at / 1000)
-        values = space.tiles(reach, inside, "corr double, n long", "id").groupBy("corr").agg(F.sum("n").alias("n"))
-        for r in sorted(values.collect(), key=lambda r: -r["corr"]):
-            above += r["n"]
+        if not near[0] <= at < near[1]:
+            _, _, values = gathered((low <= (at + 1) / 1000) & (high >= at / 1000), at, (at, at + 1))
+        for v in sorted((v for v in values if math.floor(v * 1000) == at), reverse=True):
+            above += values[v]
             if above >= rank:
-                value = r["corr"]
+                value = v
                 break
     row = (total or None, None if at is None else at / 1000.0, value, flagged)
     return spark.createDataFrame([row], "pairs long, q_bin double, q_corr double, flagged long")
 
 
-def entity_similarity(df: DataFrame, key: str, vec: str, entity: str, slot: str, digits: int = 4, rows_per_block: int = 2048) -> DataFrame:
+def entity_similarity(df: DataFrame, key: str, vec: str, entity: str, slot: str, digits: int = 4, rows: int = 2048) -> DataFrame:
     """M26. Do two recordings of one entity (different slots) look more alike than recordings of two entities?
 
-    Dimensions are z-scored over the table and rows scaled to length one; every cross-slot pair is compared in a tile,
-    which returns counts per rounded similarity, so the AUC comes from at most 2 x 20,001 weighted rows.
+    Dimensions are z-scored over the table and rows scaled to length one; every cross-slot pair is compared in a dense product,
+    a task returns counts per rounded similarity, so the AUC comes from at most 2 x 20,001 weighted rows.
     """
     import numpy as np
     import pandas as pd
@@ -361,20 +366,21 @@ def entity_similarity(df: DataFrame, key: str, vec: str, entity: str, slot: str,
     t = df.select(key, entity, slot, F.transform(vec, lambda v: v.cast("double")).alias("_x")).withColumn("_st", stats).withColumn("_z", z)
     t = t.withColumn("_n", F.sqrt(F.aggregate("_z", F.lit(0.0), lambda s, v: s + v * v))).filter("_n > 0")
     t = shared(t.select(F.col(key).alias("id"), F.col(entity).alias("e"), F.col(slot).alias("g"), F.transform("_z", lambda v: v / F.col("_n")).alias("u")))
-    cols = ["same", "sim", "n"]
-
-    def tile(pdf: pd.DataFrame) -> pd.DataFrame:
-        m = _tile_matrices(pdf)
-        if m is None:
-            return pd.DataFrame(columns=cols)
-        left, right, sim, keep = m
-        keep &= left["g"].to_numpy()[:, None] != right["g"].to_numpy()[None, :]
-        i, j = np.nonzero(keep)
-        same = (left["e"].to_numpy()[i] == right["e"].to_numpy()[j]).astype(int)
-        return pd.DataFrame({"same": same, "sim": np.round(sim[i, j], digits)}).groupby(["same", "sim"]).size().rename("n").reset_index()[cols]
-
-    parts = shared(_tiles(t, "id", rows_per_block).groupBy("ti", "tj").applyInPandas(tile, "same int, sim double, n long")
-                   .groupBy("same", "sim").agg(F.sum("n").cast("long").alias("n")))
+    scale = 10**digits
+
+    def tile(parts) -> pd.DataFrame:
+        counts = np.zeros((2, 2 * scale + 3), dtype=np.int64)  # by same entity, rounded similarity
+        for left, right, keep in parts:
+            at = np.rint((left["u"] @ right["u"].T) * scale).astype(np.int32) + (scale + 1)
+            at += (left["e"][:, None] == right["e"][None, :]) * np.int32(counts.shape[1])
+            ok = left["g"][:, None] != right["g"][None, :]
+            counts += np.bincount(at[ok if keep is None else ok & keep], minlength=counts.size).reshape(counts.shape)
+        same, sim = np.nonzero(counts)
+        return pd.DataFrame({"same": same, "sim": (sim - scale - 1) / scale, "n": counts[same, sim]})
+
+    n = t.count()
+    whole = Cells(t.withColumn("_cell", F.lit(0)), np.zeros((1, 1)), np.zeros(1), np.array([n]), rows)  # every pair counts, so cells would exclude none
+    parts = shared(whole.tiles(np.array([[n > 0]]), tile, "same int, sim double, n long", "id").groupBy("same", "sim").agg(F.sum("n").cast("long").alias("n")))
     a = auc(parts, "same", "sim", (), "n").withColumnsRenamed({"n1": "pairs_same", "n0": "pairs_other"})
     m = parts.agg((F.sum(F.when(F.col("same") == 1, F.col("sim") * F.col("n"))) / F.sum(F.when(F.col("same") == 1, F.col("n")))).alias("mean_same"),
                   (F.sum(F.when(F.col("same") == 0, F.col("sim") * F.col("n"))) / F.sum(F.when(F.col("same") == 0, F.col("n")))).alias("mean_other"))

@@ -6,7 +6,8 @@ inequality bounds every distance between two cells, or between a point and a cel
     |p(A) - p(B)| - radius(A) - radius(B)  <=  d(a, b)  <=  |p(A) - p(B)| + radius(A) + radius(B)
 
 Pivots come from a bounded sample (the smallest hashes of the ids); cells that hold too many points get pivots of their own from a bounded sample of the cell, and what is still
-too large is cut into hash chunks that share the bound. What cannot be excluded is compared in dense tiles of at most `rows` x `rows`. The results do not depend on the pivots.
+too large is cut into hash chunks that share the bound. Cells are packed into blocks; what cannot be excluded is compared in dense products, one task for a pair of blocks.
+The results do not depend on the pivots.
 """
 
 from __future__ import annotations
@@ -27,6 +28,13 @@ from .ordered import hash_rank
 #: Points that pivots are chosen from, pivots of the whole table, pivots of one cell that is split: whatever the table's size.
 SAMPLE, PIVOTS, SPLIT = 2048, 64, 16
 SLACK = 1e-7
+#: Blocks of a table that is compared with itself (their pairs are the tasks), the most rows of one, and the rows of one dense product inside a task.
+BLOCKS, LARGEST, SIDE = 24, 65536, 2048
+
+
+def block_rows(n: int, least: int) -> int:
+    """Rows of a block: a share of the table, so that each row is sent to BLOCKS blocks however large the table is (up to BLOCKS x LARGEST rows)."""
+    return max(least, min(LARGEST, -(-n // BLOCKS)))
 
 
 def spread_out(points: np.ndarray, most: int) -> np.ndarray:
@@ -55,10 +63,6 @@ class Cells:
     size: np.ndarray
     rows: int
 
-    @property
-    def chunks(self) -> np.ndarray:
-        return np.maximum(1, -(-self.size // self.rows))
-
     def bounds(self) -> tuple[np.ndarray, np.ndarray]:
         """(least, largest) possible distance between members of two cells."""
         d = distances(self.pivots, self.pivots)
@@ -72,35 +76,67 @@ class Cells:
         n = self.size.astype(object)
         return int(sum(n[i] * (n[i] - 1) // 2 if i == j else n[i] * n[j] for i, j in zip(a.tolist(), b.tolist(), strict=True)))
 
+    def pieces(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(cell, chunk, block) of every piece: cells in their order, those beyond a block's rows in hash chunks, packed into blocks of about equal size."""
+        chunks = np.maximum(1, -(-self.size // block_rows(int(self.size.sum()), self.rows)))
+        cell = np.repeat(np.arange(len(self.size)), chunks)
+        chunk = np.concatenate([np.arange(c) for c in chunks]) if len(chunks) else np.zeros(0, dtype=np.int64)
+        held = np.cumsum((self.size / chunks)[cell])
+        return cell, chunk, ((held - 1e-9) // block_rows(int(self.size.sum()), self.rows)).astype(np.int64)
+
     def tiles(self, pairs: np.ndarray, fn: Callable, schema: str, key: str) -> DataFrame:
-        """fn(left, right, keep) for every tile of the marked pairs of cells; keep marks the products of the tile that count once (by position, not by key)."""
+        """fn(parts) for every pair of blocks that holds a marked pair of cells. parts yields (left, right, keep): two dicts of arrays (a matrix for an array column) of at most
+        SIDE rows, and None or the mask of the products that count once (by position, not by key).
+
+        A row travels once to each block it is compared with, not once to each cell. Blocks grow with the table up to LARGEST rows, so what is shuffled follows the rows.
+        """
         spark = self.points.sparkSession
-        chunks = self.chunks
-        many = sorted({(i, j) for i, j in zip(*np.nonzero(np.triu(pairs)), strict=True)} | {(j, i) for i, j in zip(*np.nonzero(np.triu(pairs)), strict=True)})
-        if not many:
+        marked = np.triu(pairs) | np.triu(pairs).T
+        if not marked.any():
             return spark.createDataFrame([], schema)
-        near = pd.DataFrame(many, columns=["_cell", "_other"])
-        near["_mine"], near["_theirs"] = chunks[near["_cell"]], chunks[near["_other"]]
-        near = spark.createDataFrame(near.astype("int64"))
-        t = self.points.withColumn("_cell", F.col("_cell").cast("long")).join(F.broadcast(near), "_cell")
-        t = t.withColumn("_c", (h60(key) % F.col("_mine")).cast("long")).withColumn("_o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_theirs") - 1)))
-        first = (F.col("_cell") < F.col("_other")) | ((F.col("_cell") == F.col("_other")) & (F.col("_c") <= F.col("_o")))
-        def end(mine: str, theirs: str):
-            return F.when(first, F.col(mine)).otherwise(F.col(theirs)), F.when(first, F.col(theirs)).otherwise(F.col(mine))
-
-        (ta, tb), (tc, td) = end("_cell", "_other"), end("_c", "_o")
-        t = t.select(*self.points.columns, first.cast("int").alias("_first"), ta.alias("_ta"), tc.alias("_tc"), tb.alias("_tb"), td.alias("_td"))
+        cell, chunk, block = self.pieces()
+        n = int(block.max()) + 1
+        belongs = np.zeros((len(self.size), n), dtype=bool)
+        belongs[cell, block] = True
+        meets = marked.astype(int) @ belongs > 0  # cell x block
+        where = pd.DataFrame({"_cell": cell, "_chunk": chunk, "_block": block, "_chunks": np.bincount(cell, minlength=len(self.size))[cell]})
+        where["_meets"] = [np.flatnonzero(meets[c]).tolist() for c in cell]
+        where = spark.createDataFrame(where, "_cell int, _chunk int, _block int, _chunks int, _meets array<int>")
+        many = F.broadcast(where.filter("_chunk = 0").select("_cell", "_chunks"))
+        t = self.points.withColumn("_cell", F.col("_cell").cast("int")).join(many, "_cell").withColumn("_chunk", (h60(key) % F.col("_chunks")).cast("int")).drop("_chunks")
+        t = t.join(F.broadcast(where.drop("_chunks")), ["_cell", "_chunk"]).withColumn("_other", F.explode("_meets")).drop("_meets")
+        t = t.withColumns({"_ta": F.least("_block", "_other"), "_tb": F.greatest("_block", "_other")}).drop("_other")
+        shipped = spark.sparkContext.broadcast(marked)
+        columns = self.points.columns
 
         def tile(pdf: pd.DataFrame) -> pd.DataFrame:
-            same = bool((pdf["_ta"].iloc[0], pdf["_tc"].iloc[0]) == (pdf["_tb"].iloc[0], pdf["_td"].iloc[0]))
-            left = pdf[pdf["_first"] == 1].sort_values(key)
-            right = left if same else pdf[pdf["_first"] == 0].sort_values(key)
-            if not (len(left) and len(right)):
-                return fn(left, left, None)
-            keep = np.ones((len(left), len(right)), dtype=bool)
-            return fn(left, right, np.triu(keep, 1) if same else keep)
-
-        return t.groupBy("_ta", "_tc", "_tb", "_td").applyInPandas(tile, schema)
+            pdf = pdf.sort_values(["_block", "_cell", "_chunk", key], kind="stable")
+            table = {c: np.stack(pdf[c].to_numpy()) if pdf[c].dtype == object and isinstance(pdf[c].iloc[0], (np.ndarray, list)) else pdf[c].to_numpy() for c in columns}
+            cells_of, own = pdf["_cell"].to_numpy(), pdf["_block"].to_numpy()
+            names = pdf[["_block", "_cell", "_chunk"]].to_numpy()
+            edge = np.concatenate([[0], np.flatnonzero((names[1:] != names[:-1]).any(axis=1)) + 1, [len(pdf)]])
+            same = bool(pdf["_ta"].iloc[0] == pdf["_tb"].iloc[0])
+            first = len(pdf) if same else int((own == pdf["_ta"].iloc[0]).sum())
+
+            def take(rows) -> dict:
+                return {c: v[rows] for c, v in table.items()}
+
+            def parts():
+                for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+                    if a >= first:
+                        break
+                    # inside a block a piece meets itself and those after it; else all pieces of the other block
+                    hit = np.flatnonzero(shipped.value[cells_of[a], cells_of[(a if same else first):]]) + (a if same else first)
+                    for i in range(a, b, SIDE):
+                        left = take(slice(i, min(i + SIDE, b)))
+                        ahead = hit[hit >= i] if same else hit
+                        for j in range(0, len(ahead), SIDE):
+                            at = ahead[j:j + SIDE]
+                            yield left, take(at), None if at[0] >= min(i + SIDE, b) else np.arange(i, min(i + SIDE, b))[:, None] < at[None, :]
+
+            return fn(parts())
+
+        return t.groupBy("_ta", "_tb").applyInPandas(tile, schema)
 
 
 def _assigned(points: DataFrame, vec: str, pivots: np.ndarray, offset: int = 0) -> DataFrame:
