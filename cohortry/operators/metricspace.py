@@ -28,6 +28,8 @@ from .ordered import hash_rank
 #: Points that pivots are chosen from, pivots of the whole table, pivots of one cell that is split: whatever the table's size.
 SAMPLE, PIVOTS, SPLIT = 2048, 64, 16
 SLACK = 1e-7
+#: Groups up to which the tables per group (pivots, cells) are broadcast.
+FEW = 256
 #: Blocks of a table that is compared with itself (their pairs are the tasks), the most rows of one, and the rows of one dense product inside a task.
 BLOCKS, LARGEST, SIDE = 24, 65536, 2048
 
@@ -218,21 +220,26 @@ def k_nearest(query: DataFrame, ref: DataFrame, key: str, vec: str, k: int, by:
     if not by:
         q, r = q.withColumn("_all", F.lit(0)), r.withColumn("_all", F.lit(0))
     total = r.groupBy(*one).agg(F.count("*").alias("_n"))
+    # with few groups a join on them would send a group to one task; with many the tables are as long as the rows
+    few = F.broadcast if total.limit(FEW + 1).count() <= FEW else lambda t: t
     ranked = hash_rank(r.withColumn("_h", h60(key, F.lit("pivot"))), one, "_h", key, "_rn")
-    piv = ranked.join(total, one).filter(F.col("_rn") <= F.least(F.lit(pivots), F.ceil(F.sqrt("_n")))).groupBy(*one).agg(
+    piv = ranked.join(few(total), one).filter(F.col("_rn") <= F.least(F.lit(pivots), F.ceil(F.sqrt("_n")))).groupBy(*one).agg(
         F.array_sort(F.collect_list(F.struct(F.col("_rn").cast("int").alias("p"), F.col(vec).alias("x")))).alias("_piv"))
 
     def far(a, b):
         return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, v: s + v))
 
+    piv = shared(piv)
+
     def placed(t: DataFrame) -> DataFrame:
         d = F.array_min(F.transform("_piv", lambda p: F.struct(far(F.col(vec), p["x"]).alias("d"), p["p"].alias("p"))))
-        return t.join(F.broadcast(piv) if not by else piv, one).withColumn("_d", d).withColumn("_cell", F.col("_d.p")).withColumn("_reach", F.col("_d.d")).drop("_d")
+        return t.join(few(piv), one).withColumn("_d", d).withColumn("_cell", F.col("_d.p")).withColumn("_reach", F.col("_d.d")).drop("_d", "_piv")  # the pivots are far longer than a row
 
-    r = shared(placed(r).drop("_piv"))
+    r = shared(placed(r))
     boxes = r.groupBy(*one, "_cell").agg(F.count("*").alias("n"), F.max("_reach").alias("r"))
     table = boxes.groupBy(*one).agg(F.map_from_entries(F.collect_list(F.struct("_cell", F.struct("n", "r").alias("c")))).alias("_cells"))
-    q = shared(placed(q).join(table, one).withColumn("_home", F.col("_cell")).drop("_cell", "_reach"))
+    table = shared(table.join(piv, one))
+    q = shared(placed(q).withColumn("_home", F.col("_cell")).drop("_cell", "_reach"))
     schema = ", ".join([f"`{c}` {types.get(c, 'int')}" for c in [*one, key]] + [f"nb {types[key]}", "d2 double"])
     names = [*one, key, "nb", "d2"]
 
@@ -244,8 +251,8 @@ def k_nearest(query: DataFrame, ref: DataFrame, key: str, vec: str, k: int, by:
         counts = pairs.groupBy(*one, "_cell").agg(F.count("*").alias("_nq"))
         sizes = shared(counts.join(boxes, [*one, "_cell"]).select(*one, "_cell", chunk_count(F.col("_nq")).alias("_qs"), chunk_count(F.col("n")).alias("_rs")))
         zero = F.lit(0)
-        a = pairs.join(sizes, [*one, "_cell"]).withColumn("_qb", (h60(key) % F.col("_qs")).cast("int")).withColumn("_rb", F.explode(F.sequence(zero, F.col("_rs") - 1)))
-        b = r.join(sizes, [*one, "_cell"]).withColumn("_rb", (h60(key) % F.col("_rs")).cast("int")).withColumn("_qb", F.explode(F.sequence(zero, F.col("_qs") - 1)))
+        a = pairs.join(few(sizes), [*one, "_cell"]).withColumn("_qb", (h60(key) % F.col("_qs")).cast("int")).withColumn("_rb", F.explode(F.sequence(zero, F.col("_rs") - 1)))
+        b = r.join(few(sizes), [*one, "_cell"]).withColumn("_rb", (h60(key) % F.col("_rs")).cast("int")).withColumn("_qb", F.explode(F.sequence(zero, F.col("_qs") - 1)))
         cols = [*one, "_cell", "_qb", "_rb", key, vec]
 
         def tile(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -274,5 +281,5 @@ def k_nearest(query: DataFrame, ref: DataFrame, key: str, vec: str, k: int, by:
     reach = F.when(F.col("_found") >= k, F.sqrt("_kth") + SLACK)
     others = F.filter("_piv", lambda p: (p["p"] != F.col("_home")) & F.col("_cells")[p["p"]].isNotNull() & (
         F.col("_reach").isNull() | (far(F.col(vec), p["x"]) - F.col("_cells")[p["p"]]["r"] - SLACK <= F.col("_reach"))))
-    more = q.join(bound, [*one, key], "left").withColumn("_reach", reach).select(*one, key, vec, F.explode(F.transform(others, lambda p: p["p"])).alias("_cell"))
+    more = q.join(bound, [*one, key], "left").join(few(table), one).withColumn("_reach", reach).select(*one, key, vec, F.explode(F.transform(others, lambda p: p["p"])).alias("_cell"))
     return best(home.select(*names).union(compared(more))).select(*by, key, "nb", "rank", "d2")
