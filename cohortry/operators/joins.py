@@ -17,11 +17,16 @@ from .ordered import attach_one
 def complete_grid(entities: DataFrame, facts: DataFrame, entity: str, slot: str, slots: Sequence[int]) -> DataFrame:
     """J1. Every entity x slot with the number of facts and OK / MISSING / MULTIPLE.
 
-    The slot list is a short literal, so the grid is an explode, not a join; facts are counted before the shuffle.
+    Entities and facts meet in one aggregate with a count per slot, before the slots become rows: nothing is joined, and what follows by entity needs no further shuffle.
     """
-    grid = entities.select(entity).withColumn(slot, F.explode(F.lit([int(s) for s in slots]))).withColumn(slot, F.col(slot).cast("long"))
-    n = facts.groupBy(entity, slot).agg(F.count(F.lit(1)).cast("long").alias("n"))
-    out = grid.join(n, [entity, slot], "left").withColumn("n", F.coalesce("n", F.lit(0)).cast("long"))
+    key, at = F.col(entity), F.col(slot)
+    kinds = dict(facts.dtypes)
+    rows = entities.select(key, F.lit(None).cast(kinds[slot]).alias("_slot"), F.lit(1).alias("_own")).unionByName(
+        facts.filter(key.isNotNull() & at.isin([int(s) for s in slots])).select(key, at.alias("_slot"), F.lit(0).alias("_own")))
+    per = rows.groupBy(entity).agg(F.sum("_own").alias("_own"), *[F.count_if(F.col("_slot") == int(s)).alias(f"_n{i}") for i, s in enumerate(slots)]).filter("_own > 0")
+    per = per.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_own"))))  # an entity given twice stays twice
+    cells = F.array(*[F.struct(F.lit(int(s)).cast("long").alias(slot), F.col(f"_n{i}").alias("n")) for i, s in enumerate(slots)])
+    out = per.select(key.cast(dict(entities.dtypes)[entity]).alias(entity), F.inline(cells))
     return out.withColumn("status", F.when(F.col("n") == 0, "MISSING").when(F.col("n") == 1, "OK").otherwise("MULTIPLE"))
 
 
