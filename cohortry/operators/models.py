@@ -26,9 +26,9 @@ ROWS = 20_000
 
 
 def scale_in_fold(df: DataFrame, cols: Sequence[str], fold_keys: Sequence[str], role: str = "role") -> DataFrame:
-    """G2. z-scores from the training rows of each fold only."""
+    """G2. z-scores from the training rows of each fold only. The statistics are one row per fold and go to every task: dealt by fold, a task would read a whole fold."""
     st = df.filter(F.col(role) == "train").groupBy(*fold_keys).agg(*[f(c).alias(f"_{n}_{c}") for c in cols for n, f in (("m", F.avg), ("s", F.stddev_pop))])
-    t = df.join(st, list(fold_keys))
+    t = df.join(F.broadcast(st), list(fold_keys))
     z = {f"{c}_z": (F.col(c) - F.col(f"_m_{c}")) / F.when(F.col(f"_s_{c}") > 0, F.col(f"_s_{c}")).otherwise(1.0) for c in cols}
     return t.withColumns(z).drop(*st.columns[len(fold_keys):])
 

@@ -70,7 +70,7 @@ def g01(spark, sf):
 @query("g02_scale_in_fold", oracle(["timebound"], """select repeat, outer_fold, role, count(*) as n, cast(sum(unit) as bigint) as id_sum, round(sum((score-m)/case when s>0 then s else 1 end),4) as z_sum, round(sum(pow((score-m)/case when s>0 then s else 1 end,2)),4) as z_squares, round(sum((unit%97)*(score-m)/case when s>0 then s else 1 end),3) as z_by_id from nested join timebound using (unit)
  join (select repeat, outer_fold, avg(score) as m, stddev_pop(score) as s from nested join timebound using (unit) where role='train' group by 1,2) using (repeat, outer_fold) group by 1,2,3""", CTX + "," + STRATA + "," + NESTED))
 def g02(spark, sf):
-    t = nested(spark, sf).select("unit", "repeat", "outer_fold", "role").join(V.timebound(spark, sf).select("unit", "score"), "unit")
+    t = shared(nested(spark, sf).select("unit", "repeat", "outer_fold", "role").join(V.timebound(spark, sf).select("unit", "score"), "unit"))
     z = G.scale_in_fold(t, ["score"], ["repeat", "outer_fold"])
     return z.groupBy("repeat", "outer_fold", "role").agg(
         F.count(F.lit(1)).cast("long").alias("n"), F.sum("unit").alias("id_sum"), F.round(F.sum("score_z"), 4).alias("z_sum"),

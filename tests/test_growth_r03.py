@@ -18,3 +18,16 @@ def test_the_grid_counts_without_a_join(spark):
     assert got == [(0, 1, 0, "MISSING"), (0, 2, 0, "MISSING"), (1, 1, 2, "MULTIPLE"), (1, 2, 0, "MISSING"), (2, 1, 0, "MISSING"), (2, 1, 0, "MISSING"),
                    (2, 2, 1, "OK"), (2, 2, 1, "OK"), (3, 1, 0, "MISSING"), (3, 2, 0, "MISSING")]
     assert "Join" not in plan(g) and plan(g.groupBy("e").count()).count("Exchange hashpartitioning") == 1
+
+
+def test_statistics_of_a_fold_go_to_the_rows(spark):
+    df = spark.createDataFrame([(i, i % 2, "test" if i % 5 == 0 else "train", float(i)) for i in range(40)], "unit long, fold int, role string, x double")
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        z = models.scale_in_fold(df, ["x"], ["fold"])
+        assert "BroadcastHashJoin" in plan(z) and "SortMergeJoin" not in plan(z)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    means = z.filter("role = 'train'").groupBy("fold").agg(F.avg("x_z").alias("m"), F.stddev_pop("x_z").alias("s")).collect()
+    assert len(means) == 2 and all(abs(r["m"]) < 1e-9 and abs(r["s"] - 1) < 1e-9 for r in means)
