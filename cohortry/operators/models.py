@@ -146,7 +146,7 @@ def soft_vote(preds: DataFrame, keys: Sequence[str], arm: str = "arm", weights:
     if weights is None:
         return preds.groupBy(*keys).agg(F.avg("prob").alias("prob"))
     on = [c for c in weights.columns if c != weight]
-    t = preds.join(weights, on)
+    t = preds.join(F.broadcast(cut(weights)), on)  # one row per arm and fold; else every branch of a ranking of the votes repeats that of the weights
     return t.groupBy(*keys).agg((F.sum(F.col("prob") * F.col(weight)) / F.sum(weight)).alias("prob"))
 
 
@@ -211,9 +211,9 @@ def variant_metrics(oof: DataFrame, strata: Sequence[str]) -> DataFrame:
 
 def nested_choice(inner: DataFrame, test: DataFrame, y: str, unit: str, keys: Sequence[str] = ("repeat", "fold")) -> DataFrame:
     """G9. Per fold the arm with the best inner AUC, and that arm's test AUC."""
-    fused = inner.groupBy(*keys, "arm", unit, y).agg(F.avg("prob").alias("prob"))
+    fused = shared(inner.groupBy(*keys, "arm", unit, y).agg(F.avg("prob").alias("prob")))  # a ranking reads its rows three times
     sc = M.auc(fused, y, "prob", [*keys, "arm"])
-    sel = sc.groupBy(*keys).agg(F.max_by("arm", F.struct(F.round("auc", 12), "arm")).alias("selected"))
+    sel = cut(sc.groupBy(*keys).agg(F.max_by("arm", F.struct(F.round("auc", 12), "arm")).alias("selected")))  # one row per fold; else every branch of the second ranking repeats the first
     t = test.groupBy(*keys, "arm", unit, y).agg(F.avg("prob").alias("prob"))
     return M.auc(apply_selection(t, sel, "arm", keys), y, "prob", [*keys, "arm"])
 

@@ -123,7 +123,7 @@ pf as (select arm, repeat, fold, unit, any_value(label) as label, avg(prob) as p
 
 
 def inner_auc(spark, sf):
-    f = V.inner_preds(spark, sf).groupBy("arm", "repeat", "fold", "unit", "label").agg(F.avg("prob").alias("prob"))
+    f = shared(V.inner_preds(spark, sf).groupBy("arm", "repeat", "fold", "unit", "label").agg(F.avg("prob").alias("prob")))  # a ranking reads its rows three times
     return M.auc(f, "label", "prob", ["arm", "repeat", "fold"])
 
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.hashing import h60, h60_sql, u01, u01_sql
@@ -90,9 +92,9 @@ def _with_prob(t: DataFrame, u) -> DataFrame:
     )
 
 
-def fold_roles(spark: SparkSession, sf: str) -> DataFrame:
-    """Role table that belongs to `predictions`: (unit, repeat, fold) -> role, inner_fold."""
-    c = units(spark, sf)
+def fold_roles(spark: SparkSession, sf: str, keep: Sequence[Column] = ()) -> DataFrame:
+    """Role table that belongs to `predictions`: (unit, repeat, fold) -> role, inner_fold. `keep` are columns made once per unit."""
+    c = units(spark, sf).select("*", *keep)
     t = c.withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(REPEATS - 1))))
     t = t.withColumn("own", h60("unit", "repeat", F.lit("fold")) % FOLDS)
     t = t.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(FOLDS - 1))))
@@ -100,14 +102,15 @@ def fold_roles(spark: SparkSession, sf: str) -> DataFrame:
     return t.select(
         "unit", "label", "stratum", "cluster", F.col("repeat").cast("long").alias("repeat"), F.col("fold").cast("long").alias("fold"),
         F.when(test, "test").otherwise("train").alias("role"),
-        F.when(test, F.lit(-1)).otherwise(h60("unit", "repeat", "fold", F.lit("inner")) % 5).cast("long").alias("inner_fold"),
+        F.when(test, F.lit(-1)).otherwise(h60("unit", "repeat", "fold", F.lit("inner")) % 5).cast("long").alias("inner_fold"), *c.columns[4:],
     )
 
 
 def inner_preds(spark: SparkSession, sf: str) -> DataFrame:
     """Inner out-of-fold predictions: one row per train unit of every outer fold."""
-    t = fold_roles(spark, sf).filter(F.col("role") == "train").drop("role", "inner_fold")
-    t = t.withColumn("slot", F.explode(F.sequence(F.lit(1), F.lit(SLOTS)))).filter(h60("unit", "slot", F.lit("miss")) % 50 != 0)
+    slots = F.filter(F.sequence(F.lit(1), F.lit(SLOTS)), lambda s: h60("unit", s, F.lit("miss")) % 50 != 0)
+    t = fold_roles(spark, sf, [slots.alias("slots")]).filter(F.col("role") == "train").drop("role", "inner_fold")
+    t = t.withColumn("slot", F.explode("slots"))
     t = t.withColumn("arm", F.explode(F.array(*[F.lit(a) for a in ARMS])))
     return _with_prob(t, u01("unit", "arm", "slot", "repeat", "fold"))
 

@@ -31,3 +31,15 @@ def test_statistics_of_a_fold_go_to_the_rows(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
     means = z.filter("role = 'train'").groupBy("fold").agg(F.avg("x_z").alias("m"), F.stddev_pop("x_z").alias("s")).collect()
     assert len(means) == 2 and all(abs(r["m"]) < 1e-9 and abs(r["s"] - 1) < 1e-9 for r in means)
+
+
+def test_a_choice_among_arms_is_made_once(spark):
+    rows = [(0, f, a, u, u % 2, u % 2 + (0.1 * (u % 3) if a == "good" else 3.0 * (u % 5))) for f in (0, 1) for a in ("good", "bad") for u in range(20)]
+    raw = spark.createDataFrame(rows, "repeat long, fold long, arm string, unit long, label long, p double")
+    inner, test = raw.withColumn("prob", F.sqrt("p")), raw.withColumnRenamed("p", "prob")
+    choice = models.nested_choice(inner, test, "label", "unit")
+    assert [(r["fold"], r["arm"], r["auc"]) for r in choice.sort("fold").collect()] == [(0, "good", 1.0), (1, "good", 1.0)]
+    assert "SQRT" not in plan(choice)  # the ranking of the inner predictions is no part of the second ranking's branches
+    weights = raw.groupBy("arm", "fold").agg(F.sqrt(F.max("p")).alias("weight"))
+    votes = models.soft_vote(test, ["fold", "unit"], weights=weights)
+    assert votes.count() == 40 and "SQRT" not in plan(votes)
