@@ -32,17 +32,18 @@ def bootstrap_weights(df: DataFrame, unit: str, B: int, seed: str, by: Sequence[
     return shared(w.join(u.select(*by, "idx", unit), [*by, "idx"]).select(*by, unit, "b", "w"))
 
 
-def poisson_weights(df: DataFrame, unit: str, B: int, seed: str, by: Sequence[str] = (), most: int | None = None) -> DataFrame:
-    """R14, very large n: Poisson(1) weights by inverse transform of one uniform. Map-only, no shuffle. Counts go on
-    to the last one that the uniform's resolution (2^-60) can tell apart, or to `most`, which then stands for all above."""
+def poisson_weights(df: DataFrame, unit: str, B: int, seed: str, by: Sequence[str] = (), steps: Sequence[float] | None = None) -> DataFrame:
+    """R14, very large n: Poisson(1) weights by inverse transform of one uniform. Map-only, no shuffle. The weight is the number of `steps` at or below the uniform;
+    by default those of the distribution, on to the last one that the uniform's resolution (2^-60) can tell apart."""
+    if steps is None:
+        steps, p = [], math.exp(-1.0)
+        while p > 2.0**-60:
+            steps.append((steps[-1] if steps else 0.0) + p)
+            p /= len(steps)
     u = df.select(*by, unit).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(B - 1)))).withColumn("_u", u01("b", unit, F.lit(seed)))
-    w, cdf, p = F.lit(0), 0.0, math.exp(-1.0)
-    k = 0
-    while p > 2.0**-60 and k != most:
-        cdf += p
-        w = w + F.when(F.col("_u") >= F.lit(cdf), 1).otherwise(0)
-        k += 1
-        p /= k
+    w = F.lit(0)
+    for x in steps:
+        w = w + F.when(F.col("_u") >= F.lit(float(x)), 1).otherwise(0)
     return u.withColumn("w", w.cast("long")).filter("w > 0").select(*by, unit, "b", "w")
 
 
