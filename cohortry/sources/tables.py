@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..functions.hashing import h60
 from ..functions.numeric import n_if
@@ -36,12 +40,28 @@ def csv_guards(df: DataFrame, key: str, key_regex: str, domains: dict[str, Seque
     return rows.unionByName(dup)
 
 
+@F.pandas_udf(StringType())
+def file_sha256(path: pd.Series) -> pd.Series:
+    """SHA-256 of each file:/ path, read in blocks by the task that holds the row."""
+
+    def digest(p: str) -> str:
+        with open(re.sub("^file:/+", "/", p), "rb") as f:
+            return hashlib.file_digest(f, "sha256").hexdigest()
+
+    return path.map(digest)
+
+
 def scan_inventory(spark: SparkSession, root: str, exts: Sequence[str]) -> DataFrame:
-    """S2. Recursive file listing with size, extension class and content digest; hidden files are skipped by Spark."""
+    """S2. Recursive file listing with size, extension class and content digest; hidden files are skipped by Spark.
+
+    Files that tasks can open are digested as streams, so a file of any size takes one block of memory. In a store that only Spark's readers
+    reach, a file comes as one row (at most 2 GB).
+    """
     f = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     ext = F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1))
+    sha256 = file_sha256("path") if all(p.startswith("file:/") for p in f.inputFiles()) else F.sha2("content", 256)
     return f.select("path", F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), ext.alias("ext"), F.when(ext.isin(list(exts)), "media").otherwise("other").alias("kind"),
-                    F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
+                    F.col("length").alias("size"), sha256.alias("sha256"))
 
 
 def source_version(expected: DataFrame, inventory: DataFrame, path: str, digest: str) -> DataFrame:
