@@ -32,6 +32,8 @@ SLACK = 1e-7
 FEW = 256
 #: Blocks of a table that is compared with itself (their pairs are the tasks), the most rows of one, and the rows of one dense product inside a task.
 BLOCKS, LARGEST, SIDE = 24, 65536, 2048
+#: Points of a box of the neighbour search, members that give its first bound, and the most queries of a tile.
+LEAF, FIRST, QUERIES = 32, 2048, 32768
 
 
 def block_rows(n: int, least: int) -> int:
@@ -206,6 +208,82 @@ def cells(points: DataFrame, key: str, vec: str, rows: int = 2048, pivots: int =
     return Cells(out.drop("_reach"), np.array(every), radius, size, rows)
 
 
+def halves(x: np.ndarray, i: np.ndarray) -> list[np.ndarray]:
+    """The points i of x, cut in two at the middle of their widest side."""
+    p = x[i]
+    o, h = np.argpartition(p[:, np.argmax(p.max(0) - p.min(0))], len(i) // 2), len(i) // 2
+    return [i[o[:h]], i[o[h:]]]
+
+
+def leaves(x: np.ndarray, i: np.ndarray, size: int) -> list[np.ndarray]:
+    done, todo = [], [i]
+    while todo:
+        i = todo.pop()
+        if len(i) > size:
+            todo += halves(x, i)
+        else:
+            done.append(i)
+    return done
+
+
+def gaps(a: np.ndarray, b: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """Squared distances of boxes a..b to boxes lo..hi."""
+    out = np.zeros((len(a), len(lo)))
+    for d in range(a.shape[1]):
+        out += np.maximum(np.maximum(lo[None, :, d] - b[:, None, d], a[:, None, d] - hi[None, :, d]), 0.0) ** 2
+    return out
+
+
+def nearest_rows(x: np.ndarray, y: np.ndarray, xk: np.ndarray, yk: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, d2): the k nearest rows y[j] of every x[i], ties to the first of them, without rows of the same key. The rows of y come in the order of their keys.
+
+    Both sides are cut into boxes of few points. The k-th distance to the members of some near boxes excludes the boxes, then the members, that are farther; points that
+    leave too many are cut further. Of equal rows the first k + 1 are enough.
+    """
+    points, finite = np.flatnonzero(np.isfinite(x).all(1)), np.flatnonzero(np.isfinite(y).all(1))  # others have no neighbours and are none
+    if not (len(points) and len(finite)):
+        return points[:0], finite[:0], np.empty(0)
+    order = finite[np.lexsort((finite, *y[finite].T))]
+    sorted_y = y[order]
+    start = np.flatnonzero(np.r_[True, (sorted_y[1:] != sorted_y[:-1]).any(1)])
+    place = np.arange(len(order)) - np.repeat(start, np.diff(np.r_[start, len(order)]))
+    kept = np.sort(order[place <= k])
+    y, yk = y[kept], yk[kept]
+    boxes = leaves(y, np.arange(len(y)), LEAF)
+    lo, hi, size = np.array([y[b].min(0) for b in boxes]), np.array([y[b].max(0) for b in boxes]), np.array([len(b) for b in boxes])
+    yy, xx = (y * y).sum(1), (x * x).sum(1)
+    found: list[tuple] = []
+
+    def members(near: np.ndarray) -> np.ndarray:
+        return np.sort(np.concatenate([boxes[b] for b in near]))
+
+    todo = leaves(x, points, 2 * LEAF)
+    while todo:
+        i = todo.pop()
+        gap = gaps(x[i].min(0)[None], x[i].max(0)[None], lo, hi)[0]
+        first = np.argsort(gap, kind="stable")
+        j = members(first[: np.searchsorted(np.cumsum(size[first]), max(FIRST, 2 * k)) + 1])
+        kth = np.full(len(i), np.inf)
+        if len(j) >= k:
+            d = np.maximum(xx[i][:, None] + yy[j][None, :] - 2 * x[i] @ y[j].T, 0.0)
+            d[xk[i][:, None] == yk[j][None, :]] = np.inf
+            kth = np.partition(d, k - 1, axis=1)[:, k - 1] * (1 + 1e-9) + SLACK + 1e-14 * (xx[i] + yy.max())
+        near = np.flatnonzero(gap <= kth.max())
+        near = near[(gaps(x[i], x[i], lo[near], hi[near]) <= kth[:, None]).any(0)]
+        if len(i) > 1 and size[near].sum() * len(i) > SIDE * SIDE:
+            todo += halves(x, i)
+            continue
+        j = members(near)
+        dot = x[i] @ y[j].T
+        r, c = np.nonzero((yy[j][None, :] - 2 * dot <= (kth - xx[i])[:, None]) & (xk[i][:, None] != yk[j][None, :]))
+        v = np.maximum(xx[i[r]] + yy[j[c]] - 2 * dot[r, c], 0.0).round(9)
+        o = np.lexsort((c, v, r))
+        r, c, v = r[o], c[o], v[o]
+        best = np.arange(len(r)) - np.searchsorted(r, r) < k
+        found.append((i[r[best]], kept[j[c[best]]], v[best]))
+    return tuple(np.concatenate(f) for f in zip(*found))
+
+
 def k_nearest(query: DataFrame, ref: DataFrame, key: str, vec: str, k: int, by: Sequence[str] = (), rows: int = 2048, pivots: int = PIVOTS) -> DataFrame:
     """Exact k nearest reference rows (Euclidean, ties by key) of every query row inside its group: (by, key, nb, rank, d2). A row is not its own neighbour.
 
@@ -249,7 +327,7 @@ def k_nearest(query: DataFrame, ref: DataFrame, key: str, vec: str, k: int, by:
     def compared(pairs: DataFrame) -> DataFrame:
         """pairs: query rows with one cell each. Reference chunks meet query chunks."""
         counts = pairs.groupBy(*one, "_cell").agg(F.count("*").alias("_nq"))
-        sizes = shared(counts.join(boxes, [*one, "_cell"]).select(*one, "_cell", chunk_count(F.col("_nq")).alias("_qs"), chunk_count(F.col("n")).alias("_rs")))
+        sizes = shared(counts.join(boxes, [*one, "_cell"]).select(*one, "_cell", F.ceil(F.col("_nq") / min(rows, QUERIES)).cast("int").alias("_qs"), chunk_count(F.col("n")).alias("_rs")))
         zero = F.lit(0)
         a = pairs.join(few(sizes), [*one, "_cell"]).withColumn("_qb", (h60(key) % F.col("_qs")).cast("int")).withColumn("_rb", F.explode(F.sequence(zero, F.col("_rs") - 1)))
         b = r.join(few(sizes), [*one, "_cell"]).withColumn("_rb", (h60(key) % F.col("_rs")).cast("int")).withColumn("_qb", F.explode(F.sequence(zero, F.col("_qs") - 1)))
@@ -260,14 +338,10 @@ def k_nearest(query: DataFrame, ref: DataFrame, key: str, vec: str, k: int, by:
             if not (len(left) and len(right)):
                 return pd.DataFrame(columns=names)
             x, y = np.stack(left[vec].to_numpy()).astype(float), np.stack(right[vec].to_numpy()).astype(float)
-            d = np.maximum((x * x).sum(1)[:, None] + (y * y).sum(1)[None, :] - 2 * x @ y.T, 0.0).round(9)
-            d[left[key].to_numpy()[:, None] == right[key].to_numpy()[None, :]] = np.inf
-            m = min(k, len(right))
-            best = np.argsort(d, axis=1, kind="stable")[:, :m]
-            i = np.repeat(np.arange(len(left)), m)
+            i, j, d2 = nearest_rows(x, y, left[key].to_numpy(), right[key].to_numpy(), k)
             out = left[[*one, key]].iloc[i].reset_index(drop=True)
-            out["nb"], out["d2"] = right[key].to_numpy()[best.ravel()], d[i, best.ravel()]
-            return out[np.isfinite(out["d2"])][names]
+            out["nb"], out["d2"] = right[key].to_numpy()[j], d2
+            return out[names]
 
         both = a.select(*cols, F.lit(0).alias("_side")).union(b.select(*cols, F.lit(1).alias("_side")))
         return both.groupBy(*one, "_cell", "_qb", "_rb").applyInPandas(tile, schema)

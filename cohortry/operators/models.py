@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import partial, reduce
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pandas as pd
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -21,8 +24,10 @@ from .ordered import attach_one
 from .splits import grouped_folds, ipw, oversample, smote
 
 GRID = (1e-3, 1e-2, 1e-1, 1.0, 10.0, 100.0)
-#: Training rows of a task of the model zoo.
-ROWS = 20_000
+#: Training rows of a task of the model zoo, and of a tile of its neighbour search.
+ROWS, CHUNK = 20_000, 262_144
+#: Fits of a fold that run at one time.
+FITS = 6
 
 
 def scale_in_fold(df: DataFrame, cols: Sequence[str], fold_keys: Sequence[str], role: str = "role") -> DataFrame:
@@ -103,8 +108,8 @@ def onehot_logit(df: DataFrame, cat: Sequence[str], num: Sequence[str], y: str,
 def model_zoo(df: DataFrame, cols: Sequence[str], y: str, unit: str, folds: DataFrame, fold_list: Sequence[int], arms: Sequence[str] = ("nb", "tree", "rf", "gbt", "mlp", "knn", "svm"), seed: int = 0) -> DataFrame:
     """G6. Out-of-fold scores of the Spark ML classifiers (and exact kNN vote) on the same folds: (arm, unit, y, fold, prob).
 
-    Features are scaled with training statistics of each fold. The loop is over arms x folds; each fit is a distributed job, whose tasks follow its rows: a fit is some
-    hundred small jobs, and empty or tiny tasks would take most of its time. The neighbours of all folds are one search.
+    Features are scaled with training statistics of each fold. The loop is over folds, whose arms are fitted side by side; each fit is a distributed job, whose tasks follow its
+    rows: a fit is some hundred small jobs, and empty or tiny tasks would take most of its time. The neighbours of all folds are one search.
     """
     from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, LinearSVC, MultilayerPerceptronClassifier, NaiveBayes, RandomForestClassifier
     from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -123,18 +128,22 @@ def model_zoo(df: DataFrame, cols: Sequence[str], y: str, unit: str, folds: Data
     out = None
     for f in fold_list:
         features = lambda d, f=f: d.filter(F.col("fold") == f).select(unit, "label", array_to_vector("v").alias("features"))
-        rows, scored = cut(features(train).repartition(-(-most // ROWS) or 1, unit).sortWithinPartitions(unit)), None
-        for a in arms:
-            if a == "knn":
-                continue
+        rows = cut(features(train).repartition(-(-most // ROWS) or 1, unit).sortWithinPartitions(unit))
+
+        def fitted(a: str, f=f, features=features, rows=rows) -> DataFrame:
             m = make[a]().fit(rows).transform(features(test))
             score = sigmoid(vector_to_array("rawPrediction")[1]) if a == "svm" else vector_to_array("probability")[1]
-            p = m.select(F.lit(a).alias("arm"), unit, F.col("label").cast("long").alias("y"), F.lit(f).cast("long").alias("fold"), score.alias("prob"))
-            scored = p if scored is None else scored.unionByName(p)
-        if scored is not None:
-            out = cut(scored) if out is None else out.unionByName(cut(scored))
+            return m.select(F.lit(a).alias("arm"), unit, F.col("label").cast("long").alias("y"), F.lit(f).cast("long").alias("fold"), score.alias("prob"))
+
+        in_thread = inheritable_thread_target(df.sparkSession)
+        with ThreadPool(FITS) as pool:
+            parts = pool.map(lambda run: run(), [in_thread(partial(fitted, a)) for a in arms if a != "knn"], 1)
+        if parts:
+            scored = cut(reduce(DataFrame.unionByName, parts))
+            out = scored if out is None else out.unionByName(scored)
     if "knn" in arms:
-        nn = k_nearest(test, train, unit, "v", 5, ["fold"]).join(train.select("fold", F.col(unit).alias("nb"), F.col("label").alias("_l")), ["fold", "nb"])
+        # few columns: the boxes inside a tile exclude far more than cells around pivots, so a fold is one cell of large chunks
+        nn = k_nearest(test, train, unit, "v", 5, ["fold"], CHUNK, 1).join(train.select("fold", F.col(unit).alias("nb"), F.col("label").alias("_l")), ["fold", "nb"])
         p = nn.groupBy("fold", unit).agg(F.avg("_l").alias("prob")).join(test.select("fold", unit, "label"), ["fold", unit])
         p = p.select(F.lit("knn").alias("arm"), unit, F.col("label").cast("long").alias("y"), F.col("fold").cast("long").alias("fold"), "prob")
         out = p if out is None else out.unionByName(p)
